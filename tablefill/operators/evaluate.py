@@ -84,7 +84,11 @@ def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFr
             .pivot("metric", list(METRICS_ORDER))
             .agg(F.first("score"))
             .join(summary.groupBy("run_id").agg(F.max("queries").alias("queries")), "run_id"))
-    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100.0)
+    def pct(c):
+        # one-decimal percent from integer tenths: the same digits on every
+        # engine (printf-style rounding differs between Java and C on ties)
+        tenths = F.floor(F.col(c) * 1000.0 + 0.5).cast("long")
+        return F.format_string("%d.%d%%", F.floor(tenths / 10).cast("long"), F.pmod(tenths, F.lit(10)))
     line = F.concat(F.format_string("queries=%4d", F.col("queries")),
                     *[F.concat(F.lit(f", {m}="), pct(m)) for m in METRICS_ORDER])
     if run_meta is not None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rank_score, trec_escape, trec_unescape
@@ -115,3 +115,80 @@ def trec_roundtrip_q(spark, sf):
     back = trec_unescape(trec_escape("text"))
     return d.select("doc_id", (back == F.col("text")).alias("same"),
                     F.md5(trec_unescape("text")).alias("unescaped_md5"))
+
+
+# ------------------------------------------ ensemble and run reports (AG1...)
+
+from ..operators.evaluate import best_config, covered_queries, leaderboard  # noqa: E402
+from ..operators.runs import ensemble, ensemble_eligible, side_by_side  # noqa: E402
+
+MEMBERS = list(derived.RUN_METHODS)
+
+
+def _grid(spark, sf):
+    runs = derived.customer_run_grid(spark, sf)
+    meta = derived.grid_run_meta(runs, derived.customer_splits(spark, sf))
+    return runs, meta
+
+
+@register("ensemble_vote")
+def ensemble_vote_q(spark, sf):
+    fused = ensemble(derived.customer_runs(spark, sf), MEMBERS)
+    return fused.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register("ensemble_eligible")
+def ensemble_eligible_q(spark, sf):
+    runs, meta = _grid(spark, sf)
+    # one row per run: a global window over the (tiny) run list is fine
+    members = meta.select("run_id", F.dense_rank().over(Window.orderBy("run_id")).alias("run_pos"))
+    return ensemble_eligible(meta, members).select(
+        "run_id", F.col("run_pos").cast("long").alias("run_pos"), "eligible")
+
+
+@register("side_by_side")
+def side_by_side_q(spark, sf):
+    s = side_by_side(derived.customer_runs(spark, sf), derived.customer_qrels(spark, sf))
+    return s.select("run_id", "query_id", F.array_join("results", "|").alias("results"),
+                    F.array_join("ground_truth", "|").alias("ground_truth"))
+
+
+@register("covered_queries")
+def covered_queries_q(spark, sf):
+    m = evaluate(derived.customer_runs(spark, sf), derived.customer_qrels(spark, sf))
+    return covered_queries(m).select("run_id", "metric", F.array_join("queries", ",").alias("queries"))
+
+
+def _grid_qrels(spark, sf):
+    return derived.customer_qrels(spark, sf)
+
+
+@register("leaderboard")
+def leaderboard_q(spark, sf):
+    runs, meta = _grid(spark, sf)
+    summ = summarize(evaluate(runs, _grid_qrels(spark, sf)))
+    return leaderboard(summ, meta).select("run_id", "queries", "success_1", "success_5", "P_5", "report")
+
+
+@register("best_config")
+def best_config_q(spark, sf):
+    runs, meta = _grid(spark, sf)
+    summ = summarize(evaluate(runs, _grid_qrels(spark, sf)))
+    wide = leaderboard(summ, meta).join(meta.select("run_id", F.split("folder", "/")[1].alias("split")), "run_id")
+    return best_config(wide, ["split"]).select("split", "run_id", "success_1", "success_5", "P_5")
+
+
+@register("baseline_compare")
+def baseline_compare_q(spark, sf):
+    runs = derived.customer_runs(spark, sf).unionByName(derived.customer_baseline(spark, sf))
+    summ = summarize(evaluate(runs, derived.customer_qrels(spark, sf)))
+    kinds = runs.select("run_id", F.when(F.col("tag") == "baseline", "baseline").otherwise("run").alias("kind")).distinct()
+    return (leaderboard(summ).join(kinds, "run_id")
+            .select("run_id", "kind", "queries", "success_1", "success_5", "P_5", "report"))
+
+
+@register("run_flags")
+def run_flags_q(spark, sf):
+    _, meta = _grid(spark, sf)
+    return meta.select("run_id", "folder", F.col("seeds").cast("long").alias("seeds"),
+                       "completed", "debug", "validation")

@@ -131,3 +131,113 @@ ORACLE["trec_escape"] = f"""SELECT doc_id, md5({esc('text')}) AS escaped_md5,
 
 ORACLE["trec_roundtrip"] = f"""SELECT doc_id, {unesc(esc('text'))} = text AS same,
        md5({unesc('text')}) AS unescaped_md5 FROM documents"""
+
+
+GRID = f"""{CUST},
+splits AS (SELECT DISTINCT query_id, CASE WHEN n_regionkey = 4 THEN 'validation' ELSE 'benchmark' END AS split
+           FROM cust JOIN nation ON c_nationkey = n_nationkey),
+c2 AS (SELECT cust.*, split, row_number() OVER (PARTITION BY cust.query_id ORDER BY c_custkey) AS rn
+       FROM cust JOIN splits USING (query_id)),
+gcand AS (SELECT c2.*, s.seeds FROM c2, (SELECT range::INT AS seeds FROM range(1, 6)) s WHERE rn > s.seeds),
+granked AS (
+  SELECT query_id, c_name, split, seeds,
+         row_number() OVER (PARTITION BY query_id, seeds ORDER BY c_acctbal DESC, c_custkey) AS r_acctbal,
+         row_number() OVER (PARTITION BY query_id, seeds ORDER BY md5(c_name), c_custkey) AS r_md5,
+         row_number() OVER (PARTITION BY query_id, seeds ORDER BY c_custkey) AS r_custkey
+  FROM gcand),
+g0 AS (
+  SELECT 'acctbal' AS method, query_id, c_name, split, seeds, r_acctbal AS rank FROM granked WHERE r_acctbal <= 20
+  UNION ALL SELECT 'md5', query_id, c_name, split, seeds, r_md5 FROM granked WHERE r_md5 <= 20
+  UNION ALL SELECT 'custkey', query_id, c_name, split, seeds, r_custkey FROM granked WHERE r_custkey <= 20),
+runs AS (SELECT printf('%s_%s_s%d', method, split, seeds) AS run_id, query_id, {esc('c_name')} AS doc_id, rank,
+                pow(2.0, -(rank - 1))::DOUBLE AS score, method AS tag, split, seeds FROM g0),
+meta AS (
+  SELECT r.run_id, 'data/' || r.split AS folder, r.seeds,
+         r.answered = s.split_queries AS completed, r.method = 'custkey' AS debug,
+         contains('data/' || r.split, 'validation') AS validation
+  FROM (SELECT run_id, any_value(split) AS split, any_value(seeds) AS seeds, any_value(tag) AS method,
+               count(DISTINCT query_id) AS answered FROM runs GROUP BY run_id) r
+  LEFT JOIN (SELECT split, count(*) AS split_queries FROM splits GROUP BY split) s USING (split))"""
+
+
+def pct(x: str) -> str:
+    t = f"floor({x} * 1000.0 + 0.5)::BIGINT"
+    return f"printf('%d.%d%%', ({t}) // 10, ({t}) % 10)"
+
+
+LB = f"""lb AS (
+  SELECT run_id, max(queries) AS queries,
+         max(CASE WHEN metric = 'success_1' THEN score END) AS success_1,
+         max(CASE WHEN metric = 'success_5' THEN score END) AS success_5,
+         max(CASE WHEN metric = 'P_5' THEN score END) AS P_5
+  FROM summary GROUP BY run_id),
+lbr AS (
+  SELECT *, printf('queries=%4d', queries) || ', success_1=' || {pct('success_1')}
+            || ', success_5=' || {pct('success_5')} || ', P_5=' || {pct('P_5')} AS line
+  FROM lb)"""
+
+ORACLE["ensemble_vote"] = f"""WITH {RUNS},
+m AS (SELECT * FROM (VALUES ('acctbal', 0), ('md5', 1), ('custkey', 2)) t(run_id, run_pos)),
+f AS (SELECT query_id, doc_id, count(*) AS votes, sum(score) AS total,
+             min(run_pos * 1000000 + rank) AS first_seen
+      FROM runs JOIN m USING (run_id) GROUP BY query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total DESC, first_seen) AS rn FROM f)
+SELECT query_id, doc_id, rn::BIGINT AS rank, pow(2.0, -(rn - 1))::DOUBLE AS score FROM r"""
+
+ORACLE["ensemble_eligible"] = f"""WITH {GRID},
+members AS (SELECT run_id, dense_rank() OVER (ORDER BY run_id) AS run_pos, folder, seeds FROM meta),
+first AS (SELECT folder, seeds FROM members WHERE run_pos = 1)
+SELECT m.run_id, m.run_pos::BIGINT AS run_pos, (m.folder = f.folder AND m.seeds = f.seeds) AS eligible
+FROM members m, first f"""
+
+ORACLE["side_by_side"] = f"""WITH {RUNS},
+{QRELS},
+res AS (SELECT run_id, query_id, string_agg({unesc('doc_id')}, '|' ORDER BY score DESC, rank) AS results
+        FROM runs GROUP BY run_id, query_id),
+gt AS (SELECT query_id, string_agg({unesc('doc_id')}, '|' ORDER BY relevance DESC, doc_id) AS ground_truth
+       FROM qrels GROUP BY query_id)
+SELECT run_id, query_id, results, coalesce(ground_truth, '') AS ground_truth FROM res LEFT JOIN gt USING (query_id)"""
+
+ORACLE["covered_queries"] = f"""WITH {RUNS},
+{QRELS},
+{eval_per_query()}
+SELECT run_id, metric, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries
+FROM metrics WHERE score > 0 GROUP BY run_id, metric"""
+
+ORACLE["leaderboard"] = f"""WITH {GRID},
+{QRELS},
+{eval_per_query()},
+{SUMMARY},
+{LB}
+SELECT run_id, queries, success_1, success_5, P_5,
+       printf('seeds=%d, ', seeds) || line || CASE WHEN debug THEN ' (debug)' ELSE '' END
+       || CASE WHEN validation THEN ' (validation)' ELSE '' END AS report
+FROM lbr LEFT JOIN meta USING (run_id)"""
+
+ORACLE["best_config"] = f"""WITH {GRID},
+{QRELS},
+{eval_per_query()},
+{SUMMARY},
+{LB}
+SELECT split, run_id, success_1, success_5, P_5 FROM (
+  SELECT lb.*, split_part(folder, '/', 2) AS split,
+         row_number() OVER (PARTITION BY split_part(folder, '/', 2)
+                            ORDER BY success_1 DESC, success_5 DESC, P_5 DESC, run_id) AS r
+  FROM lb JOIN meta USING (run_id)) WHERE r = 1"""
+
+ORACLE["baseline_compare"] = f"""WITH {RUNS.replace('runs AS (SELECT', 'runs_m AS (SELECT')},
+bl0 AS (SELECT query_id, c_name, row_number() OVER (PARTITION BY query_id ORDER BY c_name DESC) AS rank
+        FROM cand WHERE rn > 3),
+runs AS (SELECT run_id, query_id, doc_id, rank, score, tag FROM runs_m
+         UNION ALL
+         SELECT 'baseline_name', query_id, {esc('c_name')}, rank, pow(2.0, -(rank - 1))::DOUBLE, 'baseline'
+         FROM bl0 WHERE rank <= 20),
+{QRELS},
+{eval_per_query()},
+{SUMMARY},
+{LB}
+SELECT run_id, CASE WHEN run_id = 'baseline_name' THEN 'baseline' ELSE 'run' END AS kind,
+       queries, success_1, success_5, P_5, line AS report FROM lbr"""
+
+ORACLE["run_flags"] = f"""WITH {GRID}
+SELECT run_id, folder, seeds::BIGINT AS seeds, completed, debug, validation FROM meta"""

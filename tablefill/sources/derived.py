@@ -123,9 +123,8 @@ def customer_runs(spark: SparkSession, sf_dir: str, seeds: int = 3) -> DataFrame
 
     For each table the rows after the first ``seeds`` (by custkey) are ranked
     by acctbal desc / md5(name) / custkey and the top RUN_DEPTH kept; score
-    2^-(rank-1). The window is partitioned by table, a group bounded by
-    KEY_BLOCK rows, and the top-k cut runs as a partial WindowGroupLimit
-    before the shuffle.
+    2^-(rank-1). The windows are partitioned by table, a group bounded by
+    KEY_BLOCK rows.
     """
     c = (read_table(spark, sf_dir, "customer")
          .select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
@@ -173,3 +172,81 @@ def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-KNN: (vec_id, embedding, label) — every vector is both a query and
     an example (self matches excluded by the KNN operator)."""
     return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+def customer_run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs for every (order, split, seeds 1..5): run_id '<order>_<split>_s<n>'.
+
+    Each run covers the tables of one split; the candidates of a query are
+    the rows after its first n. One shuffle by table; the seeds grid is a
+    5-row broadcast.
+    """
+    c = (read_table(spark, sf_dir, "customer")
+         .select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+         .withColumn("query_id", F.format_string("cust_%d_%d", "c_nationkey",
+                                                 F.floor(F.col("c_custkey") / KEY_BLOCK))))
+    c = c.join(customer_splits(spark, sf_dir), "query_id")
+    by_table = Window.partitionBy("query_id")
+    c = c.withColumn("row_in_table", F.row_number().over(by_table.orderBy("c_custkey")))
+    grid = c.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("seeds"))
+    cand = c.crossJoin(F.broadcast(grid)).filter(F.col("row_in_table") > F.col("seeds"))
+    w = Window.partitionBy("query_id", "seeds")
+    keys = {
+        "acctbal": [F.col("c_acctbal").desc(), F.col("c_custkey")],
+        "md5": [F.md5("c_name"), F.col("c_custkey")],
+        "custkey": [F.col("c_custkey")],
+    }
+    for method in RUN_METHODS:
+        cand = cand.withColumn(f"rank_{method}", F.row_number().over(w.orderBy(*keys[method])))
+    per_method = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"rank_{m}").alias("rank"))
+                           for m in RUN_METHODS])
+    return (cand.select("query_id", "c_name", "split", "seeds", F.explode(per_method).alias("r"))
+            .filter(F.col("r.rank") <= RUN_DEPTH)
+            .select(F.format_string("%s_%s_s%d", F.col("r.method"), F.col("split"), F.col("seeds")).alias("run_id"),
+                    "query_id", trec_escape("c_name").alias("doc_id"),
+                    F.col("r.rank").cast("int").alias("rank"),
+                    rank_score(F.col("r.rank") - 1).alias("score"),
+                    F.col("r.method").alias("tag")))
+
+
+def grid_run_meta(runs: DataFrame, splits: DataFrame) -> DataFrame:
+    """run_meta for the grid runs: folder, seeds, task, and the flags.
+
+    completed: the run answered every query of its split (the reference
+    touches keep.flag after the last query); debug: the custkey-order runs
+    are the debug baselines; validation: 'validation' in the folder.
+    """
+    parts = F.split("run_id", "_")
+    per_run = (runs.groupBy("run_id")
+               .agg(F.countDistinct("query_id").alias("answered")))
+    split_sizes = splits.groupBy("split").agg(F.count(F.lit(1)).alias("split_queries"))
+    meta = (per_run
+            .withColumn("method", parts[0])
+            .withColumn("split", parts[1])
+            .withColumn("seeds", F.substring(parts[2], 2, 3).cast("int"))
+            .join(F.broadcast(split_sizes), "split", "left"))  # one row per split
+    folder = F.concat(F.lit("data/"), F.col("split"))
+    return meta.select(
+        "run_id", folder.alias("folder"), "seeds",
+        F.to_json(F.struct(F.lit("SubjectSuggestionPipeline").alias("class"),
+                           F.col("method").alias("order"))).alias("task"),
+        (F.col("answered") == F.col("split_queries")).alias("completed"),
+        (F.col("method") == F.lit("custkey")).alias("debug"),
+        folder.contains("validation").alias("validation"))
+
+
+def customer_baseline(spark: SparkSession, sf_dir: str, seeds: int = 3) -> DataFrame:
+    """A baseline run (kind 'baseline'): each table's later rows by name,
+    descending — a stand-in for the published baseline outputs."""
+    c = (read_table(spark, sf_dir, "customer")
+         .select("c_custkey", "c_name", "c_nationkey")
+         .withColumn("query_id", F.format_string("cust_%d_%d", "c_nationkey",
+                                                 F.floor(F.col("c_custkey") / KEY_BLOCK))))
+    by_table = Window.partitionBy("query_id")
+    c = c.withColumn("row_in_table", F.row_number().over(by_table.orderBy("c_custkey")))
+    r = (c.filter(F.col("row_in_table") > seeds)
+         .withColumn("rank", F.row_number().over(by_table.orderBy(F.col("c_name").desc())))
+         .filter(F.col("rank") <= RUN_DEPTH))
+    return r.select(F.lit("baseline_name").alias("run_id"), "query_id",
+                    trec_escape("c_name").alias("doc_id"), F.col("rank").cast("int").alias("rank"),
+                    rank_score(F.col("rank") - 1).alias("score"), F.lit("baseline").alias("tag"))
