@@ -192,3 +192,68 @@ def run_flags_q(spark, sf):
     _, meta = _grid(spark, sf)
     return meta.select("run_id", "folder", F.col("seeds").cast("long").alias("seeds"),
                        "completed", "debug", "validation")
+
+
+# -------------------------------------------- tables (PRJ1 PRJ2 PRJ4 EV3)
+
+from ..operators.sampling import sample_examples, sample_fixed, subsample  # noqa: E402
+from ..operators.tables import hold_out, qrels_from_split, split_seeds  # noqa: E402
+
+
+def _corpus(spark, sf):
+    return derived.customer_tables(spark, sf).unionByName(derived.supplier_tables(spark, sf))
+
+
+@register("seed_split")
+def seed_split_q(spark, sf):
+    grid = spark.range(1, 6).select(F.col("id").cast("int").alias("n"))
+    q = split_seeds(_corpus(spark, sf).crossJoin(F.broadcast(grid)), F.col("n"))
+    return q.select("query_id", F.col("seeds").cast("long").alias("seeds"),
+                    F.array_join("seed_values", "|").alias("seed_values"),
+                    F.array_join("ground_truth", "|").alias("ground_truth"),
+                    F.size("ground_truth").cast("long").alias("n_ground_truth"),
+                    F.size("rows").cast("long").alias("n_rows"))
+
+
+@register("table_description")
+def table_description_q(spark, sf):
+    t = (derived.customer_tables(spark, sf).unionByName(derived.supplier_tables(spark, sf))
+         .unionByName(derived.part_tables(spark, sf)))
+    return t.select("query_id", "description")
+
+
+@register("hold_out")
+def hold_out_q(spark, sf):
+    q = hold_out(split_seeds(_corpus(spark, sf), 3))
+    return q.select("query_id", "target", F.array_join("seed_values", "|").alias("seed_values"),
+                    F.col("seeds").cast("long").alias("seeds"))
+
+
+@register("qrels_from_split")
+def qrels_from_split_q(spark, sf):
+    q = split_seeds(_corpus(spark, sf), 3)
+    return qrels_from_split(q).select("query_id", "doc_id", F.col("relevance").cast("long").alias("relevance"))
+
+
+# ------------------------------------------------------ samplers (SM1-SM3)
+
+def _cust_queries(spark, sf, seeds=3):
+    return split_seeds(derived.customer_tables(spark, sf), seeds)
+
+
+@register("sample_per_query")
+def sample_per_query_q(spark, sf):
+    ex = sample_examples(_cust_queries(spark, sf), derived.part_tables(spark, sf), k=3, seed=42)
+    return ex.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id")
+
+
+@register("sample_fixed")
+def sample_fixed_q(spark, sf):
+    ex = sample_fixed(_cust_queries(spark, sf), derived.part_tables(spark, sf), k=2, seed=7)
+    return ex.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id")
+
+
+@register("subsample_pool")
+def subsample_pool_q(spark, sf):
+    pool = _knn(spark, sf, k=10)
+    return subsample(pool, 3, seed=42).select("query_id", F.col("pos").cast("long").alias("pos"), "table_id")

@@ -241,3 +241,94 @@ SELECT run_id, CASE WHEN run_id = 'baseline_name' THEN 'baseline' ELSE 'run' END
 
 ORACLE["run_flags"] = f"""WITH {GRID}
 SELECT run_id, folder, seeds::BIGINT AS seeds, completed, debug, validation FROM meta"""
+
+
+CORPUS = """corpus AS (
+  SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id, c_custkey AS k, c_name AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL
+  SELECT printf('supp_%d_%d', s_nationkey, s_suppkey // 1000), s_suppkey, s_name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+crow AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rn,
+                count(*) OVER (PARTITION BY query_id) AS cnt FROM corpus)"""
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+ORACLE["seed_split"] = f"""WITH {CORPUS}
+SELECT query_id, n::BIGINT AS seeds,
+       coalesce(string_agg(name, '|' ORDER BY k) FILTER (WHERE rn <= n), '') AS seed_values,
+       coalesce(string_agg(name, '|' ORDER BY k) FILTER (WHERE rn > n), '') AS ground_truth,
+       (count(*) FILTER (WHERE rn > n))::BIGINT AS n_ground_truth,
+       (count(*) FILTER (WHERE rn <= n))::BIGINT AS n_rows
+FROM crow, (SELECT range::INT AS n FROM range(1, 6)) g
+GROUP BY query_id, n"""
+
+ORACLE["table_description"] = f"""WITH parts AS (
+  SELECT DISTINCT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id,
+         r_name AS a, n_name AS b, ' ' || n_name AS c
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT DISTINCT printf('supp_%d_%d', s_nationkey, s_suppkey // 1000), n_name, 'Suppliers', ' '
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL
+  SELECT DISTINCT printf('part_%s_%d', replace(p_brand, '#', ''), p_partkey // 1000), p_brand, '', 'Parts'
+  FROM part),
+s AS (SELECT query_id, {strip('a')} AS a, {strip('b')} AS b, {strip('c')} AS c FROM parts)
+SELECT query_id,
+       concat_ws(' - ', CASE WHEN a <> '' THEN a END,
+                        CASE WHEN b <> '' AND b <> a THEN b END,
+                        CASE WHEN c <> '' AND c <> a AND c <> b THEN c END) AS description
+FROM s"""
+
+ORACLE["hold_out"] = f"""WITH {CORPUS},
+h AS (SELECT query_id, least(cnt, 3) AS m, rn, name, k FROM crow)
+SELECT query_id, max(name) FILTER (WHERE rn = m) AS target,
+       coalesce(string_agg(name, '|' ORDER BY k) FILTER (WHERE rn < m), '') AS seed_values,
+       3::BIGINT AS seeds
+FROM h GROUP BY query_id"""
+
+ORACLE["qrels_from_split"] = f"""WITH {CORPUS}
+SELECT DISTINCT query_id, {esc('name')} AS doc_id, 1::BIGINT AS relevance FROM crow WHERE rn > 3"""
+
+CUST_QUERIES = """cq AS (SELECT DISTINCT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id
+       FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+PART_CANDS = """cands AS (SELECT DISTINCT printf('part_%s_%d', replace(p_brand, '#', ''), p_partkey // 1000) AS table_id
+          FROM part)"""
+
+
+def draw(x: str) -> str:
+    return f"('0x' || substr(md5({x}), 1, 7))::BIGINT"
+
+
+ORACLE["sample_per_query"] = f"""WITH {CUST_QUERIES},
+{PART_CANDS},
+nb AS (SELECT count(*) AS n, 1 + count(*) // 100000 AS b FROM cands),
+cb AS (SELECT table_id, {draw('table_id')} % (SELECT b FROM nb) AS bucket FROM cands),
+cl AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY table_id) - 1 AS local FROM cb),
+off AS (SELECT bucket, coalesce(sum(cnt) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT bucket, count(*) AS cnt FROM cb GROUP BY bucket)),
+ci AS (SELECT table_id, off + local AS idx FROM cl JOIN off USING (bucket)),
+d AS (
+  SELECT query_id, list_reduce(range((SELECT n FROM nb) - 3, (SELECT n FROM nb)),
+           lambda acc, j: CASE WHEN list_contains(acc, {draw("'42|' || query_id || '|' || j::VARCHAR")} % (j + 1))
+                               THEN list_append(acc, j)
+                               ELSE list_append(acc, {draw("'42|' || query_id || '|' || j::VARCHAR")} % (j + 1)) END,
+           []::BIGINT[]) AS draws
+  FROM cq),
+u AS (SELECT query_id, unnest(draws) AS idx, generate_subscripts(draws, 1) AS pos FROM d)
+SELECT query_id, pos::BIGINT AS pos, table_id FROM u JOIN ci USING (idx)"""
+
+ORACLE["sample_fixed"] = f"""WITH {CUST_QUERIES},
+{PART_CANDS},
+s AS (SELECT table_id, row_number() OVER (ORDER BY md5('7|' || table_id), table_id) AS pos FROM cands)
+SELECT query_id, pos::BIGINT AS pos, table_id FROM cq, s WHERE pos <= 2"""
+
+ORACLE["subsample_pool"] = f"""WITH {KNN.replace('WHERE pos <= 5', 'WHERE pos <= 10')}
+SELECT query_id, pos::BIGINT AS pos, table_id FROM (
+  SELECT query_id, table_id,
+         row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || table_id), table_id) AS pos
+  FROM nn) WHERE pos <= 3"""
