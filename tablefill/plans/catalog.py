@@ -257,3 +257,49 @@ def sample_fixed_q(spark, sf):
 def subsample_pool_q(spark, sf):
     pool = _knn(spark, sf, k=10)
     return subsample(pool, 3, seed=42).select("query_id", F.col("pos").cast("long").alias("pos"), "table_id")
+
+
+# ------------------------------------------------ prompts (SC6 SC7 PR1 PR2)
+
+from ..functions.jsonlist import json_list  # noqa: E402
+from ..functions.text import xml_escape  # noqa: E402
+from ..plans.prompts import render_chat, render_instruct  # noqa: E402
+
+
+def _fixed_examples(spark, sf, queries):
+    return sample_fixed(queries, derived.part_tables(spark, sf), k=2, seed=7)
+
+
+@register("json_list_ascii")
+def json_list_ascii_q(spark, sf):
+    t = derived.customer_tables(spark, sf)
+    return t.select("query_id", json_list(subject("rows")).alias("json"))
+
+
+@register("xml_escape")
+def xml_escape_q(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    e = xml_escape("text")
+    return d.select("doc_id", F.md5(e).alias("escaped_md5"), F.length(e).cast("long").alias("escaped_len"))
+
+
+@register("render_zero_shot")
+def render_zero_shot_q(spark, sf):
+    return render_instruct(_cust_queries(spark, sf), None, None).select("query_id", "prompt")
+
+
+@register("render_few_shot")
+def render_few_shot_q(spark, sf):
+    q = _cust_queries(spark, sf)
+    return render_instruct(q, _fixed_examples(spark, sf, q), derived.part_tables(spark, sf)).select(
+        "query_id", "prompt")
+
+
+@register("render_chat_messages")
+def render_chat_messages_q(spark, sf):
+    q = _cust_queries(spark, sf)
+    r = render_chat(q, _fixed_examples(spark, sf, q), derived.part_tables(spark, sf))
+    return r.select("query_id", "prompt",
+                    F.size("messages").cast("long").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                    F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "\u001f")).alias("contents_md5"))

@@ -332,3 +332,103 @@ SELECT query_id, pos::BIGINT AS pos, table_id FROM (
   SELECT query_id, table_id,
          row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || table_id), table_id) AS pos
   FROM nn) WHERE pos <= 3"""
+
+
+def sql_text(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n"))
+
+
+def jq(x: str) -> str:
+    """JSON string literal of an ASCII value."""
+    return "'\"' || replace(replace(" + x + ", '\\', '\\\\'), '\"', '\\\"') || '\"'"
+
+
+INSTR = ("Your mission, as a sequence detective, is to fill in the gaps of the provided partial "
+         "data column by identifying the next elements in the sequence. Deliver your solution as "
+         "a JSON list, ensuring the values are in their logical sequence.")
+
+CUSTQ = f"""cq0 AS (
+  SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id, c_custkey, c_name,
+         r_name AS a, n_name AS b, ' ' || n_name AS c,
+         row_number() OVER (PARTITION BY printf('cust_%d_%d', c_nationkey, c_custkey // 1000) ORDER BY c_custkey) AS rn
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cq AS (
+  SELECT query_id,
+         concat_ws(' - ', CASE WHEN {strip('any_value(a)')} <> '' THEN {strip('any_value(a)')} END,
+                   CASE WHEN {strip('any_value(b)')} <> '' AND {strip('any_value(b)')} <> {strip('any_value(a)')}
+                        THEN {strip('any_value(b)')} END,
+                   CASE WHEN {strip('any_value(c)')} <> '' AND {strip('any_value(c)')} <> {strip('any_value(a)')}
+                        AND {strip('any_value(c)')} <> {strip('any_value(b)')} THEN {strip('any_value(c)')} END) AS description,
+         '[' || coalesce(string_agg({jq('c_name')}, ', ' ORDER BY c_custkey) FILTER (WHERE rn <= 3), '') || ']' AS seed_json
+  FROM cq0 GROUP BY query_id)"""
+
+PARTEX = f"""{PART_CANDS},
+s AS (SELECT table_id, row_number() OVER (ORDER BY md5('7|' || table_id), table_id) AS pos FROM cands),
+ex AS (SELECT table_id, pos FROM s WHERE pos <= 2),
+prow AS (SELECT printf('part_%s_%d', replace(p_brand, '#', ''), p_partkey // 1000) AS table_id, p_partkey, p_name, p_brand,
+                row_number() OVER (PARTITION BY replace(p_brand, '#', ''), p_partkey // 1000 ORDER BY p_partkey) AS rn
+         FROM part),
+pt AS (
+  SELECT table_id, any_value(p_brand) || ' - Parts' AS description,
+         '[' || coalesce(string_agg({jq('p_name')}, ', ' ORDER BY p_partkey) FILTER (WHERE rn <= 3), '') || ']' AS seed_json,
+         '[' || coalesce(string_agg({jq('p_name')}, ', ' ORDER BY p_partkey) FILTER (WHERE rn > 3), '') || ']' AS rest_json
+  FROM prow WHERE table_id IN (SELECT table_id FROM ex) GROUP BY table_id),
+exb AS (SELECT ex.pos, pt.* FROM ex JOIN pt USING (table_id))"""
+
+
+def inst_block(desc, headers_json, header0, col_json, tail):
+    return (f"{sql_text('[INST] ' + INSTR + chr(10) + chr(10) + 'Table description:' + chr(10))} || {desc} || "
+            f"{sql_text(chr(10) + 'All table headers:' + chr(10))} || {headers_json} || "
+            f"{sql_text(chr(10) + 'Header of column to expand:' + chr(10))} || {header0} || "
+            f"{sql_text(chr(10) + 'Column:' + chr(10))} || {col_json} || {sql_text(' [/INST]' + chr(10))} || {tail}")
+
+
+CUST_HEADERS = "'[\"c_name\", \"c_custkey\", \"c_mktsegment\"]'"
+PART_HEADERS = "'[\"p_name\", \"p_type\"]'"
+
+ORACLE["json_list_ascii"] = f"""SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id,
+       '[' || string_agg({jq('c_name')}, ', ' ORDER BY c_custkey) || ']' AS json
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
+
+ORACLE["xml_escape"] = """SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_md5,
+       length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))::BIGINT AS escaped_len
+FROM documents"""
+
+ORACLE["render_zero_shot"] = f"""WITH {CUSTQ}
+SELECT query_id, {inst_block('description', CUST_HEADERS, "'c_name'", 'seed_json', "'[\"'")} AS prompt FROM cq"""
+
+ORACLE["render_few_shot"] = f"""WITH {CUSTQ},
+{PARTEX},
+exs AS (SELECT string_agg({inst_block('description', PART_HEADERS, "'p_name'", 'seed_json', "rest_json || chr(10)")},
+                          '' ORDER BY pos) AS t FROM exb)
+SELECT query_id, (SELECT t FROM exs) || {inst_block('description', CUST_HEADERS, "'c_name'", 'seed_json', "'[\"'")} AS prompt
+FROM cq"""
+
+
+def xe(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def chat_user(desc, headers_json, header0, col_json, twice):
+    first = "Table description:\n" * (2 if twice else 1)
+    return (f"{sql_text(first)} || {desc} || {sql_text(chr(10) + 'All table headers:' + chr(10))} || {headers_json} || "
+            f"{sql_text(chr(10) + 'Header of column to expand:' + chr(10))} || {header0} || "
+            f"{sql_text(chr(10) + 'Column:' + chr(10))} || {col_json}")
+
+
+ORACLE["render_chat_messages"] = f"""WITH {CUSTQ},
+{PARTEX},
+exu AS (SELECT pos, {chat_user('description', PART_HEADERS, "'p_name'", 'seed_json', True)} AS u, rest_json FROM exb),
+exs AS (SELECT string_agg('<user>' || {xe('u')} || '</user>' || chr(10) || '<assistant>' || {xe('rest_json')}
+                          || '</assistant>' || chr(10), '' ORDER BY pos) AS t,
+               string_agg(u || chr(31) || rest_json, chr(31) ORDER BY pos) AS contents,
+               count(*) AS n FROM exu),
+qu AS (SELECT query_id, {chat_user('description', CUST_HEADERS, "'c_name'", 'seed_json', False)} AS u FROM cq)
+SELECT query_id,
+       {sql_text('<messages>' + chr(10) + '<system>' + INSTR + '</system>' + chr(10))} || (SELECT t FROM exs)
+         || chr(10) || '<user>' || {xe('u')} || '</user>' || chr(10) || '</messages>' AS prompt,
+       (2 + 2 * (SELECT n FROM exs))::BIGINT AS n_messages,
+       'system,' || (SELECT string_agg('user,assistant', ',') FROM exu) || ',user' AS roles,
+       md5({sql_text(INSTR)} || chr(31) || (SELECT contents FROM exs) || chr(31) || u) AS contents_md5
+FROM qu"""
