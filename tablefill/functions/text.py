@@ -48,7 +48,7 @@ def xml_escape(c) -> Column:
 # Unicode whitespace as Python's str.strip() sees it (\s in Java regex with
 # UNICODE_CHARACTER_CLASS), used where the reference calls .strip().
 # str.isspace() also covers the separators U+001C..U+001F.
-_STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def py_strip(c) -> Column:

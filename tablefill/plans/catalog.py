@@ -303,3 +303,59 @@ def render_chat_messages_q(spark, sf):
                     F.size("messages").cast("long").alias("n_messages"),
                     F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
                     F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "\u001f")).alias("contents_md5"))
+
+
+# --------------------------------------- budget and extraction (AG8 RK4 SC3-SC9)
+
+from ..functions.listparse import extract_list  # noqa: E402
+from ..operators.budget import count_message_tokens, fit_messages, keep_last_tokens  # noqa: E402
+from ..operators.extract import extract_csv_token, extract_first_line  # noqa: E402
+
+CHAT_LIMIT = 200
+# a 1,024-token context with 256 tokens kept for the answer
+KEEP_LAST_N = 1024 - 256
+
+
+@register("chat_token_count")
+def chat_token_count_q(spark, sf):
+    return count_message_tokens(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@register("fit_messages")
+def fit_messages_q(spark, sf):
+    m = fit_messages(spark.read.parquet(f"{sf}/conversations.parquet"), CHAT_LIMIT)
+    return m.select("conv_id", "turn", "kept", "overflow", F.col("tokens_after").cast("long").alias("tokens_after"))
+
+
+@register("keep_last_tokens")
+def keep_last_tokens_q(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    kept = keep_last_tokens("text", KEEP_LAST_N)
+    return d.select("doc_id", F.size(kept).cast("long").alias("n_kept"),
+                    F.md5(F.array_join(kept, " ")).alias("kept_md5"))
+
+
+@register("extract_first_line")
+def extract_first_line_q(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", extract_first_line("text")[0].alias("first_line"))
+
+
+@register("extract_csv_token")
+def extract_csv_token_q(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", extract_csv_token("text")[0].alias("token"))
+
+
+def truncated_lists(spark, sf):
+    """FX-JSON: JSON list of a table's first 8 names, cut at 40 + nation key chars."""
+    t = derived.customer_tables(spark, sf)
+    nk = F.split("table_id", "_")[1].cast("int")
+    return t.select("query_id", F.left(json_list(F.slice(subject("rows"), 1, 8)), F.lit(40) + nk).alias("text"))
+
+
+@register("extract_list_truncated")
+def extract_list_truncated_q(spark, sf):
+    items = extract_list("text")
+    return truncated_lists(spark, sf).select(
+        "query_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, "|").alias("items"))

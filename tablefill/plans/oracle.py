@@ -432,3 +432,71 @@ SELECT query_id,
        'system,' || (SELECT string_agg('user,assistant', ',') FROM exu) || ',user' AS roles,
        md5({sql_text(INSTR)} || chr(31) || (SELECT contents FROM exs) || chr(31) || u) AS contents_md5
 FROM qu"""
+
+
+WS = "'[ \\t\\n\\r\\f\\x0B]+'"
+
+
+def ntok(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, {WS}), lambda t: t <> ''))"
+
+
+def toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {WS}), lambda t: t <> '')"
+
+
+ORACLE["chat_token_count"] = f"""SELECT conv_id, count(*)::BIGINT AS n_messages,
+       (sum(3 + {ntok('role')} + {ntok('text')}) + 3)::BIGINT AS tokens
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["fit_messages"] = f"""WITH m AS (
+  SELECT conv_id, turn, role, 3 + {ntok('role')} + {ntok('text')} AS cost,
+         (row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AND role = 'system') AS sys
+  FROM conversations),
+m2 AS (
+  SELECT *,
+         sum(CASE WHEN sys THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS j,
+         sum(CASE WHEN sys THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY turn DESC
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS suffix,
+         sum(CASE WHEN sys THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_cost,
+         sum(CASE WHEN sys THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id) AS n
+  FROM m),
+s AS (
+  SELECT conv_id,
+         min(CASE WHEN NOT sys AND j % 2 = 0 AND sys_cost + suffix + 3 <= 200 THEN j END) AS c1,
+         max(CASE WHEN n % 2 = 0 AND sys_cost + 3 <= 200 THEN n END) AS c2
+  FROM m2 GROUP BY conv_id),
+st AS (SELECT conv_id, CASE WHEN c1 IS NULL THEN c2 WHEN c2 IS NULL THEN c1 ELSE least(c1, c2) END AS start FROM s),
+k AS (SELECT m2.*, start IS NULL AS overflow, (start IS NOT NULL AND (sys OR j >= start)) AS kept
+      FROM m2 JOIN st USING (conv_id))
+SELECT conv_id, turn, kept, overflow,
+       (CASE WHEN overflow THEN NULL
+             ELSE sum(CASE WHEN kept THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) + 3 END)::BIGINT AS tokens_after
+FROM k"""
+
+ORACLE["keep_last_tokens"] = f"""WITH t AS (SELECT doc_id, {toks('text')} AS tk FROM documents),
+k AS (SELECT doc_id, CASE WHEN len(tk) > 768 THEN tk[len(tk) - 767:] ELSE tk END AS kept FROM t)
+SELECT doc_id, len(kept)::BIGINT AS n_kept, md5(array_to_string(kept, ' ')) AS kept_md5 FROM k"""
+
+ORACLE["extract_first_line"] = "SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents"
+
+PYSPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\pZ]"
+
+ORACLE["extract_csv_token"] = f"""WITH t AS (
+  SELECT doc_id, regexp_replace(text, '^{PYSPACE}+|{PYSPACE}+$', '', 'g') AS s FROM documents)
+SELECT doc_id, CASE WHEN starts_with(s, '"') THEN regexp_extract(s, '^"([^"]*)"', 1)
+                    ELSE split_part(s, ',', 1) END AS token
+FROM t"""
+
+ORACLE["extract_list_truncated"] = f"""WITH r AS (
+  SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id, c_nationkey, c_custkey, c_name,
+         row_number() OVER (PARTITION BY printf('cust_%d_%d', c_nationkey, c_custkey // 1000) ORDER BY c_custkey) AS rn
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT query_id,
+             left('[' || string_agg({jq('c_name')}, ', ' ORDER BY c_custkey) FILTER (WHERE rn <= 8) || ']',
+                  40 + any_value(c_nationkey)) AS text
+      FROM r GROUP BY query_id),
+i AS (SELECT query_id, text, regexp_extract_all(left(text, length(text) - 1), '"([^"]*)"', 1) AS items FROM t),
+j AS (SELECT query_id, CASE WHEN len(items) = 0 THEN [text] ELSE items END AS items FROM i)
+SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j"""
