@@ -359,3 +359,67 @@ def extract_list_truncated_q(spark, sf):
     items = extract_list("text")
     return truncated_lists(spark, sf).select(
         "query_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, "|").alias("items"))
+
+
+# ------------------------------------------ inference and pipelines (ML SW)
+
+from ..operators.infer import SequenceModel, constant_model, embed_hash, mean_pool  # noqa: E402
+from ..plans.suggest import configs_from_dicts, pick_examples, suggest, sweep  # noqa: E402
+
+# the model slot of the end-to-end queries: count on from the last seed,
+# ten proposals, answer cut at 150 characters (exercises list repair)
+FLAGSHIP_MODEL = SequenceModel(n=10, max_chars=150)
+
+
+@register("complete_constant")
+def complete_constant_q(spark, sf):
+    p = render_instruct(_cust_queries(spark, sf), None, None)
+    s = constant_model(p).withColumn("suggestions", extract_list("completion", '["'))
+    return to_run(s, run_id="dummy").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register("mean_pool")
+def mean_pool_q(spark, sf):
+    v = derived.knn_vectors(spark, sf)
+    return mean_pool(v, "label").select(F.col("label").cast("long").alias("label"),
+                                        F.col("dim").cast("long").alias("dim"),
+                                        F.round("value", 6).alias("value"))
+
+
+@register("embed_hash")
+def embed_hash_q(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    e = embed_hash(d, "text", "doc_id", dim=64, float32=False)
+    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def flagship(spark, sf):
+    """Corpus -> seeds=3 -> 2 fixed examples -> instruction prompt -> model
+    -> list extraction (lead '["') -> run -> scored against the split's own
+    ground truth."""
+    q = _cust_queries(spark, sf)
+    parts = derived.part_tables(spark, sf)
+    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, FLAGSHIP_MODEL, extractor="list", lead='["')
+    run = to_run(s, run_id="flagship")
+    return summarize(evaluate(run, qrels_from_split(q)))
+
+
+@register("suggest_end_to_end")
+def suggest_end_to_end_q(spark, sf):
+    return flagship(spark, sf).select("run_id", "metric", "score", "queries")
+
+
+SWEEP_CONFIGS = [
+    {"config_id": f"{tutor}_{ext}_s{n}", "seeds": n, "extractor": ext,
+     "tutor": {"class": tutor, "amount": 2 if tutor == "fixed" else 0, "seed": 7}}
+    for n in (1, 3, 5) for tutor in ("zero", "fixed") for ext in ("list", "csv_token")
+]
+
+
+@register("sweep_grid")
+def sweep_grid_q(spark, sf):
+    configs = configs_from_dicts(spark, SWEEP_CONFIGS)
+    runs, qrels = sweep(derived.customer_tables(spark, sf), configs, derived.part_tables(spark, sf),
+                        FLAGSHIP_MODEL)
+    return summarize(evaluate(runs, qrels)).select(F.col("run_id").alias("config_id"), "metric", "score", "queries")

@@ -500,3 +500,78 @@ t AS (SELECT query_id,
 i AS (SELECT query_id, text, regexp_extract_all(left(text, length(text) - 1), '"([^"]*)"', 1) AS items FROM t),
 j AS (SELECT query_id, CASE WHEN len(items) = 0 THEN [text] ELSE items END AS items FROM i)
 SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j"""
+
+
+def model_items(last: str, cut: int = 150, n: int = 10) -> str:
+    """The SequenceModel's answer after the lead, as extracted (list)."""
+    prefix = f"regexp_extract({last}, '^(.*?)(\\d+)$', 1)"
+    digits = f"regexp_extract({last}, '^(.*?)(\\d+)$', 2)"
+    num = f"(({digits})::BIGINT + i)::VARCHAR"
+    full = (f"list_transform(range(1, {n + 1}), lambda i: {prefix} || "
+            f"CASE WHEN length({num}) >= length({digits}) THEN {num} ELSE lpad({num}, length({digits})::INT, '0') END)")
+    return f"left('[\"' || array_to_string({full}, '\", \"') || '\"]', {cut + 2})"
+
+
+def list_items(text: str) -> str:
+    """Repair-extraction of a cut JSON list of quote-free strings."""
+    ext = f"regexp_extract_all(left({text}, length({text}) - 1), '\"([^\"]*)\"', 1)"
+    return f"CASE WHEN len({ext}) = 0 THEN [{text}] ELSE {ext} END"
+
+
+ORACLE["complete_constant"] = f"""{CUST_QUERIES.replace('cq AS', 'WITH cq AS')}
+SELECT query_id, '[\"Dummy[[:space:]]prediction' AS doc_id, 1::BIGINT AS rank, 1.0::DOUBLE AS score FROM cq"""
+
+ORACLE["mean_pool"] = """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim
+           FROM embeddings),
+s AS (SELECT label, dim, sum(v) / greatest(count(*)::DOUBLE, 1e-9) AS mean FROM e GROUP BY label, dim),
+n AS (SELECT label, sqrt(sum(mean * mean)) AS norm FROM s GROUP BY label)
+SELECT label::BIGINT AS label, dim::BIGINT AS dim, round(mean / greatest(norm, 1e-12), 6) AS value
+FROM s JOIN n USING (label)"""
+
+ORACLE["embed_hash"] = f"""WITH t AS (SELECT doc_id, unnest({toks('text')}) AS tok FROM documents),
+c AS (SELECT doc_id, ({draw('tok')} % 64)::INT AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY doc_id, bucket),
+nm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, range::INT AS dim FROM documents, range(64))
+SELECT g.doc_id, g.dim::BIGINT AS dim, round(coalesce(c.n / nm.norm, 0.0), 6) AS value
+FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND c.bucket = g.dim LEFT JOIN nm ON nm.doc_id = g.doc_id"""
+
+
+def flagship_sql(seeds_expr: str = "3") -> str:
+    return f"""r AS (
+  SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id, c_custkey, c_name,
+         row_number() OVER (PARTITION BY printf('cust_%d_%d', c_nationkey, c_custkey // 1000) ORDER BY c_custkey) AS rn,
+         count(*) OVER (PARTITION BY printf('cust_%d_%d', c_nationkey, c_custkey // 1000)) AS cnt
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+ORACLE["suggest_end_to_end"] = f"""WITH {flagship_sql()},
+q AS (SELECT query_id, max(c_name) FILTER (WHERE rn = least(cnt, 3)) AS last_seed FROM r GROUP BY query_id),
+t AS (SELECT query_id, {model_items('last_seed')} AS text FROM q),
+l AS (SELECT query_id, {list_items('text')} AS items FROM t),
+u AS (SELECT query_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM l),
+runs AS (SELECT 'flagship' AS run_id, query_id, {esc('x')} AS doc_id, min(pos) AS pos0,
+                pow(2.0, -(min(pos) - 1))::DOUBLE AS score FROM u GROUP BY query_id, {esc('x')}),
+qrels AS (SELECT DISTINCT query_id, {esc('c_name')} AS doc_id, 1 AS relevance FROM r WHERE rn > 3),
+{eval_per_query()},
+{SUMMARY}
+SELECT run_id, metric, score, queries FROM summary"""
+
+ORACLE["sweep_grid"] = f"""WITH {flagship_sql()},
+cfg AS (SELECT tutor || '_' || ext || '_s' || n AS config_id, n, ext
+        FROM (VALUES ('zero'), ('fixed')) a(tutor), (VALUES ('list'), ('csv_token')) b(ext),
+             (VALUES (1), (3), (5)) c(n)),
+q AS (SELECT config_id, ext, n, query_id, max(c_name) FILTER (WHERE rn = least(cnt, n)) AS last_seed
+      FROM r, cfg GROUP BY config_id, ext, n, query_id),
+t AS (SELECT config_id, ext, n, query_id, {model_items('last_seed')} AS text FROM q),
+l AS (SELECT config_id, n, query_id,
+             CASE WHEN ext = 'list' THEN {list_items('text')}
+                  ELSE [split_part(regexp_replace(substr(text, 3), '^{PYSPACE}+|{PYSPACE}+$', '', 'g'), ',', 1)] END AS items
+      FROM t),
+u AS (SELECT config_id, n, query_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM l),
+runs AS (SELECT config_id AS run_id, config_id || '/' || query_id AS query_id, {esc('x')} AS doc_id,
+                pow(2.0, -(min(pos) - 1))::DOUBLE AS score FROM u GROUP BY config_id, query_id, {esc('x')}),
+qrels AS (SELECT DISTINCT config_id || '/' || query_id AS query_id, {esc('c_name')} AS doc_id, 1 AS relevance
+          FROM r, cfg WHERE rn > n),
+{eval_per_query()},
+{SUMMARY}
+SELECT run_id AS config_id, metric, score, queries FROM summary"""
