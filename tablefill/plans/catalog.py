@@ -423,3 +423,15 @@ def sweep_grid_q(spark, sf):
     runs, qrels = sweep(derived.customer_tables(spark, sf), configs, derived.part_tables(spark, sf),
                         FLAGSHIP_MODEL)
     return summarize(evaluate(runs, qrels)).select(F.col("run_id").alias("config_id"), "metric", "score", "queries")
+
+
+@register("pick_first_hit")
+def pick_first_hit_q(spark, sf):
+    """SM4: pool of 4 random example tables per query, pick 2, up to 2 tries,
+    validated on the held-out last seed."""
+    q = _cust_queries(spark, sf)
+    parts = derived.part_tables(spark, sf)
+    pool = sample_examples(q, parts, k=4, seed=42)
+    picked = pick_examples(q, pool, parts, FLAGSHIP_MODEL, amount=2, tries=2)
+    return picked.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
+                         F.col("round").cast("long").alias("round"))

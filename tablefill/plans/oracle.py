@@ -575,3 +575,24 @@ qrels AS (SELECT DISTINCT config_id || '/' || query_id AS query_id, {esc('c_name
 {eval_per_query()},
 {SUMMARY}
 SELECT run_id AS config_id, metric, score, queries FROM summary"""
+
+
+POOL = ORACLE["sample_per_query"].replace("(SELECT n FROM nb) - 3", "(SELECT n FROM nb) - 4")
+POOL = POOL[len("WITH "):POOL.rindex("SELECT query_id, pos::BIGINT")].rstrip().rstrip(",")
+
+ORACLE["pick_first_hit"] = f"""WITH {POOL},
+pool AS (SELECT query_id, pos, table_id FROM u JOIN ci USING (idx)),
+{flagship_sql()},
+h AS (SELECT query_id, least(max(cnt), 3) AS m,
+             max(c_name) FILTER (WHERE rn = least(cnt, 3) - 1) AS last_held,
+             max(c_name) FILTER (WHERE rn = least(cnt, 3)) AS target
+      FROM r GROUP BY query_id),
+t AS (SELECT query_id, target, last_held, CASE WHEN last_held IS NULL THEN '[]' ELSE {model_items('last_held')} END AS text FROM h),
+acc AS (SELECT query_id FROM t WHERE last_held IS NOT NULL AND list_contains({list_items('text')}, target)),
+draw AS (SELECT query_id, table_id,
+                row_number() OVER (PARTITION BY query_id ORDER BY md5('0|' || query_id || '|' || table_id), table_id) AS pos
+         FROM pool WHERE query_id IN (SELECT query_id FROM acc))
+SELECT query_id, pos::BIGINT AS pos, table_id, 0::BIGINT AS round FROM draw WHERE pos <= 2
+UNION ALL
+SELECT query_id, pos::BIGINT, table_id, -1::BIGINT FROM pool
+WHERE pos <= 2 AND query_id NOT IN (SELECT query_id FROM acc)"""
