@@ -30,6 +30,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     builder = builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
@@ -40,6 +41,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -74,3 +76,27 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablefill`` importable by the Python workers (``addPyFile`` of
+    a zip of the package, once per application) — needed when the driver
+    does not run from the repository root, and on any real cluster."""
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tablefill-pkg-"), "tablefill.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
