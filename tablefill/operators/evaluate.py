@@ -69,10 +69,11 @@ def summarize(metrics: DataFrame, decimals: int = 4) -> DataFrame:
 
 
 def covered_queries(metrics: DataFrame) -> DataFrame:
-    """PRJ7: per metric, the sorted ids of queries with score > 0."""
+    """PRJ7: per metric, the queries with score > 0 — as rows
+    ``run_id, metric, query_id`` (a per-metric list would gather every
+    query of a run into one task)."""
     return (metrics.filter(F.col("score") > 0)
-            .groupBy("run_id", "metric")
-            .agg(F.sort_array(F.collect_set("query_id")).alias("queries")))
+            .select("run_id", "metric", "query_id").distinct())
 
 
 def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFrame:

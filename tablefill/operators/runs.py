@@ -73,7 +73,9 @@ def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
     fused = (r.groupBy("query_id", "doc_id")
              .agg(F.count(F.lit(1)).alias("votes"),
                   F.sum("score").alias("total"),
-                  F.min(F.struct("run_pos", "rank")).alias("first_seen")))
+                  # (member position, rank) packed into one long keeps this a HashAggregate
+                  F.min(F.col("run_pos").cast("long") * F.lit(1 << 32) + F.col("rank").cast("long"))
+                  .alias("first_seen")))
     w = Window.partitionBy("query_id").orderBy(F.col("votes").desc(), F.col("total").desc(),
                                                F.col("first_seen"))
     ranked = fused.withColumn("new_rank", F.row_number().over(w))

@@ -156,7 +156,7 @@ def side_by_side_q(spark, sf):
 @register("covered_queries")
 def covered_queries_q(spark, sf):
     m = evaluate(derived.customer_runs(spark, sf), derived.customer_qrels(spark, sf))
-    return covered_queries(m).select("run_id", "metric", F.array_join("queries", ",").alias("queries"))
+    return covered_queries(m)
 
 
 def _grid_qrels(spark, sf):

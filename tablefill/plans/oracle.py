@@ -201,8 +201,7 @@ SELECT run_id, query_id, results, coalesce(ground_truth, '') AS ground_truth FRO
 ORACLE["covered_queries"] = f"""WITH {RUNS},
 {QRELS},
 {eval_per_query()}
-SELECT run_id, metric, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries
-FROM metrics WHERE score > 0 GROUP BY run_id, metric"""
+SELECT DISTINCT run_id, metric, query_id FROM metrics WHERE score > 0"""
 
 ORACLE["leaderboard"] = f"""WITH {GRID},
 {QRELS},

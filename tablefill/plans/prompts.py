@@ -39,19 +39,28 @@ def _json(ascii_only: bool) -> Callable[[Column], Column]:
 
 def _example_parts(queries: DataFrame, examples: DataFrame, tables: DataFrame,
                    ascii_only: bool) -> DataFrame:
+    """Rendered pieces of every (query, example) pair.
+
+    An example's pieces depend only on (table, query's N), so they are
+    rendered once per distinct pair and joined back: a sample shared by
+    all queries is rendered k times, not Q x k, and its hot table ids
+    meet a small, deduplicated side (broadcast at run time by AQE).
+    """
     js = _json(ascii_only)
-    ex = (examples.select("query_id", "pos", "table_id")
-          .join(queries.select("query_id", F.col("seeds").alias("q_seeds")), "query_id")
-          .join(tables.select("table_id", F.col("description").alias("e_desc"),
-                              F.col("headers").alias("e_headers"), F.col("rows").alias("e_rows")),
-                "table_id"))
+    pairs = (examples.select("query_id", "pos", "table_id")
+             .join(queries.select("query_id", F.col("seeds").alias("q_seeds")), "query_id"))
+    needed = pairs.select("table_id", "q_seeds").distinct()
+    body = tables.select("table_id", F.col("description").alias("e_desc"),
+                         F.col("headers").alias("e_headers"), F.col("rows").alias("e_rows"))
     subj = subject("e_rows")
-    return ex.select(
-        "query_id", "pos", "e_desc",
+    parts = needed.join(body, "table_id").select(
+        "table_id", "q_seeds", "e_desc",
         js(F.col("e_headers")).alias("e_headers_json"),
         F.col("e_headers")[0].alias("e_header0"),
         js(F.slice(subj, 1, F.col("q_seeds"))).alias("e_seed_json"),
         js(F.slice(subj, F.col("q_seeds") + 1, F.lit(_INT_MAX))).alias("e_rest_json"))
+    return pairs.join(parts, ["table_id", "q_seeds"]).select(
+        "query_id", "pos", "e_desc", "e_headers_json", "e_header0", "e_seed_json", "e_rest_json")
 
 
 def _gather(blocks: DataFrame, col: str, out: str) -> DataFrame:
