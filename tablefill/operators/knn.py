@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 KNN_SCHEMA = "query_id string, table_id string, score double"
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
     def fn(qdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(edf) == 0:
             return pd.DataFrame({"query_id": [], "table_id": [], "score": []})
@@ -41,6 +41,8 @@ def _block_topk(k: int, exclude_self: bool):
         for start in range(0, len(q_ids), chunk):
             qi = q_ids[start:start + chunk]
             scores = q_mat[start:start + chunk] @ e_mat.T
+            if decimals is not None:
+                scores = np.round(scores, decimals)
             if exclude_self:
                 scores[np.equal.outer(qi.astype(str), e_ids.astype(str))] = -np.inf
             # candidates: everything >= the k-th best score (keeps all ties)
@@ -60,11 +62,13 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              example_id: str = "table_id", example_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = 4096,
-             e_block_rows: int = 32768) -> DataFrame:
+             e_block_rows: int = 32768, decimals: int | None = None) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
-    smaller ``table_id``. Ids are compared as strings.
+    smaller ``table_id``. Ids are compared as strings. ``decimals`` rounds
+    scores before ranking, so that features with exact structure (hashed
+    counts) tie exactly whatever the summation order.
     """
     q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qvec"))
     e = examples.select(F.col(example_id).cast("string").alias("eid"), F.col(example_vec).alias("evec"))
@@ -78,11 +82,8 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
     cand = (qb.groupBy("qb", "eb")
             .cogroup(eb.groupBy("qb", "eb"))
-            .applyInPandas(_block_topk(k, exclude_self), KNN_SCHEMA))
-    if be == 1:
-        # one example block: the task already produced the exact top k
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("table_id"))
-        return cand.withColumn("pos", F.row_number().over(w))
+            .applyInPandas(_block_topk(k, exclude_self, decimals), KNN_SCHEMA))
+    # merge the per-block top k (k x Be candidates per query) into the exact top k
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("table_id"))
     return cand.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
@@ -103,3 +104,25 @@ def order_examples(nearest: DataFrame, order: str = "lowest first", seed: int =
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id"), F.col("table_id")))
         return nearest.withColumn("pos", F.row_number().over(w.orderBy(key)))
     raise ValueError(f"Unknown order {order}")
+
+
+def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: str = "lowest first",
+                 seed: int = 42, dim: int = 64, embedder=None) -> DataFrame:
+    """JN1: the KNN tutor.
+
+    A query is embedded from ``", ".join`` of its seed values (missing
+    cells skipped), an example table from the same join of its subject
+    column; the k nearest tables are returned in the requested prompt
+    order (RK3). ``embedder(df, text_col, id_col)`` defaults to the hashed
+    bag of words; a user's encoder plugs in through ``infer.embed``.
+    Returns ``query_id, pos, table_id, score``.
+    """
+    from .infer import embed_hash
+    from .tables import subject
+    embedder = embedder or (lambda df, t, i: embed_hash(df, t, i, dim=dim, float32=False))
+    q_text = F.array_join(F.filter("seed_values", lambda x: x.isNotNull()), ", ")
+    e_text = F.array_join(F.filter(subject("rows"), lambda x: x.isNotNull()), ", ")
+    qv = embedder(queries.select("query_id", q_text.alias("text")), "text", "query_id")
+    ev = embedder(example_tables.select("table_id", e_text.alias("text")), "text", "table_id")
+    nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id", decimals=9)
+    return order_examples(nn, order, seed)

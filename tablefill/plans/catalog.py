@@ -435,3 +435,15 @@ def pick_first_hit_q(spark, sf):
     picked = pick_examples(q, pool, parts, FLAGSHIP_MODEL, amount=2, tries=2)
     return picked.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
                          F.col("round").cast("long").alias("round"))
+
+
+from ..operators.knn import knn_examples  # noqa: E402
+
+
+@register("knn_tutor")
+def knn_tutor_q(spark, sf):
+    """JN1 end to end: seeds text and example tables hashed, 3 nearest part
+    tables per customer query, nearest last."""
+    ex = knn_examples(_cust_queries(spark, sf), derived.part_tables(spark, sf), 3, order="lowest first")
+    return ex.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
+                     F.round("score", 6).alias("score"))

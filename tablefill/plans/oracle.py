@@ -595,3 +595,26 @@ SELECT query_id, pos::BIGINT AS pos, table_id, 0::BIGINT AS round FROM draw WHER
 UNION ALL
 SELECT query_id, pos::BIGINT, table_id, -1::BIGINT FROM pool
 WHERE pos <= 2 AND query_id NOT IN (SELECT query_id FROM acc)"""
+
+
+def hashed_vectors(src: str, id_col: str, text_col: str, name: str) -> str:
+    """CTEs <name>_c (id, bucket, w) of L2-normalised hashed token counts."""
+    return f"""{name}_t AS (SELECT {id_col} AS id, unnest({toks(text_col)}) AS tok FROM {src}),
+{name}_n AS (SELECT id, ({draw('tok')} % 64)::INT AS bucket, count(*)::DOUBLE AS n FROM {name}_t GROUP BY id, bucket),
+{name}_c AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM {name}_n)"""
+
+
+ORACLE["knn_tutor"] = f"""WITH {CORPUS},
+qs AS (SELECT query_id, string_agg(name, ', ' ORDER BY k) FILTER (WHERE rn <= 3) AS text
+       FROM crow WHERE query_id LIKE 'cust%' GROUP BY query_id),
+pr AS (SELECT printf('part_%s_%d', replace(p_brand, '#', ''), p_partkey // 1000) AS table_id, p_partkey, p_name FROM part),
+es AS (SELECT table_id, string_agg(p_name, ', ' ORDER BY p_partkey) AS text FROM pr GROUP BY table_id),
+{hashed_vectors('qs', 'query_id', 'text', 'qv')},
+{hashed_vectors('es', 'table_id', 'text', 'ev')},
+dots AS (SELECT q.id AS query_id, e.id AS table_id, sum(q.w * e.w) AS s
+         FROM qv_c q JOIN ev_c e ON q.bucket = e.bucket GROUP BY q.id, e.id),
+pairs AS (SELECT qs.query_id, es.table_id, round(coalesce(d.s, 0.0), 9) AS score
+          FROM qs CROSS JOIN es LEFT JOIN dots d ON d.query_id = qs.query_id AND d.table_id = es.table_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS r FROM pairs)
+       WHERE r <= 3)
+SELECT query_id, (4 - r)::BIGINT AS pos, table_id, round(score, 6) AS score FROM nn"""
