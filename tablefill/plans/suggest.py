@@ -111,7 +111,9 @@ def sweep(tables: DataFrame, configs: DataFrame, example_tables: DataFrame, mode
     keyed = (tables.crossJoin(F.broadcast(configs))
              .withColumn("base_query_id", F.col("query_id"))
              .withColumn("query_id", F.concat_ws("/", "config_id", "base_query_id")))
-    queries = split_seeds(keyed, F.col("seeds"))
+    from ..session import materialize
+    # read by the examples, the prompts and the qrels: computed once
+    queries = materialize(split_seeds(keyed, F.col("seeds")))
     fixed = queries.filter(F.col("tutor") == "fixed")
     # one fixed sample per (k, seed) pair of the grid
     examples = None

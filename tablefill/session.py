@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,15 +60,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint dir.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint dir
+    and read it back.
 
-    Used where a non-deterministic step (a model call, a random draw) feeds
-    more than one consumer: recomputing it after an executor loss would give
-    different rows, a checkpoint makes the result stable.
+    Used where a frame feeds several consumers (the query corpus of a
+    pipeline) or where a non-deterministic step (a model call, a random
+    draw) must not be recomputed after an executor loss. Unlike
+    ``checkpoint()`` without a cache, the frame is computed once.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tablefill-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
