@@ -49,3 +49,13 @@ def test_escape_values(spark):
     df = spark.createDataFrame([("a b#\tc\n",), ("",)], "v string")
     assert [r.e for r in df.select(trec_escape("v").alias("e")).collect()] == [
         "a[[:space:]]b[[:pound:]][[:tab:]]c\n", "[[:empty:]]"]
+
+
+def test_metric_properties(spark):
+    import __spark_entry__ as entry
+    from conftest import SF01
+    m = entry.queries()["eval_per_query"](spark, SF01)
+    wide = m.groupBy("run_id", "query_id").pivot("metric", ["success_1", "success_5", "P_5"]).agg(F.first("score"))
+    for r in wide.collect():
+        assert 0.0 <= r.P_5 <= r.success_5 <= 1.0
+        assert r.success_1 <= r.success_5
