@@ -37,10 +37,11 @@ def run_benchmark(spark: SparkSession, folder: str, seeds: int, model: Factory,
     folders). Returns the run id.
     """
     run_id = run_id or time.strftime("%Y-%m-%d_%H-%M-%S")
-    queries = materialize(split_seeds(read_tables(spark, folder), seeds))
+    # parsed once: the CSV parse is Python, so its readers cannot prune it
+    queries = split_seeds(materialize(read_tables(spark, folder)), seeds)
     examples, ex_tables = None, None
     if tutor != "zero":
-        ex_tables = read_tables(spark, examples_folder)
+        ex_tables = materialize(read_tables(spark, examples_folder))
         examples = (sample_fixed(queries, ex_tables, k=k, seed=seed) if tutor == "fixed"
                     else sample_examples(queries, ex_tables, k=k, seed=seed))
     s = suggest(queries, examples, ex_tables, model, template=template, extractor=extractor, lead=lead)

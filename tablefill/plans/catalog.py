@@ -398,8 +398,9 @@ def flagship(spark, sf):
     """Corpus -> seeds=3 -> 2 fixed examples -> instruction prompt -> model
     -> list extraction (lead '["') -> run -> scored against the split's own
     ground truth."""
-    from ..session import materialize
-    q = materialize(_cust_queries(spark, sf))  # read by prompts, examples and qrels
+    # the extra readers of q (examples, qrels) need key columns or one
+    # JVM aggregation: recomputing is cheaper than caching nested rows
+    q = _cust_queries(spark, sf)
     parts = derived.part_tables(spark, sf)
     s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, FLAGSHIP_MODEL, extractor="list", lead='["')
     run = to_run(s, run_id="flagship")
@@ -430,10 +431,9 @@ def sweep_grid_q(spark, sf):
 def pick_first_hit_q(spark, sf):
     """SM4: pool of 4 random example tables per query, pick 2, up to 2 tries,
     validated on the held-out last seed."""
-    from ..session import materialize
-    q = materialize(_cust_queries(spark, sf))  # read by the pool and every round
+    q = _cust_queries(spark, sf)
     parts = derived.part_tables(spark, sf)
-    pool = materialize(sample_examples(q, parts, k=4, seed=42))
+    pool = sample_examples(q, parts, k=4, seed=42)
     picked = pick_examples(q, pool, parts, FLAGSHIP_MODEL, amount=2, tries=2)
     return picked.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
                          F.col("round").cast("long").alias("round"))
