@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 EXAMPLES_SCHEMA = "query_id string, pos int, table_id string"
 
 
+def _passthrough(queries: DataFrame) -> list[str]:
+    """query_id, plus the query's N when present: renderers split examples
+    at the query's N, and carrying it saves them a join back to the queries."""
+    return ["query_id"] + (["seeds"] if "seeds" in queries.columns else [])
+
+
 def md5_draw(*parts) -> Column:
     """A 28-bit non-negative integer from md5 of the '|'-joined parts."""
     cols = [F.lit(p) if isinstance(p, (str, int)) and not isinstance(p, Column) else p for p in parts]
@@ -78,10 +84,11 @@ def sample_examples(queries: DataFrame, candidates: DataFrame, k: int, seed: int
     if k > n:
         raise ValueError(f"Sample larger than population or is negative (k={k}, n={n})")
     cand = dense_index(base, "table_id", n=n)
-    drawn = queries.select("query_id", F.posexplode(floyd_sample(F.lit(n), k, seed, F.col("query_id")))
+    keep = _passthrough(queries)
+    drawn = queries.select(*keep, F.posexplode(floyd_sample(F.lit(n), k, seed, F.col("query_id")))
                            .alias("p", "idx"))
     return (drawn.join(cand, "idx")
-            .select("query_id", (F.col("p") + 1).cast("int").alias("pos"), "table_id"))
+            .select("query_id", (F.col("p") + 1).cast("int").alias("pos"), "table_id", *keep[1:]))
 
 
 def fixed_amount(seed: int) -> int:
@@ -101,9 +108,10 @@ def sample_fixed(queries: DataFrame, candidates: DataFrame, k: int | None = None
               .withColumn("_key", md5_key(seed, F.col("table_id")))
               .orderBy("_key", "table_id").limit(k))
     sample = sample.withColumn("pos", F.row_number().over(Window.orderBy("_key", "table_id")).cast("int"))
-    return (queries.select("query_id")
+    keep = _passthrough(queries)
+    return (queries.select(*keep)
             .crossJoin(F.broadcast(sample.select("pos", "table_id")))
-            .select("query_id", "pos", "table_id"))
+            .select("query_id", "pos", "table_id", *keep[1:]))
 
 
 def subsample(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:

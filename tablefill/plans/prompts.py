@@ -47,8 +47,11 @@ def _example_parts(queries: DataFrame, examples: DataFrame, tables: DataFrame,
     meet a small, deduplicated side (broadcast at run time by AQE).
     """
     js = _json(ascii_only)
-    pairs = (examples.select("query_id", "pos", "table_id")
-             .join(queries.select("query_id", F.col("seeds").alias("q_seeds")), "query_id"))
+    if "seeds" in examples.columns:  # carried by the samplers
+        pairs = examples.select("query_id", "pos", "table_id", F.col("seeds").alias("q_seeds"))
+    else:
+        pairs = (examples.select("query_id", "pos", "table_id")
+                 .join(queries.select("query_id", F.col("seeds").alias("q_seeds")), "query_id"))
     needed = pairs.select("table_id", "q_seeds").distinct()
     body = tables.select("table_id", F.col("description").alias("e_desc"),
                          F.col("headers").alias("e_headers"), F.col("rows").alias("e_rows"))
