@@ -93,3 +93,22 @@ def keep_last_tokens(c, n: int, tokenizer: Tokenizer = whitespace_tokenizer) ->
     With the model's context C and answer budget A, n = C - A. A budget of 0
     keeps nothing (the reference's ``[-0:]`` would keep everything)."""
     return keep_last(tokenizer(F.col(c) if isinstance(c, str) else c), n)
+
+
+def fit_chat(prompts: DataFrame, limit: int, reserve: int = 0,
+             tokenizer: Tokenizer = whitespace_tokenizer) -> DataFrame:
+    """RK4 inside a pipeline: fit every query's ``messages`` to ``limit``.
+
+    The messages are exploded (one conversation per query, bounded by the
+    number of examples), fitted by ``fit_messages`` and gathered back in
+    turn order. Adds ``overflow``; an overflowing query keeps no messages.
+    """
+    m = (prompts.select("query_id", F.posexplode("messages").alias("turn", "msg"))
+         .select("query_id", "turn", F.col("msg.role").alias("role"), F.col("msg.content").alias("text")))
+    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer)
+    kept = (fitted.groupBy("query_id")
+            .agg(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("turn", "role", "text")))).alias("_m"),
+                 F.max("overflow").alias("overflow")))
+    msgs = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    return (prompts.drop("messages").join(kept, "query_id", "left")
+            .withColumn("messages", msgs).drop("_m"))

@@ -189,18 +189,28 @@ class SequenceModel:
         n, max_chars, lead = self.n, self.max_chars, self.lead
         tail_re = re.compile(r"^(.*?)(\d+)$", re.S)
 
-        def answer(prompt: str) -> str:
+        def column_values(prompt: str):
+            if prompt.startswith("[{"):  # a chat: JSON messages, the last user turn holds the query
+                users = [m.get("content") or "" for m in json.loads(prompt) if m.get("role") == "user"]
+                text = users[-1] if users else ""
+                at = text.rfind("\nColumn:\n")
+                return json.loads(text[at + len("\nColumn:\n"):]) if at >= 0 else []
             at = prompt.rfind("\nColumn:\n")
             end = prompt.find(" [/INST]", at)
+            return json.loads(prompt[at + len("\nColumn:\n"):end])
+
+        def answer(prompt: str) -> str:
+            chat = prompt.startswith("[{")
             try:
-                values = json.loads(prompt[at + len("\nColumn:\n"):end])
+                values = column_values(prompt)
             except (ValueError, TypeError):
                 values = []
             m = tail_re.match(values[-1]) if values and isinstance(values[-1], str) else None
             if m is None:
-                return "]"  # with the lead: an empty list
+                return "[]" if chat else "]"  # an empty list (after the lead for instruct)
             prefix, digits = m.group(1), m.group(2)
             nxt = [prefix + str(int(digits) + i).zfill(len(digits)) for i in range(1, n + 1)]
-            return json.dumps(nxt)[len(lead):][:max_chars]
+            # a chat model answers the whole list; an instruct model continues after the lead
+            return json.dumps(nxt)[:max_chars] if chat else json.dumps(nxt)[len(lead):][:max_chars]
 
         return lambda prompts: [answer(p) for p in prompts]

@@ -449,3 +449,19 @@ def knn_tutor_q(spark, sf):
     ex = knn_examples(_cust_queries(spark, sf), derived.part_tables(spark, sf), 3, order="lowest first")
     return ex.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
                      F.round("score", 6).alias("score"))
+
+
+CHAT_CONTEXT = 200  # whitespace tokens: the older example pair must be dropped
+
+
+@register("suggest_chat_end_to_end")
+def suggest_chat_end_to_end_q(spark, sf):
+    """The chat path: chat prompt with 2 fixed examples -> fitted to a
+    200-token context -> model over the JSON messages -> list extraction
+    (no lead) -> run -> scored against the split's own ground truth."""
+    q = _cust_queries(spark, sf)
+    parts = derived.part_tables(spark, sf)
+    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, FLAGSHIP_MODEL, template="chat",
+                extractor="list", lead="", chat_limit=CHAT_CONTEXT)
+    run = to_run(s, run_id="chat")
+    return summarize(evaluate(run, qrels_from_split(q))).select("run_id", "metric", "score", "queries")

@@ -501,14 +501,15 @@ j AS (SELECT query_id, CASE WHEN len(items) = 0 THEN [text] ELSE items END AS it
 SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j"""
 
 
-def model_items(last: str, cut: int = 150, n: int = 10) -> str:
-    """The SequenceModel's answer after the lead, as extracted (list)."""
+def model_items(last: str, cut: int = 150, n: int = 10, lead_len: int = 2) -> str:
+    """The SequenceModel's answer (after a lead of ``lead_len`` chars), as
+    the extractor sees it: the full JSON list cut at lead + cut chars."""
     prefix = f"regexp_extract({last}, '^(.*?)(\\d+)$', 1)"
     digits = f"regexp_extract({last}, '^(.*?)(\\d+)$', 2)"
     num = f"(({digits})::BIGINT + i)::VARCHAR"
     full = (f"list_transform(range(1, {n + 1}), lambda i: {prefix} || "
             f"CASE WHEN length({num}) >= length({digits}) THEN {num} ELSE lpad({num}, length({digits})::INT, '0') END)")
-    return f"left('[\"' || array_to_string({full}, '\", \"') || '\"]', {cut + 2})"
+    return f"left('[\"' || array_to_string({full}, '\", \"') || '\"]', {cut + lead_len})"
 
 
 def list_items(text: str) -> str:
@@ -618,3 +619,8 @@ pairs AS (SELECT qs.query_id, es.table_id, round(coalesce(d.s, 0.0), 9) AS score
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS r FROM pairs)
        WHERE r <= 3)
 SELECT query_id, (4 - r)::BIGINT AS pos, table_id, round(score, 6) AS score FROM nn"""
+
+
+ORACLE["suggest_chat_end_to_end"] = (ORACLE["suggest_end_to_end"]
+                                     .replace(model_items('last_seed'), model_items('last_seed', lead_len=0))
+                                     .replace("'flagship' AS run_id", "'chat' AS run_id"))

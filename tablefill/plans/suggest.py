@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.budget import fit_chat
 from ..operators.extract import extractor as extractor_fn
 from ..operators.infer import Factory, complete
 from ..operators.sampling import sample_fixed, subsample
@@ -25,18 +26,23 @@ Transform = Callable[[DataFrame], DataFrame]
 def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame | None, model: Factory,
             template: str = "instruct", extractor: str = "list", lead: str = '["',
             pre: Transform | None = None, post: Transform | None = None,
-            batch_size: int = 64) -> DataFrame:
+            batch_size: int = 64, chat_limit: int | None = None, reserve: int = 0) -> DataFrame:
     """SW3 + PRJ8: suggestions for every query.
 
     Returns the rendered queries plus ``prompt``, ``completion``,
     ``truncated``, ``seconds`` and ``suggestions`` (array<string>).
     ``pre``/``post`` are the overridable hooks (identity by default).
+    With ``template='chat'`` the model receives the messages as JSON; with
+    ``chat_limit`` they are first fitted to the context (RK4), keeping
+    ``reserve`` tokens for the answer.
     """
     q = pre(queries) if pre else queries
     render = render_instruct if template == "instruct" else render_chat
     prompts = render(q, examples, tables)
     if "messages" in prompts.columns:
-        prompts = prompts.drop("messages")
+        if chat_limit is not None:
+            prompts = fit_chat(prompts, chat_limit, reserve=reserve)
+        prompts = prompts.withColumn("prompt", F.to_json("messages")).drop("messages")
     done = complete(prompts.drop("rows", "meta", "headers"), model, batch_size=batch_size)
     out = done.withColumn("suggestions", extractor_fn(extractor, lead)(F.col("completion")))
     return post(out) if post else out

@@ -42,3 +42,15 @@ def test_keep_last_tokens(spark):
     got = [r.k for r in df.select(keep_last_tokens("t", 3).alias("k")).collect()]
     assert got == [["c", "d", "e"], ["a", "b"]]
     assert df.select(keep_last_tokens("t", 0).alias("k")).first().k == []
+
+
+def test_fit_chat_drops_example_pairs(spark):
+    from tablefill.operators.budget import fit_chat
+    msgs = [("system", "s"), ("user", "u1 " * 50), ("assistant", "a1"), ("user", "u2 " * 5), ("assistant", "a2"),
+            ("user", "q")]
+    df = spark.createDataFrame([("q1", [{"role": r, "content": c} for r, c in msgs])],
+                               "query_id string, messages array<struct<role:string,content:string>>")
+    out = fit_chat(df, 40).first()
+    assert [m.role for m in out.messages] == ["system", "user", "assistant", "user"]
+    assert out.messages[1].content.startswith("u2") and not out.overflow
+    assert fit_chat(df, 5).first().overflow
