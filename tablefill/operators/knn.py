@@ -62,18 +62,23 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              example_id: str = "table_id", example_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = 4096,
-             e_block_rows: int = 32768, decimals: int | None = None) -> DataFrame:
+             e_block_rows: int = 32768, decimals: int | None = None,
+             n_queries: int | None = None, n_examples: int | None = None) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
     smaller ``table_id``. Ids are compared as strings. ``decimals`` rounds
     scores before ranking, so that features with exact structure (hashed
-    counts) tie exactly whatever the summation order.
+    counts) tie exactly whatever the summation order. ``n_queries`` /
+    ``n_examples`` (row counts) size the block grid; when not given they are
+    counted here — pass them when the vectors are computed on the fly, so
+    the count does not run the embedding twice.
     """
     q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qvec"))
     e = examples.select(F.col(example_id).cast("string").alias("eid"), F.col(example_vec).alias("evec"))
     # size check: two count jobs decide the block grid (no data reaches the driver)
-    nq, ne = q.count(), e.count()
+    nq = q.count() if n_queries is None else n_queries
+    ne = e.count() if n_examples is None else n_examples
     bq = max(1, math.ceil(nq / q_block_rows))
     be = max(1, math.ceil(ne / e_block_rows))
     qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
@@ -124,5 +129,8 @@ def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: s
     e_text = F.array_join(F.filter(subject("rows"), lambda x: x.isNotNull()), ", ")
     qv = embedder(queries.select("query_id", q_text.alias("text")), "text", "query_id")
     ev = embedder(example_tables.select("table_id", e_text.alias("text")), "text", "table_id")
-    nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id", decimals=9)
+    # one vector per id: count the (column-pruned) inputs, not the embeddings
+    nq, ne = queries.select("query_id").count(), example_tables.select("table_id").count()
+    nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id", decimals=9,
+                  n_queries=nq, n_examples=ne)
     return order_examples(nn, order, seed)

@@ -25,6 +25,27 @@ _LOCAL_DEFAULTS = {
 }
 
 
+# Settings recommended for a large cluster (100 TB of input, ~1000
+# executors). Nothing here is forced: ``get_spark`` leaves a cluster's own
+# settings alone; apply these at submit time.
+RECOMMENDED_CLUSTER_CONF = {
+    # AQE re-plans at run time: coalesces small shuffle partitions, splits
+    # skewed ones, turns small sort-merge joins into broadcasts
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # start wide, let AQE coalesce: ~100 TB / 256 MB per partition
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    # broadcast only what is known to be small
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Arrow batches for the Python steps (model slot, list repair, JSON)
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.python.worker.reuse": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               driver_memory: str = "16g", app_name: str = "tablefill") -> SparkSession:
     """Return the active session, or build a local one for tests/bench."""
