@@ -117,9 +117,13 @@ def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
     is assembled from at most ``dim`` entries per id. Texts without tokens
     get the zero vector.
     """
-    toks = F.filter(F.split(F.col(text_col), r"[ \t\n\r\f\x0B]+"), lambda x: x != F.lit(""))
+    # explode, then drop empty tokens as rows: stays in whole-stage codegen
+    # (a higher-order filter over the array would be interpreted)
+    toks = F.split(F.col(text_col), r"[ \t\n\r\f\x0B]+")
     counts = (df.select(F.col(id_col).alias("id"), F.explode(toks).alias("tok"))
-              .withColumn("bucket", F.pmod(md5_draw(F.col("tok")), F.lit(dim)).cast("int"))
+              .filter(F.col("tok") != F.lit(""))
+              .withColumn("bucket", F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 7), 16, 10)
+                                           .cast("long"), F.lit(dim)).cast("int"))
               .groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")))
     per_id = (counts.groupBy("id")
               .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"),

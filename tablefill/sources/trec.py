@@ -79,4 +79,6 @@ def qrels_for(run_meta: DataFrame, qrels: DataFrame) -> DataFrame:
     so only the needed partitions are scanned."""
     split = F.when(F.col("validation"), F.lit("validation")).otherwise(F.lit("benchmark"))
     keys = run_meta.select("run_id", split.alias("split"), "seeds")
-    return keys.join(qrels, ["split", "seeds"]).drop("split", "seeds")
+    # (split, seeds) has ~10 values: a shuffle join would put each in one
+    # task, so the run list (one row per run) is broadcast instead
+    return qrels.join(F.broadcast(keys), ["split", "seeds"]).drop("split", "seeds")
