@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, trec_escape
 
-_INT_MAX = 2147483647
+
+def rest_after(arr: Column, n: Column) -> Column:
+    """Elements after the first n. The length is the array's size: a huge
+    constant length overflows ``start + length`` when Spark evaluates
+    ``slice`` inside a lambda (it then returns an empty array)."""
+    return F.slice(arr, n + 1, F.greatest(F.size(arr), F.lit(0)))
 
 
 def subject(rows) -> Column:
@@ -45,7 +50,7 @@ def split_seeds(tables: DataFrame, seeds) -> DataFrame:
     subj = subject("rows")
     return (tables
             .withColumn("seeds", n.cast("int"))
-            .withColumn("ground_truth", F.slice(subj, F.col("seeds") + 1, F.lit(_INT_MAX)))
+            .withColumn("ground_truth", rest_after(subj, F.col("seeds")))
             .withColumn("rows", F.slice("rows", 1, F.col("seeds")))
             .withColumn("seed_values", subject("rows")))
 

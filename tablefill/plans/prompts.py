@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonlist import json_list
 from ..functions.text import json_list_ascii, xml_escape
-from ..operators.tables import subject
+from ..operators.tables import rest_after, subject
 
-_INT_MAX = 2147483647
 
 # The instruction sentence shared by both templates.
 INSTRUCTION = ("Your mission, as a sequence detective, is to fill in the gaps of the provided partial "
@@ -61,7 +60,7 @@ def _example_parts(queries: DataFrame, examples: DataFrame, tables: DataFrame,
         js(F.col("e_headers")).alias("e_headers_json"),
         F.col("e_headers")[0].alias("e_header0"),
         js(F.slice(subj, 1, F.col("q_seeds"))).alias("e_seed_json"),
-        js(F.slice(subj, F.col("q_seeds") + 1, F.lit(_INT_MAX))).alias("e_rest_json"))
+        js(rest_after(subj, F.col("q_seeds"))).alias("e_rest_json"))
     return pairs.join(parts, ["table_id", "q_seeds"]).select(
         "query_id", "pos", "e_desc", "e_headers_json", "e_header0", "e_seed_json", "e_rest_json")
 

@@ -53,3 +53,15 @@ def test_json_list_matches_python(spark):
     df = spark.createDataFrame([(["é", 'q"\\', "tab\t", None, "😀"],)], "a array<string>")
     import json
     assert df.select(json_list("a").alias("j")).first().j == json.dumps(["é", 'q"\\', "tab\t", float("nan"), "😀"])
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=12)), max_size=6))
+def test_json_list_equals_python_json(spark, values):
+    import json
+    df = spark.createDataFrame([(values,)], "a array<string>")
+    expected = json.dumps([float("nan") if v is None else v for v in values])
+    assert df.select(json_list("a").alias("j")).first().j == expected
