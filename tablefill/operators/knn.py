@@ -81,6 +81,11 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
     ne = e.count() if n_examples is None else n_examples
     bq = max(1, math.ceil(nq / q_block_rows))
     be = max(1, math.ceil(ne / e_block_rows))
+    # keep every core busy: split the queries further (down to 256 per
+    # block) when the grid has fewer cells than the cluster has task slots
+    slots = queries.sparkSession.sparkContext.defaultParallelism
+    if bq * be < slots:
+        bq = max(bq, min(math.ceil(slots / be), math.ceil(nq / 256)))
     qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
           .withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(be - 1)).cast("array<long>"))))
     eb = (e.withColumn("eb", F.pmod(F.xxhash64("eid"), F.lit(be)))
