@@ -56,9 +56,10 @@ def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model:
     (seeded by t), runs the inner pipeline on the hold-out query (PRJ4) and
     accepts the draw when the held-out value is among the suggestions.
     Queries never solved fall back to the first ``amount`` of their pool.
-    Each round works only on the unsolved queries (left anti join) and is
-    checkpointed, so the rounds' lineage stays flat and a model is never
-    re-run for an accepted query. Returns ``query_id, pos, table_id, round``.
+    Each round works only on the unsolved queries (left anti join); its
+    accepted draws are written to the checkpoint dir, so the rounds'
+    lineage stays flat and a recomputation after an executor loss cannot
+    change a decision already taken. Returns ``query_id, pos, table_id, round``.
     """
     from ..session import materialize
     held = hold_out(queries)
@@ -68,9 +69,11 @@ def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model:
         draw = subsample(pool.join(unsolved.select("query_id"), "query_id", "left_semi"), amount, seed=t)
         s = suggest(unsolved, draw, tables, model, extractor=extractor, lead=lead)
         hit = s.filter(F.array_contains("suggestions", F.col("target"))).select("query_id")
+        # pinned: the decision rests on model output, which may not repeat
         ok = materialize(draw.join(hit, "query_id", "left_semi").withColumn("round", F.lit(t)))
         accepted.append(ok)
-        unsolved = materialize(unsolved.join(ok.select("query_id").distinct(), "query_id", "left_anti"))
+        # derived from pinned tables only, so its lineage stays flat
+        unsolved = unsolved.join(ok.select("query_id"), "query_id", "left_anti")
     fallback = (pool.join(unsolved.select("query_id"), "query_id", "left_semi")
                 .filter(F.col("pos") <= amount)
                 .select("query_id", "pos", "table_id", F.lit(-1).alias("round")))
