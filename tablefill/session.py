@@ -47,7 +47,8 @@ RECOMMENDED_CLUSTER_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              driver_memory: str = "16g", app_name: str = "tablefill") -> SparkSession:
+              driver_memory: str = "16g", app_name: str = "tablefill",
+              extra_conf: dict | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests/bench."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -58,7 +59,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     builder = builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", driver_memory)
-    for k, v in _LOCAL_DEFAULTS.items():
+    for k, v in {**_LOCAL_DEFAULTS, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
