@@ -30,9 +30,8 @@ def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
             return pd.DataFrame({"query_id": [], "table_id": [], "score": []})
         e_ids = edf["eid"].to_numpy(dtype=object)
         e_mat = np.stack(edf["evec"].to_numpy()).astype(np.float64)
-        order_ids = np.argsort(e_ids.astype(str), kind="stable")  # rank of id for tie-breaks
-        id_rank = np.empty(len(e_ids), dtype=np.int64)
-        id_rank[order_ids] = np.arange(len(e_ids))
+        id_rank = np.empty(len(e_ids), dtype=np.int64)  # rank of each id, for tie-breaks
+        id_rank[np.argsort(e_ids.astype(str), kind="stable")] = np.arange(len(e_ids))
         q_ids = qdf["qid"].to_numpy(dtype=object)
         q_mat = np.stack(qdf["qvec"].to_numpy()).astype(np.float64)
         out_q, out_e, out_s = [], [], []
@@ -45,16 +44,27 @@ def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
                 scores = np.round(scores, decimals)
             if exclude_self:
                 scores[np.equal.outer(qi.astype(str), e_ids.astype(str))] = -np.inf
-            # candidates: everything >= the k-th best score (keeps all ties)
-            kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-            for row in range(len(qi)):
+            # the k best of every row at once (unordered: the final window orders them)
+            part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
+            top = np.take_along_axis(scores, part, axis=1)
+            kth = top.min(axis=1)
+            # rows where more than k entries reach the k-th score need the
+            # exact tie rule (smaller id first); the others are final
+            tied = (scores >= kth[:, None]).sum(axis=1) > kk
+            rows = np.nonzero(~tied)[0]
+            keep = np.isfinite(top[rows]).ravel()
+            out_q.append(np.repeat(qi[rows], kk)[keep])
+            out_e.append(e_ids[part[rows]].ravel()[keep])
+            out_s.append(top[rows].ravel()[keep])
+            for row in np.nonzero(tied)[0]:
                 cand = np.nonzero(scores[row] >= kth[row])[0]
                 cand = cand[np.isfinite(scores[row, cand])]
                 best = cand[np.lexsort((id_rank[cand], -scores[row, cand]))][:kk]
-                out_q.extend([qi[row]] * len(best))
-                out_e.extend(e_ids[best])
-                out_s.extend(scores[row, best])
-        return pd.DataFrame({"query_id": out_q, "table_id": out_e, "score": np.asarray(out_s, dtype=np.float64)})
+                out_q.append(np.repeat(qi[row:row + 1], len(best)))
+                out_e.append(e_ids[best])
+                out_s.append(scores[row, best])
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "table_id": np.concatenate(out_e),
+                             "score": np.concatenate(out_s).astype(np.float64)})
     return fn
 
 

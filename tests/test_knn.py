@@ -31,3 +31,22 @@ def test_orders(spark):
     assert all(lo[(q, 4 - p)] == t for (q, p), t in hi.items())
     rnd = order_examples(nn, "random", seed=1).collect()
     assert sorted((r.query_id, r.table_id) for r in rnd) == sorted((q, t) for (q, _), t in hi.items())
+
+
+def test_ties_break_by_smaller_id_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(f"e{i:03d}", base[i % 6].tolist()) for i in range(120)]  # every vector 20 times
+    ex = spark.createDataFrame(rows, "table_id string, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i}", base[i % 6].tolist()) for i in range(12)], "query_id string, embedding array<double>")
+    nn = knn_topk(q, ex, 7, q_block_rows=5, e_block_rows=25)  # 3 x 5 blocks
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.table_id))
+    ids = np.array([r[0] for r in rows])
+    mat = np.array([r[1] for r in rows])
+    for i in range(12):
+        s = mat @ base[i % 6]
+        order = sorted(range(len(ids)), key=lambda j: (-round(s[j], 12), ids[j]))[:7]
+        assert [t for _, t in sorted(got[f"q{i}"])] == [ids[j] for j in order]
