@@ -72,14 +72,15 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              example_id: str = "table_id", example_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int = 4096,
-             e_block_rows: int = 32768, decimals: int | None = None,
+             e_block_rows: int = 32768, decimals: int | None = 12,
              n_queries: int | None = None, n_examples: int | None = None) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
-    smaller ``table_id``. Ids are compared as strings. ``decimals`` rounds
-    scores before ranking, so that features with exact structure (hashed
-    counts) tie exactly whatever the summation order. ``n_queries`` /
+    smaller ``table_id``. Ids are compared as strings. Scores are rounded
+    to ``decimals`` before ranking: a matrix product sums in a
+    blocking-dependent order, so equal vectors can score a few ulps apart;
+    after rounding they tie exactly and the id decides, on any engine. ``n_queries`` /
     ``n_examples`` (row counts) size the block grid; when not given they are
     counted here — pass them when the vectors are computed on the fly, so
     the count does not run the embedding twice.

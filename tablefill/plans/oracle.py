@@ -71,7 +71,7 @@ SUMMARY = """summary AS (
 
 KNN = """pairs AS (
   SELECT q.vec_id::VARCHAR AS query_id, e.vec_id::VARCHAR AS table_id,
-         list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
+         round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id),
 nn AS (
   SELECT * FROM (
