@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NO_RESULT_TOKEN, rank_score, trec_escape, trec_unescape
+from .ranking import rank_within
 
 RUN_COLUMNS = ["run_id", "query_id", "doc_id", "rank", "score", "tag"]
 
@@ -46,7 +47,7 @@ def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
 
 
 def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
-             tag: str = "ensemble", run_id: str = "ensemble") -> DataFrame:
+             tag: str = "ensemble", run_id: str = "ensemble", hot_rows: int = 5_000_000) -> DataFrame:
     """AG1: fuse runs by votes.
 
     Per (query, doc): votes = number of member runs listing it, total = sum
@@ -56,7 +57,9 @@ def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
 
     ``members`` gives the member order (list of run ids, or a frame
     ``run_id, run_pos``); default: run_id order. One hash shuffle on query_id
-    serves both the (query, doc) aggregate and the per-query ranking.
+    serves both the (query, doc) aggregate and the per-query ranking; a
+    query with more than ``hot_rows`` run rows is ranked across many tasks
+    instead (``rank_within``).
     """
     if members is None:
         member_df = runs.select("run_id").distinct().withColumn(
@@ -76,9 +79,10 @@ def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
                   # (member position, rank) packed into one long keeps this a HashAggregate
                   F.min(F.col("run_pos").cast("long") * F.lit(1 << 32) + F.col("rank").cast("long"))
                   .alias("first_seen")))
-    w = Window.partitionBy("query_id").orderBy(F.col("votes").desc(), F.col("total").desc(),
-                                               F.col("first_seen"))
-    ranked = fused.withColumn("new_rank", F.row_number().over(w))
+    # an upper bound of each query's fused size, combined map-side
+    sizes = runs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rank_within(fused, "query_id", [F.col("votes").desc(), F.col("total").desc(), F.col("first_seen")],
+                         out="new_rank", sizes=sizes, hot_rows=hot_rows)
     return ranked.select(F.lit(run_id).alias("run_id"), "query_id", "doc_id",
                          F.col("new_rank").cast("int").alias("rank"),
                          rank_score(F.col("new_rank") - 1).alias("score"),

@@ -48,9 +48,26 @@ def test_evaluate_with_a_hot_query(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_ensemble_with_a_hot_query(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("hot_rows", [5_000_000, 1000])
+def test_ensemble_with_a_hot_query(spark, hot_rows):
+    """hot_rows=1000 sends the hot query through the split ranking; AQE's
+    coalescing is off so the small hot group really spans several slices."""
     runs = _skewed_runs(spark)
-    fused = ensemble(runs, ["a", "b"]).filter(F.col("query_id") == "hot").toPandas()
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        all_rows = sorted(ensemble(runs, ["a", "b"], hot_rows=hot_rows).collect())
+        slices = (runs.filter(F.col("query_id") == "hot").repartitionByRange("query_id", "doc_id")
+                  .select(F.spark_partition_id().alias("p")).distinct().count())
+    finally:
+        spark.conf.set(key, "true")
+    assert slices > 1
+    plain = ensemble(runs, ["a", "b"])
+    assert all_rows == sorted(plain.collect())
+    fused = spark.createDataFrame(all_rows).filter(F.col("query_id") == "hot").toPandas()
     pdf = runs.filter(F.col("query_id") == "hot").toPandas()
     pdf["pos"] = pdf.run_id.map({"a": 0, "b": 1})
     agg = pdf.groupby("doc_id").agg(votes=("score", "size"), total=("score", "sum"),
