@@ -67,10 +67,11 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
            .load(folder)
            .select("path", "content"))
     parsed = raw.mapInPandas(_parse_csv_batches, TABLE_SCHEMA)
-    meta = (spark.read.option("wholetext", "true")
+    # wholetext must be the keyword: text()'s own default would override an option
+    meta = (spark.read
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*_meta.json")
-            .text(folder)
+            .text(folder, wholetext=True)
             .select(F.regexp_replace(F.col("_metadata.file_path"), r"_meta\.json$", "").alias("stem"),
                     F.from_json("value", "map<string,string>").alias("meta")))
     stem = F.regexp_replace(F.col("path"), r"\.csv$", "")

@@ -82,3 +82,40 @@ def qrels_for(run_meta: DataFrame, qrels: DataFrame) -> DataFrame:
     # (split, seeds) has ~10 values: a shuffle join would put each in one
     # task, so the run list (one row per run) is broadcast instead
     return qrels.join(F.broadcast(keys), ["split", "seeds"]).drop("split", "seeds")
+
+
+def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """SRC5/SRC6 for run folders in the original layout: ``<root>/<run>/``
+    with ``benchmark.yaml``, ``trec.log`` and optional ``keep.flag`` /
+    ``debug.flag``. Returns the ``run_meta`` schema.
+
+    Flags come from a file-system listing (metadata only); ``seeds`` and
+    ``folder`` are read from the benchmark config with two regular
+    expressions (the config is a flat mapping of scalars). Only folders
+    with a run file are listed.
+    """
+    root = root.rstrip("/")
+
+    def folders_with(name: str) -> list[str]:
+        # flag files are empty, and file scans skip empty files: list them
+        # through the file system (metadata only, one entry per run)
+        jvm = spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
+        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(pattern) or []
+        return [st.getPath().getParent().getName() for st in found]
+
+    runs = set(folders_with("trec.log"))
+    keep, debug = set(folders_with("keep.flag")), set(folders_with("debug.flag"))
+    flags = spark.createDataFrame([(r, r in keep, r in debug) for r in sorted(runs)],
+                                  "run_id string, completed boolean, debug boolean")
+    # wholetext must be the keyword: text()'s own default would override an option
+    conf = (spark.read.text(f"{root}/*/benchmark.yaml", wholetext=True)
+            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/benchmark\.yaml$", 1).alias("run_id"),
+                    F.nullif(F.regexp_extract("value", r"(?m)^seeds:\s*(\d+)\s*$", 1), F.lit(""))
+                    .cast("int").alias("seeds"),
+                    F.regexp_extract("value", r"(?m)^folder:\s*(.*?)\s*$", 1).alias("folder"),
+                    F.col("value").alias("benchmark")))
+    return (flags.join(conf, "run_id", "left")
+            .select("run_id", "folder", "seeds", F.col("benchmark").alias("task"), "completed", "debug",
+                    F.coalesce(F.col("folder").contains("validation"), F.lit(False)).alias("validation")))

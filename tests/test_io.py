@@ -18,7 +18,7 @@ def _corpus(root):
     with open(f"{root}/a/t1.csv", "w", encoding="utf-8") as f:
         f.write('Name,Year,Name\n"O""Brien",1990,x\n"two\nlines",NA,y\n,null,Zoë\n')
     with open(f"{root}/a/t1_meta.json", "w") as f:
-        json.dump({"queryId": "q1", "pgTitle": " P ", "secondTitle": "P", "caption": "Cap"}, f)
+        json.dump({"queryId": "q1", "pgTitle": " P ", "secondTitle": "P", "caption": "Cap"}, f, indent=2)
     with open(f"{root}/a-b/t2.csv", "w") as f:
         f.write("Only\nv1\nv2\n")
     with open(f"{root}/a-b/t2_meta.json", "w") as f:
@@ -75,3 +75,30 @@ def test_read_qrels(spark, scratch):
         f.write('12\t0\t"quoted\t1\n12\t0\tx\t0\n')
     rows = read_qrels(spark, p).collect()
     assert [(r.query_id, r.doc_id, r.relevance) for r in rows] == [("12", '"quoted', 1), ("12", "x", 0)]
+
+
+def test_read_run_folders_original_layout(spark, scratch):
+    from tablefill.sources.trec import read_run_folders
+    layout = {
+        "2024-01-01_10-00-00": ("data/benchmark", 3, ["keep.flag"]),
+        "2024-01-02_10-00-00": ("data/validation", 1, ["keep.flag", "debug.flag"]),
+        "2024-01-03_10-00-00": ("data/benchmark", 2, []),
+    }
+    for run, (folder, seeds, flags) in layout.items():
+        os.makedirs(os.path.join(scratch, run))
+        with open(os.path.join(scratch, run, "benchmark.yaml"), "w") as f:
+            f.write(f"class: SubjectSuggestionBenchmark\nfolder: {folder}\nmeta:\n  output_folder: data/output\n"
+                    f"seeds: {seeds}\n")
+        with open(os.path.join(scratch, run, "trec.log"), "w") as f:
+            f.write("q1\tQ0\ta\t1\t1.0\ttrec\n")
+        for flag in flags:
+            open(os.path.join(scratch, run, flag), "w").close()
+    os.makedirs(os.path.join(scratch, "no_run_here"))
+    open(os.path.join(scratch, "no_run_here", "keep.flag"), "w").close()
+    got = {r.run_id: (r.folder, r.seeds, r.completed, r.debug, r.validation)
+           for r in read_run_folders(spark, scratch).collect()}
+    assert got == {"2024-01-01_10-00-00": ("data/benchmark", 3, True, False, False),
+                   "2024-01-02_10-00-00": ("data/validation", 1, True, True, True),
+                   "2024-01-03_10-00-00": ("data/benchmark", 2, False, False, False)}
+    runs = read_runs(spark, scratch).collect()
+    assert {r.run_id for r in runs} == set(layout)
