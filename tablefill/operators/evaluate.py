@@ -43,7 +43,9 @@ def evaluate(runs: DataFrame, qrels: DataFrame, success: Sequence[int] = (1, 5),
            .withColumn("pos", F.row_number().over(w))
            .filter(F.col("pos") <= kmax)
            .join(judged, "query_id", "left_semi"))
-    rel = qrels.select("query_id", "doc_id", F.col("relevance").alias("rel"))
+    # one judgment per (query, doc): a repeated line must not count twice;
+    # the aggregate is partitioned like the join, so it adds no shuffle
+    rel = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("rel"))
     joined = top.join(rel, ["query_id", "doc_id"], "left")
     hit = F.coalesce(F.col("rel"), F.lit(0)) >= relevance_level
     aggs = []

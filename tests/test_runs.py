@@ -59,3 +59,12 @@ def test_metric_properties(spark):
     for r in wide.collect():
         assert 0.0 <= r.P_5 <= r.success_5 <= 1.0
         assert r.success_1 <= r.success_5
+
+
+def test_repeated_judgments_count_once(spark):
+    from tablefill.operators.evaluate import evaluate
+    run = _run(spark, "r", ["a", "b", "c"])
+    qrels = spark.createDataFrame([("q", "a", 1), ("q", "a", 1), ("q", "c", 0), ("q", "c", 1)],
+                                  "query_id string, doc_id string, relevance int")
+    got = {r.metric: r.score for r in evaluate(run, qrels).collect()}
+    assert got == {"success_1": 1.0, "success_5": 1.0, "P_5": 0.4}
