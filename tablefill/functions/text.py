@@ -84,11 +84,6 @@ def keep_last(tokens, n) -> Column:
             .otherwise(tokens))
 
 
-def whitespace_tokens(c) -> Column:
-    """Default pluggable tokenizer: split on runs of whitespace, no empties."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda x: x != F.lit(""))
-
-
 def json_string_ascii(c) -> Column:
     """JSON string literal of an ASCII value (quotes and backslashes escaped);
     NULL renders as NaN, as json.dumps does for pandas' missing cells."""

@@ -33,9 +33,15 @@ def n_tokens(c, tokenizer: Tokenizer = whitespace_tokenizer) -> Column:
     return F.size(tokenizer(F.col(c) if isinstance(c, str) else c))
 
 
-def message_cost(role="role", content="content", tokenizer: Tokenizer = whitespace_tokenizer) -> Column:
-    """3 + tokens(role) + tokens(content) for one message."""
-    return F.lit(TOKENS_PER_MESSAGE) + n_tokens(role, tokenizer) + n_tokens(content, tokenizer)
+def message_cost(role="role", content="content", tokenizer: Tokenizer = whitespace_tokenizer,
+                 name=None) -> Column:
+    """3 + tokens(role) + tokens(content) for one message; a message with a
+    ``name`` adds tokens(name) + 1."""
+    cost = F.lit(TOKENS_PER_MESSAGE) + n_tokens(role, tokenizer) + n_tokens(content, tokenizer)
+    if name is None:
+        return cost
+    name = F.col(name) if isinstance(name, str) else name
+    return cost + F.when(name.isNotNull(), n_tokens(name, tokenizer) + F.lit(TOKENS_PER_NAME)).otherwise(0)
 
 
 def count_message_tokens(messages: DataFrame, conv: str = "conv_id",

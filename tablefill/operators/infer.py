@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import md5_draw
 
 Model = Callable[[list[str]], list[str]]
 Factory = Callable[[], Model]

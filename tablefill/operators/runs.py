@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import NO_RESULT_TOKEN, rank_score, trec_escape, trec_unescape
 from .ranking import rank_within
 
-RUN_COLUMNS = ["run_id", "query_id", "doc_id", "rank", "score", "tag"]
-
-
 def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
            list_col: str = "suggestions", drop_no_result: bool = False) -> DataFrame:
     """RK1: one row per kept suggestion.

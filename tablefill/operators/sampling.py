@@ -10,7 +10,6 @@ recompute them.
 from __future__ import annotations
 
 import hashlib
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,7 +127,3 @@ def subsample(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def no_examples(queries: DataFrame) -> DataFrame:
     """JN2: zero-shot — an empty examples frame of the right schema."""
     return queries.sparkSession.createDataFrame([], EXAMPLES_SCHEMA)
-
-
-def blocks_for(n: int, rows: int) -> int:
-    return max(1, math.ceil(n / rows))

@@ -85,9 +85,6 @@ def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model:
 
 # ------------------------------------------------------------------ sweep
 
-CONFIG_COLUMNS = ("config_id", "tutor", "k", "seed", "seeds", "template", "lead", "extractor")
-
-
 def configs_from_dicts(spark, dicts: Sequence[dict]) -> DataFrame:
     """SW2: configs as data. ``meta`` entries are notes and are dropped;
     nested blocks (``tutor: {class: ..., amount: ...}``) are flattened."""

@@ -54,3 +54,9 @@ def test_fit_chat_drops_example_pairs(spark):
     assert [m.role for m in out.messages] == ["system", "user", "assistant", "user"]
     assert out.messages[1].content.startswith("u2") and not out.overflow
     assert fit_chat(df, 5).first().overflow
+
+
+def test_message_cost_with_name(spark):
+    from tablefill.operators.budget import message_cost
+    df = spark.createDataFrame([("user", "a b", "bob smith"), ("user", "a b", None)], "role string, text string, name string")
+    assert [r.c for r in df.select(message_cost("role", "text", name="name").alias("c")).collect()] == [9, 6]

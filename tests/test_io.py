@@ -102,3 +102,14 @@ def test_read_run_folders_original_layout(spark, scratch):
                    "2024-01-03_10-00-00": ("data/benchmark", 2, False, False, False)}
     runs = read_runs(spark, scratch).collect()
     assert {r.run_id for r in runs} == set(layout)
+
+
+def test_write_completions(spark, scratch):
+    from tablefill.sinks.trec import write_completions
+    df = spark.createDataFrame([("q1", "p", "c", False, 0.5)],
+                               "query_id string, prompt string, completion string, truncated boolean, seconds double")
+    path = os.path.join(scratch, "completions")
+    write_completions(df, path)
+    assert spark.read.parquet(path).first().seconds == 0.5
+    with pytest.raises(Exception):
+        write_completions(df, path)

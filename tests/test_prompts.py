@@ -65,3 +65,10 @@ def test_json_list_equals_python_json(spark, values):
     df = spark.createDataFrame([(values,)], "a array<string>")
     expected = json.dumps([float("nan") if v is None else v for v in values])
     assert df.select(json_list("a").alias("j")).first().j == expected
+
+
+def test_no_examples_equals_zero_shot(spark):
+    from tablefill.operators.sampling import no_examples
+    q, t, _ = _frames(spark)
+    a = render_instruct(q, no_examples(q), t).first().prompt
+    assert a == render_instruct(q, None, None).first().prompt
