@@ -47,12 +47,15 @@ def _keep_last_text(prompt: str, n: int) -> str:
 
 def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",
              batch_size: int = 64, on_too_long: str | None = None, keep_last_n: int | None = None,
-             model_key: str | None = None) -> DataFrame:
+             model_key: str | None = None,
+             retry_on: tuple[type[BaseException], ...] = (Exception,)) -> DataFrame:
     """ML1 (+ ML3): add ``completion``, ``truncated``, ``seconds``.
 
-    ``on_too_long='keep_last'``: a prompt the model refuses (any exception
-    on its row) is retried once with its last ``keep_last_n`` tokens and
-    flagged ``truncated``; a second failure raises.
+    ``on_too_long='keep_last'``: a prompt the model refuses with one of
+    ``retry_on`` (any exception by default; e.g. ``(PromptTooLong,)`` for a
+    backend that only retries validation errors) is retried once with its
+    last ``keep_last_n`` tokens and flagged ``truncated``; a second failure,
+    or another exception, raises.
     """
     key = model_key or f"{getattr(factory, '__qualname__', type(factory).__name__)}:{id(factory)}"
     schema = T.StructType(prompts.schema.fields + [
@@ -71,14 +74,14 @@ def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",
                 truncated = [False] * len(texts)
                 try:
                     outs = list(model(texts))
-                except Exception:
+                except retry_on:
                     if on_too_long != "keep_last":
                         raise
                     outs = []
                     for i, p in enumerate(texts):
                         try:
                             outs.extend(model([p]))
-                        except Exception:
+                        except retry_on:
                             outs.extend(model([_keep_last_text(p, keep_last_n or 0)]))
                             truncated[i] = True
                 per_row = (time.perf_counter() - t0) / max(1, len(texts))

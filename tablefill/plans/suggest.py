@@ -43,7 +43,10 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
         if chat_limit is not None:
             prompts = fit_chat(prompts, chat_limit, reserve=reserve)
         prompts = prompts.withColumn("prompt", F.to_json("messages")).drop("messages")
-    done = complete(prompts.drop("rows", "meta", "headers"), model, batch_size=batch_size)
+    # only what later steps read crosses into the model workers
+    # (Catalyst cannot prune columns through a Python step)
+    carried = ["query_id", "prompt"] + [c for c in ("target", "seeds") if c in prompts.columns]
+    done = complete(prompts.select(*carried), model, batch_size=batch_size)
     out = done.withColumn("suggestions", extractor_fn(extractor, lead)(F.col("completion")))
     return post(out) if post else out
 

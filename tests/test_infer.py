@@ -51,3 +51,25 @@ def test_embed_hash_unit_norm_and_mean_pool(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 4.0])], "g int, embedding array<double>")
     got = {(r.g, r.dim): round(r.value, 6) for r in mean_pool(v, "g").collect()}
     assert got == {(0, 0): 0.707107, (0, 1): 0.707107, (1, 0): 0.6, (1, 1): 0.8}
+
+
+class FlakyModel:
+    """Raises a non-retryable error on prompts containing 'boom'."""
+
+    def __call__(self):
+        def model(prompts):
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("backend down")
+            if any(len(p.split()) > 4 for p in prompts):
+                raise PromptTooLong("long")
+            return [p.upper() for p in prompts]
+        return model
+
+
+def test_retry_only_on_listed_errors(spark):
+    df = spark.createDataFrame([("a b c d e f",)], "prompt string")
+    got = complete(df, FlakyModel(), on_too_long="keep_last", keep_last_n=2, retry_on=(PromptTooLong,)).first()
+    assert (got.completion, got.truncated) == ("E F", True)
+    boom = spark.createDataFrame([("boom",)], "prompt string")
+    with pytest.raises(Exception):
+        complete(boom, FlakyModel(), on_too_long="keep_last", keep_last_n=2, retry_on=(PromptTooLong,)).collect()
