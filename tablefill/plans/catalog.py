@@ -13,13 +13,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rank_score, trec_escape, trec_unescape
-from ..operators.evaluate import evaluate, summarize
-from ..operators.knn import knn_topk, order_examples
-from ..operators.runs import to_run
-from ..operators.tables import subject
+from ..functions.jsonlist import json_list
+from ..functions.listparse import extract_list
+from ..functions.text import rank_score, trec_escape, trec_unescape, xml_escape
+from ..operators.budget import count_message_tokens, fit_messages, keep_last_tokens
+from ..operators.evaluate import best_config, covered_queries, evaluate, leaderboard, summarize
+from ..operators.extract import extract_csv_token, extract_first_line
+from ..operators.infer import constant_model, embed_hash, mean_pool, SequenceModel
+from ..operators.knn import knn_examples, knn_topk, order_examples
+from ..operators.runs import ensemble, ensemble_eligible, side_by_side, to_run
+from ..operators.sampling import sample_examples, sample_fixed, subsample
+from ..operators.tables import hold_out, qrels_from_split, split_seeds, subject
+from ..plans.prompts import render_chat, render_instruct
+from ..plans.suggest import configs_from_dicts, pick_examples, suggest, sweep
 from ..sources import derived
 
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -119,8 +128,6 @@ def trec_roundtrip_q(spark, sf):
 
 # ------------------------------------------ ensemble and run reports (AG1...)
 
-from ..operators.evaluate import best_config, covered_queries, leaderboard  # noqa: E402
-from ..operators.runs import ensemble, ensemble_eligible, side_by_side  # noqa: E402
 
 MEMBERS = list(derived.RUN_METHODS)
 
@@ -196,9 +203,6 @@ def run_flags_q(spark, sf):
 
 # -------------------------------------------- tables (PRJ1 PRJ2 PRJ4 EV3)
 
-from ..operators.sampling import sample_examples, sample_fixed, subsample  # noqa: E402
-from ..operators.tables import hold_out, qrels_from_split, split_seeds  # noqa: E402
-
 
 def _corpus(spark, sf):
     return derived.customer_tables(spark, sf).unionByName(derived.supplier_tables(spark, sf))
@@ -261,10 +265,6 @@ def subsample_pool_q(spark, sf):
 
 # ------------------------------------------------ prompts (SC6 SC7 PR1 PR2)
 
-from ..functions.jsonlist import json_list  # noqa: E402
-from ..functions.text import xml_escape  # noqa: E402
-from ..plans.prompts import render_chat, render_instruct  # noqa: E402
-
 
 def _fixed_examples(spark, sf, queries):
     return sample_fixed(queries, derived.part_tables(spark, sf), k=2, seed=7)
@@ -307,9 +307,6 @@ def render_chat_messages_q(spark, sf):
 
 # --------------------------------------- budget and extraction (AG8 RK4 SC3-SC9)
 
-from ..functions.listparse import extract_list  # noqa: E402
-from ..operators.budget import count_message_tokens, fit_messages, keep_last_tokens  # noqa: E402
-from ..operators.extract import extract_csv_token, extract_first_line  # noqa: E402
 
 CHAT_LIMIT = 200
 # a 1,024-token context with 256 tokens kept for the answer
@@ -363,8 +360,6 @@ def extract_list_truncated_q(spark, sf):
 
 # ------------------------------------------ inference and pipelines (ML SW)
 
-from ..operators.infer import SequenceModel, constant_model, embed_hash, mean_pool  # noqa: E402
-from ..plans.suggest import configs_from_dicts, pick_examples, suggest, sweep  # noqa: E402
 
 # the model slot of the end-to-end queries: count on from the last seed,
 # ten proposals, answer cut at 150 characters (exercises list repair)
@@ -439,9 +434,6 @@ def pick_first_hit_q(spark, sf):
                          F.col("round").cast("long").alias("round"))
 
 
-from ..operators.knn import knn_examples  # noqa: E402
-
-
 @register("knn_tutor")
 def knn_tutor_q(spark, sf):
     """JN1 end to end: seeds text and example tables hashed, 3 nearest part
