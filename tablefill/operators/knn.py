@@ -7,9 +7,12 @@ keeps only the k best per query. A final top-k window over the
 ``k x example blocks`` candidates per query gives the exact answer.
 
 Shuffle volume: queries are replicated once per example block and examples
-once per query block — ``Q*Be + E*Bq`` rows, chosen from row counts so that
-each task holds at most ``q_block_rows x e_block_rows`` scores. Block ids
-come from a hash of the row id, so key skew cannot unbalance the tasks.
+once per query block — ``Q*Be + E*Bq`` rows. Larger blocks mean less
+replication, so block sizes come from a per-task memory budget and the
+vector width (``q_block_bytes``, ``e_block_bytes``), not from fixed row
+counts; when the grid is smaller than the cluster's task slots, queries are
+split further so every core works. Block ids come from a hash of the row
+id, so key skew cannot unbalance the tasks.
 """
 
 from __future__ import annotations
@@ -71,9 +74,11 @@ def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
 def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              example_id: str = "table_id", example_vec: str = "embedding",
-             exclude_self: bool = False, q_block_rows: int = 4096,
-             e_block_rows: int = 32768, decimals: int | None = 12,
-             n_queries: int | None = None, n_examples: int | None = None) -> DataFrame:
+             exclude_self: bool = False, q_block_rows: int | None = None,
+             e_block_rows: int | None = None, decimals: int | None = 12,
+             n_queries: int | None = None, n_examples: int | None = None,
+             q_block_bytes: int = 64 << 20, e_block_bytes: int = 256 << 20,
+             dim: int | None = None) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
@@ -90,6 +95,13 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
     # size check: two count jobs decide the block grid (no data reaches the driver)
     nq = q.count() if n_queries is None else n_queries
     ne = e.count() if n_examples is None else n_examples
+    if q_block_rows is None or e_block_rows is None:
+        if dim is None:  # the vector width, from one row
+            first = e.select(F.size("evec").alias("d")).first()
+            dim = max(1, first.d if first is not None else 1)
+        row_bytes = 8 * dim + 64  # float64 in the task, plus the id
+        q_block_rows = q_block_rows or max(256, q_block_bytes // row_bytes)
+        e_block_rows = e_block_rows or max(1024, e_block_bytes // row_bytes)
     bq = max(1, math.ceil(nq / q_block_rows))
     be = max(1, math.ceil(ne / e_block_rows))
     # keep every core busy: split the queries further (down to 256 per
@@ -140,6 +152,7 @@ def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: s
     """
     from .infer import embed_hash
     from .tables import subject
+    own = embedder
     embedder = embedder or (lambda df, t, i: embed_hash(df, t, i, dim=dim, float32=False))
     q_text = F.array_join(F.filter("seed_values", lambda x: x.isNotNull()), ", ")
     e_text = F.array_join(F.filter(subject("rows"), lambda x: x.isNotNull()), ", ")
@@ -148,5 +161,5 @@ def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: s
     # one vector per id: count the (column-pruned) inputs, not the embeddings
     nq, ne = queries.select("query_id").count(), example_tables.select("table_id").count()
     nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id", decimals=9,
-                  n_queries=nq, n_examples=ne)
+                  n_queries=nq, n_examples=ne, dim=dim if own is None else None)
     return order_examples(nn, order, seed)
