@@ -31,9 +31,16 @@ def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
         filled = F.when(lst.isNull() | (F.size(lst) == 0),
                         F.array(F.lit(NO_RESULT_TOKEN))).otherwise(lst)
     escaped = F.transform(filled, lambda x: trec_escape(x))
-    # keep element i only if its first occurrence is at i (1-based array_position)
-    kept = F.filter(F.transform(escaped, lambda x, i: F.struct(x.alias("doc_id"), i.alias("pos"))),
-                    lambda s: F.array_position(escaped, s["doc_id"]) == s["pos"] + 1)
+    # first occurrence of each value, in O(n log n): sort (value, position),
+    # keep an entry when its sorted neighbour holds another value, then put
+    # the survivors back in position order
+    pairs = F.transform(escaped, lambda x, i: F.struct(x.alias("doc_id"), i.alias("pos")))
+    by_value = F.array_sort(F.filter(pairs, lambda s: s["doc_id"].isNotNull()))  # a missing value is no suggestion
+    firsts = F.filter(by_value, lambda s, j: (j == 0)
+                      | (F.element_at(by_value, j)["doc_id"] != s["doc_id"]))
+    kept = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["pos"].alias("pos"),
+                                                                          s["doc_id"].alias("doc_id")))),
+                       lambda s: F.struct(s["doc_id"].alias("doc_id"), s["pos"].alias("pos")))
     run_col = F.lit(run_id) if run_id is not None else F.col("run_id")
     return (suggestions
             .select(run_col.alias("run_id"), "query_id", F.explode(kept).alias("s"))

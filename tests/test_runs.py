@@ -68,3 +68,9 @@ def test_repeated_judgments_count_once(spark):
                                   "query_id string, doc_id string, relevance int")
     got = {r.metric: r.score for r in evaluate(run, qrels).collect()}
     assert got == {"success_1": 1.0, "success_5": 1.0, "P_5": 0.4}
+
+
+def test_to_run_skips_missing_values_and_keeps_gaps(spark):
+    df = spark.createDataFrame([("q", ["a", None, "b", "a", None, "c"])], "query_id string, suggestions array<string>")
+    rows = sorted((r.doc_id, r.rank) for r in to_run(df, run_id="r").collect())
+    assert rows == [("a", 1), ("b", 3), ("c", 6)]
