@@ -63,14 +63,21 @@ def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
     return meta.withColumn("validation", F.col("folder").contains("validation"))
 
 
+def _glob(spark: SparkSession, pattern: str) -> list:
+    """File statuses matching a glob (file-system metadata, no file scan:
+    scans skip empty files, and a flag or an empty run file is empty)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.globStatus(path) or [])
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """SRC6: run folders that contain a run file, in name (= creation time) order."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(root).select("path", "modificationTime"))
-    runs = (files.select(_folder_name(F.col("path")).alias("run_id"), "modificationTime")
-            .filter(F.col("run_id") != "")
-            .groupBy("run_id").agg(F.min("modificationTime").alias("created")))
-    return runs.orderBy("run_id")
+    """SRC6: run folders that contain a run file (a file, or a folder of
+    parts), in name (= creation time) order, with the run file's time."""
+    found = _glob(spark, f"{root.rstrip('/')}/*/trec.log")
+    rows = sorted((st.getPath().getParent().getName(), int(st.getModificationTime())) for st in found)
+    return spark.createDataFrame(rows, "run_id string, created long").orderBy("run_id")
 
 
 def qrels_for(run_meta: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -97,13 +104,7 @@ def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
 
     def folders_with(name: str) -> list[str]:
-        # flag files are empty, and file scans skip empty files: list them
-        # through the file system (metadata only, one entry per run)
-        jvm = spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
-        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        return [st.getPath().getParent().getName() for st in found]
+        return [st.getPath().getParent().getName() for st in _glob(spark, f"{root}/*/{name}")]
 
     runs = set(folders_with("trec.log"))
     keep, debug = set(folders_with("keep.flag")), set(folders_with("debug.flag"))
