@@ -19,7 +19,7 @@ from ..functions.text import rank_score, trec_escape, trec_unescape, xml_escape
 from ..operators.budget import count_message_tokens, fit_messages, keep_last_tokens
 from ..operators.evaluate import best_config, covered_queries, evaluate, leaderboard, summarize
 from ..operators.extract import extract_csv_token, extract_first_line
-from ..operators.infer import constant_model, embed_hash, mean_pool, SequenceModel
+from ..operators.infer import constant_model, embed_hash, mean_pool, replay_model, SequenceModel
 from ..operators.knn import knn_examples, knn_topk, order_examples
 from ..operators.runs import ensemble, ensemble_eligible, side_by_side, to_run
 from ..operators.sampling import sample_examples, sample_fixed, subsample
@@ -457,3 +457,18 @@ def suggest_chat_end_to_end_q(spark, sf):
                 extractor="list", lead="", chat_limit=CHAT_CONTEXT)
     run = to_run(s, run_id="chat")
     return summarize(evaluate(run, qrels_from_split(q))).select("run_id", "metric", "score", "queries")
+
+
+@register("replay_end_to_end")
+def replay_end_to_end_q(spark, sf):
+    """ML5 in a pipeline: recorded completions (FX-JSON: each table's first
+    8 names, cut mid-list) replayed for the rendered prompts by (config,
+    query), extracted with repair, run, scored against the split's own
+    ground truth."""
+    q = _cust_queries(spark, sf)
+    prompts = render_instruct(q, None, None).select("query_id", F.lit("replay").alias("config_id"), "prompt")
+    recorded = truncated_lists(spark, sf).select(F.lit("replay").alias("config_id"), "query_id",
+                                                 F.col("text").alias("completion"))
+    done = replay_model(prompts, recorded).withColumn("suggestions", extract_list("completion"))
+    run = to_run(done, run_id="replay")
+    return summarize(evaluate(run, qrels_from_split(q))).select("run_id", "metric", "score", "queries")
