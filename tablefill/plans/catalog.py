@@ -344,11 +344,12 @@ def extract_csv_token_q(spark, sf):
     return d.select("doc_id", extract_csv_token("text")[0].alias("token"))
 
 
-def truncated_lists(spark, sf):
-    """FX-JSON: JSON list of a table's first 8 names, cut at 40 + nation key chars."""
+def truncated_lists(spark, sf, first: int = 1, cut: int = 40):
+    """FX-JSON: JSON list of 8 names of a table from position ``first``,
+    cut at ``cut`` + nation key characters."""
     t = derived.customer_tables(spark, sf)
     nk = F.split("table_id", "_")[1].cast("int")
-    return t.select("query_id", F.left(json_list(F.slice(subject("rows"), 1, 8)), F.lit(40) + nk).alias("text"))
+    return t.select("query_id", F.left(json_list(F.slice(subject("rows"), first, 8)), F.lit(cut) + nk).alias("text"))
 
 
 @register("extract_list_truncated")
@@ -461,13 +462,13 @@ def suggest_chat_end_to_end_q(spark, sf):
 
 @register("replay_end_to_end")
 def replay_end_to_end_q(spark, sf):
-    """ML5 in a pipeline: recorded completions (FX-JSON: each table's first
-    8 names, cut mid-list) replayed for the rendered prompts by (config,
+    """ML5 in a pipeline: recorded completions (8 names from each table's
+    4th row, cut mid-list) replayed for the rendered prompts by (config,
     query), extracted with repair, run, scored against the split's own
     ground truth."""
     q = _cust_queries(spark, sf)
     prompts = render_instruct(q, None, None).select("query_id", F.lit("replay").alias("config_id"), "prompt")
-    recorded = truncated_lists(spark, sf).select(F.lit("replay").alias("config_id"), "query_id",
+    recorded = truncated_lists(spark, sf, first=4, cut=60).select(F.lit("replay").alias("config_id"), "query_id",
                                                  F.col("text").alias("completion"))
     done = replay_model(prompts, recorded).withColumn("suggestions", extract_list("completion"))
     run = to_run(done, run_id="replay")

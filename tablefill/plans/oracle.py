@@ -626,13 +626,15 @@ ORACLE["suggest_chat_end_to_end"] = (ORACLE["suggest_end_to_end"]
                                      .replace("'flagship' AS run_id", "'chat' AS run_id"))
 
 
-ORACLE["replay_end_to_end"] = (ORACLE["extract_list_truncated"]
-                               .replace("SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j",
-                                        "").rstrip() + f""",
+_REPLAY = (ORACLE["extract_list_truncated"]
+           .replace("FILTER (WHERE rn <= 8)", "FILTER (WHERE rn BETWEEN 4 AND 11)")
+           .replace("40 + any_value(c_nationkey)", "60 + any_value(c_nationkey)")
+           .replace("SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j", ""))
+ORACLE["replay_end_to_end"] = _REPLAY.rstrip() + f""",
 u AS (SELECT query_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM j),
 runs AS (SELECT 'replay' AS run_id, query_id, {esc('x')} AS doc_id,
                 pow(2.0, -(min(pos) - 1))::DOUBLE AS score FROM u GROUP BY query_id, {esc('x')}),
 qrels AS (SELECT DISTINCT query_id, {esc('c_name')} AS doc_id, 1 AS relevance FROM r WHERE rn > 3),
 {eval_per_query()},
 {SUMMARY}
-SELECT run_id, metric, score, queries FROM summary""")
+SELECT run_id, metric, score, queries FROM summary"""
