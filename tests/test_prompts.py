@@ -72,3 +72,10 @@ def test_no_examples_equals_zero_shot(spark):
     q, t, _ = _frames(spark)
     a = render_instruct(q, no_examples(q), t).first().prompt
     assert a == render_instruct(q, None, None).first().prompt
+
+
+def test_user_template(spark):
+    from tablefill.plans.prompts import render
+    q, _, _ = _frames(spark)
+    out = render(q, lambda df: F.concat(F.lit("Continue: "), F.array_join(F.transform("rows", lambda r: r[0]), "; ")))
+    assert out.first().prompt == "Continue: Nile; Rhine"

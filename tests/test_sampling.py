@@ -50,3 +50,13 @@ def test_fixed_and_subsample(spark):
     s = subsample(pool, 2, seed=0).collect()
     pool_rows = {(r.query_id, r.table_id) for r in pool.collect()}
     assert len(s) == 80 and all((r.query_id, r.table_id) in pool_rows for r in s)
+
+
+def test_fixed_sample_amount_from_seed(spark):
+    from tablefill.operators.sampling import fixed_amount
+    q, c = _frames(spark, nq=3, nc=30)
+    for seed in (1, 2, 3, 4):
+        got = sample_fixed(q, c, k=None, seed=seed).collect()
+        k = fixed_amount(seed)
+        assert 1 <= k <= 5 and len(got) == 3 * k
+        assert sorted(got) == sorted(sample_fixed(q, c, k=None, seed=seed).collect())

@@ -77,3 +77,14 @@ def test_replay_model(spark):
     rec = spark.createDataFrame([("c", "q1", "answer")], "config_id string, query_id string, completion string")
     got = {r.query_id: r.completion for r in replay_model(p, rec).collect()}
     assert got == {"q1": "answer", "q2": None}
+
+
+def test_configs_from_dicts_drops_meta(spark):
+    from tablefill.plans.suggest import configs_from_dicts
+    rows = configs_from_dicts(spark, [
+        {"config_id": "a", "seeds": 3, "extractor": "list", "meta": {"note": "x"},
+         "tutor": {"class": "fixed", "amount": 2, "seed": 7, "meta": {"sample": ["t1"]}}},
+        {"config_id": "b", "tutor": "zero"},
+    ]).collect()
+    got = {r.config_id: (r.tutor, r.k, r.seed, r.seeds, r.extractor, r.lead) for r in rows}
+    assert got == {"a": ("fixed", 2, 7, 3, "list", '["'), "b": ("zero", 0, 42, 1, "list", '["')}
