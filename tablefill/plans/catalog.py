@@ -410,8 +410,8 @@ def suggest_end_to_end_q(spark, sf):
 
 SWEEP_CONFIGS = [
     {"config_id": f"{tutor}_{ext}_s{n}", "seeds": n, "extractor": ext,
-     "tutor": {"class": tutor, "amount": 2 if tutor == "fixed" else 0, "seed": 7}}
-    for n in (1, 3, 5) for tutor in ("zero", "fixed") for ext in ("list", "csv_token")
+     "tutor": {"class": tutor, "amount": 0 if tutor == "zero" else 2, "seed": 7}}
+    for n in (1, 3, 5) for tutor in ("zero", "fixed", "random") for ext in ("list", "csv_token")
 ]
 
 

@@ -558,7 +558,7 @@ SELECT run_id, metric, score, queries FROM summary"""
 
 ORACLE["sweep_grid"] = f"""WITH {flagship_sql()},
 cfg AS (SELECT tutor || '_' || ext || '_s' || n AS config_id, n, ext
-        FROM (VALUES ('zero'), ('fixed')) a(tutor), (VALUES ('list'), ('csv_token')) b(ext),
+        FROM (VALUES ('zero'), ('fixed'), ('random')) a(tutor), (VALUES ('list'), ('csv_token')) b(ext),
              (VALUES (1), (3), (5)) c(n)),
 q AS (SELECT config_id, ext, n, query_id, max(c_name) FILTER (WHERE rn = least(cnt, n)) AS last_seed
       FROM r, cfg GROUP BY config_id, ext, n, query_id),

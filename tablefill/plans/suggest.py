@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.budget import fit_chat
 from ..operators.extract import extractor as extractor_fn
 from ..operators.infer import Factory, complete
-from ..operators.sampling import sample_fixed, subsample
+from ..operators.knn import knn_examples
+from ..operators.sampling import sample_examples, sample_fixed, subsample
 from ..operators.tables import hold_out
 from .prompts import render_chat, render_instruct
 
@@ -121,12 +122,21 @@ def sweep(tables: DataFrame, configs: DataFrame, example_tables: DataFrame, mode
              .withColumn("base_query_id", F.col("query_id"))
              .withColumn("query_id", F.concat_ws("/", "config_id", "base_query_id")))
     queries = split_seeds(keyed, F.col("seeds"))
-    fixed = queries.filter(F.col("tutor") == "fixed")
-    # one fixed sample per (k, seed) pair of the grid
+    # one example frame per distinct tutor setting of the grid (the grid is
+    # a handful of rows: this loop is over configurations, not data)
     examples = None
-    for row in configs.filter(F.col("tutor") == "fixed").select("k", "seed").distinct().collect():
-        part = sample_fixed(fixed.filter((F.col("k") == row.k) & (F.col("seed") == row.seed)),
-                            example_tables, k=row.k, seed=row.seed)
+    settings = configs.filter(F.col("tutor") != "zero").select("tutor", "k", "seed").distinct().collect()
+    for row in sorted(settings):
+        mine = queries.filter((F.col("tutor") == row.tutor) & (F.col("k") == row.k) & (F.col("seed") == row.seed))
+        if row.tutor == "fixed":
+            part = sample_fixed(mine, example_tables, k=row.k, seed=row.seed)
+        elif row.tutor == "random":
+            part = sample_examples(mine, example_tables, k=row.k, seed=row.seed)
+        elif row.tutor == "knn":
+            part = knn_examples(mine, example_tables, row.k, order="lowest first", seed=row.seed)
+        else:
+            raise ValueError(f"Unknown tutor {row.tutor}")
+        part = part.select("query_id", "pos", "table_id")
         examples = part if examples is None else examples.unionByName(part)
     prompts = render_instruct(queries, examples, example_tables)
     done = complete(prompts.select("query_id", "config_id", "extractor", "prompt"), model)

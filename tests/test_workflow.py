@@ -88,3 +88,20 @@ def test_configs_from_dicts_drops_meta(spark):
     ]).collect()
     got = {r.config_id: (r.tutor, r.k, r.seed, r.seeds, r.extractor, r.lead) for r in rows}
     assert got == {"a": ("fixed", 2, 7, 3, "list", '["'), "b": ("zero", 0, 42, 1, "list", '["')}
+
+
+def test_sweep_with_knn_and_random_tutors(spark):
+    from conftest import SF001
+    from tablefill.operators.evaluate import evaluate, summarize
+    from tablefill.plans.suggest import configs_from_dicts, sweep
+    from tablefill.sources import derived
+    configs = configs_from_dicts(spark, [
+        {"config_id": "k2", "seeds": 2, "tutor": {"class": "knn", "amount": 2, "seed": 1}},
+        {"config_id": "r1", "seeds": 2, "tutor": {"class": "random", "amount": 1, "seed": 1}},
+    ])
+    runs, qrels = sweep(derived.customer_tables(spark, SF001), configs, derived.part_tables(spark, SF001),
+                        SequenceModel(n=5, max_chars=1000))
+    got = {(r.run_id, r.metric): r.score for r in summarize(evaluate(runs, qrels)).collect()}
+    assert {k[0] for k in got} == {"k2", "r1"}
+    # the model ignores the examples: both tutors score alike
+    assert all(got[("k2", m)] == got[("r1", m)] for m in ("success_1", "success_5", "P_5"))
