@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import evaluate, leaderboard, summarize
 from ..operators.infer import Factory
+from ..operators.knn import knn_examples
 from ..operators.runs import ensemble, ensemble_eligible, to_run
 from ..operators.sampling import sample_examples, sample_fixed
 from ..operators.tables import split_seeds
@@ -30,11 +31,14 @@ from .suggest import suggest
 def run_benchmark(spark: SparkSession, folder: str, seeds: int, model: Factory, out_root: str,
                   examples_folder: str | None = None, tutor: str = "zero", k: int = 0, seed: int = 42,
                   template: str = "instruct", extractor: str = "list", lead: str = '["',
-                  run_id: str | None = None, debug: bool = False) -> str:
+                  run_id: str | None = None, debug: bool = False, chat_limit: int | None = None,
+                  order: str = "lowest first") -> str:
     """Run every query of ``folder`` at ``seeds`` and write the run.
 
-    The run id defaults to the start time (as the reference names its run
-    folders). Returns the run id.
+    ``tutor`` is ``zero``, ``fixed``, ``random`` or ``knn`` (``k`` examples,
+    ``order`` for the KNN tutor); ``template='chat'`` with ``chat_limit``
+    fits the messages to the model's context. The run id defaults to the
+    start time (as the reference names its run folders). Returns the run id.
     """
     run_id = run_id or time.strftime("%Y-%m-%d_%H-%M-%S")
     # parsed once: the CSV parse is Python, so its readers cannot prune it
@@ -42,9 +46,16 @@ def run_benchmark(spark: SparkSession, folder: str, seeds: int, model: Factory,
     examples, ex_tables = None, None
     if tutor != "zero":
         ex_tables = materialize(read_tables(spark, examples_folder))
-        examples = (sample_fixed(queries, ex_tables, k=k, seed=seed) if tutor == "fixed"
-                    else sample_examples(queries, ex_tables, k=k, seed=seed))
-    s = suggest(queries, examples, ex_tables, model, template=template, extractor=extractor, lead=lead)
+        if tutor == "fixed":
+            examples = sample_fixed(queries, ex_tables, k=k, seed=seed)
+        elif tutor == "random":
+            examples = sample_examples(queries, ex_tables, k=k, seed=seed)
+        elif tutor == "knn":
+            examples = knn_examples(queries, ex_tables, k, order=order, seed=seed)
+        else:
+            raise ValueError(f"Unknown tutor {tutor}")
+    s = suggest(queries, examples, ex_tables, model, template=template, extractor=extractor, lead=lead,
+                chat_limit=chat_limit)
     run = to_run(materialize(s.select("query_id", "suggestions")), run_id=run_id, tag="trec")
     task = {"tutor": tutor, "k": k, "seed": seed, "template": template, "extractor": extractor, "lead": lead}
     write_run(run, out_root, run_id, folder=folder, seeds=seeds, task=task, debug=debug)

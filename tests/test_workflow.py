@@ -29,6 +29,9 @@ def test_benchmark_score_ensemble(spark, scratch):
     r1 = run_benchmark(spark, corpus, 1, model, out, run_id="run_s1")
     r2 = run_benchmark(spark, corpus, 2, model, out, run_id="run_s2")
     r3 = run_benchmark(spark, corpus, 1, model, out, run_id="run_s1_b", extractor="first_line")
+    # the other tutors and the chat path run through the same workflow
+    r4 = run_benchmark(spark, corpus, 1, model, out, run_id="run_knn", examples_folder=corpus, tutor="knn", k=2,
+                       template="chat", lead="", chat_limit=120)
     tables = read_tables(spark, corpus)
     qrels = None
     for n in (1, 2):
@@ -37,7 +40,8 @@ def test_benchmark_score_ensemble(spark, scratch):
     qpath = os.path.join(scratch, "qrels")
     qrels.write.partitionBy("split", "seeds").parquet(qpath)
     board = {r.run_id: r for r in score_runs(spark, out, spark.read.parquet(qpath)).collect()}
-    assert set(board) == {r1, r2, r3}
+    assert set(board) == {r1, r2, r3, r4}
+    assert board["run_knn"].success_1 == board["run_s1"].success_1
     # the sequence model counts on from the last seed: item ids step by 1 or 2
     assert board["run_s1"].success_1 == 0.5 and board["run_s1"].queries == 4
     assert board["run_s1_b"].success_1 == 0.0
