@@ -85,10 +85,11 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
     smaller ``table_id``. Ids are compared as strings. Scores are rounded
     to ``decimals`` before ranking: a matrix product sums in a
     blocking-dependent order, so equal vectors can score a few ulps apart;
-    after rounding they tie exactly and the id decides, on any engine. ``n_queries`` /
-    ``n_examples`` (row counts) size the block grid; when not given they are
-    counted here — pass them when the vectors are computed on the fly, so
-    the count does not run the embedding twice.
+    after rounding they tie exactly and the id decides, on any engine.
+
+    ``n_queries`` / ``n_examples`` (row counts) and ``dim`` size the block
+    grid; when not given they are read here — pass them when the vectors are
+    computed on the fly, so sizing does not run the embedding twice.
     """
     q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qvec"))
     e = examples.select(F.col(example_id).cast("string").alias("eid"), F.col(example_vec).alias("evec"))
