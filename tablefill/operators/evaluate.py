@@ -83,8 +83,9 @@ def covered_queries(metrics: DataFrame) -> DataFrame:
 
 def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFrame:
     """AG10: one row per run — queries, success_1, success_5, P_5 — and the
-    report line ``queries=…, success_1=…%, success_5=…%, P_5=…%`` with the
-    (debug)/(validation) marks. Metrics are in the reference's order (by
+    report line ``[name=…, seeds=…, ]queries=…, success_1=…%, success_5=…%,
+    P_5=…%`` with the (debug)/(validation) marks (name and seeds need
+    ``run_meta``). Metrics are in the reference's order (by
     first letter, descending)."""
     wide = (summary.groupBy("run_id")
             .pivot("metric", list(METRICS_ORDER))
@@ -99,7 +100,7 @@ def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFr
                     *[F.concat(F.lit(f", {m}="), pct(m)) for m in METRICS_ORDER])
     if run_meta is not None:
         wide = wide.join(run_meta.select("run_id", "seeds", "debug", "validation"), "run_id", "left")
-        line = F.concat(F.format_string("seeds=%d, ", F.col("seeds")), line,
+        line = F.concat(F.format_string("name=%19s, seeds=%d, ", F.col("run_id"), F.col("seeds")), line,
                         F.when(F.col("debug"), F.lit(" (debug)")).otherwise(F.lit("")),
                         F.when(F.col("validation"), F.lit(" (validation)")).otherwise(F.lit("")))
     return wide.withColumn("report", line)

@@ -209,7 +209,7 @@ ORACLE["leaderboard"] = f"""WITH {GRID},
 {SUMMARY},
 {LB}
 SELECT run_id, queries, success_1, success_5, P_5,
-       printf('seeds=%d, ', seeds) || line || CASE WHEN debug THEN ' (debug)' ELSE '' END
+       printf('name=%19s, seeds=%d, ', run_id, seeds) || line || CASE WHEN debug THEN ' (debug)' ELSE '' END
        || CASE WHEN validation THEN ' (validation)' ELSE '' END AS report
 FROM lbr LEFT JOIN meta USING (run_id)"""
 

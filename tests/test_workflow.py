@@ -45,7 +45,7 @@ def test_benchmark_score_ensemble(spark, scratch):
     # the sequence model counts on from the last seed: item ids step by 1 or 2
     assert board["run_s1"].success_1 == 0.5 and board["run_s1"].queries == 4
     assert board["run_s1_b"].success_1 == 0.0
-    assert board["run_s1"].report.startswith("seeds=1, queries=   4, success_1=50.0%")
+    assert board["run_s1"].report.startswith("name=             run_s1, seeds=1, queries=   4, success_1=50.0%")
     elig = {r.run_id: r.eligible for r in ensemble_runs(spark, out, [r1, r2, r3], run_id="ens").collect()}
     assert elig == {r1: True, r2: False, r3: True}
     ens = read_runs(spark, out).filter(F.col("run_id") == "ens")
