@@ -7,6 +7,10 @@ pandas — one file per row, all cells as strings, pandas' missing-value
 rules (``NA``, ``null``, empty cell -> NULL), duplicate headers renamed
 ``Name.1``. The meta JSON files are read as whole texts and joined back on
 the path stem.
+
+A file is one table and one row, so it must fit in a task's memory (the
+binary column caps a file at 2 GB); web-table corpora are many small files,
+which Spark packs several to a task.
 """
 
 from __future__ import annotations
