@@ -84,6 +84,24 @@ def keep_last(tokens, n) -> Column:
             .otherwise(tokens))
 
 
+# a zero-width split before every token that follows whitespace: each piece
+# is one token with its trailing whitespace (plus a leading blank piece
+# when the text starts with whitespace)
+_TOKEN_PIECES = r"(?<=[ \t\n\r\f\x0B])(?=[^ \t\n\r\f\x0B])"
+
+
+def keep_last_text(c, n) -> Column:
+    """SC9 as text: the exact suffix of the text that starts at its n-th
+    last whitespace token, when it has more than n tokens; else the text.
+    Original spacing and newlines are kept (as decoding kept tokens would)."""
+    c = _c(c)
+    n = F.lit(n) if isinstance(n, int) else n
+    pieces = F.split(c, _TOKEN_PIECES)
+    n_tokens = F.size(F.filter(F.split(c, r"[ \t\n\r\f\x0B]+"), lambda x: x != F.lit("")))
+    return (F.when(n_tokens > n, F.when(n > 0, F.array_join(F.slice(pieces, -n, n), "")).otherwise(F.lit("")))
+            .otherwise(c))
+
+
 def json_string_ascii(c) -> Column:
     """JSON string literal of an ASCII value (quotes and backslashes escaped);
     NULL renders as NaN, as json.dumps does for pandas' missing cells."""

@@ -25,6 +25,7 @@ Factory = Callable[[], Model]
 
 _MODELS: dict[str, Model] = {}
 _WS_RE = re.compile(r"[ \t\n\r\f\x0b]+")
+_PIECES_RE = re.compile(r"(?<=[ \t\n\r\f\x0b])(?=[^ \t\n\r\f\x0b])")
 
 # The dummy model's answer.
 DUMMY_ANSWER = "Dummy prediction"
@@ -41,8 +42,11 @@ def _model(key: str, factory: Factory) -> Model:
 
 
 def _keep_last_text(prompt: str, n: int) -> str:
-    toks = [t for t in _WS_RE.split(prompt) if t]
-    return " ".join(toks[-n:]) if n > 0 else ""
+    """The exact suffix holding the last n whitespace tokens (as the column
+    function ``keep_last_text`` computes it)."""
+    if len([t for t in _WS_RE.split(prompt) if t]) <= n:
+        return prompt
+    return "".join(_PIECES_RE.split(prompt)[-n:]) if n > 0 else ""
 
 
 def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import keep_last_text
 from ..operators.budget import fit_chat
 from ..operators.extract import extractor as extractor_fn
 from ..operators.infer import Factory, complete
@@ -27,7 +28,8 @@ Transform = Callable[[DataFrame], DataFrame]
 def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame | None, model: Factory,
             template: str = "instruct", extractor: str = "list", lead: str = '["',
             pre: Transform | None = None, post: Transform | None = None,
-            batch_size: int = 64, chat_limit: int | None = None, reserve: int = 0) -> DataFrame:
+            batch_size: int = 64, chat_limit: int | None = None, reserve: int = 0,
+            max_prompt_tokens: int | None = None) -> DataFrame:
     """SW3 + PRJ8: suggestions for every query.
 
     Returns the rendered queries plus ``prompt``, ``completion``,
@@ -35,7 +37,9 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
     ``pre``/``post`` are the overridable hooks (identity by default).
     With ``template='chat'`` the model receives the messages as JSON; with
     ``chat_limit`` they are first fitted to the context (RK4), keeping
-    ``reserve`` tokens for the answer.
+    ``reserve`` tokens for the answer. ``max_prompt_tokens`` (context minus
+    the answer budget) keeps only the end of a longer instruction prompt,
+    as a completion backend does before calling the model (SC9).
     """
     q = pre(queries) if pre else queries
     render = render_instruct if template == "instruct" else render_chat
@@ -44,6 +48,8 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
         if chat_limit is not None:
             prompts = fit_chat(prompts, chat_limit, reserve=reserve)
         prompts = prompts.withColumn("prompt", F.to_json("messages")).drop("messages")
+    elif max_prompt_tokens is not None:
+        prompts = prompts.withColumn("prompt", keep_last_text("prompt", max_prompt_tokens))
     # only what later steps read crosses into the model workers
     # (Catalyst cannot prune columns through a Python step)
     carried = ["query_id", "prompt"] + [c for c in ("target", "seeds") if c in prompts.columns]

@@ -60,3 +60,19 @@ def test_message_cost_with_name(spark):
     from tablefill.operators.budget import message_cost
     df = spark.createDataFrame([("user", "a b", "bob smith"), ("user", "a b", None)], "role string, text string, name string")
     assert [r.c for r in df.select(message_cost("role", "text", name="name").alias("c")).collect()] == [9, 6]
+
+
+def test_keep_last_text_is_an_exact_suffix(spark):
+    from tablefill.functions.text import keep_last_text
+    from tablefill.operators.infer import _keep_last_text
+    texts = ["a b\n\nc  d\te", "  lead x y", "short", "", "a\n", "x  y z\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (0, 1, 2, 3):
+        got = [r.k for r in df.select(keep_last_text("t", n).alias("k")).collect()]
+        for t, g in zip(texts, got):
+            assert g == _keep_last_text(t, n)
+            toks = t.split()
+            if len(toks) > n:
+                assert t.endswith(g) and g.split() == (toks[-n:] if n else [])
+            else:
+                assert g == t
