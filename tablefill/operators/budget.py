@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keep_last
+from .ranking import running_within
 
 Tokenizer = Callable[[Column], Column]
 
@@ -56,7 +57,7 @@ def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
 
 def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
-                 tokenizer: Tokenizer = whitespace_tokenizer) -> DataFrame:
+                 tokenizer: Tokenizer = whitespace_tokenizer, hot_rows: int = 5_000_000) -> DataFrame:
     """RK4: drop the two oldest non-system messages until the chat fits.
 
     A leading system message is kept. The kept part is a suffix of the
@@ -65,32 +66,47 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
     exists (the reference would pop past the end) nothing is kept and
     ``overflow`` is true. Adds ``kept``, ``overflow``, ``tokens_after``.
 
-    All windows share one partitioning (by conversation): one shuffle.
+    Per conversation facts (first turn, its role and cost, totals, the
+    chosen start) are aggregations, combined map-side; the running count
+    and cost along the turns come from ``running_within``, which splits a
+    conversation holding a large share of the rows across tasks. The facts
+    are joined back by conversation (AQE splits a skewed join partition).
     """
     budget = limit - reserve
-    w = Window.partitionBy(conv).orderBy(turn)
-    whole = Window.partitionBy(conv)
-    m = (messages
-         .withColumn("_cost", message_cost(role, content, tokenizer))
-         .withColumn("_first", F.row_number().over(w) == 1)
-         .withColumn("_sys", F.col("_first") & (F.col(role) == F.lit("system")))
-         .withColumn("_j", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(
-             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-         .withColumn("_suffix", F.sum(F.when(F.col("_sys"), 0).otherwise(F.col("_cost"))).over(
-             whole.orderBy(F.col(turn).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-         .withColumn("_sys_cost", F.sum(F.when(F.col("_sys"), F.col("_cost")).otherwise(0)).over(whole))
-         .withColumn("_n", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(whole)))
+    m = messages.withColumn("_cost", message_cost(role, content, tokenizer).cast("long"))
+    facts = (m.groupBy(conv)
+             .agg(F.min(turn).alias("_t0"),
+                  F.min_by(F.col(role), F.col(turn)).alias("_r0"),
+                  F.min_by(F.col("_cost"), F.col(turn)).alias("_c0"),
+                  F.count(F.lit(1)).alias("_cnt"),
+                  F.sum("_cost").alias("_total"))
+             .withColumn("_has_sys", F.coalesce(F.col("_r0") == F.lit("system"), F.lit(False)))
+             .withColumn("_sys_cost", F.when(F.col("_has_sys"), F.col("_c0")).otherwise(F.lit(0)))
+             .withColumn("_n", F.col("_cnt") - F.col("_has_sys").cast("long")))
+    running = running_within(m, conv, [F.col(turn)], {"_pc": F.lit(1).cast("long"), "_pcost": F.col("_cost")},
+                             sizes=facts.select(conv, F.col("_cnt").alias("n")), hot_rows=hot_rows)
+    r = (running.join(facts.drop("_r0", "_c0", "_cnt"), conv)
+         .withColumn("_sys", F.col("_has_sys") & (F.col(turn) == F.col("_t0")))
+         # index among the non-system messages, and their cost from here to the end
+         .withColumn("_j", F.col("_pc") - 1 - F.col("_has_sys").cast("long"))
+         .withColumn("_suffix", F.col("_total") - F.col("_pcost") + F.col("_cost")))
     fits = F.col("_sys_cost") + F.col("_suffix") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)
-    candidate = F.when(~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & fits, F.col("_j"))
+    choice = (r.filter(~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & fits)
+              .groupBy(conv).agg(F.min("_j").alias("_s1"), F.min_by("_suffix", "_j").alias("_suf1")))
     # s = n (drop every non-system message) is allowed when n is even
-    all_dropped = F.when((F.pmod(F.col("_n"), F.lit(2)) == 0)
-                         & (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)), F.col("_n"))
-    m = m.withColumn("_start", F.least(F.min(candidate).over(whole), F.max(all_dropped).over(whole)))
-    m = m.withColumn("overflow", F.col("_start").isNull())
-    m = m.withColumn("kept", ~F.col("overflow") & (F.col("_sys") | (F.col("_j") >= F.col("_start"))))
-    m = m.withColumn("tokens_after", F.when(F.col("overflow"), F.lit(None).cast("long")).otherwise(
-        F.sum(F.when(F.col("kept"), F.col("_cost")).otherwise(0)).over(whole) + F.lit(TOKENS_PER_REPLY)))
-    return m.drop("_cost", "_first", "_sys", "_j", "_suffix", "_sys_cost", "_n", "_start")
+    drop_all = F.when((F.pmod(F.col("_n"), F.lit(2)) == 0)
+                      & (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)), F.col("_n"))
+    decision = (facts.join(choice, conv, "left")
+                .select(conv,
+                        F.coalesce(F.col("_s1"), drop_all).alias("_start"),
+                        (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY)
+                         + F.when(F.col("_s1").isNotNull(), F.col("_suf1")).otherwise(F.lit(0))).alias("_after")))
+    out = (r.join(decision, conv)
+           .withColumn("overflow", F.col("_start").isNull())
+           .withColumn("kept", ~F.col("overflow") & (F.col("_sys") | (F.col("_j") >= F.col("_start"))))
+           .withColumn("tokens_after", F.when(F.col("overflow"), F.lit(None).cast("long"))
+                       .otherwise(F.col("_after").cast("long"))))
+    return out.select(*messages.columns, "kept", "overflow", "tokens_after")
 
 
 def keep_last_tokens(c, n: int, tokenizer: Tokenizer = whitespace_tokenizer) -> Column:

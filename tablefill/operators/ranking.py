@@ -60,3 +60,49 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column], out: str = "
               .withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
               .drop("_slice", "_local", "_off"))
     return cold.unionByName(ranked.select(*cold.columns))
+
+
+def running_within(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column],
+                   sizes: DataFrame | None = None, hot_rows: int = 5_000_000) -> DataFrame:
+    """Add running (inclusive) sums along ``order`` within each group: one
+    output column per entry of ``sums`` (name -> value expression).
+
+    Ordinary groups use a plain window; hot groups are range-sliced as in
+    ``rank_within`` and each slice's running sums are shifted by the totals
+    of the slices before it. The order must be total within a group.
+    """
+    if sizes is None:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.filter(F.col("n") > hot_rows).select(group)
+    n_hot = hot.count()  # size check of the broadcast key list below
+    frame = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vals = df
+    for name, expr in sums.items():
+        vals = vals.withColumn(f"_v_{name}", expr)
+    if n_hot == 0:
+        out = vals
+        for name in sums:
+            out = out.withColumn(name, F.sum(f"_v_{name}").over(frame))
+        return out.drop(*[f"_v_{name}" for name in sums])
+    hot = F.broadcast(hot)  # at most (total rows / hot_rows) keys
+    cold = vals.join(hot, group, "left_anti")
+    for name in sums:
+        cold = cold.withColumn(name, F.sum(f"_v_{name}").over(frame))
+    sliced = materialize(vals.join(hot, group, "left_semi")
+                         .repartitionByRange(group, *order)
+                         .withColumn("_slice", F.spark_partition_id()))
+    local_frame = (Window.partitionBy(group, "_slice").orderBy(*order)
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = sliced
+    for name in sums:
+        local = local.withColumn(name, F.sum(f"_v_{name}").over(local_frame))
+    totals = sliced.groupBy(group, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_slice", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0))
+                                               .alias(f"_o_{name}") for name in sums])
+    hot_out = local.join(F.broadcast(offsets), [group, "_slice"])  # hot groups x slices rows
+    for name in sums:
+        hot_out = hot_out.withColumn(name, F.col(name) + F.col(f"_o_{name}"))
+    cols = cold.columns
+    return (cold.unionByName(hot_out.select(*cols))
+            .drop(*[f"_v_{name}" for name in sums]))

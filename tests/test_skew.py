@@ -76,3 +76,36 @@ def test_ensemble_with_a_hot_query(spark, hot_rows):
     agg["first"] = [(first.loc[d, "pos"], first.loc[d, "rank"]) for d in agg.doc_id]
     expected = sorted(agg.itertuples(), key=lambda r: (-r.votes, -r.total, r.first))
     assert list(fused.sort_values("rank").doc_id) == [r.doc_id for r in expected]
+
+
+def test_fit_messages_hot_conversations_match(spark):
+    """Conversations above hot_rows are range-sliced; results must not change."""
+    from conftest import SF01
+    from tablefill.operators.budget import fit_messages
+    conv = spark.read.parquet(f"{SF01}/conversations.parquet")
+    plain = sorted(fit_messages(conv, 200).collect())
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        sliced = sorted(fit_messages(conv, 200, hot_rows=4).collect())
+    finally:
+        spark.conf.set(key, "true")
+    assert sliced == plain
+    assert sum(r.kept for r in plain) > 0 and sum(not r.kept for r in plain) > 0
+
+
+def test_running_within_matches_window(spark):
+    from pyspark.sql import Window
+    from tablefill.operators.ranking import running_within
+    df = _skewed_runs(spark).select("query_id", "doc_id", "run_id", "rank")
+    w = Window.partitionBy("query_id").orderBy("doc_id", "run_id").rowsBetween(Window.unboundedPreceding, 0)
+    expected = sorted(df.withColumn("c", F.count(F.lit(1)).over(w)).withColumn("s", F.sum("rank").over(w)).collect())
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = sorted(running_within(df, "query_id", [F.col("doc_id"), F.col("run_id")],
+                                    {"c": F.lit(1).cast("long"), "s": F.col("rank").cast("long")},
+                                    hot_rows=1000).collect())
+    finally:
+        spark.conf.set(key, "true")
+    assert got == expected
