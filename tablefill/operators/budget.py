@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keep_last
@@ -55,9 +55,39 @@ def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
                  .cast("long").alias("tokens")))
 
 
+def _fit_windows(messages: DataFrame, limit: int, conv: str, turn: str, role: str, content: str,
+                 reserve: int, tokenizer: Tokenizer) -> DataFrame:
+    """One pass of windows over each conversation: the form for chats that
+    are bounded by construction (one prompt's messages)."""
+    budget = limit - reserve
+    w = Window.partitionBy(conv).orderBy(turn)
+    whole = Window.partitionBy(conv)
+    m = (messages
+         .withColumn("_cost", message_cost(role, content, tokenizer))
+         .withColumn("_first", F.row_number().over(w) == 1)
+         .withColumn("_sys", F.col("_first") & (F.col(role) == F.lit("system")))
+         .withColumn("_j", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(
+             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+         .withColumn("_suffix", F.sum(F.when(F.col("_sys"), 0).otherwise(F.col("_cost"))).over(
+             whole.orderBy(F.col(turn).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+         .withColumn("_sys_cost", F.sum(F.when(F.col("_sys"), F.col("_cost")).otherwise(0)).over(whole))
+         .withColumn("_n", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(whole)))
+    fits = F.col("_sys_cost") + F.col("_suffix") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)
+    candidate = F.when(~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & fits, F.col("_j"))
+    # s = n (drop every non-system message) is allowed when n is even
+    all_dropped = F.when((F.pmod(F.col("_n"), F.lit(2)) == 0)
+                         & (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)), F.col("_n"))
+    m = m.withColumn("_start", F.least(F.min(candidate).over(whole), F.max(all_dropped).over(whole)))
+    m = m.withColumn("overflow", F.col("_start").isNull())
+    m = m.withColumn("kept", ~F.col("overflow") & (F.col("_sys") | (F.col("_j") >= F.col("_start"))))
+    m = m.withColumn("tokens_after", F.when(F.col("overflow"), F.lit(None).cast("long")).otherwise(
+        F.sum(F.when(F.col("kept"), F.col("_cost")).otherwise(0)).over(whole) + F.lit(TOKENS_PER_REPLY)))
+    return m.select(*messages.columns, "kept", "overflow", "tokens_after")
+
+
 def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
-                 tokenizer: Tokenizer = whitespace_tokenizer, hot_rows: int = 5_000_000) -> DataFrame:
+                 tokenizer: Tokenizer = whitespace_tokenizer, hot_rows: int | None = 5_000_000) -> DataFrame:
     """RK4: drop the two oldest non-system messages until the chat fits.
 
     A leading system message is kept. The kept part is a suffix of the
@@ -69,9 +99,13 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
     Per conversation facts (first turn, its role and cost, totals, the
     chosen start) are aggregations, combined map-side; the running count
     and cost along the turns come from ``running_within``, which splits a
-    conversation holding a large share of the rows across tasks. The facts
-    are joined back by conversation (AQE splits a skewed join partition).
+    conversation holding a large share of the rows across tasks
+    The facts are joined back by conversation (AQE splits a skewed join
+    partition). ``hot_rows=None`` declares conversations bounded (one
+    prompt's messages): then a single pass of windows does it all.
     """
+    if hot_rows is None:
+        return _fit_windows(messages, limit, conv, turn, role, content, reserve, tokenizer)
     budget = limit - reserve
     m = messages.withColumn("_cost", message_cost(role, content, tokenizer).cast("long"))
     facts = (m.groupBy(conv)
@@ -127,7 +161,8 @@ def fit_chat(prompts: DataFrame, limit: int, reserve: int = 0,
     """
     m = (prompts.select("query_id", F.posexplode("messages").alias("turn", "msg"))
          .select("query_id", "turn", F.col("msg.role").alias("role"), F.col("msg.content").alias("text")))
-    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer)
+    # one prompt's messages: at most 2 per example + 2, never a hot group
+    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer, hot_rows=None)
     kept = (fitted.groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("turn", "role", "text")))).alias("_m"),
                  F.max("overflow").alias("overflow")))

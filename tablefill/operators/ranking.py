@@ -63,18 +63,23 @@ def rank_within(df: DataFrame, group: str, order: Sequence[Column], out: str = "
 
 
 def running_within(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column],
-                   sizes: DataFrame | None = None, hot_rows: int = 5_000_000) -> DataFrame:
+                   sizes: DataFrame | None = None, hot_rows: int | None = 5_000_000) -> DataFrame:
     """Add running (inclusive) sums along ``order`` within each group: one
     output column per entry of ``sums`` (name -> value expression).
 
     Ordinary groups use a plain window; hot groups are range-sliced as in
     ``rank_within`` and each slice's running sums are shifted by the totals
     of the slices before it. The order must be total within a group.
+    ``hot_rows=None`` declares the groups bounded by construction: no size
+    check (which would be a job of its own over ``df``), plain windows.
     """
-    if sizes is None:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_rows).select(group)
-    n_hot = hot.count()  # size check of the broadcast key list below
+    if hot_rows is not None:
+        if sizes is None:
+            sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+        hot = sizes.filter(F.col("n") > hot_rows).select(group)
+        n_hot = hot.count()  # size check of the broadcast key list below
+    else:
+        n_hot = 0
     frame = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vals = df
     for name, expr in sums.items():

@@ -109,3 +109,11 @@ def test_running_within_matches_window(spark):
     finally:
         spark.conf.set(key, "true")
     assert got == expected
+
+
+def test_fit_messages_both_forms_agree(spark):
+    from conftest import SF01
+    from tablefill.operators.budget import fit_messages
+    conv = spark.read.parquet(f"{SF01}/conversations.parquet")
+    for limit in (60, 200, 400):
+        assert sorted(fit_messages(conv, limit, hot_rows=None).collect()) == sorted(fit_messages(conv, limit).collect())
