@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import NO_RESULT_TOKEN, rank_score, trec_escape, trec_unescape
 from .ranking import rank_within
 
+SHORT_LIST = 64  # list length up to which the one-pass dedupe is cheaper
+
 def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
            list_col: str = "suggestions", drop_no_result: bool = False) -> DataFrame:
     """RK1: one row per kept suggestion.
@@ -31,19 +33,33 @@ def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
         filled = F.when(lst.isNull() | (F.size(lst) == 0),
                         F.array(F.lit(NO_RESULT_TOKEN))).otherwise(lst)
     escaped = F.transform(filled, lambda x: trec_escape(x))
-    # first occurrence of each value, in O(n log n): sort (value, position),
-    # keep an entry when its sorted neighbour holds another value, then put
-    # the survivors back in position order
-    pairs = F.transform(escaped, lambda x, i: F.struct(x.alias("doc_id"), i.alias("pos")))
-    by_value = F.array_sort(F.filter(pairs, lambda s: s["doc_id"].isNotNull()))  # a missing value is no suggestion
+    run_col = F.lit(run_id) if run_id is not None else F.col("run_id")
+    # escape once; every step below reads the staged column
+    esc = F.col("_escaped")
+    # a missing value is no suggestion
+    present = F.filter(F.transform(esc, lambda x, i: F.struct(x.alias("doc_id"), i.alias("pos"))),
+                       lambda s: s["doc_id"].isNotNull())
+    is_short = F.size(esc) <= SHORT_LIST
+    # long lists, O(n log n): sort (value, position), keep an entry when its
+    # sorted neighbour holds another value, restore position order. The
+    # sorted array is bound to a column first: a lambda referring to the
+    # sorting expression itself would re-sort it for every element.
+    staged = (suggestions
+              .select(run_col.alias("run_id"), "query_id", escaped.alias("_escaped"))
+              .select("run_id", "query_id", "_escaped",
+                      F.when(~is_short, F.array_sort(present)).alias("_by_value")))
+    by_value = F.col("_by_value")
     firsts = F.filter(by_value, lambda s, j: (j == 0)
                       | (F.element_at(by_value, j)["doc_id"] != s["doc_id"]))
-    kept = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["pos"].alias("pos"),
+    long = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["pos"].alias("pos"),
                                                                           s["doc_id"].alias("doc_id")))),
                        lambda s: F.struct(s["doc_id"].alias("doc_id"), s["pos"].alias("pos")))
-    run_col = F.lit(run_id) if run_id is not None else F.col("run_id")
-    return (suggestions
-            .select(run_col.alias("run_id"), "query_id", F.explode(kept).alias("s"))
+    # short lists (model answers): keep element i if its first occurrence is
+    # at i — one pass, quadratic only in a list of at most SHORT_LIST items
+    short = F.filter(present, lambda s: F.array_position(esc, s["doc_id"]) == s["pos"] + 1)
+    kept = F.when(is_short, short).otherwise(long)
+    return (staged
+            .select("run_id", "query_id", F.explode(kept).alias("s"))
             .select("run_id", "query_id", F.col("s.doc_id").alias("doc_id"),
                     (F.col("s.pos") + 1).cast("int").alias("rank"),
                     rank_score("s.pos").alias("score"),
