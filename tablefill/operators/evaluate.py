@@ -17,7 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# trec_eval's measure names in report order, and the report
+# line's pieces (run name right-aligned in 19, query count in 4, one-decimal
+# percentages, the two marks).
 METRICS_ORDER = ("success_1", "success_5", "P_5")
+REPORT_RUN = "name=%19s, seeds=%d, "
+REPORT_QUERIES = "queries=%4d"
+REPORT_METRIC = ", {}="
+REPORT_PERCENT = "%d.%d%%"
+DEBUG_MARK = " (debug)"
+VALIDATION_MARK = " (validation)"
 
 
 def _metric_names(success: Sequence[int], precision: Sequence[int]) -> list[tuple[str, str, int]]:
@@ -95,14 +104,14 @@ def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFr
         # one-decimal percent from integer tenths: the same digits on every
         # engine (printf-style rounding differs between Java and C on ties)
         tenths = F.floor(F.col(c) * 1000.0 + 0.5).cast("long")
-        return F.format_string("%d.%d%%", F.floor(tenths / 10).cast("long"), F.pmod(tenths, F.lit(10)))
-    line = F.concat(F.format_string("queries=%4d", F.col("queries")),
-                    *[F.concat(F.lit(f", {m}="), pct(m)) for m in METRICS_ORDER])
+        return F.format_string(REPORT_PERCENT, F.floor(tenths / 10).cast("long"), F.pmod(tenths, F.lit(10)))
+    line = F.concat(F.format_string(REPORT_QUERIES, F.col("queries")),
+                    *[F.concat(F.lit(REPORT_METRIC.format(m)), pct(m)) for m in METRICS_ORDER])
     if run_meta is not None:
         wide = wide.join(run_meta.select("run_id", "seeds", "debug", "validation"), "run_id", "left")
-        line = F.concat(F.format_string("name=%19s, seeds=%d, ", F.col("run_id"), F.col("seeds")), line,
-                        F.when(F.col("debug"), F.lit(" (debug)")).otherwise(F.lit("")),
-                        F.when(F.col("validation"), F.lit(" (validation)")).otherwise(F.lit("")))
+        line = F.concat(F.format_string(REPORT_RUN, F.col("run_id"), F.col("seeds")), line,
+                        F.when(F.col("debug"), F.lit(DEBUG_MARK)).otherwise(F.lit("")),
+                        F.when(F.col("validation"), F.lit(VALIDATION_MARK)).otherwise(F.lit("")))
     return wide.withColumn("report", line)
 
 

@@ -24,12 +24,22 @@ from ..functions.text import json_list_ascii, xml_escape
 from ..operators.tables import rest_after, subject
 
 
-# The instruction sentence shared by both templates.
+# The text of both prompt templates, in template order.
 INSTRUCTION = ("Your mission, as a sequence detective, is to fill in the gaps of the provided partial "
                "data column by identifying the next elements in the sequence. Deliver your solution as "
                "a JSON list, ensuring the values are in their logical sequence.")
-# The lead the instruction template ends with.
+INST_OPEN = "[INST] "
+DESCRIPTION_LABEL = "Table description:\n"
+HEADERS_LABEL = "\nAll table headers:\n"
+SUBJECT_LABEL = "\nHeader of column to expand:\n"
+COLUMN_LABEL = "\nColumn:\n"
+INST_CLOSE = " [/INST]\n"
 LEAD = '["'
+MESSAGES_OPEN = "<messages>\n"
+SYSTEM_OPEN, SYSTEM_CLOSE = "<system>", "</system>\n"
+USER_OPEN, USER_CLOSE = "<user>", "</user>\n"
+ASSISTANT_OPEN, ASSISTANT_CLOSE = "<assistant>", "</assistant>\n"
+MESSAGES_CLOSE = "</messages>"
 
 
 def _json(ascii_only: bool) -> Callable[[Column], Column]:
@@ -76,12 +86,12 @@ def render_instruct(queries: DataFrame, examples: DataFrame | None, tables: Data
                     ascii_only: bool = False) -> DataFrame:
     """PR1: the instruction prompt; adds ``prompt``. Ends with the lead ``["``."""
     js = _json(ascii_only)
-    head = F.lit(f"[INST] {INSTRUCTION}\n\nTable description:\n")
+    head = F.lit(INST_OPEN + INSTRUCTION + "\n\n" + DESCRIPTION_LABEL)
 
     def block(desc, headers_json, header0, col_json, tail):
-        return F.concat(head, desc, F.lit("\nAll table headers:\n"), headers_json,
-                        F.lit("\nHeader of column to expand:\n"), header0, F.lit("\nColumn:\n"),
-                        col_json, F.lit(" [/INST]\n"), tail)
+        return F.concat(head, desc, F.lit(HEADERS_LABEL), headers_json,
+                        F.lit(SUBJECT_LABEL), header0, F.lit(COLUMN_LABEL),
+                        col_json, F.lit(INST_CLOSE), tail)
 
     q_block = block(F.col("description"), js(F.col("headers")), F.col("headers")[0],
                     js(subject("rows")), F.lit(LEAD))
@@ -98,9 +108,9 @@ def render_instruct(queries: DataFrame, examples: DataFrame | None, tables: Data
 
 
 def _user_text(desc, headers_json, header0, col_json, twice: bool) -> Column:
-    first = "Table description:\nTable description:\n" if twice else "Table description:\n"
-    return F.concat(F.lit(first), desc, F.lit("\nAll table headers:\n"), headers_json,
-                    F.lit("\nHeader of column to expand:\n"), header0, F.lit("\nColumn:\n"), col_json)
+    first = DESCRIPTION_LABEL * (2 if twice else 1)
+    return F.concat(F.lit(first), desc, F.lit(HEADERS_LABEL), headers_json,
+                    F.lit(SUBJECT_LABEL), header0, F.lit(COLUMN_LABEL), col_json)
 
 
 def render_chat(queries: DataFrame, examples: DataFrame | None, tables: DataFrame | None,
@@ -115,8 +125,8 @@ def render_chat(queries: DataFrame, examples: DataFrame | None, tables: DataFram
     q_user = _user_text(F.col("description"), js(F.col("headers")), F.col("headers")[0],
                         js(subject("rows")), twice=False)
     system = F.struct(F.lit("system").alias("role"), F.lit(INSTRUCTION).alias("content"))
-    head = F.lit(f"<messages>\n<system>{INSTRUCTION}</system>\n")
-    q_xml = F.concat(F.lit("\n<user>"), xml_escape(q_user), F.lit("</user>\n</messages>"))
+    head = F.lit(MESSAGES_OPEN + SYSTEM_OPEN + INSTRUCTION + SYSTEM_CLOSE)
+    q_xml = F.concat(F.lit("\n" + USER_OPEN), xml_escape(q_user), F.lit(USER_CLOSE + MESSAGES_CLOSE))
     q_msg = F.struct(F.lit("user").alias("role"), q_user.alias("content"))
     if examples is None:
         return (queries.withColumn("prompt", F.concat(head, q_xml))
@@ -126,8 +136,8 @@ def render_chat(queries: DataFrame, examples: DataFrame | None, tables: DataFram
                       twice=True)
     ex = parts.select(
         "query_id", "pos",
-        F.concat(F.lit("<user>"), xml_escape(user), F.lit("</user>\n<assistant>"),
-                 xml_escape(F.col("e_rest_json")), F.lit("</assistant>\n")).alias("xml"),
+        F.concat(F.lit(USER_OPEN), xml_escape(user), F.lit(USER_CLOSE + ASSISTANT_OPEN),
+                 xml_escape(F.col("e_rest_json")), F.lit(ASSISTANT_CLOSE)).alias("xml"),
         F.array(F.struct(F.lit("user").alias("role"), user.alias("content")),
                 F.struct(F.lit("assistant").alias("role"), F.col("e_rest_json").alias("content"))).alias("pair"))
     gathered = (ex.groupBy("query_id")
