@@ -18,6 +18,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.trec import RUN_FILE
+
+# The TREC run line's constant second column.
+TREC_Q0 = "Q0"
+
 META_SCHEMA = ("run_id string, folder string, seeds int, task string, members string, "
                "completed boolean, debug boolean")
 
@@ -25,7 +30,7 @@ META_SCHEMA = ("run_id string, folder string, seeds int, task string, members st
 def trec_lines(runs: DataFrame) -> DataFrame:
     """``query_id Q0 doc_id rank score tag``, tab separated. A newline in a
     doc id would break the file, so it raises instead."""
-    line = F.concat_ws("\t", "query_id", F.lit("Q0"), "doc_id", F.col("rank").cast("string"),
+    line = F.concat_ws("\t", "query_id", F.lit(TREC_Q0), "doc_id", F.col("rank").cast("string"),
                        F.col("score").cast("string"), "tag")
     bad = F.col("doc_id").contains("\n") | F.col("doc_id").contains("\r")
     return runs.select(F.when(bad, F.raise_error(F.concat(F.lit("newline in doc id: "), F.col("doc_id"))))
@@ -38,7 +43,7 @@ def write_run(runs: DataFrame, root: str, run_id: str, folder: str, seeds: int,
     root = root.rstrip("/")
     ordered = runs.filter(F.col("run_id") == run_id) if "run_id" in runs.columns else runs
     ordered = ordered.sortWithinPartitions("query_id", "rank")
-    trec_lines(ordered).write.mode("errorifexists").text(f"{root}/{run_id}/trec.log")
+    trec_lines(ordered).write.mode("errorifexists").text(f"{root}/{run_id}/{RUN_FILE}")
     spark = runs.sparkSession
     row = (run_id, folder, int(seeds), json.dumps(task or {}, sort_keys=True),
            json.dumps(members) if members else None, True, bool(debug))

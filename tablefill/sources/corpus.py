@@ -16,6 +16,7 @@ which Spark packs several to a task.
 from __future__ import annotations
 
 import io
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import describe_meta
 
+# The corpus file suffixes (a table and its meta data).
+TABLE_GLOB = "*.csv"
+META_SUFFIX = "_meta.json"
+
 TABLE_SCHEMA = "path string, headers array<string>, rows array<array<string>>"
 
 
@@ -44,7 +49,7 @@ def list_table_files(spark: SparkSession, folder: str) -> DataFrame:
     _require_dir(spark, folder)
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.csv")
+             .option("pathGlobFilter", TABLE_GLOB)
              .load(folder)
              .select("path", "length"))
     return files.withColumn("parts", F.split(F.col("path"), "/"))
@@ -67,16 +72,16 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
     _require_dir(spark, folder)
     raw = (spark.read.format("binaryFile")
            .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.csv")
+           .option("pathGlobFilter", TABLE_GLOB)
            .load(folder)
            .select("path", "content"))
     parsed = raw.mapInPandas(_parse_csv_batches, TABLE_SCHEMA)
     # wholetext must be the keyword: text()'s own default would override an option
     meta = (spark.read
             .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*_meta.json")
+            .option("pathGlobFilter", "*" + META_SUFFIX)
             .text(folder, wholetext=True)
-            .select(F.regexp_replace(F.col("_metadata.file_path"), r"_meta\.json$", "").alias("stem"),
+            .select(F.regexp_replace(F.col("_metadata.file_path"), re.escape(META_SUFFIX) + "$", "").alias("stem"),
                     F.from_json("value", "map<string,string>").alias("meta")))
     stem = F.regexp_replace(F.col("path"), r"\.csv$", "")
     t = parsed.withColumn("stem", stem).join(meta, "stem", "left")

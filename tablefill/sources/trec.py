@@ -11,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The run-folder layout and file names of the original tool.
+RUN_FILE = "trec.log"
+KEEP_FLAG = "keep.flag"
+DEBUG_FLAG = "debug.flag"
+BENCHMARK_CONFIG = "benchmark.yaml"
+BASELINE_GLOB = "BL3_co*{seeds}.txt"
+
 QRELS_SCHEMA = "query_id string, iter string, doc_id string, relevance int"
 RUN_FILE_SCHEMA = "query_id string, q0 string, doc_id string, rank int, score double, tag string"
 
@@ -31,7 +38,7 @@ def _folder_name(path_col) -> F.Column:
     return F.regexp_extract(path_col, r"([^/]+)/trec\.log(/[^/]*)?$", 1)
 
 
-def read_runs(spark: SparkSession, root: str, pattern: str = "*/trec.log", kind: str = "run") -> DataFrame:
+def read_runs(spark: SparkSession, root: str, pattern: str = f"*/{RUN_FILE}", kind: str = "run") -> DataFrame:
     """SRC4 (+SRC8 with ``pattern='BL3_co*3.txt', kind='baseline'``):
     ``run_id, query_id, doc_id, rank, score, tag, kind``.
 
@@ -46,7 +53,7 @@ def read_runs(spark: SparkSession, root: str, pattern: str = "*/trec.log", kind:
 
 def baseline_files(spark: SparkSession, folder: str, seeds: int) -> DataFrame:
     """SRC8: baseline outputs ``BL3_co*<seeds>.txt``, largest file first."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", f"BL3_co*{seeds}.txt").load(folder)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", BASELINE_GLOB.format(seeds=seeds)).load(folder)
             .select("path", "length")
             # one row per baseline file: a global window over them is tiny
             .withColumn("size_rank", F.row_number().over(Window.orderBy(F.col("length").desc(), "path"))))
@@ -75,7 +82,7 @@ def _glob(spark: SparkSession, pattern: str) -> list:
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """SRC6: run folders that contain a run file (a file, or a folder of
     parts), in name (= creation time) order, with the run file's time."""
-    found = _glob(spark, f"{root.rstrip('/')}/*/trec.log")
+    found = _glob(spark, f"{root.rstrip('/')}/*/{RUN_FILE}")
     rows = sorted((st.getPath().getParent().getName(), int(st.getModificationTime())) for st in found)
     return spark.createDataFrame(rows, "run_id string, created long").orderBy("run_id")
 
@@ -106,12 +113,12 @@ def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
     def folders_with(name: str) -> list[str]:
         return [st.getPath().getParent().getName() for st in _glob(spark, f"{root}/*/{name}")]
 
-    runs = set(folders_with("trec.log"))
-    keep, debug = set(folders_with("keep.flag")), set(folders_with("debug.flag"))
+    runs = set(folders_with(RUN_FILE))
+    keep, debug = set(folders_with(KEEP_FLAG)), set(folders_with(DEBUG_FLAG))
     flags = spark.createDataFrame([(r, r in keep, r in debug) for r in sorted(runs)],
                                   "run_id string, completed boolean, debug boolean")
     # wholetext must be the keyword: text()'s own default would override an option
-    conf = (spark.read.text(f"{root}/*/benchmark.yaml", wholetext=True)
+    conf = (spark.read.text(f"{root}/*/{BENCHMARK_CONFIG}", wholetext=True)
             .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/benchmark\.yaml$", 1).alias("run_id"),
                     F.nullif(F.regexp_extract("value", r"(?m)^seeds:\s*(\d+)\s*$", 1), F.lit(""))
                     .cast("int").alias("seeds"),
