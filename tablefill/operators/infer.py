@@ -121,26 +121,28 @@ def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
     token -> bucket md5(token) mod dim. Counting is an aggregation on
     (id, bucket) — partial aggregation before the shuffle — and the vector
     is assembled from at most ``dim`` entries per id. Texts without tokens
-    get the zero vector.
+    (empty or NULL) get the zero vector.
     """
-    # explode, then drop empty tokens as rows: stays in whole-stage codegen
-    # (a higher-order filter over the array would be interpreted)
+    # explode, then mark empty tokens rather than dropping them: a text
+    # without tokens still yields its (id, null) group and so its zero
+    # vector, without a join back to the ids. Stays in whole-stage codegen.
     toks = F.split(F.col(text_col), r"[ \t\n\r\f\x0B]+")
-    counts = (df.select(F.col(id_col).alias("id"), F.explode(toks).alias("tok"))
-              .filter(F.col("tok") != F.lit(""))
-              .withColumn("bucket", F.pmod(F.conv(F.substring(F.md5(F.col("tok")), 1, 7), 16, 10)
-                                           .cast("long"), F.lit(dim)).cast("int"))
+    tok = F.col("tok")
+    bucket = F.when(tok != F.lit(""), F.pmod(F.conv(F.substring(F.md5(tok), 1, 7), 16, 10).cast("long"),
+                                             F.lit(dim)).cast("int"))
+    counts = (df.select(F.col(id_col).alias("id"), F.explode_outer(toks).alias("tok"))
+              .withColumn("bucket", bucket)
               .groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    real = F.col("bucket").isNotNull()
     per_id = (counts.groupBy("id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"),
-                   F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
+              .agg(F.map_from_entries(F.collect_list(F.when(real, F.struct("bucket", "n")))).alias("m"),
+                   F.sqrt(F.sum(F.when(real, F.col("n") * F.col("n")))).alias("norm")))
     etype = "float" if float32 else "double"
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: (F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm")).cast(etype))
-    ids = df.select(F.col(id_col).alias("id"))
     zero = F.array_repeat(F.lit(0.0).cast(etype), dim)
-    return (ids.join(per_id.select("id", vec.alias("embedding")), "id", "left")
-            .select(F.col("id").alias(id_col), F.coalesce("embedding", zero).alias("embedding")))
+    return per_id.select(F.col("id").alias(id_col),
+                         F.when(F.col("norm") > 0, vec).otherwise(zero).alias("embedding"))
 
 
 def embed(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]],

@@ -45,9 +45,10 @@ def test_constant_model(spark):
 
 
 def test_embed_hash_unit_norm_and_mean_pool(spark):
-    df = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, "zz")], "id long, text string")
+    df = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, "zz"), (4, None), (5, "  ")], "id long, text string")
     e = {r.id: r.embedding for r in embed_hash(df, "text", "id", dim=16).collect()}
     assert abs(sum(x * x for x in e[1]) - 1.0) < 1e-5 and sum(e[2]) == 0.0
+    assert len(e) == 5 and e[4] == [0.0] * 16 and e[5] == [0.0] * 16
     v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 4.0])], "g int, embedding array<double>")
     got = {(r.g, r.dim): round(r.value, 6) for r in mean_pool(v, "g").collect()}
     assert got == {(0, 0): 0.707107, (0, 1): 0.707107, (1, 0): 0.6, (1, 1): 0.8}
