@@ -74,3 +74,27 @@ def test_retry_only_on_listed_errors(spark):
     boom = spark.createDataFrame([("boom",)], "prompt string")
     with pytest.raises(Exception):
         complete(boom, FlakyModel(), on_too_long="keep_last", keep_last_n=2, retry_on=(PromptTooLong,)).collect()
+
+
+class LengthEncoder:
+    """A toy encoder: (len, vowels) normalised to unit length."""
+
+    def __call__(self):
+        import math
+
+        def encode(texts):
+            out = []
+            for t in texts:
+                v = [float(len(t)), float(sum(c in "aeiou" for c in t))]
+                n = math.sqrt(sum(x * x for x in v)) or 1.0
+                out.append([x / n for x in v])
+            return out
+        return encode
+
+
+def test_encoder_slot(spark):
+    from tablefill.operators.infer import embed
+    df = spark.createDataFrame([(1, "banana"), (2, "xyz")], "id long, text string")
+    got = {r.id: r.embedding for r in embed(df, "text", LengthEncoder(), batch_size=1).collect()}
+    assert [round(x, 4) for x in got[1]] == [round(6 / 45 ** 0.5, 4), round(3 / 45 ** 0.5, 4)]
+    assert got[2] == [1.0, 0.0]
