@@ -79,3 +79,16 @@ def test_user_template(spark):
     q, _, _ = _frames(spark)
     out = render(q, lambda df: F.concat(F.lit("Continue: "), F.array_join(F.transform("rows", lambda r: r[0]), "; ")))
     assert out.first().prompt == "Continue: Nile; Rhine"
+
+
+def test_ascii_fast_path_equals_exact_path(spark):
+    from conftest import SF001
+    from tablefill.operators.sampling import sample_fixed
+    from tablefill.operators.tables import split_seeds
+    from tablefill.sources import derived
+    q = split_seeds(derived.customer_tables(spark, SF001), 2)
+    parts = derived.part_tables(spark, SF001)
+    ex = sample_fixed(q, parts, k=2, seed=3)
+    exact = {r.query_id: r.prompt for r in render_instruct(q, ex, parts).collect()}
+    fast = {r.query_id: r.prompt for r in render_instruct(q, ex, parts, ascii_only=True).collect()}
+    assert exact == fast and len(exact) > 0
