@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spark_context
+
 KNN_SCHEMA = "query_id string, table_id string, score double"
 
 
@@ -107,7 +109,9 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
     be = max(1, math.ceil(ne / e_block_rows))
     # keep every core busy: split the queries further (down to 256 per
     # block) when the grid has fewer cells than the cluster has task slots
-    slots = queries.sparkSession.sparkContext.defaultParallelism
+    sc = spark_context(queries.sparkSession)
+    slots = sc.defaultParallelism if sc is not None else int(
+        queries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if bq * be < slots:
         bq = max(bq, min(math.ceil(slots / be), math.ceil(nq / 256)))
     qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))

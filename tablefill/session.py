@@ -68,10 +68,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def spark_context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    sc = spark_context(spark)
+    if sc is None:  # Spark Connect: only the setting matters (see materialize)
+        if not conf_dir:
+            conf_dir = tempfile.mkdtemp(prefix="tablefill-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        return conf_dir
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
@@ -114,8 +127,8 @@ def ship_package(spark: SparkSession) -> None:
     a zip of the package, once per application) — needed when the driver
     does not run from the repository root, and on any real cluster."""
     import zipfile
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = spark_context(spark)
+    app = sc.applicationId if sc is not None else f"connect:{spark.client.session_id}"
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -126,5 +139,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:  # Spark Connect ships Python code as session artifacts
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(app)

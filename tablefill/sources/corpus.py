@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import describe_meta
+from ..session import spark_context
 
 # The corpus file suffixes (a table and its meta data).
 TABLE_GLOB = "*.csv"
@@ -32,6 +33,8 @@ TABLE_SCHEMA = "path string, headers array<string>, rows array<array<string>>"
 
 
 def _require_dir(spark: SparkSession, folder: str) -> None:
+    if spark_context(spark) is None:  # Spark Connect: the scan reports a missing path itself
+        return
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spark_context
+
 # The run-folder layout and file names of the original tool.
 RUN_FILE = "trec.log"
 KEEP_FLAG = "keep.flag"
@@ -71,19 +73,32 @@ def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _glob(spark: SparkSession, pattern: str) -> list:
-    """File statuses matching a glob (file-system metadata, no file scan:
-    scans skip empty files, and a flag or an empty run file is empty)."""
-    jvm = spark.sparkContext._jvm
+    """``(parent folder name, modification time)`` of the paths matching a
+    glob — file-system metadata, no file scan: scans skip empty files, and a
+    flag or an empty run file is empty. Under Spark Connect (no JVM access)
+    a metadata-only ``binaryFile`` listing is used, which misses empty files."""
+    sc = spark_context(spark)
+    if sc is None:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load(pattern.rsplit("/", 2)[0]).select("path", "modificationTime"))
+        name = pattern.rsplit("/", 1)[1]
+        rows = files.filter(F.col("path").endswith("/" + name) | F.col("path").contains("/" + name + "/")).collect()
+        out = {}
+        for r in rows:
+            parent = r.path.split("/" + name)[0].rsplit("/", 1)[1]
+            out[parent] = int(r.modificationTime.timestamp() * 1000)
+        return sorted(out.items())
+    jvm = sc._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return list(fs.globStatus(path) or [])
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    return [(st.getPath().getParent().getName(), int(st.getModificationTime()))
+            for st in (fs.globStatus(path) or [])]
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """SRC6: run folders that contain a run file (a file, or a folder of
     parts), in name (= creation time) order, with the run file's time."""
-    found = _glob(spark, f"{root.rstrip('/')}/*/{RUN_FILE}")
-    rows = sorted((st.getPath().getParent().getName(), int(st.getModificationTime())) for st in found)
+    rows = sorted(_glob(spark, f"{root.rstrip('/')}/*/{RUN_FILE}"))
     return spark.createDataFrame(rows, "run_id string, created long").orderBy("run_id")
 
 
@@ -111,7 +126,7 @@ def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
 
     def folders_with(name: str) -> list[str]:
-        return [st.getPath().getParent().getName() for st in _glob(spark, f"{root}/*/{name}")]
+        return [parent for parent, _ in _glob(spark, f"{root}/*/{name}")]
 
     runs = set(folders_with(RUN_FILE))
     keep, debug = set(folders_with(KEEP_FLAG)), set(folders_with(DEBUG_FLAG))

@@ -113,3 +113,16 @@ def test_write_completions(spark, scratch):
     assert spark.read.parquet(path).first().seconds == 0.5
     with pytest.raises(Exception):
         write_completions(df, path)
+
+
+def test_listing_fallback_without_jvm_access(spark, scratch, monkeypatch):
+    """The path used under Spark Connect: a metadata-only scan listing."""
+    import tablefill.sources.trec as trec
+    for run in ("2024-02-01_00-00-00", "2024-02-02_00-00-00"):
+        os.makedirs(os.path.join(scratch, run))
+        with open(os.path.join(scratch, run, "trec.log"), "w") as f:
+            f.write("q\tQ0\td\t1\t1.0\tt\n")
+    classic = [r.run_id for r in trec.list_runs(spark, scratch).collect()]
+    monkeypatch.setattr(trec, "spark_context", lambda s: None)
+    assert [r.run_id for r in trec.list_runs(spark, scratch).collect()] == classic == [
+        "2024-02-01_00-00-00", "2024-02-02_00-00-00"]
