@@ -32,8 +32,9 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
             max_prompt_tokens: int | None = None) -> DataFrame:
     """SW3 + PRJ8: suggestions for every query.
 
-    Returns the rendered queries plus ``prompt``, ``completion``,
-    ``truncated``, ``seconds`` and ``suggestions`` (array<string>).
+    Returns ``query_id``, ``prompt`` (plus ``target`` / ``seeds`` when the
+    queries carry them), ``completion``, ``truncated``, ``seconds`` and
+    ``suggestions`` (array<string>).
     ``pre``/``post`` are the overridable hooks (identity by default).
     With ``template='chat'`` the model receives the messages as JSON; with
     ``chat_limit`` they are first fitted to the context (RK4), keeping
