@@ -23,16 +23,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import spark_context
 
-KNN_SCHEMA = "query_id string, table_id string, score double"
-
-
-def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
+def _block_topk(k: int, exclude_self: bool, decimals: int | None = None,
+                 q_payload: tuple = (), e_payload: tuple = ()):
     def fn(qdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
+        extra = [f"q_{c}" for c in q_payload] + [f"e_{c}" for c in e_payload]
         if len(qdf) == 0 or len(edf) == 0:
-            return pd.DataFrame({"query_id": [], "table_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in ["query_id", "table_id", "score", *extra]})
         e_ids = edf["eid"].to_numpy(dtype=object)
         e_mat = np.stack(edf["evec"].to_numpy()).astype(np.float64)
         id_rank = np.empty(len(e_ids), dtype=np.int64)  # rank of each id, for tie-breaks
@@ -68,8 +68,14 @@ def _block_topk(k: int, exclude_self: bool, decimals: int | None = None):
                 out_q.append(np.repeat(qi[row:row + 1], len(best)))
                 out_e.append(e_ids[best])
                 out_s.append(scores[row, best])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "table_id": np.concatenate(out_e),
-                             "score": np.concatenate(out_s).astype(np.float64)})
+        out = pd.DataFrame({"query_id": np.concatenate(out_q), "table_id": np.concatenate(out_e),
+                            "score": np.concatenate(out_s).astype(np.float64)})
+        # payload columns ride along, looked up by id inside the block
+        for c in q_payload:
+            out[f"q_{c}"] = out["query_id"].map(dict(zip(q_ids, qdf[f"q_{c}"])))
+        for c in e_payload:
+            out[f"e_{c}"] = out["table_id"].map(dict(zip(e_ids, edf[f"e_{c}"])))
+        return out
     return fn
 
 
@@ -80,7 +86,7 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              e_block_rows: int | None = None, decimals: int | None = 12,
              n_queries: int | None = None, n_examples: int | None = None,
              q_block_bytes: int = 64 << 20, e_block_bytes: int = 256 << 20,
-             dim: int | None = None) -> DataFrame:
+             dim: int | None = None, query_payload: tuple = (), example_payload: tuple = ()) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
@@ -92,9 +98,19 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
     ``n_queries`` / ``n_examples`` (row counts) and ``dim`` size the block
     grid; when not given they are read here — pass them when the vectors are
     computed on the fly, so sizing does not run the embedding twice.
+
+    ``query_payload`` / ``example_payload`` name columns carried through
+    from each side (output as ``q_<name>`` / ``e_<name>``), which saves a
+    join back to either side after the search.
     """
-    q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qvec"))
-    e = examples.select(F.col(example_id).cast("string").alias("eid"), F.col(example_vec).alias("evec"))
+    q = queries.select(F.col(query_id).cast("string").alias("qid"), F.col(query_vec).alias("qvec"),
+                       *[F.col(c).alias(f"q_{c}") for c in query_payload])
+    e = examples.select(F.col(example_id).cast("string").alias("eid"), F.col(example_vec).alias("evec"),
+                        *[F.col(c).alias(f"e_{c}") for c in example_payload])
+    schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("table_id", T.StringType()),
+                           T.StructField("score", T.DoubleType())]
+                          + [T.StructField(f"q_{c}", queries.schema[c].dataType) for c in query_payload]
+                          + [T.StructField(f"e_{c}", examples.schema[c].dataType) for c in example_payload])
     # size check: two count jobs decide the block grid (no data reaches the driver)
     nq = q.count() if n_queries is None else n_queries
     ne = e.count() if n_examples is None else n_examples
@@ -120,7 +136,8 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
     cand = (qb.groupBy("qb", "eb")
             .cogroup(eb.groupBy("qb", "eb"))
-            .applyInPandas(_block_topk(k, exclude_self, decimals), KNN_SCHEMA))
+            .applyInPandas(_block_topk(k, exclude_self, decimals, tuple(query_payload), tuple(example_payload)),
+                           schema))
     # merge the per-block top k (k x Be candidates per query) into the exact top k
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("table_id"))
     return cand.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

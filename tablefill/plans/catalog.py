@@ -65,14 +65,14 @@ def knn_topk_reversed_q(spark, sf):
 @register("knn_eval_all")
 def knn_eval_all_q(spark, sf):
     """Minimum slice: KNN top-5 as a run, judged by same label, scored."""
-    nn = _knn(spark, sf)
+    v = derived.knn_vectors(spark, sf)
+    # the labels ride through the search: no join back to the vectors
+    nn = knn_topk(v, v, 5, query_id="vec_id", example_id="vec_id", exclude_self=True,
+                  query_payload=("label",), example_payload=("label",))
     run = nn.select(F.lit("knn").alias("run_id"), "query_id", F.col("table_id").alias("doc_id"),
                     F.col("pos").cast("int").alias("rank"), rank_score(F.col("pos") - 1).alias("score"))
-    labels = derived.knn_vectors(spark, sf).select(F.col("vec_id").cast("string").alias("id"), "label")
-    ql = labels.select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
-    dl = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("dl"))
-    qrels = (run.join(ql, "query_id").join(dl, "doc_id")
-             .select("query_id", "doc_id", (F.col("ql") == F.col("dl")).cast("int").alias("relevance")))
+    qrels = nn.select("query_id", F.col("table_id").alias("doc_id"),
+                      (F.col("q_label") == F.col("e_label")).cast("int").alias("relevance"))
     return summarize(evaluate(run, qrels)).select("run_id", "metric", "score", "queries")
 
 

@@ -50,3 +50,13 @@ def test_ties_break_by_smaller_id_across_blocks(spark):
         s = mat @ base[i % 6]
         order = sorted(range(len(ids)), key=lambda j: (-round(s[j], 12), ids[j]))[:7]
         assert [t for _, t in sorted(got[f"q{i}"])] == [ids[j] for j in order]
+
+
+def test_payload_rides_along_across_blocks(spark):
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    nn = knn_topk(emb, emb, 3, query_id="vec_id", example_id="vec_id", exclude_self=True,
+                  q_block_rows=70, e_block_rows=90, query_payload=("label",), example_payload=("label",))
+    labels = {str(r.vec_id): r.label for r in emb.select("vec_id", "label").collect()}
+    rows = nn.collect()
+    assert len(rows) == 500 * 3
+    assert all(r.q_label == labels[r.query_id] and r.e_label == labels[r.table_id] for r in rows)
