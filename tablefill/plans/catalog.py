@@ -65,10 +65,13 @@ def knn_topk_reversed_q(spark, sf):
 @register("knn_eval_all")
 def knn_eval_all_q(spark, sf):
     """Minimum slice: KNN top-5 as a run, judged by same label, scored."""
+    from ..session import materialize
     v = derived.knn_vectors(spark, sf)
-    # the labels ride through the search: no join back to the vectors
-    nn = knn_topk(v, v, 5, query_id="vec_id", example_id="vec_id", exclude_self=True,
-                  query_payload=("label",), example_payload=("label",))
+    # the labels ride through the search (no join back to the vectors), and
+    # the k-per-query result, read by both the run and the judgments, is
+    # written once: two readers with different columns would each re-run it
+    nn = materialize(knn_topk(v, v, 5, query_id="vec_id", example_id="vec_id", exclude_self=True,
+                              query_payload=("label",), example_payload=("label",)))
     run = nn.select(F.lit("knn").alias("run_id"), "query_id", F.col("table_id").alias("doc_id"),
                     F.col("pos").cast("int").alias("rank"), rank_score(F.col("pos") - 1).alias("score"))
     qrels = nn.select("query_id", F.col("table_id").alias("doc_id"),
