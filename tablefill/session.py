@@ -76,23 +76,32 @@ def spark_context(spark: SparkSession):
         return None
 
 
+def _scratch_dir(master: str) -> str:
+    """A local folder for ``local[...]`` masters, whose tasks all run in the
+    driver's process; any other master needs a folder that all executors share."""
+    if not master.startswith("local[") and master != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="tablefill-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a scratch
+    folder is made for a local master; any other master raises ``ValueError``."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark_context(spark)
     if sc is None:  # Spark Connect: only the setting matters (see materialize)
         if not conf_dir:
-            conf_dir = tempfile.mkdtemp(prefix="tablefill-ckpt-")
+            conf_dir = _scratch_dir(spark.conf.get("spark.master", "a remote session"))
             spark.conf.set("spark.checkpoint.dir", conf_dir)
         return conf_dir
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tablefill-ckpt-")
+        conf_dir = _scratch_dir(sc.master)
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
-    return conf_dir
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
