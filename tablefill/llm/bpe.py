@@ -32,7 +32,7 @@ PIECE_CHARS = 50_000   # texts beyond this are encoded in pieces of about this s
 WHITE_RUN = 2_000      # white-space runs from this length are taken out of the regex's way
 
 #: Unicode White_Space (fixed values): what ``\\s`` is to the split pattern.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LONG_RUN = re.compile(f"[{WHITE}]{{{WHITE_RUN},}}")
 _CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 

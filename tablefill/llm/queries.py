@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefill.llm import bpe, pii, tokenbin
+from tablefill.llm import bpe, htmltext, langid, pii, tokenbin, toxicity
 from tablefill.llm.common import read_documents
 
 
@@ -17,15 +17,32 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.toxicity_scores(read_documents(spark, sf_dir), labels)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.page_texts(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     return tokenbin.token_files(read_documents(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.languages(read_documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and what they decode to."""
     return bpe.token_digests(read_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_pii": op2_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {f.__name__: f for f in (
+    op2_pii, op5_toxicity, op6_html_text, op8_token_files, op9_language, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
