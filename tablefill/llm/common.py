@@ -166,6 +166,38 @@ def shingles(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(total[at]), rows[at], at
 
 
+# --- folded words: letters and digits, lower case ----------------------------
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the two-byte Latin-1 letters, byte for byte."""
+    out = _FOLD[data]
+    if len(data) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][second] += 32
+    return out
+
+
+def alnum_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, ends and row of every run of letters (any but ASCII signs) and digits."""
+    if len(data) == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    word = _ALNUM[data]
+    left, right = word.copy(), word.copy()
+    cut = np.zeros(len(data), bool)
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+    left[1:] &= ~word[:-1] | cut[1:]
+    right[:-1] &= ~word[1:] | cut[1:]
+    starts = np.flatnonzero(left)
+    return starts, np.flatnonzero(right) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
 # --- shared tables ----------------------------------------------------------
 
 def stored(df: DataFrame) -> DataFrame:

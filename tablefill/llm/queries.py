@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefill.llm import bpe, htmltext, langid, pii, tokenbin, toxicity
+from tablefill.llm import bpe, decontam, htmltext, langid, pii, tokenbin, toxicity
 from tablefill.llm.common import read_documents
 
 
@@ -28,6 +28,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.page_texts(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontam.contaminated(read_documents(spark, sf_dir), items)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     return tokenbin.token_files(read_documents(spark, sf_dir))
@@ -44,5 +50,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op5_toxicity, op6_html_text, op8_token_files, op9_language, op10_byte_bpe)}
+    op2_pii, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}

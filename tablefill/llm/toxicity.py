@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tablefill.llm.common import append_columns, crc_bucket, held_out, mix, string_parts
+from tablefill.llm.common import alnum_spans, append_columns, crc_bucket, fold, held_out, mix, string_parts
 
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 6_000_000
@@ -38,39 +38,18 @@ DIM = 12
 TOP = 4
 THRESHOLD = 0.7
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-
-
-def _lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the two-byte Latin-1 letters, in place of length."""
-    out = _LOWER[data]
-    if len(data) > 1:
-        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][second] += 32
-    return out
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def word_grams(data: np.ndarray, offsets: np.ndarray):
     """Words (runs of letters and digits with a letter) of a slice: row of each word, first
     n-gram of each word, n-gram buckets, and a hash of each word."""
-    data = _lowered(data)
-    word = _WORD[data] if len(data) else np.zeros(0, bool)
-    left, right = word.copy(), word.copy()
-    if len(data):
-        cut = np.zeros(len(data), bool)
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        left[1:] &= ~word[:-1] | cut[1:]
-        right[:-1] &= ~word[1:] | cut[1:]
-    starts, ends = np.flatnonzero(left), np.flatnonzero(right) + 1
-    letters = np.append(0, np.cumsum((_WORD & ~_DIGIT)[data]))
+    starts, ends, rows = alnum_spans(data, offsets)
+    data = fold(data)
+    letters = np.append(0, np.cumsum(_LETTER[data]))
     named = letters[ends] > letters[starts]
-    starts, ends = starts[named], ends[named]
-    rows = np.searchsorted(offsets, starts, side="right") - 1
+    starts, ends, rows = starts[named], ends[named], rows[named]
     size = ends - starts + 2
     last = np.cumsum(size)
     first = last - size
