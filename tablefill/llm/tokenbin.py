@@ -16,10 +16,14 @@ A sequence of n sorted numbers up to u takes about 2 + log2(u / n) bits each:
 the low bits packed, the high bits as unary gaps in a bit vector, plus the
 bit position of every 64th one, from which ``select`` scans a few words.
 
-The words of a text are encoded by the tokenizers library, each distinct word
-once per worker: the vocabulary's normaliser and splitter never join
-characters across white space and drop the white space itself, so the ids of a
-text are those of its words in a row. Null and empty texts have the end id
+The tokenizers library encodes each distinct piece of text once per worker
+and the ids are kept in flat arrays under the piece's 64-bit hash. Texts of
+ASCII and Latin-1 letters, which normalisation only puts into lower case, are
+split by the vocabulary's own pattern (contractions, runs of letters, single
+digits, runs of other signs), a slice of texts at a time in numpy; every match
+is encoded on its own, so the ids of a text are those of its pieces in a row.
+Any other text is cut at white space, which the vocabulary drops and never
+joins characters across, and its words go to the library whole. Null and empty texts have the end id
 alone; documents with equal ids are ordered by text, null ids come first.
 """
 
@@ -36,16 +40,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablefill.llm.common import slices
+from tablefill.llm.common import slices, span_hashes, string_parts
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SHARD_IDS = 4 << 20
-CACHE_WORDS = 600_000
+CACHE_PIECES = 3_000_000  # of about 25 bytes
 SAMPLE = 64
 _HEAD = struct.Struct("<4sBBIIQqQQ")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
+#: Byte classes of lower-case ASCII and Latin-1 text: 0 white space, 1 letter, 2 digit, 3 other, 4 not plain.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[32, 9, 10, 11, 12, 13]] = 0
+_CLASS[97:123] = _CLASS[65:91] = 1
+_CLASS[48:58] = 2
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")  # after an apostrophe, of the vocabulary's pattern
+
 
 # --- Elias-Fano -------------------------------------------------------------
 
@@ -152,29 +164,119 @@ class Shard:
 
 # --- encoding ---------------------------------------------------------------
 
+def plain_pieces(data: np.ndarray, offsets: np.ndarray):
+    """Lower-case bytes of a slice, starts and ends of the pattern's matches
+    in it, and which rows hold other characters than ASCII and Latin-1 letters."""
+    n = len(data)
+    kind, low = _CLASS[data], data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    if n > 1:
+        lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF)
+                              & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        kind[lead] = kind[lead + 1] = 1
+        low[lead + 1] += np.where(data[lead + 1] <= 0x9E, np.uint8(32), np.uint8(0))
+    rows_with = np.flatnonzero(kind == 4)
+    odd = np.zeros(len(offsets) - 1, bool)
+    odd[np.searchsorted(offsets, rows_with, side="right") - 1] = True
+    start, end = np.ones(n, bool), np.ones(n, bool)
+    if n > 1:
+        cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        bounds = offsets[1:-1]
+        cut[bounds[(bounds > 0) & (bounds < n)] - 1] = True
+        start[1:], end[:-1] = cut, cut
+    # an apostrophe that begins a match takes s, t, re, ... after it
+    quote = np.flatnonzero((data == 39) & start & end)
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[np.minimum(quote + 1, n - 1)] == 1) & (odd[np.searchsorted(offsets, quote, side="right") - 1]
+                  == odd[np.searchsorted(offsets, quote + 1, side="right") - 1])
+                  & (np.searchsorted(offsets, quote, side="right") == np.searchsorted(offsets, quote + 1, side="right"))]
+    row_end = offsets[np.searchsorted(offsets, quote, side="right")]
+    pending = np.ones(len(quote), bool)
+    for letters in _CONTRACTIONS:
+        at = quote + len(letters)
+        fits = pending & (at < row_end)
+        for k, c in enumerate(letters.encode()):
+            fits &= low[np.minimum(quote + 1 + k, n - 1)] == c
+        hit, last = quote[fits], at[fits]
+        pending &= ~fits
+        end[hit] = start[hit + 1] = False
+        end[last] = True
+        more = last[(last + 1 < row_end[fits])] + 1
+        start[more] = True
+    word = kind != 0
+    return low, np.flatnonzero(start & word), np.flatnonzero(end & word) + 1, odd
+
+
 class WordEncoder:
-    """Texts to id bytes; each distinct word is encoded once, in batches."""
+    """Texts to id bytes; each distinct piece is encoded once, in batches."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.end = END_ID.to_bytes(self.width, "little")
-        self.words: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {"": b""}
-            new = {w for words in split for w in words}
-        new = [*new]
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        kind = f"<u{self.width}"
-        self.words.update(zip(new, (np.array(e.ids, kind).tobytes() for e in got), strict=True))
-        find = self.words.__getitem__
-        return [b"".join(map(find, words)) + self.end for words in split]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)      # sorted hashes of known pieces
+        self.starts = np.zeros(0, np.int64)     # and where their ids begin and end
+        self.stops = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
+        """Pieces go to the library a few hundred a call, with spaces between:
+        each gives one run of ids, whose last is a token that ends a word."""
+        ids = [np.array(self.tokenizer.encode(" ".join(new[i:i + 512]), add_special_tokens=False).ids, self.kind)
+               for i in range(0, len(new), 512)]
+        flat = np.concatenate(ids)
+        stops = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(stops) != len(new):
+            raise ValueError("the vocabulary splits a piece that its pattern keeps together")
+        starts = np.append(0, stops[:-1]) + len(self.ids)
+        keys, starts, stops = (np.concatenate(x) for x in (
+            (self.keys, keys), (self.starts, starts), (self.stops, stops + len(self.ids))))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.stops = keys[order], starts[order], stops[order]
+        self.ids = np.concatenate([self.ids, flat])
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        data, offsets = string_parts(texts)
+        low, starts, ends, odd = plain_pieces(data, offsets)
+        rows = np.searchsorted(offsets, starts, side="right") - 1
+        plain = ~odd[rows]
+        starts, ends, rows = starts[plain], ends[plain], rows[plain]
+        if len(self.keys) > CACHE_PIECES:
+            self.forget()
+        kinds, one, which = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, kinds)
+        known = np.zeros(len(kinds), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == kinds[at < len(self.keys)]
+        if not known.all():
+            raw = low.tobytes()
+            new = one[~known]
+            self._learn(kinds[~known], [raw[a:b].decode() for a, b in
+                                        zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, kinds)
+        begin = self.starts[at][which]
+        count = self.stops[at][which] - begin
+        total = np.append(0, np.cumsum(count))
+        ids = self.ids[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(rows, np.arange(len(offsets)))].tolist()
+        raw, w = ids.tobytes(), self.width
+        out = [raw[a * w:b * w] + self.end for a, b in zip(bounds, bounds[1:], strict=False)]
+        if odd.any():
+            for i in np.flatnonzero(odd).tolist():
+                words = _SPACE.split(texts[i].as_py())
+                kinds = [*{*words}]
+                got = self.tokenizer.encode_batch_fast(kinds, add_special_tokens=False)
+                find = dict(zip(kinds, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
+                out[i] = b"".join(map(find.__getitem__, words)) + self.end
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -233,7 +335,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for s in slices(batch, 1):
-                got = encode(s.column(1).fill_null("").to_pylist())
+                got = encode(s.column(1).fill_null(""))
                 for i, blob in zip(s.column(0).to_pylist(), got, strict=True):
                     count = len(blob) // encode.width
                     if ids and size + count > shard_ids:
