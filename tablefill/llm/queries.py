@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefill.llm import bpe, decontam, htmltext, langid, pii, tokenbin, toxicity
+from tablefill.llm import bpe, decontam, htmltext, langid, pii, quality, tokenbin, toxicity
 from tablefill.llm.common import read_documents
 
 
@@ -17,6 +17,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base limits and weakly supervised verdict of every document."""
+    return quality.judge(read_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
@@ -50,5 +55,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
-ORACLE: dict[str, str] = {}
+    op2_pii, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
+ORACLE: dict[str, str] = {"op4_quality": quality.oracle_sql()}
