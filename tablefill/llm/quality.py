@@ -2,15 +2,16 @@
 
 Rules vote good (1), bad (-1) or abstain (0) on counts of each text. How often
 a rule is right is unknown, so expectation-maximisation estimates it from how
-the rules agree over all documents: given accuracies, each vote pattern has a
-posterior probability of good; given posteriors, a rule's accuracy is the
-share of its votes that they confirm. A text is kept if its posterior is at
-least ``MIN_POSTERIOR`` and the base limits hold; one failed rule is not
-enough to lose it.
+the rules agree: given each rule's accuracy on good and on bad texts, a vote
+pattern has a posterior probability of good; given posteriors, an accuracy is
+the share of a rule's votes that they confirm. A text is kept if the base
+limits hold and its posterior is at least ``MIN_POSTERIOR``: one failed rule
+is not enough to lose it, and a rule that fires on good texts loses weight.
 
-The counts are written once; EM then reads vote patterns with their numbers
-of documents (3 ** rules rows at most, whatever the input). All statistics
-cover all documents. Row-local arrays are as long as one text's words.
+The accuracies are those among texts within the base limits, since only those
+get a verdict; all of them count. The counts are written once; EM then reads
+vote patterns with their numbers of documents (3 ** rules rows at most,
+whatever the input). Row-local arrays are as long as one text's words.
 
 Null and empty texts have no words and fail the base limits. Repeated rows
 are judged alike and each counts in the statistics.
@@ -18,19 +19,25 @@ are judged alike and each counts in the statistics.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefill.llm.common import stored
 
-STEPS = 15          # EM iterations
-START = 0.75        # accuracy and share of good texts to begin with
-PRIOR = 2.0         # votes added to each rule, half of them right
-LIMITS = (0.55, 0.99)
+STEPS = 15              # EM iterations
+SHARE = 0.8             # to begin with: share of good texts,
+ON_GOOD, ON_BAD = 0.9, 0.5  # accuracy of votes on good and on bad texts
+PRIOR = 10.0            # votes added to each rule, split by these
+GOOD_LIMITS, BAD_LIMITS = (0.9, 0.999), (0.02, 0.99)  # a rule may miss bad texts, but seldom fails good ones
 MIN_POSTERIOR = 0.5
+FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
+_SIGN = r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\x22()-]"
+_LINE_END = r"[.!?:'\x22)][\x20\x09-\x0D]*$"
 _UPPER = r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]"
 
 #: name, condition of a good vote, condition of a bad vote (SQL over the counts)
@@ -43,6 +50,8 @@ RULES = [
     ("capitals", "100 * n_upper <= 8 * word_chars", "100 * n_upper > 30 * word_chars"),
     ("shouting", "100 * n_bang <= 2 * n_words", "100 * n_bang > 10 * n_words"),
     ("variety", "100 * n_kinds >= 25 * n_words", "100 * n_kinds < 10 * n_words"),
+    ("signs", "100 * n_signs <= word_chars", "100 * n_signs > 3 * word_chars"),
+    ("line_ends", "10 * n_line_ends >= 8 * n_lines", "2 * n_line_ends < n_lines"),
 ]
 
 
@@ -86,7 +95,9 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         number(F.size("lines")).alias("n_lines"),
         number(F.length(text) - F.length(F.regexp_replace(text, _UPPER, ""))).alias("n_upper"),
         number(F.length(text) - without(text, "!")).alias("n_bang"),
-        number(F.size(F.array_distinct("words"))).alias("n_kinds"))
+        number(F.size(F.array_distinct("words"))).alias("n_kinds"),
+        number(F.length(text) - F.length(F.regexp_replace(text, _SIGN, ""))).alias("n_signs"),
+        number(F.size(F.filter("lines", lambda x: x.rlike(_LINE_END)))).alias("n_line_ends"))
 
 
 def votes() -> list[Column]:
@@ -94,58 +105,68 @@ def votes() -> list[Column]:
             for name, good, bad in RULES]
 
 
-def posterior(share: float, accuracies: list[float]) -> Column:
+def posterior(share: float, on_good: list[float], on_bad: list[float]) -> Column:
     """Probability of good, given a row's votes."""
-    import math
     odds = F.lit(math.log(share / (1 - share)))
-    for (name, _, _), a in zip(RULES, accuracies, strict=True):
-        odds = odds + F.col(f"v_{name}") * F.lit(math.log(a / (1 - a)))
+    for (name, _, _), g, b in zip(RULES, on_good, on_bad, strict=True):
+        vote = F.col(f"v_{name}")
+        odds = odds + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame) -> tuple[float, list[float]]:
-    """Share of good texts and accuracy of each rule, by EM over vote
-    patterns (columns ``v_<rule>`` and ``n``)."""
-    share, accuracies = START, [START] * len(RULES)
+def estimate(patterns: DataFrame) -> tuple[float, list[float], list[float]]:
+    """Share of good texts and each rule's accuracy on good and on bad ones,
+    by EM over vote patterns (columns ``v_<rule>`` and ``n``)."""
+    k = len(RULES)
+    model = SHARE, [ON_GOOD] * k, [ON_BAD] * k
     for _ in range(STEPS):
-        q, n = posterior(share, accuracies), F.col("n")
-        right = [F.sum(n * F.when(F.col(f"v_{r}") == 1, q).when(F.col(f"v_{r}") == -1, 1 - q).otherwise(0.0))
-                 for r, _, _ in RULES]
-        cast = [F.sum(n * F.abs(f"v_{r}")) for r, _, _ in RULES]
-        row = patterns.agg(F.sum(n * q), F.sum(n), *right, *cast).first()
+        good, n = posterior(*model), F.col("n")
+        sums = [F.sum(n * good), F.sum(n)]
+        for name, _, _ in RULES:
+            vote = F.col(f"v_{name}")
+            sums += [F.sum(F.when(vote == 1, n * good).otherwise(0.0)), F.sum(F.when(vote != 0, n * good).otherwise(0.0)),
+                     F.sum(F.when(vote == -1, n * (1 - good)).otherwise(0.0)),
+                     F.sum(F.when(vote != 0, n * (1 - good)).otherwise(0.0))]
+        row = patterns.agg(*sums).first()
         if not row[1]:
-            return share, accuracies
-        k = len(RULES)
-        clip = lambda x: min(max(x, LIMITS[0]), LIMITS[1])
-        share = min(max(row[0] / row[1], 0.01), 0.99)
-        accuracies = [clip((row[2 + j] + PRIOR / 2) / (row[2 + k + j] + PRIOR)) for j in range(k)]
-    return share, accuracies
+            break
+        within = lambda x, limits: min(max(x, limits[0]), limits[1])
+        model = (within(row[0] / row[1], (0.01, 0.99)),
+                 [within((row[2 + 4 * j] + PRIOR * ON_GOOD) / (row[3 + 4 * j] + PRIOR), GOOD_LIMITS) for j in range(k)],
+                 [within((row[4 + 4 * j] + PRIOR * ON_BAD) / (row[5 + 4 * j] + PRIOR), BAD_LIMITS) for j in range(k)])
+    return model
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: counts, base limits, verdict, posterior probability."""
-    known = stored(counts(docs, id_col, text_col).select("*", *votes()))
-    patterns = stored(known.groupBy([f"v_{r}" for r, _, _ in RULES]).agg(F.count("*").alias("n")).coalesce(1))
-    quality = posterior(*estimate(patterns))
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return known.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (quality >= MIN_POSTERIOR)).alias("kept"))
+    """Per document: counts, base limits, verdict, posterior probability of good."""
+    known = stored(counts(docs, id_col, text_col).select("*", *votes(), F.expr(FAILED).alias("base_failed")))
+    patterns = known.where(~F.col("base_failed")).groupBy([f"v_{r}" for r, _, _ in RULES]).agg(F.count("*").alias("n"))
+    quality = posterior(*estimate(stored(patterns.coalesce(1))))
+    return known.withColumn("quality", quality).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("quality") >= MIN_POSTERIOR)).alias("kept"),
+        F.round("quality", 6).alias("posterior"))
 
 
 def oracle_sql() -> str:
     """The same in DuckDB: windows as rows, EM as a recursive query."""
     names = [r for r, _, _ in RULES]
+    sign, line_end = _SIGN.replace("'", "''"), _LINE_END.replace("'", "''")
     case = ",\n".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v_{r}" for r, good, bad in RULES)
     group = ", ".join(f"v_{r}" for r in names)
-    odds = "ln(m.share / (1 - m.share)) + " + " + ".join(f"p.v_{r} * ln(m.a_{r} / (1 - m.a_{r}))" for r in names)
+    odds = "ln(m.share / (1 - m.share)) + " + " + ".join(
+        f"CASE p.v_{r} WHEN 1 THEN ln(m.g_{r} / (1 - m.b_{r})) WHEN -1 THEN ln((1 - m.g_{r}) / m.b_{r}) ELSE 0 END"
+        for r in names)
     q = f"(1 / (1 + exp(-({odds}))))"
-    clip = lambda x: f"least(greatest({x}, {LIMITS[0]}), {LIMITS[1]})"
-    step = ",\n".join(clip(
-        f"(sum(p.n * CASE p.v_{r} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {PRIOR / 2}) / (sum(p.n * abs(p.v_{r})) + {PRIOR})")
-        + f" AS a_{r}" for r in names)
-    start = ", ".join(f"CAST({START} AS DOUBLE) AS a_{r}" for r in names)
-    carried = ", ".join(f"m.a_{r}" for r in names)
+
+    def accuracy(r: str, vote: int, weight: str, start: float, limits: tuple) -> str:
+        right, cast = (f"sum(CASE WHEN {cond} THEN p.n * {weight} ELSE 0 END)" for cond in (f"p.v_{r} = {vote}", f"p.v_{r} <> 0"))
+        return f"least(greatest(({right} + {PRIOR * start}) / ({cast} + {PRIOR}), {limits[0]}), {limits[1]})"
+
+    step = ",\n".join(f"{accuracy(r, 1, 'q', ON_GOOD, GOOD_LIMITS)} AS g_{r}, "
+                      f"{accuracy(r, -1, '(1 - q)', ON_BAD, BAD_LIMITS)} AS b_{r}" for r in names)
+    start = ", ".join(f"CAST({ON_GOOD} AS DOUBLE) AS g_{r}, CAST({ON_BAD} AS DOUBLE) AS b_{r}" for r in names)
+    carried = ", ".join(f"m.g_{r}, m.b_{r}" for r in names)
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 lists AS MATERIALIZED (SELECT rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -155,7 +176,8 @@ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w)
 repeats AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY rid),
 lines AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-line_counts AS (SELECT rid, count(*) AS n, count(DISTINCT line) AS kinds FROM lines GROUP BY rid),
+line_counts AS (SELECT rid, count(*) AS n, count(DISTINCT line) AS kinds,
+  count(*) FILTER (regexp_matches(line, '{line_end}')) AS line_ends FROM lines GROUP BY rid),
 counts AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -163,16 +185,17 @@ counts AS (SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines,
   CAST(length(text) - length(regexp_replace(text, '{_UPPER}', '', 'g')) AS BIGINT) AS n_upper,
   CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_bang,
-  CAST(len(list_distinct(ws)) AS BIGINT) AS n_kinds
+  CAST(len(list_distinct(ws)) AS BIGINT) AS n_kinds,
+  CAST(length(text) - length(regexp_replace(text, '{sign}', '', 'g')) AS BIGINT) AS n_signs,
+  CAST(coalesce(l.line_ends, 0) AS BIGINT) AS n_line_ends
   FROM d JOIN lists USING (rid) LEFT JOIN repeats r USING (rid) LEFT JOIN line_counts l USING (rid)),
-known AS MATERIALIZED (SELECT *, {case} FROM counts),
-patterns AS MATERIALIZED (SELECT {group}, count(*) AS n FROM known GROUP BY ALL),
-em AS (SELECT 0 AS step, CAST({START} AS DOUBLE) AS share, {start}
+known AS MATERIALIZED (SELECT *, {case}, {FAILED} AS base_failed FROM counts),
+patterns AS MATERIALIZED (SELECT {group}, count(*) AS n FROM known WHERE NOT base_failed GROUP BY ALL),
+em AS (SELECT 0 AS step, CAST({SHARE} AS DOUBLE) AS share, {start}
   UNION ALL
   SELECT step + 1, least(greatest(sum(p.n * q) / sum(p.n), 0.01), 0.99) AS share, {step}
   FROM (SELECT m.step, m.share, {carried}, p.*, {q} AS q FROM em m, patterns p WHERE m.step < {STEPS}) p GROUP BY step)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {q} >= {MIN_POSTERIOR} AS kept
-FROM known p, em m WHERE m.step = {STEPS}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {q} >= {MIN_POSTERIOR} AS kept, round({q}, 6) AS posterior
+FROM known p, em m WHERE m.step = (SELECT max(step) FROM em)
 """
