@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefill.llm import bpe, decontam, htmltext, langid, pii, quality, tokenbin, toxicity
+from tablefill.llm import bpe, decontam, htmltext, langid, minhash, pii, quality, tokenbin, toxicity
 from tablefill.llm.common import read_documents
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: the smallest id among its near-duplicates."""
+    return minhash.duplicate_classes(read_documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii_report(read_documents(spark, sf_dir))
@@ -55,5 +60,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_pii, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
+    op1_minhash_dedup, op2_pii, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
 ORACLE: dict[str, str] = {"op4_quality": quality.oracle_sql()}
