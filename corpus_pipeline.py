@@ -1,5 +1,10 @@
 """A training-data pipeline over ``documents``: each stage works on all rows
-that the one before kept, is written as Parquet and read again."""
+that the one before kept, is written as Parquet and read again.
+
+Toxic documents go, one document of each group of near-duplicates stays, those
+that hold benchmark items go, personal data is replaced in the texts of the
+rest, and these are encoded. A table without rows passes through all stages.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +13,57 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefill.llm import bpe, pii
-from tablefill.session import ensure_checkpoint_dir
+from tablefill.llm import bpe, decontam, minhash, pii, toxicity
+from tablefill.session import ensure_checkpoint_dir, ship_package
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    ship_package(spark)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.with_score(docs, model, "text", "_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near-duplicates."""
+    ship_package(spark)
+    return minhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship_package(spark)
+    found = decontam.with_matches(docs, _table(spark, sf_dir, "benchmark"), "text", "_items")
+    return found.where(F.size("_items") == 0).drop("_items")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in each text is replaced by its kind; no row goes."""
-    return pii.with_redacted(docs, "text", "_redacted").withColumn("text", F.col("_redacted")).drop("_redacted")
+    ship_package(spark)
+    redacted = pii.with_redacted(docs, "text", "_redacted")
+    return redacted.withColumn("text", F.col("_redacted")).drop("_redacted")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of what is left: per document its tokens and digests."""
+    ship_package(spark)
     return bpe.token_digests(docs)
 
 
-STAGES = [("pii", redact), ("byte_bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates),
+          ("decontamination", drop_contaminated), ("pii", redact), ("byte_bpe", encode)]
 
-#: Several stages are models and tokenizers, which SQL cannot express.
+#: Fitted models, sketches and tokenizers: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
