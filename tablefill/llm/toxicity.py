@@ -238,19 +238,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn = learn or (lambda c: crc_bucket(c) != 1)
     marks = (labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
              .where(F.col("_y").isin(0, 1) & learn(F.col("_id"))))
-    both = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .where(F.col("_text").isNotNull()).join(marks, "_id"))
-    texts, ys = [], []
-    for y in (0, 1):
-        rows = (both.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", F.length("_text")).limit(sample_rows)
-                .select("_text").toArrow())
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    known = rows.select("_id", F.length("_text").alias("_size")).join(marks, "_id")
+    chosen = []
+    for y in (0, 1):  # ids and lengths of a bounded number of rows, then only their texts
         room = sample_chars // 2
-        for t in rows.column(0).to_pylist():
-            room -= len(t)
-            if room < 0 and texts and ys[-1] == y:
+        for i, size in (known.where(F.col("_y") == y).groupBy("_id").agg(F.max("_size"))
+                        .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).toLocalIterator()):
+            room -= size
+            if room < 0 and chosen and chosen[-1][1] == y:
                 break
-            texts.append(t)
-            ys.append(y)
+            chosen.append((i, y))
+    texts, ys = [], []
+    if chosen:
+        wanted = docs.sparkSession.createDataFrame(chosen, known.select("_id", F.lit(0).alias("_y")).schema)
+        got = rows.join(F.broadcast(wanted), "_id").groupBy("_id", "_y").agg(F.min("_text")).orderBy("_id").toArrow()
+        ys, texts = got.column(1).to_pylist(), got.column(2).to_pylist()
     if len(set(ys)) < 2:
         if docs.isEmpty():
             return None
