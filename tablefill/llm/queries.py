@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefill.llm import bpe, decontam, htmltext, langid, minhash, pii, quality, tokenbin, toxicity
+from tablefill.llm import bpe, decontam, htmltext, langid, minhash, passages, pii, quality, tokenbin, toxicity
 from tablefill.llm.common import read_documents
 
 
@@ -22,6 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_documents(spark, sf_dir))
 
 
+def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that documents share."""
+    return passages.shared_passages(read_documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base limits and weakly supervised verdict of every document."""
     return quality.judge(read_documents(spark, sf_dir))
@@ -60,5 +65,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_pii, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
+    op1_minhash_dedup, op2_pii, op3_shared_passages, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
 ORACLE: dict[str, str] = {"op4_quality": quality.oracle_sql()}
