@@ -76,9 +76,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(fold(data), starts, ends), rows
 
 
-def runs(words: np.ndarray) -> np.ndarray:
-    """Distinct hashes of a text's three-word runs (or of all its words if fewer)."""
-    return np.unique(shingles(words, np.zeros(len(words), np.int64), RUN)[0])
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of a text's runs of ``width`` words."""
+    return np.unique(shingles(words, np.zeros(len(words), np.int64), width)[0])
+
+
+def part_runs(text: str) -> tuple[int, np.ndarray]:
+    """Width and runs of an item's part: RUN words, or all of a shorter one."""
+    words, _ = word_hashes(pa.array([text], pa.large_string()))
+    width = max(1, min(RUN, len(words)))
+    return width, runs(words, width)
 
 
 class Index:
@@ -105,9 +112,7 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, self.at[:-1])
         self.block_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, BLOCK))
         self.levels = [self._essential(BLOCK), self._essential(1)]
-        self.parts = []
-        for _, text, _ in found:
-            self.parts.append([runs(word_hashes(pa.array([x], pa.large_string()))[0]) for x in split_item(text)])
+        self.parts = [[part_runs(x) for x in split_item(text)] for _, text, _ in found]
 
     def _essential(self, width: int):
         """Per group of ``width`` items: the essential words (as postings by
@@ -221,9 +226,11 @@ class Index:
             r = int(owner[p])
             begin = first[r] + (p - base[r]) * step
             last = p == base[r] + count[r] - 1
-            have = runs(words[begin:first[r + 1] if last else begin + 2 * step])
+            text = words[begin:first[r + 1] if last else begin + 2 * step]
+            have = {width: runs(text, width) for width in {w for i, _ in hits for w, _ in self.parts[i]}}
             for i, score in hits:
-                q, a_ = (np.isin(part, have, assume_unique=True).mean() for part in self.parts[i])
+                q, a_ = (np.isin(part, have[width], assume_unique=True).mean() if len(part) else 1.0
+                         for width, part in self.parts[i])
                 if q >= min_question and a_ >= min_answer:
                     out[r].append({"item_id": self.ids[i], "score": float(score),
                                    "question_overlap": float(q), "answer_overlap": float(a_)})

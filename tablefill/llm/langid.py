@@ -184,13 +184,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     learn = learn or (lambda c: crc_bucket(c) != 1)
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
             .where(F.col("_lang").isNotNull() & (F.length("_text") > 0) & learn(F.col("_id"))))
-    # the limit is pushed below the shuffle, so each task sends sample_rows of a language at most
-    rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", F.length("_text"))
-    best = rows.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= sample_rows)
-    # a run of windows from a hashed place of each text, so that the sample is bounded in bytes too
+    # ids first (the limit is applied below the shuffle), then a run of windows of each, from a hashed place
+    rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    ids = (rows.select("_id", "_lang").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= sample_rows)
+           .select("_id", "_lang").distinct().toArrow())
     size = 40 * WINDOW
     start = F.pmod(F.xxhash64("_id", F.lit(1)), F.greatest(F.lit(1), F.length("_text") - size)) + 1
-    got = best.select(F.substr("_text", start.cast("int"), F.lit(size)).alias("text"), "_lang").toArrow()
+    got = rows.limit(0).select("_text", "_lang").toArrow()
+    if ids.num_rows:
+        wanted = docs.sparkSession.createDataFrame(ids, rows.select("_id", "_lang").schema)
+        got = (rows.join(F.broadcast(wanted), ["_id", "_lang"]).groupBy("_id", "_lang")
+               .agg(F.min(F.substr("_text", start.cast("int"), F.lit(size))).alias("_text"))
+               .select("_text", "_lang").toArrow())
     if got.num_rows == 0:
         if docs.isEmpty():
             return None

@@ -28,7 +28,7 @@ from tablefill.llm.common import stored
 
 STEPS = 15              # EM iterations
 SHARE = 0.8             # to begin with: share of good texts,
-ON_GOOD, ON_BAD = 0.9, 0.5  # accuracy of votes on good and on bad texts
+ON_GOOD, ON_BAD = 0.97, 0.3  # accuracy of votes on good and on bad texts
 PRIOR = 10.0            # votes added to each rule, split by these
 GOOD_LIMITS, BAD_LIMITS = (0.9, 0.999), (0.02, 0.99)  # a rule may miss bad texts, but seldom fails good ones
 MIN_POSTERIOR = 0.5

@@ -108,14 +108,16 @@ def evidence(rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Model:
-    """Score of each n-gram bucket, and weights of the document's evidence."""
+    """Score of each n-gram bucket, weights of the document's evidence, and the
+    longest length learnt from: longer texts count as that long."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray):
-        self.table, self.weights = table, weights
+    def __init__(self, table: np.ndarray, weights: np.ndarray, longest: float):
+        self.table, self.weights, self.longest = table, weights, longest
 
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offsets = string_parts(texts)
         x = evidence(*word_scores(self.table, data, offsets), len(texts))
+        x[:, TOP] = np.minimum(x[:, TOP], self.longest)
         out = 1 / (1 + np.exp(-(x @ self.weights[:-1] + self.weights[-1])))
         return np.where(x[:, TOP] > 0, out, 0.0)
 
@@ -212,7 +214,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5, epochs: int = 4, ro
              for i in range(0, len(texts), 64)]
     x = np.concatenate(found)
     known = x[:, TOP] > 0
-    return Model(final, _logistic(x[known], toxic[known]))
+    return Model(final, _logistic(x[known], toxic[known]), float(x[:, TOP].max()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
