@@ -46,24 +46,25 @@ def message_cost(role="role", content="content", tokenizer: Tokenizer = whitespa
 
 
 def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
-                         tokenizer: Tokenizer = whitespace_tokenizer) -> DataFrame:
+                         tokenizer: Tokenizer = whitespace_tokenizer, name: str | None = None) -> DataFrame:
     """AG8: per conversation, sum of message costs + 3 (partial aggregation
-    before the shuffle, so a huge conversation costs nothing extra)."""
+    before the shuffle, so a huge conversation costs nothing extra). ``name``
+    is the column of the speakers' names, if there is one."""
     return (messages.groupBy(conv)
             .agg(F.count(F.lit(1)).cast("long").alias("n_messages"),
-                 (F.sum(message_cost("role", "text", tokenizer)) + F.lit(TOKENS_PER_REPLY))
+                 (F.sum(message_cost("role", "text", tokenizer, name)) + F.lit(TOKENS_PER_REPLY))
                  .cast("long").alias("tokens")))
 
 
 def _fit_windows(messages: DataFrame, limit: int, conv: str, turn: str, role: str, content: str,
-                 reserve: int, tokenizer: Tokenizer) -> DataFrame:
+                 reserve: int, tokenizer: Tokenizer, name: str | None = None) -> DataFrame:
     """One pass of windows over each conversation: the form for chats that
     are bounded by construction (one prompt's messages)."""
     budget = limit - reserve
     w = Window.partitionBy(conv).orderBy(turn)
     whole = Window.partitionBy(conv)
     m = (messages
-         .withColumn("_cost", message_cost(role, content, tokenizer))
+         .withColumn("_cost", message_cost(role, content, tokenizer, name))
          .withColumn("_first", F.row_number().over(w) == 1)
          .withColumn("_sys", F.col("_first") & (F.col(role) == F.lit("system")))
          .withColumn("_j", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(
@@ -87,7 +88,8 @@ def _fit_windows(messages: DataFrame, limit: int, conv: str, turn: str, role: st
 
 def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
-                 tokenizer: Tokenizer = whitespace_tokenizer, hot_rows: int | None = 5_000_000) -> DataFrame:
+                 tokenizer: Tokenizer = whitespace_tokenizer, bounded: bool = False,
+                 name: str | None = None) -> DataFrame:
     """RK4: drop the two oldest non-system messages until the chat fits.
 
     A leading system message is kept. The kept part is a suffix of the
@@ -98,16 +100,16 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
 
     Per conversation facts (first turn, its role and cost, totals, the
     chosen start) are aggregations, combined map-side; the running count
-    and cost along the turns come from ``running_within``, which splits a
-    conversation holding a large share of the rows across tasks
-    The facts are joined back by conversation (AQE splits a skewed join
-    partition). ``hot_rows=None`` declares conversations bounded (one
-    prompt's messages): then a single pass of windows does it all.
+    and cost along the turns come from ``running_within``, which spreads a
+    conversation over tasks. The facts are joined back by conversation (AQE
+    splits a skewed join partition). ``bounded=True`` declares conversations
+    bounded (one prompt's messages): a single pass of windows does it all.
+    ``name`` is the column of the speakers' names, if there is one.
     """
-    if hot_rows is None:
-        return _fit_windows(messages, limit, conv, turn, role, content, reserve, tokenizer)
+    if bounded:
+        return _fit_windows(messages, limit, conv, turn, role, content, reserve, tokenizer, name)
     budget = limit - reserve
-    m = messages.withColumn("_cost", message_cost(role, content, tokenizer).cast("long"))
+    m = messages.withColumn("_cost", message_cost(role, content, tokenizer, name).cast("long"))
     facts = (m.groupBy(conv)
              .agg(F.min(turn).alias("_t0"),
                   F.min_by(F.col(role), F.col(turn)).alias("_r0"),
@@ -117,8 +119,7 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
              .withColumn("_has_sys", F.coalesce(F.col("_r0") == F.lit("system"), F.lit(False)))
              .withColumn("_sys_cost", F.when(F.col("_has_sys"), F.col("_c0")).otherwise(F.lit(0)))
              .withColumn("_n", F.col("_cnt") - F.col("_has_sys").cast("long")))
-    running = running_within(m, conv, [F.col(turn)], {"_pc": F.lit(1).cast("long"), "_pcost": F.col("_cost")},
-                             sizes=facts.select(conv, F.col("_cnt").alias("n")), hot_rows=hot_rows)
+    running = running_within(m, conv, [F.col(turn)], {"_pc": F.lit(1).cast("long"), "_pcost": F.col("_cost")})
     r = (running.join(facts.drop("_r0", "_c0", "_cnt"), conv)
          .withColumn("_sys", F.col("_has_sys") & (F.col(turn) == F.col("_t0")))
          # index among the non-system messages, and their cost from here to the end
@@ -162,7 +163,7 @@ def fit_chat(prompts: DataFrame, limit: int, reserve: int = 0,
     m = (prompts.select("query_id", F.posexplode("messages").alias("turn", "msg"))
          .select("query_id", "turn", F.col("msg.role").alias("role"), F.col("msg.content").alias("text")))
     # one prompt's messages: at most 2 per example + 2, never a hot group
-    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer, hot_rows=None)
+    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer, bounded=True)
     kept = (fitted.groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("turn", "role", "text")))).alias("_m"),
                  F.max("overflow").alias("overflow")))

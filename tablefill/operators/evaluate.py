@@ -96,10 +96,11 @@ def leaderboard(summary: DataFrame, run_meta: DataFrame | None = None) -> DataFr
     P_5=…%`` with the (debug)/(validation) marks (name and seeds need
     ``run_meta``). Metrics are in the reference's order (by
     first letter, descending)."""
-    wide = (summary.groupBy("run_id")
-            .pivot("metric", list(METRICS_ORDER))
-            .agg(F.first("score"))
-            .join(summary.groupBy("run_id").agg(F.max("queries").alias("queries")), "run_id"))
+    # one conditional aggregate: the evaluation below it runs once
+    wide = summary.groupBy("run_id").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in METRICS_ORDER],
+        F.max("queries").alias("queries"))
+
     def pct(c):
         # one-decimal percent from integer tenths: the same digits on every
         # engine (printf-style rounding differs between Java and C on ties)

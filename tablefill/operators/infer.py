@@ -9,13 +9,16 @@ callers that read them twice should ``materialize`` them first.
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 Model = Callable[[list[str]], list[str]]
 Factory = Callable[[], Model]
 
-_MODELS: dict[str, Model] = {}
+_MODELS: OrderedDict[str, Model] = OrderedDict()  # of this worker, the last used last
+MODELS_KEPT = 2
 _WS_RE = re.compile(r"[ \t\n\r\f\x0b]+")
 _PIECES_RE = re.compile(r"(?<=[ \t\n\r\f\x0b])(?=[^ \t\n\r\f\x0b])")
 
@@ -35,9 +39,18 @@ class PromptTooLong(Exception):
     """Raised by a model when a prompt exceeds its context."""
 
 
+def _factory_key(factory: Factory) -> str:
+    """Digest of the pickled factory: equal factories share a worker's model,
+    others never meet, whatever objects come and go on the driver."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def _model(key: str, factory: Factory) -> Model:
     if key not in _MODELS:
+        while len(_MODELS) >= MODELS_KEPT:
+            _MODELS.popitem(last=False)
         _MODELS[key] = factory()
+    _MODELS.move_to_end(key)
     return _MODELS[key]
 
 
@@ -58,10 +71,16 @@ def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",
     ``on_too_long='keep_last'``: a prompt the model refuses with one of
     ``retry_on`` (any exception by default; e.g. ``(PromptTooLong,)`` for a
     backend that only retries validation errors) is retried once with its
-    last ``keep_last_n`` tokens and flagged ``truncated``; a second failure,
-    or another exception, raises.
+    last ``keep_last_n`` tokens (required then) and flagged ``truncated``; a
+    second failure, or another exception, raises. A refused batch is halved
+    until the refused prompts stand alone, so the others are answered in
+    batches still.
     """
-    key = model_key or f"{getattr(factory, '__qualname__', type(factory).__name__)}:{id(factory)}"
+    if on_too_long not in (None, "keep_last"):
+        raise ValueError(f"Unknown on_too_long {on_too_long}")
+    if on_too_long == "keep_last" and not keep_last_n:
+        raise ValueError("keep_last needs keep_last_n, the tokens to keep")
+    key = model_key or _factory_key(factory)
     schema = T.StructType(prompts.schema.fields + [
         T.StructField("completion", T.StringType()),
         T.StructField("truncated", T.BooleanType()),
@@ -76,18 +95,20 @@ def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",
                 texts = chunk[prompt_col].tolist()
                 t0 = time.perf_counter()
                 truncated = [False] * len(texts)
-                try:
-                    outs = list(model(texts))
-                except retry_on:
-                    if on_too_long != "keep_last":
-                        raise
-                    outs = []
-                    for i, p in enumerate(texts):
-                        try:
-                            outs.extend(model([p]))
-                        except retry_on:
-                            outs.extend(model([_keep_last_text(p, keep_last_n or 0)]))
-                            truncated[i] = True
+
+                def answer(at: int, part: list[str]) -> list[str]:
+                    try:
+                        return list(model(part))
+                    except retry_on:
+                        if on_too_long is None:
+                            raise
+                    if len(part) == 1:
+                        truncated[at] = True  # noqa: B023 - called in this turn only
+                        return list(model([_keep_last_text(part[0], keep_last_n)]))
+                    half = len(part) // 2
+                    return answer(at, part[:half]) + answer(at + half, part[half:])
+
+                outs = answer(0, texts)
                 per_row = (time.perf_counter() - t0) / max(1, len(texts))
                 chunk["completion"] = outs
                 chunk["truncated"] = truncated
@@ -112,6 +133,44 @@ def replay_model(prompts: DataFrame, recorded: DataFrame, keys=("config_id", "qu
             .withColumn("seconds", F.lit(0.0)))
 
 
+@dataclass(frozen=True)
+class Replay:
+    """Recorded completions in the place of a model, also per example choice.
+
+    ``recorded`` holds ``query_id, variant, completion``; a query is answered
+    with the variant (0 to ``variants`` - 1) drawn from its id and the ids of
+    its examples in prompt order, so another choice of examples may get
+    another answer. ``id_of`` maps a prompt's query id to the recorded one.
+    """
+
+    recorded: DataFrame
+    variants: int
+    id_of: Callable[[Column], Column] = lambda c: c
+
+
+def example_keys(examples: DataFrame) -> DataFrame:
+    """``query_id, examples_key``: digest of a query's example ids by position
+    (a handful per query)."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "table_id"))), lambda x: x["table_id"])
+    return examples.groupBy("query_id").agg(F.md5(F.array_join(ids, ",")).alias("examples_key"))
+
+
+def answer(prompts: DataFrame, model: Factory | Replay, examples: DataFrame | None = None,
+           batch_size: int = 64) -> DataFrame:
+    """Completions of a pipeline's prompts: by a model, or replayed."""
+    if not isinstance(model, Replay):
+        return complete(prompts, model, batch_size=batch_size)
+    keyed = prompts.withColumn("examples_key", F.lit(None).cast("string")) if examples is None else (
+        prompts.join(example_keys(examples), "query_id", "left"))
+    recorded_id = model.id_of(F.col("query_id"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", recorded_id, F.coalesce("examples_key", F.lit("")))), 1, 15), 16, 10)
+    keyed = keyed.withColumn("_id", recorded_id).withColumn("_variant", F.pmod(draw.cast("long"), F.lit(model.variants)))
+    recorded = model.recorded.select(F.col("query_id").alias("_id"), F.col("variant").cast("long").alias("_variant"), "completion")
+    return (keyed.drop("examples_key").join(recorded, ["_id", "_variant"], "left").drop("_id", "_variant")
+            .withColumn("truncated", F.lit(False))
+            .withColumn("seconds", F.lit(0.0)))
+
+
 # ------------------------------------------------------------ embeddings
 
 def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
@@ -128,7 +187,7 @@ def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
     # vector, without a join back to the ids. Stays in whole-stage codegen.
     toks = F.split(F.col(text_col), r"[ \t\n\r\f\x0B]+")
     tok = F.col("tok")
-    bucket = F.when(tok != F.lit(""), F.pmod(F.conv(F.substring(F.md5(tok), 1, 7), 16, 10).cast("long"),
+    bucket = F.when(tok != F.lit(""), F.pmod(F.conv(F.substring(F.md5(tok), 1, 15), 16, 10).cast("long"),
                                              F.lit(dim)).cast("int"))
     counts = (df.select(F.col(id_col).alias("id"), F.explode_outer(toks).alias("tok"))
               .withColumn("bucket", bucket)
@@ -148,7 +207,7 @@ def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
 def embed(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]],
           batch_size: int = 64, model_key: str | None = None) -> DataFrame:
     """ML4 slot: a user's encoder (texts -> unit vectors), batched per worker."""
-    key = model_key or f"enc:{id(factory)}"
+    key = model_key or _factory_key(factory)
     schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches):
@@ -180,49 +239,3 @@ def mean_pool(vectors: DataFrame, group: str, vec: str = "embedding", mask: str
     norms = sums.groupBy(group).agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("norm"))
     return (sums.join(norms, group)
             .select(group, "dim", (F.col("mean") / F.greatest(F.col("norm"), F.lit(1e-12))).alias("value")))
-
-
-# ------------------------------------------------ a deterministic model
-
-class SequenceModel:
-    """Continue the subject column of an instruction prompt by counting on.
-
-    Reads the query's ``Column:`` list (the last one in the prompt), takes
-    its last value, splits off the trailing number and proposes the next
-    ``n`` numbers with the same zero padding — answering after the lead
-    ``["`` and cut to ``max_chars`` (a stand-in for an answer-length limit).
-    A picklable factory: ``complete(prompts, SequenceModel(10, 150))``.
-    """
-
-    def __init__(self, n: int = 10, max_chars: int = 150, lead: str = '["'):
-        self.n, self.max_chars, self.lead = n, max_chars, lead
-
-    def __call__(self) -> Model:
-        n, max_chars, lead = self.n, self.max_chars, self.lead
-        tail_re = re.compile(r"^(.*?)(\d+)$", re.S)
-
-        def column_values(prompt: str):
-            if prompt.startswith("[{"):  # a chat: JSON messages, the last user turn holds the query
-                users = [m.get("content") or "" for m in json.loads(prompt) if m.get("role") == "user"]
-                text = users[-1] if users else ""
-                at = text.rfind("\nColumn:\n")
-                return json.loads(text[at + len("\nColumn:\n"):]) if at >= 0 else []
-            at = prompt.rfind("\nColumn:\n")
-            end = prompt.find(" [/INST]", at)
-            return json.loads(prompt[at + len("\nColumn:\n"):end])
-
-        def answer(prompt: str) -> str:
-            chat = prompt.startswith("[{")
-            try:
-                values = column_values(prompt)
-            except (ValueError, TypeError):
-                values = []
-            m = tail_re.match(values[-1]) if values and isinstance(values[-1], str) else None
-            if m is None:
-                return "[]" if chat else "]"  # an empty list (after the lead for instruct)
-            prefix, digits = m.group(1), m.group(2)
-            nxt = [prefix + str(int(digits) + i).zfill(len(digits)) for i in range(1, n + 1)]
-            # a chat model answers the whole list; an instruct model continues after the lead
-            return json.dumps(nxt)[:max_chars] if chat else json.dumps(nxt)[len(lead):][:max_chars]
-
-        return lambda prompts: [answer(p) for p in prompts]

@@ -1,23 +1,15 @@
-"""Exact row numbers within groups, safe when one group is huge.
-
-``row_number() over (partition by g order by k)`` sorts each group in one
-task. That is right for ordinary groups; a group holding a large share of
-the rows would make one task do a large share of the work. Here such *hot*
-groups are split:
-
-1. hot keys: groups whose row count (a map-side combined count of the
-   caller's input) exceeds ``hot_rows``; at most ``total / hot_rows`` keys,
-   so the list is small and broadcast;
-2. the hot rows are range-partitioned on (g, k) — one group spreads over
-   many tasks — and tagged with their partition id; this frame is written
-   to the checkpoint dir, so both readers below see the same slices even if
-   a task is retried;
-3. each slice is numbered locally, each (g, slice) counted, and the counts
-   turned into offsets per group (a table of groups x slices rows);
-4. row number = offset of its slice + local number.
-
-Ordinary groups keep the plain window. The order must be total (unique)
-within a group, as it is for every caller here.
+"""Exact row numbers and running sums within groups, safe when one is huge.
+
+A window over a group sorts all of it in one task. Here the rows are range-
+partitioned on (group, order) instead, so a group of any size spreads over as
+many slices as it needs, and written to the checkpoint dir once: all readers
+below see the same slices even if a task is retried, and nothing upstream runs
+twice. Each slice of a group is numbered (or summed) by itself; what lies in a
+group's earlier slices is added. Only a group that begins in an earlier slice
+needs such an offset, which is one group per slice at most, so the offsets are
+a table of as many rows as there are slices.
+
+The order must be total (unique) within a group, as it is for every caller.
 """
 
 from __future__ import annotations
@@ -30,84 +22,37 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def rank_within(df: DataFrame, group: str, order: Sequence[Column], out: str = "rank",
-                sizes: DataFrame | None = None, hot_rows: int = 5_000_000) -> DataFrame:
-    """Add ``out`` = 1-based position of each row in its group by ``order``.
+def _sliced(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    return materialize(df.repartitionByRange(group, *order).withColumn("_slice", F.spark_partition_id()))
 
-    ``sizes`` (``group, n``) may be given as a cheap upper bound of the
-    group sizes (e.g. counted on the input before an aggregation);
-    otherwise it is counted on ``df``.
-    """
-    if sizes is None:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > hot_rows).select(group)
-    n_hot = hot.count()  # size check of the broadcast key list below
-    plain = Window.partitionBy(group).orderBy(*order)
-    if n_hot == 0:
-        return df.withColumn(out, F.row_number().over(plain))
-    hot = F.broadcast(hot)  # at most (total rows / hot_rows) keys
-    cold = df.join(hot, group, "left_anti").withColumn(out, F.row_number().over(plain))
-    sliced = materialize(df.join(hot, group, "left_semi")
-                         .repartitionByRange(group, *order)
-                         .withColumn("_slice", F.spark_partition_id()))
-    local = sliced.withColumn("_local", F.row_number().over(
-        Window.partitionBy(group, "_slice").orderBy(*order)))
-    counts = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # hot groups x slices rows (slices <= shuffle partitions): small
-    ranked = (local.join(F.broadcast(offsets.select(group, "_slice", "_off")), [group, "_slice"])
-              .withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
-              .drop("_slice", "_local", "_off"))
-    return cold.unionByName(ranked.select(*cold.columns))
 
+def _with_offsets(local: DataFrame, totals: DataFrame, group: str, names: Sequence[str]) -> DataFrame:
+    """Add to ``names`` of each row the ``totals`` of its group's earlier slices."""
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_slice", F.row_number().over(Window.partitionBy(group).orderBy("_slice")).alias("_k"),
+                            *[F.sum(n).over(before).alias(f"_o_{n}") for n in names])
+    offsets = offsets.filter(F.col("_k") > 1).drop("_k")  # one row per slice at most
+    out = local.join(F.broadcast(offsets), [group, "_slice"], "left")
+    for n in names:
+        out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
+    return out.drop("_slice", *[f"_o_{n}" for n in names])
 
-def running_within(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column],
-                   sizes: DataFrame | None = None, hot_rows: int | None = 5_000_000) -> DataFrame:
-    """Add running (inclusive) sums along ``order`` within each group: one
-    output column per entry of ``sums`` (name -> value expression).
 
-    Ordinary groups use a plain window; hot groups are range-sliced as in
-    ``rank_within`` and each slice's running sums are shifted by the totals
-    of the slices before it. The order must be total within a group.
-    ``hot_rows=None`` declares the groups bounded by construction: no size
-    check (which would be a job of its own over ``df``), plain windows.
-    """
-    if hot_rows is not None:
-        if sizes is None:
-            sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-        hot = sizes.filter(F.col("n") > hot_rows).select(group)
-        n_hot = hot.count()  # size check of the broadcast key list below
-    else:
-        n_hot = 0
-    frame = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vals = df
-    for name, expr in sums.items():
-        vals = vals.withColumn(f"_v_{name}", expr)
-    if n_hot == 0:
-        out = vals
-        for name in sums:
-            out = out.withColumn(name, F.sum(f"_v_{name}").over(frame))
-        return out.drop(*[f"_v_{name}" for name in sums])
-    hot = F.broadcast(hot)  # at most (total rows / hot_rows) keys
-    cold = vals.join(hot, group, "left_anti")
-    for name in sums:
-        cold = cold.withColumn(name, F.sum(f"_v_{name}").over(frame))
-    sliced = materialize(vals.join(hot, group, "left_semi")
-                         .repartitionByRange(group, *order)
-                         .withColumn("_slice", F.spark_partition_id()))
-    local_frame = (Window.partitionBy(group, "_slice").orderBy(*order)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = sliced
-    for name in sums:
-        local = local.withColumn(name, F.sum(f"_v_{name}").over(local_frame))
-    totals = sliced.groupBy(group, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_slice", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0))
-                                               .alias(f"_o_{name}") for name in sums])
-    hot_out = local.join(F.broadcast(offsets), [group, "_slice"])  # hot groups x slices rows
-    for name in sums:
-        hot_out = hot_out.withColumn(name, F.col(name) + F.col(f"_o_{name}"))
-    cols = cold.columns
-    return (cold.unionByName(hot_out.select(*cols))
-            .drop(*[f"_v_{name}" for name in sums]))
+def rank_within(df: DataFrame, group: str, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """Add ``out`` = 1-based position of each row in its group by ``order``."""
+    sliced = _sliced(df, group, order)
+    local = sliced.withColumn(out, F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*order)))
+    totals = sliced.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias(out))
+    ranked = _with_offsets(local, totals, group, [out])
+    return ranked.withColumn(out, F.col(out).cast("int")).select(*df.columns, out)
+
+
+def running_within(df: DataFrame, group: str, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add running (inclusive) sums along ``order`` within each group: one
+    output column per entry of ``sums`` (name -> value expression)."""
+    values = df.withColumns({f"_v_{name}": value for name, value in sums.items()})
+    sliced = _sliced(values, group, order)
+    frame = Window.partitionBy(group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.withColumns({name: F.sum(f"_v_{name}").over(frame) for name in sums})
+    totals = sliced.groupBy(group, "_slice").agg(*[F.sum(f"_v_{name}").alias(name) for name in sums])
+    return _with_offsets(local, totals, group, list(sums)).select(*df.columns, *sums)

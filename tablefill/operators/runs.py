@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import NO_RESULT_TOKEN, rank_score, trec_escape, trec_unescape
 from .ranking import rank_within
 
-SHORT_LIST = 64  # list length up to which the one-pass dedupe is cheaper
 
 def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
            list_col: str = "suggestions", drop_no_result: bool = False) -> DataFrame:
@@ -39,25 +38,16 @@ def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
     # a missing value is no suggestion
     present = F.filter(F.transform(esc, lambda x, i: F.struct(x.alias("doc_id"), i.alias("pos"))),
                        lambda s: s["doc_id"].isNotNull())
-    is_short = F.size(esc) <= SHORT_LIST
-    # long lists, O(n log n): sort (value, position), keep an entry when its
-    # sorted neighbour holds another value, restore position order. The
-    # sorted array is bound to a column first: a lambda referring to the
-    # sorting expression itself would re-sort it for every element.
+    # O(n log n): sort (value, position), keep an entry when its sorted
+    # neighbour holds another value. The sorted array is bound to a column
+    # first: a lambda referring to the sorting expression itself would
+    # re-sort it for every element.
     staged = (suggestions
               .select(run_col.alias("run_id"), "query_id", escaped.alias("_escaped"))
-              .select("run_id", "query_id", "_escaped",
-                      F.when(~is_short, F.array_sort(present)).alias("_by_value")))
+              .select("run_id", "query_id", F.array_sort(present).alias("_by_value")))
     by_value = F.col("_by_value")
-    firsts = F.filter(by_value, lambda s, j: (j == 0)
-                      | (F.element_at(by_value, j)["doc_id"] != s["doc_id"]))
-    long = F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["pos"].alias("pos"),
-                                                                          s["doc_id"].alias("doc_id")))),
-                       lambda s: F.struct(s["doc_id"].alias("doc_id"), s["pos"].alias("pos")))
-    # short lists (model answers): keep element i if its first occurrence is
-    # at i — one pass, quadratic only in a list of at most SHORT_LIST items
-    short = F.filter(present, lambda s: F.array_position(esc, s["doc_id"]) == s["pos"] + 1)
-    kept = F.when(is_short, short).otherwise(long)
+    kept = F.filter(by_value, lambda s, j: (j == 0)
+                    | (F.element_at(by_value, j)["doc_id"] != s["doc_id"]))
     return (staged
             .select("run_id", "query_id", F.explode(kept).alias("s"))
             .select("run_id", "query_id", F.col("s.doc_id").alias("doc_id"),
@@ -67,7 +57,7 @@ def to_run(suggestions: DataFrame, run_id: str | None = None, tag: str = "trec",
 
 
 def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
-             tag: str = "ensemble", run_id: str = "ensemble", hot_rows: int = 5_000_000) -> DataFrame:
+             tag: str = "ensemble", run_id: str = "ensemble") -> DataFrame:
     """AG1: fuse runs by votes.
 
     Per (query, doc): votes = number of member runs listing it, total = sum
@@ -76,10 +66,10 @@ def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
     2^-(rank-1).
 
     ``members`` gives the member order (list of run ids, or a frame
-    ``run_id, run_pos``); default: run_id order. One hash shuffle on query_id
-    serves both the (query, doc) aggregate and the per-query ranking; a
-    query with more than ``hot_rows`` run rows is ranked across many tasks
-    instead (``rank_within``).
+    ``run_id, run_pos``); default: run_id order. The aggregate is shuffled on
+    (query, doc) and the ranking on ranges of its order (``rank_within``), so
+    a query of any size spreads over many tasks. A total adds the members'
+    scores in member order, whatever the partitioning.
     """
     if members is None:
         member_df = runs.select("run_id").distinct().withColumn(
@@ -92,17 +82,15 @@ def ensemble(runs: DataFrame, members: Sequence[str] | DataFrame | None = None,
                                           "run_id string, run_pos int")
     # the member list has one row per fused run: tiny and bounded by the caller
     r = runs.join(F.broadcast(member_df), "run_id")
-    r = r.repartition("query_id")
+    scores = F.array_sort(F.collect_list(F.struct("run_pos", "score")))  # at most one per member
     fused = (r.groupBy("query_id", "doc_id")
              .agg(F.count(F.lit(1)).alias("votes"),
-                  F.sum("score").alias("total"),
-                  # (member position, rank) packed into one long keeps this a HashAggregate
+                  F.aggregate(scores, F.lit(0.0), lambda t, s: t + s["score"]).alias("total"),
+                  # (member position, rank) packed into one long
                   F.min(F.col("run_pos").cast("long") * F.lit(1 << 32) + F.col("rank").cast("long"))
                   .alias("first_seen")))
-    # an upper bound of each query's fused size, combined map-side
-    sizes = runs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     ranked = rank_within(fused, "query_id", [F.col("votes").desc(), F.col("total").desc(), F.col("first_seen")],
-                         out="new_rank", sizes=sizes, hot_rows=hot_rows)
+                         out="new_rank")
     return ranked.select(F.lit(run_id).alias("run_id"), "query_id", "doc_id",
                          F.col("new_rank").cast("int").alias("rank"),
                          rank_score(F.col("new_rank") - 1).alias("score"),
@@ -126,18 +114,20 @@ def ensemble_eligible(run_meta: DataFrame, members: DataFrame) -> DataFrame:
 
 def side_by_side(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """PRJ5 set-wise: per (run, query) the results by score descending and
-    the ground truth by relevance descending, both unescaped.
+    the ground truth by relevance descending, both unescaped, as rows
+    ``run_id, query_id, side, pos, value`` (a list per query would grow with
+    the query). ``side`` is 'result' or 'truth'; the truth of a query stands
+    once, with a null run. Queries without results are left out.
 
     Ties: results by rank, ground truth by doc id (the reference keeps file
     order, which is not visible in a frame)."""
-    res = (runs.groupBy("run_id", "query_id")
-           .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("rank").alias("r"),
-                                                     F.col("doc_id").alias("d")))).alias("res")))
-    gt = (qrels.groupBy("query_id")
-          .agg(F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("k"),
-                                                    F.col("doc_id").alias("d")))).alias("gt")))
-    return (res.join(gt, "query_id", "left")
-            .select("run_id", "query_id",
-                    F.transform("res", lambda s: trec_unescape(s["d"])).alias("results"),
-                    F.coalesce(F.transform("gt", lambda s: trec_unescape(s["d"])),
-                               F.array().cast("array<string>")).alias("ground_truth")))
+    key = F.concat_ws("\u0001", "run_id", "query_id")
+    res = rank_within(runs.select("run_id", "query_id", "doc_id", "score", F.col("rank").alias("_r"), key.alias("_key")),
+                      "_key", [F.col("score").desc(), F.col("_r"), F.col("doc_id")], out="pos")
+    gt = rank_within(qrels.select("query_id", "doc_id", "relevance").join(
+        runs.select("query_id").distinct(), "query_id", "left_semi"),
+        "query_id", [F.col("relevance").desc(), F.col("doc_id")], out="pos")
+    value = trec_unescape(F.col("doc_id")).alias("value")
+    return (res.select("run_id", "query_id", F.lit("result").alias("side"), "pos", value)
+            .unionByName(gt.select(F.lit(None).cast("string").alias("run_id"), "query_id", F.lit("truth").alias("side"),
+                                   "pos", value)))

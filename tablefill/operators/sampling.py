@@ -24,10 +24,10 @@ def _passthrough(queries: DataFrame) -> list[str]:
 
 
 def md5_draw(*parts) -> Column:
-    """A 28-bit non-negative integer from md5 of the '|'-joined parts."""
+    """A 60-bit non-negative integer from md5 of the '|'-joined parts."""
     cols = [F.lit(p) if isinstance(p, (str, int)) and not isinstance(p, Column) else p for p in parts]
     cols = [c.cast("string") for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 7), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 15), 16, 10).cast("long")
 
 
 def md5_key(*parts) -> Column:
@@ -36,20 +36,20 @@ def md5_key(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
 
 
-def dense_index(df: DataFrame, id_col: str, rows_per_bucket: int = 100_000,
-                n: int | None = None) -> DataFrame:
+INDEX_BUCKETS = 4096  # fixed: the index of an id depends on the data alone
+
+
+def dense_index(df: DataFrame, id_col: str) -> DataFrame:
     """Add ``idx`` 0..n-1, a bijection fixed by the data alone.
 
-    Rows are spread over B = 1 + n // rows_per_bucket md5 buckets, numbered
-    by id inside each bucket, and shifted by the cumulative size of the
-    earlier buckets (a B-row table). No global single-task window.
+    Rows are spread over INDEX_BUCKETS md5 buckets, numbered by id inside
+    each bucket, and shifted by the cumulative size of the earlier buckets (a
+    table of INDEX_BUCKETS rows, whatever the input). No global window over
+    the rows.
     """
-    n = df.count() if n is None else n
-    buckets = 1 + n // rows_per_bucket
-    b = df.withColumn("_bucket", F.pmod(md5_draw(F.col(id_col)), F.lit(buckets)))
+    b = df.withColumn("_bucket", F.pmod(md5_draw(F.col(id_col)), F.lit(INDEX_BUCKETS)))
     b = b.withColumn("_local", F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col)) - 1)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # B rows (n / 100k): a global window over them is trivially small
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
@@ -82,7 +82,7 @@ def sample_examples(queries: DataFrame, candidates: DataFrame, k: int, seed: int
     n = base.count()  # population size: one count job
     if k > n:
         raise ValueError(f"Sample larger than population or is negative (k={k}, n={n})")
-    cand = dense_index(base, "table_id", n=n)
+    cand = dense_index(base, "table_id")
     keep = _passthrough(queries)
     drawn = queries.select(*keep, F.posexplode(floyd_sample(F.lit(n), k, seed, F.col("query_id")))
                            .alias("p", "idx"))
@@ -99,14 +99,16 @@ def sample_fixed(queries: DataFrame, candidates: DataFrame, k: int | None = None
                  candidate_id: str = "table_id") -> DataFrame:
     """SM2/JN3: one sample of k candidates shared by every query.
 
-    The sample is the k smallest md5(seed|id) — a TakeOrderedAndProject of
-    k rows — and is broadcast to the queries (k rows: bounded by the caller).
+    The sample is the k smallest md5(seed|id), a top-k job of its own that
+    also finds out whether there are k (else ``ValueError``); its k rows,
+    bounded by the caller, are joined to all queries.
     """
     k = fixed_amount(seed) if k is None else k
-    sample = (candidates.select(F.col(candidate_id).alias("table_id")).distinct()
-              .withColumn("_key", md5_key(seed, F.col("table_id")))
-              .orderBy("_key", "table_id").limit(k))
-    sample = sample.withColumn("pos", F.row_number().over(Window.orderBy("_key", "table_id")).cast("int"))
+    ids = [r.table_id for r in (candidates.select(F.col(candidate_id).alias("table_id")).distinct()
+                                .orderBy(md5_key(seed, F.col("table_id")), "table_id").limit(k).collect())]
+    if len(ids) < k:
+        raise ValueError(f"Sample larger than population or is negative (k={k}, n={len(ids)})")
+    sample = candidates.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(ids)], "pos int, table_id string")
     keep = _passthrough(queries)
     return (queries.select(*keep)
             .crossJoin(F.broadcast(sample.select("pos", "table_id")))
@@ -116,11 +118,17 @@ def sample_fixed(queries: DataFrame, candidates: DataFrame, k: int | None = None
 def subsample(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """SM3: k members of each query's pool (e.g. a KNN result), chosen by
     md5(seed|query|table); the pool per query is small (another sampler's
-    output), and the top-k cut is a WindowGroupLimit."""
+    output), and the top-k cut is a WindowGroupLimit. A query whose pool is
+    smaller than k stops the job with an error, as a sample larger than its
+    population does elsewhere."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    enough = F.when(size >= k, F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit(f"Sample larger than population or is negative (k={k}, n="), size.cast("string"), F.lit(")"))).cast("boolean"))
     w = Window.partitionBy("query_id").orderBy(md5_key(seed, F.col("query_id"), F.col("table_id")), "table_id")
     return (pool.select("query_id", "table_id")
-            .withColumn("pos", F.row_number().over(w))
-            .filter(F.col("pos") <= k)
+            .withColumn("pos", F.row_number().over(w)).withColumn("_enough", enough)
+            .filter((F.col("pos") <= k) & F.col("_enough"))
+            .drop("_enough")
             .withColumn("pos", F.col("pos").cast("int")))
 
 

@@ -19,7 +19,7 @@ from ..functions.text import rank_score, trec_escape, trec_unescape, xml_escape
 from ..operators.budget import count_message_tokens, fit_messages, keep_last_tokens
 from ..operators.evaluate import best_config, covered_queries, evaluate, leaderboard, summarize
 from ..operators.extract import extract_csv_token, extract_first_line
-from ..operators.infer import constant_model, embed_hash, mean_pool, replay_model, SequenceModel
+from ..operators.infer import constant_model, embed_hash, mean_pool, Replay, replay_model
 from ..operators.knn import knn_examples, knn_topk, order_examples
 from ..operators.runs import ensemble, ensemble_eligible, side_by_side, to_run
 from ..operators.sampling import sample_examples, sample_fixed, subsample
@@ -159,8 +159,7 @@ def ensemble_eligible_q(spark, sf):
 @register("side_by_side")
 def side_by_side_q(spark, sf):
     s = side_by_side(derived.customer_runs(spark, sf), derived.customer_qrels(spark, sf))
-    return s.select("run_id", "query_id", F.array_join("results", "|").alias("results"),
-                    F.array_join("ground_truth", "|").alias("ground_truth"))
+    return s.select("run_id", "query_id", "side", F.col("pos").cast("long").alias("pos"), "value")
 
 
 @register("covered_queries")
@@ -192,8 +191,9 @@ def best_config_q(spark, sf):
 def baseline_compare_q(spark, sf):
     runs = derived.customer_runs(spark, sf).unionByName(derived.customer_baseline(spark, sf))
     summ = summarize(evaluate(runs, derived.customer_qrels(spark, sf)))
-    kinds = runs.select("run_id", F.when(F.col("tag") == "baseline", "baseline").otherwise("run").alias("kind")).distinct()
-    return (leaderboard(summ).join(kinds, "run_id")
+    # one run of the two frames is the baseline, by its id: no second pass over the runs
+    kind = F.when(F.col("run_id") == "baseline_name", "baseline").otherwise("run")
+    return (leaderboard(summ).withColumn("kind", kind)
             .select("run_id", "kind", "queries", "success_1", "success_5", "P_5", "report"))
 
 
@@ -347,12 +347,14 @@ def extract_csv_token_q(spark, sf):
     return d.select("doc_id", extract_csv_token("text")[0].alias("token"))
 
 
-def truncated_lists(spark, sf, first: int = 1, cut: int = 40):
-    """FX-JSON: JSON list of 8 names of a table from position ``first``,
-    cut at ``cut`` + nation key characters."""
+def truncated_lists(spark, sf, first: int = 1):
+    """FX-JSON: JSON list of a table's names from position ``first``, cut
+    after 50 + nation key hundredths of its characters."""
     t = derived.customer_tables(spark, sf)
     nk = F.split("table_id", "_")[1].cast("int")
-    return t.select("query_id", F.left(json_list(F.slice(subject("rows"), first, 8)), F.lit(cut) + nk).alias("text"))
+    names = json_list(F.slice(subject("rows"), first, F.greatest(F.size("rows") - (first - 1), F.lit(0))))
+    return t.select("query_id", names.alias("names"), nk.alias("nk")).select(
+        "query_id", F.left("names", F.floor(F.length("names") * (50 + F.col("nk")) / 100).cast("int")).alias("text"))
 
 
 @register("extract_list_truncated")
@@ -365,9 +367,23 @@ def extract_list_truncated_q(spark, sf):
 # ------------------------------------------ inference and pipelines (ML SW)
 
 
-# the model slot of the end-to-end queries: count on from the last seed,
-# ten proposals, answer cut at 150 characters (exercises list repair)
-FLAGSHIP_MODEL = SequenceModel(n=10, max_chars=150)
+VARIANTS = 4
+
+
+def recorded_answers(spark, sf) -> DataFrame:
+    """Recorded completions of every customer table, several to a query:
+    its names from the 2nd, 3rd and 4th row on, and all of them from the end,
+    each cut after four fifths (after the lead, so lists need repair)."""
+    names = subject("rows")
+    rest = lambda n: F.slice(names, n, F.greatest(F.size("rows") - (n - 1), F.lit(0)))
+    texts = [json_list(rest(2)), json_list(rest(3)), json_list(rest(4)), json_list(F.reverse(names))]
+    t = derived.customer_tables(spark, sf).select("query_id", F.posexplode(F.array(*texts)).alias("variant", "whole"))
+    cut = F.floor(F.length("whole") * 80 / 100).cast("int")
+    return t.select("query_id", "variant", F.substring(F.left("whole", cut), 3, 1 << 30).alias("completion"))
+
+
+def _replay(spark, sf) -> Replay:
+    return Replay(recorded_answers(spark, sf), VARIANTS, lambda c: F.element_at(F.split(c, "/"), -1))
 
 
 @register("complete_constant")
@@ -394,14 +410,14 @@ def embed_hash_q(spark, sf):
 
 
 def flagship(spark, sf):
-    """Corpus -> seeds=3 -> 2 fixed examples -> instruction prompt -> model
-    -> list extraction (lead '["') -> run -> scored against the split's own
+    """Corpus -> seeds=3 -> 2 fixed examples -> instruction prompt ->
+    completions recorded for the query and its examples -> list extraction (lead '["') -> run -> scored against the split's own
     ground truth."""
     # the extra readers of q (examples, qrels) need key columns or one
     # JVM aggregation: recomputing is cheaper than caching nested rows
     q = _cust_queries(spark, sf)
     parts = derived.part_tables(spark, sf)
-    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, FLAGSHIP_MODEL, extractor="list", lead='["')
+    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, _replay(spark, sf), extractor="list", lead='["')
     run = to_run(s, run_id="flagship")
     return summarize(evaluate(run, qrels_from_split(q)))
 
@@ -412,7 +428,7 @@ def suggest_end_to_end_q(spark, sf):
 
 
 SWEEP_CONFIGS = [
-    {"config_id": f"{tutor}_{ext}_s{n}", "seeds": n, "extractor": ext,
+    {"config_id": f"{tutor}_{ext}_s{n}", "seeds": n, "extractor": ext, "template": "chat" if n == 5 else "instruct",
      "tutor": {"class": tutor, "amount": 0 if tutor == "zero" else 2, "seed": 7}}
     for n in (1, 3, 5) for tutor in ("zero", "fixed", "random") for ext in ("list", "csv_token")
 ]
@@ -422,7 +438,7 @@ SWEEP_CONFIGS = [
 def sweep_grid_q(spark, sf):
     configs = configs_from_dicts(spark, SWEEP_CONFIGS)
     runs, qrels = sweep(derived.customer_tables(spark, sf), configs, derived.part_tables(spark, sf),
-                        FLAGSHIP_MODEL)
+                        _replay(spark, sf))
     return summarize(evaluate(runs, qrels)).select(F.col("run_id").alias("config_id"), "metric", "score", "queries")
 
 
@@ -433,7 +449,7 @@ def pick_first_hit_q(spark, sf):
     q = _cust_queries(spark, sf)
     parts = derived.part_tables(spark, sf)
     pool = sample_examples(q, parts, k=4, seed=42)
-    picked = pick_examples(q, pool, parts, FLAGSHIP_MODEL, amount=2, tries=2)
+    picked = pick_examples(q, pool, parts, _replay(spark, sf), amount=2, tries=2)
     return picked.select("query_id", F.col("pos").cast("long").alias("pos"), "table_id",
                          F.col("round").cast("long").alias("round"))
 
@@ -453,26 +469,73 @@ CHAT_CONTEXT = 200  # whitespace tokens: the older example pair must be dropped
 @register("suggest_chat_end_to_end")
 def suggest_chat_end_to_end_q(spark, sf):
     """The chat path: chat prompt with 2 fixed examples -> fitted to a
-    200-token context -> model over the JSON messages -> list extraction
-    (no lead) -> run -> scored against the split's own ground truth."""
+    200-token context -> recorded completions -> list extraction -> run -> scored against the split's own ground truth."""
     q = _cust_queries(spark, sf)
     parts = derived.part_tables(spark, sf)
-    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, FLAGSHIP_MODEL, template="chat",
-                extractor="list", lead="", chat_limit=CHAT_CONTEXT)
+    s = suggest(q, sample_fixed(q, parts, k=2, seed=7), parts, _replay(spark, sf), template="chat",
+                extractor="list", lead='["', chat_limit=CHAT_CONTEXT)
     run = to_run(s, run_id="chat")
     return summarize(evaluate(run, qrels_from_split(q))).select("run_id", "metric", "score", "queries")
 
 
 @register("replay_end_to_end")
 def replay_end_to_end_q(spark, sf):
-    """ML5 in a pipeline: recorded completions (8 names from each table's
-    4th row, cut mid-list) replayed for the rendered prompts by (config,
+    """ML5 in a pipeline: recorded completions (the names from each table's
+    4th row on, cut mid-list) replayed for the rendered prompts by (config,
     query), extracted with repair, run, scored against the split's own
     ground truth."""
     q = _cust_queries(spark, sf)
     prompts = render_instruct(q, None, None).select("query_id", F.lit("replay").alias("config_id"), "prompt")
-    recorded = truncated_lists(spark, sf, first=4, cut=60).select(F.lit("replay").alias("config_id"), "query_id",
+    recorded = truncated_lists(spark, sf, first=4).select(F.lit("replay").alias("config_id"), "query_id",
                                                  F.col("text").alias("completion"))
     done = replay_model(prompts, recorded).withColumn("suggestions", extract_list("completion"))
     run = to_run(done, run_id="replay")
     return summarize(evaluate(run, qrels_from_split(q))).select("run_id", "metric", "score", "queries")
+
+
+# ------------------------------------------------ further operators, as rows
+
+@register("knn_random_order")
+def knn_random_order_q(spark, sf):
+    """SM5: the nearest examples in a seeded random order."""
+    return order_examples(_knn(spark, sf), "random", seed=11).select(
+        "query_id", "table_id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+
+
+@register("mean_pool_masked")
+def mean_pool_masked_q(spark, sf):
+    """AG7 with its mask: every third vector is left out of the means."""
+    v = derived.knn_vectors(spark, sf).withColumn("mask", (F.pmod("vec_id", F.lit(3)) != 0).cast("int"))
+    return mean_pool(v, "label", mask="mask").select(F.col("label").cast("long").alias("label"),
+                                                     F.col("dim").cast("long").alias("dim"),
+                                                     F.round("value", 6).alias("value"))
+
+
+def _named_messages(spark, sf):
+    m = spark.read.parquet(f"{sf}/conversations.parquet")
+    return m.withColumn("name", F.when(F.col("role") == "user", F.concat(F.lit("user "), F.col("conv_id").cast("string"))))
+
+
+@register("chat_token_count_names")
+def chat_token_count_names_q(spark, sf):
+    """AG8: the speakers' names count too."""
+    return count_message_tokens(_named_messages(spark, sf), name="name")
+
+
+@register("run_write_read")
+def run_write_read_q(spark, sf):
+    """SNK1, SNK3, SRC4, SRC5: the derived runs written as run folders under
+    the checkpoint dir, one per run id, and read back with their metadata."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.trec import write_run
+    from ..sources.trec import read_run_meta, read_runs
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    runs = derived.customer_runs(spark, sf)
+    for name in MEMBERS:
+        write_run(runs, root, name, folder="data/benchmark", seeds=3, task={"order": name})
+    meta = read_run_meta(spark, root).select("run_id", "folder", "seeds", "completed")
+    return read_runs(spark, root).join(F.broadcast(meta), "run_id").select(
+        "run_id", "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "tag",
+        "folder", F.col("seeds").cast("long").alias("seeds"), "completed")

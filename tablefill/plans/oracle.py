@@ -16,7 +16,7 @@ def unesc(x: str) -> str:
     return f"replace(replace(replace({x}, '[[:space:]]', ' '), '[[:pound:]]', '#'), '[[:tab:]]', chr(9))"
 
 
-# FX-CUST keys, FX-RUNS (seeds=3, top 20, three orders) and FX-QREL.
+# FX-CUST keys, FX-RUNS (seeds=3, three orders) and FX-QREL.
 CUST = "cust AS (SELECT *, printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id FROM customer)"
 
 RUNS = f"""{CUST},
@@ -28,9 +28,9 @@ ranked AS (
          row_number() OVER (PARTITION BY query_id ORDER BY c_custkey) AS r_custkey
   FROM cand WHERE rn > 3),
 runs0 AS (
-  SELECT 'acctbal' AS run_id, query_id, c_name, r_acctbal AS rank FROM ranked WHERE r_acctbal <= 20
-  UNION ALL SELECT 'md5', query_id, c_name, r_md5 FROM ranked WHERE r_md5 <= 20
-  UNION ALL SELECT 'custkey', query_id, c_name, r_custkey FROM ranked WHERE r_custkey <= 20),
+  SELECT 'acctbal' AS run_id, query_id, c_name, r_acctbal AS rank FROM ranked
+  UNION ALL SELECT 'md5', query_id, c_name, r_md5 FROM ranked
+  UNION ALL SELECT 'custkey', query_id, c_name, r_custkey FROM ranked),
 runs AS (SELECT run_id, query_id, {esc('c_name')} AS doc_id, rank,
                 pow(2.0, -(rank - 1))::DOUBLE AS score, run_id AS tag FROM runs0)"""
 
@@ -146,9 +146,9 @@ granked AS (
          row_number() OVER (PARTITION BY query_id, seeds ORDER BY c_custkey) AS r_custkey
   FROM gcand),
 g0 AS (
-  SELECT 'acctbal' AS method, query_id, c_name, split, seeds, r_acctbal AS rank FROM granked WHERE r_acctbal <= 20
-  UNION ALL SELECT 'md5', query_id, c_name, split, seeds, r_md5 FROM granked WHERE r_md5 <= 20
-  UNION ALL SELECT 'custkey', query_id, c_name, split, seeds, r_custkey FROM granked WHERE r_custkey <= 20),
+  SELECT 'acctbal' AS method, query_id, c_name, split, seeds, r_acctbal AS rank FROM granked
+  UNION ALL SELECT 'md5', query_id, c_name, split, seeds, r_md5 FROM granked
+  UNION ALL SELECT 'custkey', query_id, c_name, split, seeds, r_custkey FROM granked),
 runs AS (SELECT printf('%s_%s_s%d', method, split, seeds) AS run_id, query_id, {esc('c_name')} AS doc_id, rank,
                 pow(2.0, -(rank - 1))::DOUBLE AS score, method AS tag, split, seeds FROM g0),
 meta AS (
@@ -178,7 +178,7 @@ lbr AS (
 
 ORACLE["ensemble_vote"] = f"""WITH {RUNS},
 m AS (SELECT * FROM (VALUES ('acctbal', 0), ('md5', 1), ('custkey', 2)) t(run_id, run_pos)),
-f AS (SELECT query_id, doc_id, count(*) AS votes, sum(score) AS total,
+f AS (SELECT query_id, doc_id, count(*) AS votes, sum(score ORDER BY run_pos) AS total,
              min(run_pos * 1000000 + rank) AS first_seen
       FROM runs JOIN m USING (run_id) GROUP BY query_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, total DESC, first_seen) AS rn FROM f)
@@ -192,11 +192,12 @@ FROM members m, first f"""
 
 ORACLE["side_by_side"] = f"""WITH {RUNS},
 {QRELS},
-res AS (SELECT run_id, query_id, string_agg({unesc('doc_id')}, '|' ORDER BY score DESC, rank) AS results
-        FROM runs GROUP BY run_id, query_id),
-gt AS (SELECT query_id, string_agg({unesc('doc_id')}, '|' ORDER BY relevance DESC, doc_id) AS ground_truth
-       FROM qrels GROUP BY query_id)
-SELECT run_id, query_id, results, coalesce(ground_truth, '') AS ground_truth FROM res LEFT JOIN gt USING (query_id)"""
+res AS (SELECT run_id, query_id, 'result' AS side, doc_id,
+               row_number() OVER (PARTITION BY run_id, query_id ORDER BY score DESC, rank, doc_id) AS pos FROM runs),
+gt AS (SELECT NULL::VARCHAR AS run_id, query_id, 'truth' AS side, doc_id,
+              row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS pos
+       FROM qrels WHERE query_id IN (SELECT query_id FROM runs))
+SELECT run_id, query_id, side, pos::BIGINT AS pos, {unesc('doc_id')} AS value FROM (SELECT * FROM res UNION ALL SELECT * FROM gt)"""
 
 ORACLE["covered_queries"] = f"""WITH {RUNS},
 {QRELS},
@@ -230,7 +231,7 @@ bl0 AS (SELECT query_id, c_name, row_number() OVER (PARTITION BY query_id ORDER
 runs AS (SELECT run_id, query_id, doc_id, rank, score, tag FROM runs_m
          UNION ALL
          SELECT 'baseline_name', query_id, {esc('c_name')}, rank, pow(2.0, -(rank - 1))::DOUBLE, 'baseline'
-         FROM bl0 WHERE rank <= 20),
+         FROM bl0),
 {QRELS},
 {eval_per_query()},
 {SUMMARY},
@@ -300,13 +301,13 @@ PART_CANDS = """cands AS (SELECT DISTINCT printf('part_%s_%d', replace(p_brand,
 
 
 def draw(x: str) -> str:
-    return f"('0x' || substr(md5({x}), 1, 7))::BIGINT"
+    return f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
 
 
 ORACLE["sample_per_query"] = f"""WITH {CUST_QUERIES},
 {PART_CANDS},
-nb AS (SELECT count(*) AS n, 1 + count(*) // 100000 AS b FROM cands),
-cb AS (SELECT table_id, {draw('table_id')} % (SELECT b FROM nb) AS bucket FROM cands),
+nb AS (SELECT count(*) AS n FROM cands),
+cb AS (SELECT table_id, {draw('table_id')} % 4096 AS bucket FROM cands),
 cl AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY table_id) - 1 AS local FROM cb),
 off AS (SELECT bucket, coalesce(sum(cnt) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
         FROM (SELECT bucket, count(*) AS cnt FROM cb GROUP BY bucket)),
@@ -493,25 +494,15 @@ ORACLE["extract_list_truncated"] = f"""WITH r AS (
          row_number() OVER (PARTITION BY printf('cust_%d_%d', c_nationkey, c_custkey // 1000) ORDER BY c_custkey) AS rn
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 t AS (SELECT query_id,
-             left('[' || string_agg({jq('c_name')}, ', ' ORDER BY c_custkey) FILTER (WHERE rn <= 8) || ']',
-                  40 + any_value(c_nationkey)) AS text
+             '[' || coalesce(string_agg({jq('c_name')}, ', ' ORDER BY c_custkey) FILTER (WHERE rn >= 1), '') || ']' AS whole,
+             any_value(c_nationkey) AS nk
       FROM r GROUP BY query_id),
-i AS (SELECT query_id, text, regexp_extract_all(left(text, length(text) - 1), '"([^"]*)"', 1) AS items FROM t),
+tc AS (SELECT query_id, left(whole, (length(whole) * (50 + nk) // 100)::BIGINT) AS text FROM t),
+i AS (SELECT query_id, text, regexp_extract_all(left(text, length(text) - 1), '"([^"]*)"', 1) AS items FROM tc),
 j AS (SELECT query_id, CASE WHEN len(items) = 0 THEN [text] ELSE items END AS items FROM i)
 SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j"""
 
 
-def model_items(last: str, cut: int = 150, n: int = 10, lead_len: int = 2) -> str:
-    """The SequenceModel's answer (after a lead of ``lead_len`` chars), as
-    the extractor sees it: the full JSON list cut at lead + cut chars."""
-    prefix = f"regexp_extract({last}, '^(.*?)(\\d+)$', 1)"
-    digits = f"regexp_extract({last}, '^(.*?)(\\d+)$', 2)"
-    num = f"(({digits})::BIGINT + i)::VARCHAR"
-    full = (f"list_transform(range(1, {n + 1}), lambda i: {prefix} || "
-            f"CASE WHEN length({num}) >= length({digits}) THEN {num} ELSE lpad({num}, length({digits})::INT, '0') END)")
-    return f"left('[\"' || array_to_string({full}, '\", \"') || '\"]', {cut + lead_len})"
-
-
 def list_items(text: str) -> str:
     """Repair-extraction of a cut JSON list of quote-free strings."""
     ext = f"regexp_extract_all(left({text}, length({text}) - 1), '\"([^\"]*)\"', 1)"
@@ -544,25 +535,73 @@ def flagship_sql(seeds_expr: str = "3") -> str:
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-ORACLE["suggest_end_to_end"] = f"""WITH {flagship_sql()},
-q AS (SELECT query_id, max(c_name) FILTER (WHERE rn = least(cnt, 3)) AS last_seed FROM r GROUP BY query_id),
-t AS (SELECT query_id, {model_items('last_seed')} AS text FROM q),
+RECORDED = """rec AS (
+  SELECT query_id, variant, '["' || substr(left(whole, length(whole) * 80 // 100), 3) AS text FROM (""" + " UNION ALL ".join(
+    f"""
+    SELECT query_id, {v} AS variant,
+           '[' || coalesce(string_agg({jq('c_name')}, ', ' ORDER BY c_custkey{order}) FILTER (WHERE rn >= {first}), '') || ']' AS whole
+    FROM r GROUP BY query_id""" for v, first, order in ((0, 2, ""), (1, 3, ""), (2, 4, ""), (3, 1, " DESC"))) + "))"
+
+
+def variant(query: str, key: str) -> str:
+    """The recorded answer drawn for a query and the key of its examples."""
+    return f"({draw(f"{query} || '|' || {key}")} % 4)"
+
+
+FIXED_KEY = f"""{PART_CANDS},
+fixed_key AS (SELECT md5(string_agg(table_id, ',' ORDER BY o)) AS key FROM (
+  SELECT table_id, row_number() OVER (ORDER BY md5('7|' || table_id), table_id) AS o FROM cands) WHERE o <= 2)"""
+
+
+def end_to_end(run_id: str) -> str:
+    return f"""WITH {flagship_sql()},
+{FIXED_KEY},
+{RECORDED},
+t AS (SELECT query_id, text FROM rec, fixed_key WHERE variant = {variant('query_id', 'key')}),
 l AS (SELECT query_id, {list_items('text')} AS items FROM t),
 u AS (SELECT query_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM l),
-runs AS (SELECT 'flagship' AS run_id, query_id, {esc('x')} AS doc_id, min(pos) AS pos0,
+runs AS (SELECT '{run_id}' AS run_id, query_id, {esc('x')} AS doc_id, min(pos) AS pos0,
                 pow(2.0, -(min(pos) - 1))::DOUBLE AS score FROM u GROUP BY query_id, {esc('x')}),
 qrels AS (SELECT DISTINCT query_id, {esc('c_name')} AS doc_id, 1 AS relevance FROM r WHERE rn > 3),
 {eval_per_query()},
 {SUMMARY}
 SELECT run_id, metric, score, queries FROM summary"""
 
+
+ORACLE["suggest_end_to_end"] = end_to_end("flagship")
+ORACLE["suggest_chat_end_to_end"] = end_to_end("chat")
+
+
+def floyd(seed: int, k: int, query: str) -> str:
+    """Distinct draws of candidate indexes as a list (Floyd's algorithm)."""
+    d = draw(f"'{seed}|' || {query} || '|' || j::VARCHAR")
+    return f"""list_reduce(range((SELECT n FROM nb) - {k}, (SELECT n FROM nb)),
+           lambda acc, j: CASE WHEN list_contains(acc, {d} % (j + 1)) THEN list_append(acc, j)
+                               ELSE list_append(acc, {d} % (j + 1)) END, []::BIGINT[])"""
+
+
+INDEXED = """nb AS (SELECT count(*) AS n FROM cands),
+cb AS (SELECT table_id, """ + draw('table_id') + """ % 4096 AS bucket FROM cands),
+cl AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY table_id) - 1 AS local FROM cb),
+off AS (SELECT bucket, coalesce(sum(cnt) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT bucket, count(*) AS cnt FROM cb GROUP BY bucket)),
+ci AS (SELECT table_id, off + local AS idx FROM cl JOIN off USING (bucket))"""
+
 ORACLE["sweep_grid"] = f"""WITH {flagship_sql()},
-cfg AS (SELECT tutor || '_' || ext || '_s' || n AS config_id, n, ext
+{FIXED_KEY},
+{INDEXED},
+{RECORDED},
+cfg AS (SELECT tutor || '_' || ext || '_s' || n AS config_id, tutor, n, ext
         FROM (VALUES ('zero'), ('fixed'), ('random')) a(tutor), (VALUES ('list'), ('csv_token')) b(ext),
              (VALUES (1), (3), (5)) c(n)),
-q AS (SELECT config_id, ext, n, query_id, max(c_name) FILTER (WHERE rn = least(cnt, n)) AS last_seed
-      FROM r, cfg GROUP BY config_id, ext, n, query_id),
-t AS (SELECT config_id, ext, n, query_id, {model_items('last_seed')} AS text FROM q),
+q AS (SELECT DISTINCT config_id, tutor, ext, n, query_id, config_id || '/' || query_id AS keyed FROM r, cfg),
+drawn AS (SELECT keyed, {floyd(7, 2, 'keyed')} AS draws FROM q WHERE tutor = 'random'),
+du AS (SELECT keyed, unnest(draws) AS idx, generate_subscripts(draws, 1) AS pos FROM drawn),
+random_key AS (SELECT keyed, md5(string_agg(table_id, ',' ORDER BY pos)) AS key FROM du JOIN ci USING (idx) GROUP BY keyed),
+k AS (SELECT q.*, CASE tutor WHEN 'zero' THEN '' WHEN 'fixed' THEN (SELECT key FROM fixed_key) ELSE random_key.key END AS key
+      FROM q LEFT JOIN random_key USING (keyed)),
+t AS (SELECT config_id, ext, n, k.query_id, text FROM k JOIN rec ON rec.query_id = k.query_id
+      AND rec.variant = {variant('k.query_id', 'k.key')}),
 l AS (SELECT config_id, n, query_id,
              CASE WHEN ext = 'list' THEN {list_items('text')}
                   ELSE [split_part(regexp_replace(substr(text, 3), '^{PYSPACE}+|{PYSPACE}+$', '', 'g'), ',', 1)] END AS items
@@ -577,25 +616,34 @@ qrels AS (SELECT DISTINCT config_id || '/' || query_id AS query_id, {esc('c_name
 SELECT run_id AS config_id, metric, score, queries FROM summary"""
 
 
+def tried(turn: int, unsolved: str) -> str:
+    """CTEs of one round: the draw of each unsolved query, and those accepted."""
+    return f"""draw{turn} AS (SELECT * FROM (
+  SELECT query_id, table_id, row_number() OVER (
+    PARTITION BY query_id ORDER BY md5('{turn}|' || query_id || '|' || table_id), table_id) AS pos
+  FROM pool WHERE query_id IN (SELECT query_id FROM {unsolved})) WHERE pos <= 2),
+key{turn} AS (SELECT query_id, md5(string_agg(table_id, ',' ORDER BY pos)) AS key FROM draw{turn} GROUP BY query_id),
+acc{turn} AS (SELECT h.query_id FROM h JOIN key{turn} k USING (query_id) JOIN rec ON rec.query_id = h.query_id
+              AND rec.variant = {variant('h.query_id', 'k.key')} WHERE list_contains({list_items('text')}, target)),
+left{turn} AS (SELECT query_id FROM {unsolved} WHERE query_id NOT IN (SELECT query_id FROM acc{turn}))"""
+
+
 POOL = ORACLE["sample_per_query"].replace("(SELECT n FROM nb) - 3", "(SELECT n FROM nb) - 4")
 POOL = POOL[len("WITH "):POOL.rindex("SELECT query_id, pos::BIGINT")].rstrip().rstrip(",")
 
 ORACLE["pick_first_hit"] = f"""WITH {POOL},
 pool AS (SELECT query_id, pos, table_id FROM u JOIN ci USING (idx)),
 {flagship_sql()},
-h AS (SELECT query_id, least(max(cnt), 3) AS m,
-             max(c_name) FILTER (WHERE rn = least(cnt, 3) - 1) AS last_held,
-             max(c_name) FILTER (WHERE rn = least(cnt, 3)) AS target
-      FROM r GROUP BY query_id),
-t AS (SELECT query_id, target, last_held, CASE WHEN last_held IS NULL THEN '[]' ELSE {model_items('last_held')} END AS text FROM h),
-acc AS (SELECT query_id FROM t WHERE last_held IS NOT NULL AND list_contains({list_items('text')}, target)),
-draw AS (SELECT query_id, table_id,
-                row_number() OVER (PARTITION BY query_id ORDER BY md5('0|' || query_id || '|' || table_id), table_id) AS pos
-         FROM pool WHERE query_id IN (SELECT query_id FROM acc))
-SELECT query_id, pos::BIGINT AS pos, table_id, 0::BIGINT AS round FROM draw WHERE pos <= 2
+{RECORDED},
+h AS (SELECT query_id, max(c_name) FILTER (WHERE rn = least(cnt, 3)) AS target FROM r GROUP BY query_id),
+{tried(0, 'h')},
+{tried(1, 'left0')}
+SELECT query_id, pos::BIGINT AS pos, table_id, 0::BIGINT AS round FROM draw0 WHERE query_id IN (SELECT query_id FROM acc0)
+UNION ALL
+SELECT query_id, pos::BIGINT, table_id, 1::BIGINT FROM draw1 WHERE query_id IN (SELECT query_id FROM acc1)
 UNION ALL
 SELECT query_id, pos::BIGINT, table_id, -1::BIGINT FROM pool
-WHERE pos <= 2 AND query_id NOT IN (SELECT query_id FROM acc)"""
+WHERE pos <= 2 AND query_id IN (SELECT query_id FROM left1)"""
 
 
 def hashed_vectors(src: str, id_col: str, text_col: str, name: str) -> str:
@@ -621,14 +669,8 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 SELECT query_id, (4 - r)::BIGINT AS pos, table_id, round(score, 6) AS score FROM nn"""
 
 
-ORACLE["suggest_chat_end_to_end"] = (ORACLE["suggest_end_to_end"]
-                                     .replace(model_items('last_seed'), model_items('last_seed', lead_len=0))
-                                     .replace("'flagship' AS run_id", "'chat' AS run_id"))
-
-
 _REPLAY = (ORACLE["extract_list_truncated"]
-           .replace("FILTER (WHERE rn <= 8)", "FILTER (WHERE rn BETWEEN 4 AND 11)")
-           .replace("40 + any_value(c_nationkey)", "60 + any_value(c_nationkey)")
+           .replace("FILTER (WHERE rn >= 1)", "FILTER (WHERE rn >= 4)")
            .replace("SELECT query_id, len(items)::BIGINT AS n_items, array_to_string(items, '|') AS items FROM j", ""))
 ORACLE["replay_end_to_end"] = _REPLAY.rstrip() + f""",
 u AS (SELECT query_id, unnest(items) AS x, generate_subscripts(items, 1) AS pos FROM j),
@@ -638,3 +680,23 @@ qrels AS (SELECT DISTINCT query_id, {esc('c_name')} AS doc_id, 1 AS relevance FR
 {eval_per_query()},
 {SUMMARY}
 SELECT run_id, metric, score, queries FROM summary"""
+
+ORACLE["knn_random_order"] = f"""WITH {KNN}
+SELECT query_id, table_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('11|' || query_id || '|' || table_id))::BIGINT AS pos,
+       round(score, 6) AS score FROM nn"""
+
+ORACLE["mean_pool_masked"] = """WITH e AS (
+  SELECT label, (vec_id % 3 <> 0)::INT AS m, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim
+  FROM embeddings),
+s AS (SELECT label, dim, sum(v * m) / greatest(sum(m)::DOUBLE, 1e-9) AS mean FROM e GROUP BY label, dim),
+n AS (SELECT label, sqrt(sum(mean * mean)) AS norm FROM s GROUP BY label)
+SELECT label::BIGINT AS label, dim::BIGINT AS dim, round(mean / greatest(norm, 1e-12), 6) AS value
+FROM s JOIN n USING (label)"""
+
+ORACLE["chat_token_count_names"] = f"""SELECT conv_id, count(*)::BIGINT AS n_messages,
+       (sum(3 + {ntok('role')} + {ntok('text')} + CASE WHEN role = 'user' THEN 2 + 1 ELSE 0 END) + 3)::BIGINT AS tokens
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["run_write_read"] = f"""WITH {RUNS}
+SELECT run_id, query_id, doc_id, rank::BIGINT AS rank, score, tag, 'data/benchmark' AS folder, 3::BIGINT AS seeds, true AS completed
+FROM runs"""

@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from ..functions.text import keep_last_text
 from ..operators.budget import fit_chat
 from ..operators.extract import extractor as extractor_fn
-from ..operators.infer import Factory, complete
+from ..operators.infer import Factory, Replay, answer
 from ..operators.knn import knn_examples
-from ..operators.sampling import sample_examples, sample_fixed, subsample
+from ..operators.sampling import fixed_amount, sample_examples, sample_fixed, subsample
 from ..operators.tables import hold_out
 from .prompts import render_chat, render_instruct
 
 Transform = Callable[[DataFrame], DataFrame]
 
 
-def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame | None, model: Factory,
-            template: str = "instruct", extractor: str = "list", lead: str = '["',
+def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame | None, model: Factory | Replay,
+            template: str | Callable = "instruct", extractor: str = "list", lead: str = '["',
             pre: Transform | None = None, post: Transform | None = None,
             batch_size: int = 64, chat_limit: int | None = None, reserve: int = 0,
             max_prompt_tokens: int | None = None) -> DataFrame:
@@ -41,9 +41,11 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
     ``reserve`` tokens for the answer. ``max_prompt_tokens`` (context minus
     the answer budget) keeps only the end of a longer instruction prompt,
     as a completion backend does before calling the model (SC9).
+    ``template`` may be a function ``(queries, examples, tables) -> prompts``
+    of the user's own (PR3); ``model`` may be recorded completions.
     """
     q = pre(queries) if pre else queries
-    render = render_instruct if template == "instruct" else render_chat
+    render = renderer(template)
     prompts = render(q, examples, tables)
     if "messages" in prompts.columns:
         if chat_limit is not None:
@@ -54,12 +56,21 @@ def suggest(queries: DataFrame, examples: DataFrame | None, tables: DataFrame |
     # only what later steps read crosses into the model workers
     # (Catalyst cannot prune columns through a Python step)
     carried = ["query_id", "prompt"] + [c for c in ("target", "seeds") if c in prompts.columns]
-    done = complete(prompts.select(*carried), model, batch_size=batch_size)
+    done = answer(prompts.select(*carried), model, examples, batch_size=batch_size)
     out = done.withColumn("suggestions", extractor_fn(extractor, lead)(F.col("completion")))
     return post(out) if post else out
 
 
-def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model: Factory,
+def renderer(template: str | Callable) -> Callable:
+    """The prompt template of a name, or a user's own function."""
+    if callable(template):
+        return template
+    if template not in ("instruct", "chat"):
+        raise ValueError(f"Unknown template {template}")
+    return render_instruct if template == "instruct" else render_chat
+
+
+def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model: Factory | Replay,
                   amount: int, tries: int, lead: str = '["', extractor: str = "list") -> DataFrame:
     """SM4: validated pick of few-shot examples.
 
@@ -96,6 +107,10 @@ def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model:
 
 # ------------------------------------------------------------------ sweep
 
+TUTORS = ("zero", "fixed", "random", "knn")
+TEMPLATES = ("instruct", "chat")
+EXTRACTORS = ("list", "csv_token", "first_line")
+
 def configs_from_dicts(spark, dicts: Sequence[dict]) -> DataFrame:
     """SW2: configs as data. ``meta`` entries are notes and are dropped;
     nested blocks (``tutor: {class: ..., amount: ...}``) are flattened."""
@@ -104,52 +119,83 @@ def configs_from_dicts(spark, dicts: Sequence[dict]) -> DataFrame:
         d = {k: v for k, v in d.items() if k != "meta"}
         tutor = d.get("tutor", {})
         tutor = {k: v for k, v in tutor.items() if k != "meta"} if isinstance(tutor, dict) else {"class": tutor}
-        rows.append((str(d["config_id"]), str(tutor.get("class", "zero")), int(tutor.get("amount", 0) or 0),
-                     int(tutor.get("seed", 42) or 42), int(d.get("seeds", 1)), str(d.get("template", "instruct")),
-                     str(d.get("lead", '["')), str(d.get("extractor", "list"))))
+        kind, template, extractor = str(tutor.get("class", "zero")), str(d.get("template", "instruct")), str(d.get("extractor", "list"))
+        for what, value, known in (("tutor", kind, TUTORS), ("template", template, TEMPLATES), ("extractor", extractor, EXTRACTORS)):
+            if value not in known:
+                raise ValueError(f"Unknown {what} {value}")
+        seed = 42 if tutor.get("seed") is None else int(tutor["seed"])
+        amount = tutor.get("amount", None if kind == "fixed" else 0)
+        if amount is None:  # a number fixed by the seed
+            amount = fixed_amount(seed)
+        rows.append((str(d["config_id"]), kind, int(amount), seed, int(d.get("seeds", 1)), template,
+                     str(d.get("lead", '["')), extractor))
     return spark.createDataFrame(rows, "config_id string, tutor string, k int, seed int, seeds int, "
                                        "template string, lead string, extractor string")
 
 
-def sweep(tables: DataFrame, configs: DataFrame, example_tables: DataFrame, model: Factory,
-          lead: str = '["') -> tuple[DataFrame, DataFrame]:
+def sweep(tables: DataFrame, configs: DataFrame, example_tables: DataFrame, model: Factory | Replay,
+          chat_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """SW1: every query under every configuration in one job.
 
-    Each (config, query) becomes one keyed query ``<config_id>/<query_id>``;
-    the config grid is broadcast (one row per configuration — small by
-    nature). Returns (runs, qrels) keyed the same way, ready for
+    Tables are split once per distinct number of seeds and pinned; each
+    (config, query) becomes one keyed query ``<config_id>/<query_id>`` with the
+    configuration's sampler, template, lead and extractor. Judgments depend on
+    the number of seeds alone. Returns (runs, qrels) keyed alike, ready for
     ``evaluate``; ``run_id`` is the config id.
     """
+    from ..functions.listparse import extract_list
+    from ..operators.extract import extract_csv_token, extract_first_line
     from ..operators.runs import to_run
     from ..operators.tables import qrels_from_split, split_seeds
-    from ..operators.extract import extract_csv_token, extract_first_line
-    from ..functions.listparse import extract_list
+    from ..session import materialize
 
-    keyed = (tables.crossJoin(F.broadcast(configs))
-             .withColumn("base_query_id", F.col("query_id"))
-             .withColumn("query_id", F.concat_ws("/", "config_id", "base_query_id")))
-    queries = split_seeds(keyed, F.col("seeds"))
-    # one example frame per distinct tutor setting of the grid (the grid is
-    # a handful of rows: this loop is over configurations, not data)
-    examples = None
-    settings = configs.filter(F.col("tutor") != "zero").select("tutor", "k", "seed").distinct().collect()
-    for row in sorted(settings):
-        mine = queries.filter((F.col("tutor") == row.tutor) & (F.col("k") == row.k) & (F.col("seed") == row.seed))
-        if row.tutor == "fixed":
-            part = sample_fixed(mine, example_tables, k=row.k, seed=row.seed)
-        elif row.tutor == "random":
-            part = sample_examples(mine, example_tables, k=row.k, seed=row.seed)
-        elif row.tutor == "knn":
-            part = knn_examples(mine, example_tables, row.k, order="lowest first", seed=row.seed)
+    grid = configs.collect()  # one row per configuration: the loops below are over these, not over data
+    unknown = ([r.tutor for r in grid if r.tutor not in TUTORS] + [r.template for r in grid if r.template not in TEMPLATES]
+               + [r.extractor for r in grid if r.extractor not in EXTRACTORS])
+    if unknown:
+        raise ValueError(f"Unknown setting {unknown[0]}")
+    spark = tables.sparkSession
+    counts = spark.createDataFrame([(n,) for n in sorted({r.seeds for r in grid})], "n int")
+    split = materialize(split_seeds(tables.crossJoin(F.broadcast(counts)), F.col("n")).drop("n"))
+    example_tables = materialize(example_tables)
+
+    def keyed(frame: DataFrame, rows: list) -> DataFrame:
+        names = spark.createDataFrame([(r.config_id, r.seeds, r.extractor, r.lead) for r in rows],
+                                      "config_id string, seeds int, extractor string, lead string")
+        return (frame.join(F.broadcast(names), "seeds")
+                .withColumn("query_id", F.concat_ws("/", "config_id", "query_id")))
+
+    parts = []
+    for tutor, k, seed, template in sorted({(r.tutor, r.k, r.seed, r.template) for r in grid}):
+        mine = keyed(split, [r for r in grid if (r.tutor, r.k, r.seed, r.template) == (tutor, k, seed, template)])
+        if tutor == "zero":
+            examples = None
+        elif tutor == "fixed":
+            examples = sample_fixed(mine, example_tables, k=k, seed=seed)
+        elif tutor == "random":
+            examples = sample_examples(mine, example_tables, k=k, seed=seed)
         else:
-            raise ValueError(f"Unknown tutor {row.tutor}")
-        part = part.select("query_id", "pos", "table_id")
-        examples = part if examples is None else examples.unionByName(part)
-    prompts = render_instruct(queries, examples, example_tables)
-    done = complete(prompts.select("query_id", "config_id", "extractor", "prompt"), model)
-    sugg = done.withColumn("suggestions",
-                           F.when(F.col("extractor") == "list", extract_list("completion", lead))
-                           .when(F.col("extractor") == "csv_token", extract_csv_token("completion"))
-                           .otherwise(extract_first_line("completion")))
-    runs = to_run(sugg.withColumnRenamed("config_id", "run_id"), tag="sweep")
-    return runs, qrels_from_split(queries)
+            examples = knn_examples(mine, example_tables, k, order="lowest first", seed=seed).select("query_id", "pos", "table_id")
+        prompts = renderer(template)(mine, examples, example_tables)
+        if "messages" in prompts.columns:
+            if chat_limit is not None:
+                prompts = fit_chat(prompts, chat_limit)
+            prompts = prompts.withColumn("prompt", F.to_json("messages"))
+        parts.append(answer(prompts.select("query_id", "prompt"), model, examples).select("query_id", "completion"))
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.unionByName(part)
+    settings = spark.createDataFrame([(r.config_id, r.extractor, r.lead) for r in grid],
+                                     "run_id string, extractor string, lead string")
+    done = (done.withColumn("run_id", F.substring_index("query_id", "/", 1))
+            .join(F.broadcast(settings), "run_id"))  # one row per configuration
+    suggestions = done.withColumn(
+        "suggestions",
+        F.when(F.col("extractor") == "list", extract_list(F.concat("lead", "completion")))
+        .when(F.col("extractor") == "csv_token", extract_csv_token("completion"))
+        .otherwise(extract_first_line("completion")))
+    runs = to_run(suggestions, tag="sweep")
+    judged = qrels_from_split(split.withColumn("query_id", F.concat_ws("/", F.col("seeds").cast("string"), "query_id")))
+    judged = (judged.withColumn("seeds", F.substring_index("query_id", "/", 1).cast("int"))
+              .withColumn("query_id", F.expr("substring(query_id, instr(query_id, '/') + 1)")))
+    return runs, keyed(judged, grid).select("query_id", *[c for c in judged.columns if c not in ("query_id", "seeds")])

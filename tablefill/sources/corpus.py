@@ -88,10 +88,12 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
                     F.from_json("value", "map<string,string>").alias("meta")))
     stem = F.regexp_replace(F.col("path"), r"\.csv$", "")
     t = parsed.withColumn("stem", stem).join(meta, "stem", "left")
+    # a table without its meta file has no id to be judged by
+    missing = F.raise_error(F.concat(F.lit("no meta file with a queryId for "), F.col("path")))
     return t.select(
         F.regexp_extract("stem", r"([^/]+)$", 1).alias("table_id"),
         "path",
-        F.col("meta")["queryId"].alias("query_id"),
+        F.coalesce(F.col("meta")["queryId"], missing.cast("string")).alias("query_id"),
         describe_meta("meta").alias("description"),
         "headers", "rows", "meta",
         F.split(F.col("path"), "/").alias("parts"))

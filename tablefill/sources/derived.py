@@ -23,7 +23,6 @@ from ..session import read_table
 
 # Fixed parameters of the derived corpora.
 KEY_BLOCK = 1000          # keys per table block: bounds every table's size
-RUN_DEPTH = 20            # suggestions per query in the derived runs
 RUN_METHODS = ("acctbal", "md5", "custkey")
 VALIDATION_REGION = 4     # tables of this region form the validation split
 
@@ -106,24 +105,28 @@ def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables_from_groups(g, ["p_name", "p_type"])
 
 
+def _nation_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_nationkey -> split: 25 rows by the TPC-H spec."""
+    return F.broadcast(_nations(spark, sf_dir).select(
+        "n_nationkey", F.when(F.col("n_regionkey") == VALIDATION_REGION, F.lit("validation"))
+        .otherwise(F.lit("benchmark")).alias("split")))
+
+
 def customer_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id -> split ('benchmark' | 'validation') for FX-CUST tables."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     keys = (c.withColumn("block", F.floor(F.col("c_custkey") / KEY_BLOCK))
             .select("c_nationkey", "block").distinct())
-    keys = keys.join(_nations(spark, sf_dir), keys.c_nationkey == F.col("n_nationkey"))
-    return keys.select(
-        F.format_string("cust_%d_%d", "c_nationkey", "block").alias("query_id"),
-        F.when(F.col("n_regionkey") == VALIDATION_REGION, F.lit("validation"))
-        .otherwise(F.lit("benchmark")).alias("split"))
+    return keys.join(_nation_splits(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.format_string("cust_%d_%d", "c_nationkey", "block").alias("query_id"), "split")
 
 
 def customer_runs(spark: SparkSession, sf_dir: str, seeds: int = 3) -> DataFrame:
     """FX-RUNS: three runs over the FX-CUST queries.
 
     For each table the rows after the first ``seeds`` (by custkey) are ranked
-    by acctbal desc / md5(name) / custkey and the top RUN_DEPTH kept; score
-    2^-(rank-1). The windows are partitioned by table, a group bounded by
+    by acctbal desc / md5(name) / custkey, all of them; score 2^-(rank-1).
+    The windows are partitioned by table, a group bounded by
     KEY_BLOCK rows.
     """
     c = (read_table(spark, sf_dir, "customer")
@@ -144,7 +147,6 @@ def customer_runs(spark: SparkSession, sf_dir: str, seeds: int = 3) -> DataFrame
     per_method = F.array(*[F.struct(F.lit(m).alias("run_id"), F.col(f"rank_{m}").alias("rank"))
                            for m in RUN_METHODS])
     return (cand.select("query_id", "c_name", F.explode(per_method).alias("r"))
-            .filter(F.col("r.rank") <= RUN_DEPTH)
             .select(F.col("r.run_id").alias("run_id"), "query_id",
                     trec_escape("c_name").alias("doc_id"),
                     F.col("r.rank").cast("int").alias("rank"),
@@ -185,7 +187,7 @@ def customer_run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
          .select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
          .withColumn("query_id", F.format_string("cust_%d_%d", "c_nationkey",
                                                  F.floor(F.col("c_custkey") / KEY_BLOCK))))
-    c = c.join(customer_splits(spark, sf_dir), "query_id")
+    c = c.join(_nation_splits(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     by_table = Window.partitionBy("query_id")
     c = c.withColumn("row_in_table", F.row_number().over(by_table.orderBy("c_custkey")))
     grid = c.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("seeds"))
@@ -201,7 +203,6 @@ def customer_run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_method = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"rank_{m}").alias("rank"))
                            for m in RUN_METHODS])
     return (cand.select("query_id", "c_name", "split", "seeds", F.explode(per_method).alias("r"))
-            .filter(F.col("r.rank") <= RUN_DEPTH)
             .select(F.format_string("%s_%s_s%d", F.col("r.method"), F.col("split"), F.col("seeds")).alias("run_id"),
                     "query_id", trec_escape("c_name").alias("doc_id"),
                     F.col("r.rank").cast("int").alias("rank"),
@@ -228,7 +229,7 @@ def grid_run_meta(runs: DataFrame, splits: DataFrame) -> DataFrame:
     folder = F.concat(F.lit("data/"), F.col("split"))
     return meta.select(
         "run_id", folder.alias("folder"), "seeds",
-        F.to_json(F.struct(F.lit("SubjectSuggestionPipeline").alias("class"),
+        F.to_json(F.struct(F.lit("suggest").alias("pipeline"),
                            F.col("method").alias("order"))).alias("task"),
         (F.col("answered") == F.col("split_queries")).alias("completed"),
         (F.col("method") == F.lit("custkey")).alias("debug"),
@@ -245,8 +246,7 @@ def customer_baseline(spark: SparkSession, sf_dir: str, seeds: int = 3) -> DataF
     by_table = Window.partitionBy("query_id")
     c = c.withColumn("row_in_table", F.row_number().over(by_table.orderBy("c_custkey")))
     r = (c.filter(F.col("row_in_table") > seeds)
-         .withColumn("rank", F.row_number().over(by_table.orderBy(F.col("c_name").desc())))
-         .filter(F.col("rank") <= RUN_DEPTH))
+         .withColumn("rank", F.row_number().over(by_table.orderBy(F.col("c_name").desc()))))
     return r.select(F.lit("baseline_name").alias("run_id"), "query_id",
                     trec_escape("c_name").alias("doc_id"), F.col("rank").cast("int").alias("rank"),
                     rank_score(F.col("rank") - 1).alias("score"), F.lit("baseline").alias("tag"))

@@ -56,3 +56,19 @@ def test_first_line_and_csv_token(spark):
     out = df.select(extract_first_line("t")[0].alias("fl"), extract_csv_token("t")[0].alias("tok")).collect()
     assert [r.fl for r in out] == ["a, b", '  "x, y" , z', '"unclosed, q', " plain ", ""]
     assert [r.tok for r in out] == ["a", "x, y", "", "plain", ""]
+
+
+@pytest.mark.parametrize("text", ['["a", null, ' + '"bbbb", ' * 12_500, "[" + "null, " * 16_000, "[" * 100_000, "[" + "1 " * 50_000,
+                                  '["' + "x" * 100_000])
+def test_long_broken_answers_are_repaired_in_one_scan(text):
+    import time
+    start = time.process_time()
+    extract_list_py(text)
+    assert time.process_time() - start < 0.5  # a parse per cut character took minutes
+
+
+@pytest.mark.parametrize(("text", "items"), [
+    ('["a", "b", tru', ["a", "b"]), ("[1, 2], [3, 4", ["[1, 2]", "[3]"]), ('["a" "b" null]', ["ab"]), ("[12abc]", ["12"]),
+    ('[{"a": 1}, {"b": ', ["{'a': 1}"]), ('["x\\"y", "z', ['x"y']), ("[", ["["]), ("[]x", ["[]x"])])
+def test_repaired_lists(text, items):
+    assert extract_list_py(text) == items

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablefill.operators.infer import PromptTooLong, SequenceModel, complete, constant_model, embed_hash, mean_pool
+from sequence_model import SequenceModel
+from tablefill.operators.infer import PromptTooLong, complete, constant_model, embed_hash, mean_pool
 
 
 class ShortContextModel:
@@ -98,3 +99,58 @@ def test_encoder_slot(spark):
     got = {r.id: r.embedding for r in embed(df, "text", LengthEncoder(), batch_size=1).collect()}
     assert [round(x, 4) for x in got[1]] == [round(6 / 45 ** 0.5, 4), round(3 / 45 ** 0.5, 4)]
     assert got[2] == [1.0, 0.0]
+
+
+class Answer:
+    """A factory whose model answers with one letter."""
+
+    def __init__(self, letter):
+        self.letter = letter
+
+    def __call__(self):
+        return lambda prompts: [self.letter for _ in prompts]
+
+
+def test_short_lived_factories_keep_their_own_answers(spark):
+    df = spark.createDataFrame([("p",)], "prompt string").coalesce(1)
+    for i in range(20):
+        assert complete(df, Answer(chr(97 + i))).first().completion == chr(97 + i)
+
+
+class Refusing:
+    """Refuses a batch with a long prompt; the answer tells the size of its batch."""
+
+    def __call__(self):
+        def model(prompts):
+            if any(len(p.split()) > 3 for p in prompts):
+                raise PromptTooLong("too long")
+            return [str(len(prompts)) for _ in prompts]
+        return model
+
+
+def test_only_refused_prompts_are_asked_alone(spark):
+    prompts = [("a b c d e",)] + [("a",)] * 7
+    df = spark.createDataFrame(prompts, "prompt string").coalesce(1)
+    got = complete(df, Refusing(), on_too_long="keep_last", keep_last_n=2, retry_on=(PromptTooLong,)).collect()
+    assert [r.truncated for r in got] == [True] + [False] * 7
+    assert [r.completion for r in got] == ["1", "1", "2", "2", "4", "4", "4", "4"]
+
+
+def test_keep_last_needs_a_number(spark):
+    df = spark.createDataFrame([("p",)], "prompt string")
+    with pytest.raises(ValueError):
+        complete(df, Refusing(), on_too_long="keep_last")
+
+
+def test_replay_depends_on_the_examples(spark):
+    from tablefill.operators.infer import Replay, answer
+    prompts = spark.createDataFrame([(f"q{i}", "p") for i in range(30)], "query_id string, prompt string")
+    recorded = spark.createDataFrame([(f"q{i}", v, f"{i}/{v}") for i in range(30) for v in range(4)],
+                                     "query_id string, variant int, completion string")
+    chosen = []
+    for table in ("a", "b"):
+        examples = prompts.selectExpr("query_id", "1 AS pos", f"'{table}' AS table_id")
+        got = {r.query_id: r.completion for r in answer(prompts, Replay(recorded, 4), examples).collect()}
+        assert all(got[f"q{i}"].startswith(f"{i}/") for i in range(30))
+        chosen.append(got)
+    assert chosen[0] != chosen[1]

@@ -126,3 +126,12 @@ def test_listing_fallback_without_jvm_access(spark, scratch, monkeypatch):
     monkeypatch.setattr(trec, "spark_context", lambda s: None)
     assert [r.run_id for r in trec.list_runs(spark, scratch).collect()] == classic == [
         "2024-02-01_00-00-00", "2024-02-02_00-00-00"]
+
+
+def test_only_a_local_master_gets_a_scratch_folder():
+    import pytest
+    from tablefill.session import _scratch_dir
+    assert _scratch_dir("local[4]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            _scratch_dir(master)

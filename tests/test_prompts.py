@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tablefill.functions.jsonlist import json_list
-from tablefill.functions.xmlmsg import messages_from_xml
 from tablefill.plans.prompts import INSTRUCTION, render_chat, render_instruct
 
 
@@ -30,7 +29,7 @@ def test_instruct_golden(spark):
     assert zero == expected[expected.index("[INST]", 10):]
 
 
-def test_chat_golden_and_xml_round_trip(spark):
+def test_chat_golden(spark):
     q, t, ex = _frames(spark)
     r = render_chat(q, ex, t)
     row = r.first()
@@ -42,8 +41,8 @@ def test_chat_golden_and_xml_round_trip(spark):
         "\n<user>Table description:\nRivers\nAll table headers:\n[\"River\", \"Len\"]\n"
         "Header of column to expand:\nRiver\nColumn:\n[\"Nile\", \"Rhine\"]</user>\n</messages>")
     assert row.prompt == expected
-    parsed = r.select(messages_from_xml("prompt").alias("m")).first().m
-    assert [(m.role, m.content) for m in parsed] == [(m.role, m.content) for m in row.messages]
+    assert [m.role for m in row.messages] == ["system", "user", "assistant", "user"]
+    assert row.messages[2].content == "[\"Z\\u00fcrich\"]" and row.messages[1].content.endswith("[\"Rome\", \"Paris\"]")
     zero = render_chat(q, None, None).first()
     assert zero.prompt.startswith(f"<messages>\n<system>{INSTRUCTION}</system>\n\n<user>")
     assert [m.role for m in zero.messages] == ["system", "user"]

@@ -38,7 +38,7 @@ def test_sample_k_equals_n_and_too_large(spark):
 
 def test_dense_index_is_a_bijection(spark):
     c = spark.range(0, 2500).select(F.format_string("id%05d", "id").alias("table_id"))
-    idx = dense_index(c, "table_id", rows_per_bucket=300).collect()
+    idx = dense_index(c, "table_id").collect()
     assert sorted(r.idx for r in idx) == list(range(2500))
 
 
@@ -60,3 +60,15 @@ def test_fixed_sample_amount_from_seed(spark):
         k = fixed_amount(seed)
         assert 1 <= k <= 5 and len(got) == 3 * k
         assert sorted(got) == sorted(sample_fixed(q, c, k=None, seed=seed).collect())
+
+
+def test_samples_larger_than_their_population_raise(spark):
+    import pytest
+    q = spark.createDataFrame([("q1",), ("q2",)], "query_id string")
+    c = spark.createDataFrame([("t1",), ("t2",)], "table_id string")
+    with pytest.raises(ValueError):
+        sample_fixed(q, c, k=5)
+    pool = q.crossJoin(c)
+    assert subsample(pool, 2).count() == 4
+    with pytest.raises(Exception, match="larger than population"):
+        subsample(pool, 3).collect()

@@ -48,18 +48,13 @@ def test_evaluate_with_a_hot_query(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-import pytest  # noqa: E402
-
-
-@pytest.mark.parametrize("hot_rows", [5_000_000, 1000])
-def test_ensemble_with_a_hot_query(spark, hot_rows):
-    """hot_rows=1000 sends the hot query through the split ranking; AQE's
-    coalescing is off so the small hot group really spans several slices."""
+def test_ensemble_with_a_hot_query(spark):
+    """AQE's coalescing is off so the small hot group really spans several slices."""
     runs = _skewed_runs(spark)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, "false")
     try:
-        all_rows = sorted(ensemble(runs, ["a", "b"], hot_rows=hot_rows).collect())
+        all_rows = sorted(ensemble(runs, ["a", "b"]).collect())
         slices = (runs.filter(F.col("query_id") == "hot").repartitionByRange("query_id", "doc_id")
                   .select(F.spark_partition_id().alias("p")).distinct().count())
     finally:
@@ -79,7 +74,7 @@ def test_ensemble_with_a_hot_query(spark, hot_rows):
 
 
 def test_fit_messages_hot_conversations_match(spark):
-    """Conversations above hot_rows are range-sliced; results must not change."""
+    """Conversations are range-sliced; results must not depend on the slices."""
     from conftest import SF01
     from tablefill.operators.budget import fit_messages
     conv = spark.read.parquet(f"{SF01}/conversations.parquet")
@@ -87,7 +82,7 @@ def test_fit_messages_hot_conversations_match(spark):
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, "false")
     try:
-        sliced = sorted(fit_messages(conv, 200, hot_rows=4).collect())
+        sliced = sorted(fit_messages(conv, 200).collect())
     finally:
         spark.conf.set(key, "true")
     assert sliced == plain
@@ -104,8 +99,7 @@ def test_running_within_matches_window(spark):
     spark.conf.set(key, "false")
     try:
         got = sorted(running_within(df, "query_id", [F.col("doc_id"), F.col("run_id")],
-                                    {"c": F.lit(1).cast("long"), "s": F.col("rank").cast("long")},
-                                    hot_rows=1000).collect())
+                                    {"c": F.lit(1).cast("long"), "s": F.col("rank").cast("long")}).collect())
     finally:
         spark.conf.set(key, "true")
     assert got == expected
@@ -116,4 +110,21 @@ def test_fit_messages_both_forms_agree(spark):
     from tablefill.operators.budget import fit_messages
     conv = spark.read.parquet(f"{SF01}/conversations.parquet")
     for limit in (60, 200, 400):
-        assert sorted(fit_messages(conv, limit, hot_rows=None).collect()) == sorted(fit_messages(conv, limit).collect())
+        assert sorted(fit_messages(conv, limit, bounded=True).collect()) == sorted(fit_messages(conv, limit).collect())
+
+
+def test_a_hot_group_is_dealt_to_many_tasks(spark):
+    """Not only the results: the rows of the hot query lie in several slices,
+    none of which holds more than a fair share."""
+    from tablefill.operators.ranking import _sliced
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        rows = _skewed_runs(spark)
+        sizes = {r._slice: r["count"] for r in _sliced(rows, "query_id", [F.col("doc_id"), F.col("run_id")])
+                 .filter(F.col("query_id") == "hot").groupBy("_slice").count().collect()}
+    finally:
+        spark.conf.set(key, "true")
+    assert len(sizes) >= 3 and max(sizes.values()) < 0.5 * sum(sizes.values())
+    plan = ensemble(rows, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [query_id" not in plan

@@ -1,12 +1,15 @@
 """Folder workflows end to end: corpus -> runs -> scores -> ensemble."""
 
+import pytest
 import json
 import os
 
 from pyspark.sql import functions as F
 
-from tablefill.operators.infer import SequenceModel, replay_model
+from sequence_model import SequenceModel
+from tablefill.operators.infer import replay_model
 from tablefill.operators.tables import qrels_from_split, split_seeds
+from tablefill.plans.suggest import suggest
 from tablefill.plans.benchmark import ensemble_runs, run_benchmark, score_runs
 from tablefill.sources.corpus import read_tables
 from tablefill.sources.trec import baseline_files, qrels_for, read_run_meta, read_runs
@@ -109,3 +112,40 @@ def test_sweep_with_knn_and_random_tutors(spark):
     assert {k[0] for k in got} == {"k2", "r1"}
     # the model ignores the examples: both tutors score alike
     assert all(got[("k2", m)] == got[("r1", m)] for m in ("success_1", "success_5", "P_5"))
+
+
+def test_config_values_are_kept(spark):
+    from tablefill.operators.sampling import fixed_amount
+    from tablefill.plans.suggest import configs_from_dicts
+    rows = configs_from_dicts(spark, [
+        {"config_id": "a", "tutor": {"class": "fixed", "seed": 0, "amount": None}, "template": "chat"},
+        {"config_id": "b", "tutor": {"class": "knn", "seed": 3, "amount": 2, "meta": "note"}, "lead": ""}]).collect()
+    assert [(r.seed, r.k, r.template, r.lead) for r in rows] == [(0, fixed_amount(0), "chat", '["'), (3, 2, "instruct", "")]
+    for bad in ({"tutor": {"class": "nearest"}}, {"template": "poem"}, {"extractor": "xml"}):
+        with pytest.raises(ValueError):
+            configs_from_dicts(spark, [{"config_id": "x", **bad}])
+
+
+def test_sweep_and_pick_see_the_examples(spark):
+    """Replayed answers depend on the chosen examples, so the samplers differ and
+    the validated pick accepts in different rounds."""
+    from conftest import SF01
+    from tablefill.plans.catalog import REGISTRY
+    scores = {}
+    for r in REGISTRY["sweep_grid"](spark, SF01).collect():
+        tutor, rest = r.config_id.split("_", 1)
+        scores.setdefault(rest, {}).setdefault(tutor, []).append((r.metric, r.score))
+    assert any(len({tuple(sorted(v)) for v in by.values()}) == 3 for by in scores.values())
+    rounds = {r.round for r in REGISTRY["pick_first_hit"](spark, SF01).select("round").distinct().collect()}
+    assert rounds == {0, 1, -1}
+
+
+def test_user_template_and_hooks(spark):
+    from pyspark.sql import functions as F
+    q = spark.createDataFrame([("q1", ["a"]), ("q2", ["b"])], "query_id string, seed_values array<string>")
+    s = suggest(q, None, None, lambda: (lambda prompts: [p.upper() for p in prompts]), extractor="first_line",
+                template=lambda queries, examples, tables: queries.select("query_id", F.concat_ws(",", "seed_values").alias("prompt")),
+                pre=lambda d: d.filter("query_id = 'q1'"), post=lambda d: d.withColumn("seen", F.lit(True)))
+    assert [(r.query_id, r.suggestions, r.seen) for r in s.collect()] == [("q1", ["A"], True)]
+    with pytest.raises(ValueError):
+        suggest(q, None, None, lambda: None, template="poem")
