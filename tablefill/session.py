@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -116,10 +118,31 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tablefill-{uuid.uuid4().hex}"
+    _PINNED.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+_PINNED: list[str] = []  # tables written by ``materialize`` and not yet dropped
+
+
+@contextmanager
+def dropping_pinned(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes in the block when it
+    ends: for jobs whose results are written by then."""
+    before = len(_PINNED)
+    try:
+        yield
+    finally:
+        paths = _PINNED[before:]
+        del _PINNED[before:]
+        sc = spark_context(spark)
+        if sc is not None:  # a Connect client has no file system at hand
+            for path in paths:
+                p = sc._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

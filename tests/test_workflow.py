@@ -57,6 +57,52 @@ def test_benchmark_score_ensemble(spark, scratch):
     assert json.loads(meta["ens"].members) == [r1, r3]
 
 
+def test_samplers_records_and_baselines_of_runs(spark, scratch):
+    from tablefill.plans.benchmark import run_grid
+    corpus = os.path.join(scratch, "data", "benchmark")
+    _write_corpus(corpus)
+    out = os.path.join(scratch, "output")
+    model = SequenceModel(n=5, max_chars=1000)
+    made = run_grid(spark, [corpus], [2, 3], {
+        "fixed": {"model": model, "examples_folder": corpus, "tutor": "fixed", "k": 2, "seed": 3},
+        "sub": {"model": model, "examples_folder": corpus, "tutor": "subsample", "k": 2, "pool": 3}}, out)
+    made.append(run_benchmark(spark, corpus, 3, model, out, run_id="picked", examples_folder=corpus, tutor="pick", k=1, pool=3,
+                              model_name="counter"))
+    assert made == ["fixed_benchmark_s2", "sub_benchmark_s2", "fixed_benchmark_s3", "sub_benchmark_s3", "picked"]
+    meta = {r.run_id: json.loads(r.task) for r in read_run_meta(spark, out).collect()}
+    assert len(meta["fixed_benchmark_s2"]["sample"]) == 2 and meta["picked"]["tries"] == 2 and meta["picked"]["model"] == "counter"
+    completions = spark.read.parquet(f"{out}/picked/completions")
+    assert completions.count() == 4 and completions.filter("seconds < 0 OR truncated").count() == 0
+    with pytest.raises(ValueError):
+        run_benchmark(spark, corpus, 1, model, out, tutor="nearest")
+    base = os.path.join(scratch, "baselines")
+    os.makedirs(base)
+    q = qrels_from_split(split_seeds(read_tables(spark, corpus), 3))
+    best = sorted({(r.query_id, r.doc_id) for r in q.collect()})
+    with open(f"{base}/BL3_coX_3.txt", "w") as f:
+        f.writelines(f"{a}\tQ0\t{d}\t{i + 1}\t{-i}\tbl\n" for i, (a, d) in enumerate(best))
+    qrels = q.selectExpr("'benchmark' AS split", "3 AS seeds", *q.columns)
+    board = {r.run_id: r for r in score_runs(spark, out, qrels, baselines=base, baseline_seeds=(3,)).collect()}
+    assert set(board) == {"fixed_benchmark_s3", "sub_benchmark_s3", "picked", "BL3_coX_3"}
+    assert board["BL3_coX_3"].success_1 == 1.0 and board["BL3_coX_3"].queries == 4
+
+
+def test_pinned_tables_go_with_their_job(spark):
+    from tablefill.session import dropping_pinned, materialize
+    with dropping_pinned(spark):
+        path = materialize(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_a_table_without_its_meta_file_is_an_error(spark, scratch):
+    corpus = os.path.join(scratch, "data", "benchmark")
+    _write_corpus(corpus)
+    os.remove(f"{corpus}/t1_meta.json")
+    with pytest.raises(Exception, match="t1.csv"):
+        read_tables(spark, corpus).collect()
+
+
 def test_qrels_for_prunes_by_split_and_seeds(spark, scratch):
     q = spark.createDataFrame([("benchmark", 1, "a", "d1", 1), ("benchmark", 3, "a", "d3", 1),
                                ("validation", 3, "a", "v3", 1)],
