@@ -24,7 +24,7 @@ from ..operators.tables import split_seeds
 from ..session import dropping_pinned, materialize
 from ..sinks.trec import write_completions, write_run
 from ..sources.corpus import read_tables
-from ..sources.trec import baseline_files, qrels_for, read_run_meta, read_runs
+from ..sources.trec import baseline_files, read_run_meta, read_runs
 from .suggest import Transform, pick_examples, suggest
 
 
@@ -108,7 +108,7 @@ def score_runs(spark: SparkSession, out_root: str, qrels: DataFrame, baselines:
 
     ``qrels`` carries ``split, seeds, query_id, doc_id, relevance`` (a qrels
     table written ``partitionBy("split", "seeds")``); each run meets the
-    judgments of its own (split, seeds) through an equi-join. ``baselines``, a
+    judgments of its own (split, seeds). ``baselines``, a
     folder of published outputs, adds one row per file and number of seeds."""
     meta = read_run_meta(spark, out_root).filter(F.col("completed"))
     runs = read_runs(spark, out_root).join(meta.select("run_id"), "run_id", "left_semi")
@@ -123,10 +123,13 @@ def score_runs(spark: SparkSession, out_root: str, qrels: DataFrame, baselines:
                     [(stem, "data/benchmark", n, True, False, False)],
                     "run_id string, folder string, seeds int, completed boolean, debug boolean, validation boolean"),
                     allowMissingColumns=True)
-    judged = qrels_for(meta, qrels)  # run_id, query_id, doc_id, relevance
-    # per-run qrels: key the queries by run so each run meets its own judgments
-    keyed_runs = runs.withColumn("query_id", F.concat_ws("\u0001", "run_id", "query_id"))
-    keyed_qrels = judged.withColumn("query_id", F.concat_ws("\u0001", "run_id", "query_id"))
+    # queries are keyed by their (split, seeds), in runs and judgments alike: no
+    # judgment is copied per run; both key tables have a row per run at most
+    split = F.when(F.col("validation"), F.lit("validation")).otherwise(F.lit("benchmark")).alias("split")
+    keys = meta.select("run_id", split, "seeds")
+    key = F.concat_ws("\u0001", "split", F.col("seeds").cast("string"), "query_id")
+    keyed_runs = runs.join(F.broadcast(keys), "run_id").withColumn("query_id", key)
+    keyed_qrels = qrels.join(F.broadcast(keys.select("split", "seeds").distinct()), ["split", "seeds"]).withColumn("query_id", key)
     return leaderboard(summarize(evaluate(keyed_runs, keyed_qrels)), meta)
 
 
