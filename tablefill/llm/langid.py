@@ -13,8 +13,8 @@ that are outside the held-out fold; its few thousand weights are what is
 broadcast. Language, source and id are never inputs of a prediction.
 
 A null text, or one without a letter, is ``und`` with score 0. Repeated rows
-are predicted alike. Without any labelled row, ``fit`` raises ``ValueError``
-unless there are no documents.
+are predicted alike. Without any labelled text there is nothing to learn: every
+text is ``und`` with score 0.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, seed: int =
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         learn=None, sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """Network of the rows whose id ``learn`` accepts (a function of a column;
-    default: those outside the held-out fold); None without documents."""
+    default: those outside the held-out fold); None without any labelled text."""
     learn = learn or (lambda c: crc_bucket(c) != 1)
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
             .where(F.col("_lang").isNotNull() & (F.length("_text") > 0) & learn(F.col("_id"))))
@@ -197,9 +197,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                .agg(F.min(F.substr("_text", start.cast("int"), F.lit(size))).alias("_text"))
                .select("_text", "_lang").toArrow())
     if got.num_rows == 0:
-        if docs.isEmpty():
-            return None
-        raise ValueError("documents with a language are needed")
+        return None
     order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
     return train([t for _, t in order], [v for v, _ in order])
 

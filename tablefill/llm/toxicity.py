@@ -16,8 +16,8 @@ learning folds. It is a table of 2**18 floats, so its broadcast has a fixed
 size; scoring covers every character of every text.
 
 Null, empty and wordless texts score 0. Rows without id, label or text are not
-learnt from; repeated rows score alike. Without rows of both classes nothing
-can be learnt and ``fit`` raises ``ValueError``, unless there are no documents.
+learnt from; repeated rows score alike. Without texts of both classes nothing
+can be learnt: there is no model and every score is 0.
 """
 
 from __future__ import annotations
@@ -122,8 +122,8 @@ class Model:
         return np.where(x[:, TOP] > 0, out, 0.0)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 5, epochs: int = 4, rounds: int = 3) -> Model:
-    """Fit on whole documents with labels 0 and 1, both present."""
+def train(texts: list[str], toxic: list[int], seed: int = 5, epochs: int = 4, rounds: int = 3) -> Model | None:
+    """Fit on whole documents with labels 0 and 1; None if a class has no words."""
     toxic = np.asarray(toxic, bool)
     rng = np.random.default_rng(seed)
     bags: dict[int, np.ndarray] = {}
@@ -149,7 +149,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 5, epochs: int = 4, ro
                 bags[k] = flat[starts[i]:ends[i]].astype(np.int32)
         pairs.append(np.unique(np.stack([rows + at, key]), axis=1))
     names = np.array(sorted(bags), np.int64)
-    doc, key = np.concatenate(pairs, axis=1)
+    doc, key = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    if len({*toxic[doc].tolist()}) < 2:
+        return None
     kind = np.searchsorted(names, key)
     sizes = np.array([len(bags[k]) for k in names.tolist()])
     flat = np.concatenate([bags[k] for k in names.tolist()])
@@ -236,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_id_col: str = "doc_id", label_col: str = "toxic", learn=None, sample_rows: int = SAMPLE_ROWS,
         sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """Model of the labelled rows whose id ``learn`` accepts (a function of a
-    column; default: those outside the held-out fold); None without documents."""
+    column; default: those outside the held-out fold); None without texts of both classes."""
     learn = learn or (lambda c: crc_bucket(c) != 1)
     marks = (labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
              .where(F.col("_y").isin(0, 1) & learn(F.col("_id"))))
@@ -256,11 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         wanted = docs.sparkSession.createDataFrame(chosen, known.select("_id", F.lit(0).alias("_y")).schema)
         got = rows.join(F.broadcast(wanted), "_id").groupBy("_id", "_y").agg(F.min("_text")).orderBy("_id").toArrow()
         ys, texts = got.column(1).to_pylist(), got.column(2).to_pylist()
-    if len(set(ys)) < 2:
-        if docs.isEmpty():
-            return None
-        raise ValueError("labelled documents of both classes are needed")
-    return train(texts, ys)
+    return train(texts, ys) if len(set(ys)) == 2 else None
 
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

@@ -112,5 +112,9 @@ def test_awkward_rows(spark, corpus, awkward, nothing):
     assert {x for x, _ in langs.values()} <= {"und", "aa", "bb", "cc"}
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity_scores(nothing, labels).count() == 0 and langid.languages(nothing).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.fit(awkward, labels)
+    # nothing to learn from: no labels, one class, no words, no language
+    ids = spark.createDataFrame([(i, y) for i in range(9) for y in (0, 1)], "doc_id long, toxic int")
+    for marks in (labels, ids.where("toxic = 0")):
+        assert {r.score for r in toxicity.toxicity_scores(awkward, marks).collect()} == {0.0}
+    none = langid.languages(awkward.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang"))
+    assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
