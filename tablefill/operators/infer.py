@@ -180,7 +180,10 @@ def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
     token -> bucket md5(token) mod dim. Counting is an aggregation on
     (id, bucket) — partial aggregation before the shuffle — and the vector
     is assembled from at most ``dim`` entries per id. Texts without tokens
-    (empty or NULL) get the zero vector.
+    (empty or NULL) get the zero vector. Rows that share an id are one text.
+    (A row-local form of nested array functions was tried: as fast here, but a
+    filter pushed below it, as ``explode`` infers one, repeats every step in
+    the lambdas of the next.)
     """
     # explode, then mark empty tokens rather than dropping them: a text
     # without tokens still yields its (id, null) group and so its zero
