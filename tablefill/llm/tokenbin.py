@@ -326,7 +326,12 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             tmp = f"{base}/_{name}-{uuid.uuid4().hex}"
             with fs.open_output_stream(tmp) as out:
                 out.write(pack_shard(ids, blobs, encode.width))
-            fs.move(tmp, f"{base}/{name}")
+            try:
+                fs.move(tmp, f"{base}/{name}")
+            except OSError:  # another attempt of this task was first, with the same bytes
+                if not fs.get_file_info(f"{base}/{name}").is_file:
+                    raise
+                fs.delete_file(tmp)
             row = pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(ids)], "n_ids": [size]})
             ids.clear()
             blobs.clear()
