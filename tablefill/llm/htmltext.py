@@ -51,6 +51,7 @@ ASIDE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advert
 |disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|tags|pagination|pager|search
 |complementary|contentinfo)(?:$|[\s_-])""".replace("\n", ""), re.I)
 _SPACE = re.compile(r"\s+")
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 
 
 class Blocks(HTMLParser):
@@ -82,6 +83,9 @@ class Blocks(HTMLParser):
             self._close("p", stop=BLOCK)
         elif tag == "li":
             self._close("li", stop=("ul", "ol", "menu"))
+        elif tag in ("article", "main"):  # never part of these: they were left open
+            self._close("nav")
+            self._close("header")
         self.number += 1
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         marked = any(v and ASIDE.search(v) for k, v in attrs if k in ("class", "id", "role"))
@@ -109,6 +113,19 @@ class Blocks(HTMLParser):
             if self.stack[i][0] in stop or (tag not in BLOCK and self.stack[i][0] in BLOCK):
                 return
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, 0)  # "<![...>" is a comment in HTML
+
+    def finish(self) -> None:
+        """End of the page: a tag that never ended ends at its first ">", an
+        open comment or a tag without one is dropped."""
+        while _OPEN_TAG.match(self.rawdata) and not self.cdata_elem:
+            cut = -1 if self.rawdata.startswith("<!--") else self.rawdata.find(">")
+            rest, self.rawdata = self.rawdata[cut + 1:] if cut >= 0 else "", ""
+            self.feed(rest)
+        self.close()
+        self.flush()
+
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][0] in RAW):
             self.parts.append(data)
@@ -152,8 +169,7 @@ def content_blocks(blocks: list[tuple[str, int, tuple, bool]]) -> list[str]:
 def main_text(html: str) -> str:
     parser = Blocks()
     parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.finish()
     return "\n\n".join(content_blocks(parser.blocks))
 
 

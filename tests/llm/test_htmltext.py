@@ -17,6 +17,8 @@ CASES = [
     ("<article><p><b>one<br>two</p><p>three<br></article>", "one two\n\nthree"),
     (f"<div id=content>{P}<p>x</p></div><div class=sidebar><ul><li>links</li></ul></div>", f"{T}\n\nx"),
     ("<!-- c --><article><!-- ad --><p>kept</p>", "kept"),
+    ("<![if IE]><p>a<![endif]><p>b<![ x", "a\n\nb"), ("<p>a<!-- open", "a"), ("<p>one<p a='x>two</p>", "one\n\ntwo"),
+    (f"<nav><ul><li>Home<article>{P}</article>", T), ("a < b &amp; c", "a < b & c"),
     (f"<article>{P}<section class='user-comments'><p>me too, I have the same opinion on that</p></section></article>", T),
 ]
 
@@ -43,3 +45,12 @@ def test_rows(spark):
 def test_deep_and_long_pages():
     assert htmltext.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(htmltext.main_text("<article>" + "<p>word word</p>" * 20_000)) == 20_000 * 11 - 2
+
+
+def test_any_markup_is_taken():
+    import random
+    rng = random.Random(1)
+    parts = ["<", "p", ">", "/", "!", "[", "]", "--", "&", "#x", "a", "'", '"', "=", "<p>", "</p>", "<![", "?", "<script>", "</script>",
+             "<!--", "-->", " ", "CDATA[", "<article>", "</article>", "<div class='ad'>", "\n"]
+    for _ in range(4000):
+        assert isinstance(htmltext.main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))), str)
