@@ -51,7 +51,7 @@ ASIDE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advert
 |disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|tags|pagination|pager|search
 |complementary|contentinfo)(?:$|[\s_-])""".replace("\n", ""), re.I)
 _SPACE = re.compile(r"\s+")
-_OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
+_OPEN_TAG = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9]*)|[/!?])")
 
 
 class Blocks(HTMLParser):
@@ -119,10 +119,10 @@ class Blocks(HTMLParser):
     def finish(self) -> None:
         """End of the page: a tag that never ended ends at its first ">", an
         open comment or a tag without one is dropped."""
-        while _OPEN_TAG.match(self.rawdata) and not self.cdata_elem:
+        while (tag := _OPEN_TAG.match(self.rawdata)) and not self.cdata_elem:
             cut = -1 if self.rawdata.startswith("<!--") else self.rawdata.find(">")
             rest, self.rawdata = self.rawdata[cut + 1:] if cut >= 0 else "", ""
-            self.feed(rest)
+            self.feed((f"<{tag[1]}>" if tag[1] and cut >= 0 else "") + rest)
         self.close()
         self.flush()
 
