@@ -18,10 +18,11 @@ Steps, all on Spark:
    are verified against it (the exact similarity of the whole texts), and
    verified links are joined into components.
 4. Only buckets whose other nodes are still in several components are looked
-   at again: blocks of at most ``BLOCK_ROWS`` nodes and ``BLOCK_BYTES`` of text
-   meet pairwise in a task, which verifies the pairs whose signatures agree
-   well enough and that it has not linked yet, and emits the links. A pair is
-   tested in the first bucket it shares. No pairs are written out.
+   at again: blocks of about ``BLOCK_ROWS`` nodes or ``BLOCK_BYTES`` of text
+   meet pairwise in a task (but for two blocks of the bucket's largest
+   component), which verifies the pairs whose signatures agree well enough and
+   that it has not linked yet, and emits the links. A pair is tested in the
+   first bucket it shares. No pairs are written out.
 5. Components again; every document gets its class, the smallest id in it.
 
 Null, empty and wordless texts are never duplicates: their class is their own
@@ -267,11 +268,13 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stored(sketched.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("signature").alias("signature")))
     members = buckets(nodes)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # aggregates are written before they are joined back: a join of two shuffled
+    # tables can be split at a hot bucket, one on top of an aggregate cannot
+    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     members = stored(members.join(shared, "bucket"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    centre = (members.join(degree, "node").groupBy("bucket")
-              .agg(F.max(F.struct("degree", "node"))["node"].alias("centre")))
+    centre = stored(members.join(degree, "node").groupBy("bucket")
+                    .agg(F.max(F.struct("degree", "node"))["node"].alias("centre")))
     members = stored(members.join(centre, "bucket"))
 
     # texts of nodes that share a bucket, from one of each node's rows
@@ -290,15 +293,24 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = rest.withColumn("root", F.col("node")) if roots is None else (
         rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     rest = rest.join(texts.select("node", F.length("text").alias("bytes")), "node")
-    several = rest.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")
-    ).where("low <> high").select("bucket", F.ceil(F.greatest(
-        F.col("n") / F.lit(BLOCK_ROWS), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
-    rest = stored(rest.drop("bytes").join(several, "bucket"))
+    # a bucket's largest component needs no comparison within itself: its major
+    # blocks meet the minor blocks of all other nodes, which also meet each other
+    size = F.struct(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).alias("size")
+    sizes = rest.groupBy("bucket", "root").agg(size)
+    count = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_ROWS), size / F.lit(BLOCK_BYTES))).cast("int")
+    several = sizes.groupBy("bucket").agg(
+        F.max(F.struct("size.n", "root", "size.bytes")).alias("top"), F.count("*").alias("roots"),
+        F.sum("size.n").alias("n"), F.sum("size.bytes").alias("bytes")).where("roots > 1").select(
+        "bucket", F.col("top.root").alias("main"), count(F.col("top.n"), F.col("top.bytes")).alias("majors"),
+        count(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("minors"))
+    rest = stored(rest.drop("bytes").join(stored(several), "bucket"))
     if not rest.isEmpty():
-        # each node meets every block of its bucket; a block with itself once
-        rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        is_main, last = F.col("root") == F.col("main"), F.col("minors") + F.col("majors") - 1
+        own = F.when(is_main, F.col("minors") + F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(
+            F.pmod(F.xxhash64("node"), F.col("minors")))
+        rest = rest.withColumn("own", own.cast("int"))
+        rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("minors") - 1).otherwise(last))).alias("other"))
+        rest = rest.select(
             "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
         more = stored(block_links(rest.join(nodes.select("node", "signature"), "node").join(texts, "node")))
