@@ -94,7 +94,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), parts.shape[:2])
     for k in range(ROWS):
-        key = mix(key ^ (parts[:, :, k] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        key = mix(key ^ (parts[:, :, k] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
     return key
 
 
