@@ -12,10 +12,11 @@ The ratio of text to tags of the remaining blocks is smoothed with a Gaussian
 kernel over neighbouring blocks; blocks at least as dense as the threshold
 (the mean of the smoothed ratios less their deviation, in steps towards the
 page's densest block) form clusters. A cluster stands for its region: the innermost
-``article``, ``main`` or other sectioning element around it, or the page body.
+``article`` or ``main`` around it, at any depth, or the page body.
 The region with the most text in clusters is the content, and all its blocks
 are the text, short ones too: nothing inside the article is dropped or cut.
-Sectioning elements of equal kind beside it (an article in parts) join it.
+Elements of equal kind beside it (an article in parts) join it. On a page where
+no ``article`` or ``main`` decides, all blocks that are not out are the text.
 
 Null and empty pages have an empty text; unclosed, stray and nested tags are
 taken as they come; repeated rows are kept.
@@ -43,7 +44,7 @@ NEVER = frozenset("""nav header footer aside form script style noscript template
 iframe object svg menu dialog canvas datalist""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
-REGION = frozenset(("article", "main", "section"))
+REGION = frozenset(("article", "main"))
 #: A word of class, id or role that marks a part outside the main text.
 ASIDE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo
 |promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|header|masthead|cookie
@@ -155,11 +156,10 @@ def content_blocks(blocks: list[tuple[str, int, tuple, bool]]) -> list[str]:
     region: tuple = ()
     while True:
         inner = {p: n for p, n in weight.items() if len(p) == len(region) + 1 and p[:len(region)] == region}
-        named = {p: n for p, n in inner.items() if p[-1][0] != "section"}
-        if not named or max(named.values()) * 2 < weight.get(region, 0) - sum(named.values()):
+        if not inner or max(inner.values()) * 2 < weight.get(region, 0) - sum(inner.values()):
             break
-        best = max(named, key=lambda p: (named[p], -p[-1][1]))
-        beside = [p for p in named if p[-1][0] == best[-1][0]]
+        best = max(inner, key=lambda p: (inner[p], -p[-1][1]))
+        beside = [p for p in inner if p[-1][0] == best[-1][0]]
         if len(beside) > 1:  # parts of equal kind: all of them
             return [text for text, _, path in kept if any(path[:len(p)] == p for p in beside)]
         region = best

@@ -28,6 +28,11 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+def test_article_within_a_section():
+    page = f"<div><ul><li><a href=/>Home</a></li></ul></div><section><div><article>{P}<section>{P}</section></article></div></section>"
+    assert htmltext.main_text(page) == f"{T}\n\n{T}"
+
+
 def test_smoothing_keeps_constants():
     assert np.allclose(htmltext.smoothed(np.full(9, 4.0)), 4.0)
     assert np.allclose(htmltext.smoothed(np.array([7.0])), 7.0)
