@@ -7,8 +7,9 @@ table and returns the digest columns derived from the operator's output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablefill.llm import bpe, decontam, htmltext, langid, minhash, passages, pii, quality, tokenbin, toxicity
+from tablefill.llm import bpe, collocations, decontam, htmltext, langid, minhash, passages, pii, prefixtrie, quality, tokenbin, topk, toxicity
 from tablefill.llm.common import read_documents
 
 
@@ -64,6 +65,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_documents(spark, sf_dir))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors with the greatest inner products, for one vector in fifty."""
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations."""
+    return prefixtrie.grafted_trie(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return collocations.collocations(read_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_pii, op3_shared_passages, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files, op9_language, op10_byte_bpe)}
-ORACLE: dict[str, str] = {"op4_quality": quality.oracle_sql()}
+    op1_minhash_dedup, op2_pii, op3_shared_passages, op4_quality, op5_toxicity, op6_html_text, op7_decontamination, op8_token_files,
+    op9_language, op10_byte_bpe, op11_topk, op12_prefix_trie, op13_collocations)}
+ORACLE: dict[str, str] = {"op4_quality": quality.oracle_sql(), "op11_topk": topk.oracle_sql(),
+                          "op12_prefix_trie": prefixtrie.oracle_sql(), "op13_collocations": collocations.oracle_sql()}

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_topk": ["query_id", "rank", "vec_id", "score"],
+    "op12_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -26,16 +29,16 @@ COLUMNS = {
 def test_query(spark, name):
     got = entry.queries()[name](spark, SF001)
     assert got.columns[:len(COLUMNS[name])] == COLUMNS[name]
-    assert got.count() > 0
+    assert got.count() > 0 or name == "op13_collocations"  # the smallest texts may repeat nothing
 
 
 @pytest.mark.parametrize("name", llm.ORACLE)
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
     cur = con.execute(llm.ORACLE[name])
     names = [d[0] for d in cur.description]
     got = llm.QUERIES[name](spark, SF001)
     assert sorted(got.columns) == sorted(names)
-    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(cur.fetchall(), key=str)
