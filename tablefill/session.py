@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -120,10 +121,30 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{base}/tablefill-{uuid.uuid4().hex}"
     _PINNED.append(path)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
 
 
 _PINNED: list[str] = []  # tables written by ``materialize`` and not yet dropped
+_PATHS: dict[int, tuple] = {}  # the table of each frame that ``materialize`` returned
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``materialize`` returned, once all
+    their readers have run. Other frames are left alone."""
+    for frame in frames:
+        ref, path = _PATHS.pop(id(frame), (lambda: None, ""))
+        sc = spark_context(frame.sparkSession)
+        if ref() is frame and sc is not None:
+            if path in _PINNED:
+                _PINNED.remove(path)
+            _delete(sc, path)
+
+
+def _delete(sc, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextmanager
@@ -139,8 +160,7 @@ def dropping_pinned(spark: SparkSession) -> Iterator[None]:
         sc = spark_context(spark)
         if sc is not None:  # a Connect client has no file system at hand
             for path in paths:
-                p = sc._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(sc, path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
