@@ -204,3 +204,9 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder."""
     from tablefill.session import materialize
     return materialize(df)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``stored`` returned and nothing reads any more."""
+    from tablefill.session import discard
+    discard(*frames)
