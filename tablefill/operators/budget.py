@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keep_last
-from .ranking import running_within
+from ..session import materialize
 
 Tokenizer = Callable[[Column], Column]
 
@@ -56,36 +56,6 @@ def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
                  .cast("long").alias("tokens")))
 
 
-def _fit_windows(messages: DataFrame, limit: int, conv: str, turn: str, role: str, content: str,
-                 reserve: int, tokenizer: Tokenizer, name: str | None = None) -> DataFrame:
-    """One pass of windows over each conversation: the form for chats that
-    are bounded by construction (one prompt's messages)."""
-    budget = limit - reserve
-    w = Window.partitionBy(conv).orderBy(turn)
-    whole = Window.partitionBy(conv)
-    m = (messages
-         .withColumn("_cost", message_cost(role, content, tokenizer, name))
-         .withColumn("_first", F.row_number().over(w) == 1)
-         .withColumn("_sys", F.col("_first") & (F.col(role) == F.lit("system")))
-         .withColumn("_j", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(
-             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-         .withColumn("_suffix", F.sum(F.when(F.col("_sys"), 0).otherwise(F.col("_cost"))).over(
-             whole.orderBy(F.col(turn).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-         .withColumn("_sys_cost", F.sum(F.when(F.col("_sys"), F.col("_cost")).otherwise(0)).over(whole))
-         .withColumn("_n", F.sum(F.when(F.col("_sys"), 0).otherwise(1)).over(whole)))
-    fits = F.col("_sys_cost") + F.col("_suffix") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)
-    candidate = F.when(~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & fits, F.col("_j"))
-    # s = n (drop every non-system message) is allowed when n is even
-    all_dropped = F.when((F.pmod(F.col("_n"), F.lit(2)) == 0)
-                         & (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)), F.col("_n"))
-    m = m.withColumn("_start", F.least(F.min(candidate).over(whole), F.max(all_dropped).over(whole)))
-    m = m.withColumn("overflow", F.col("_start").isNull())
-    m = m.withColumn("kept", ~F.col("overflow") & (F.col("_sys") | (F.col("_j") >= F.col("_start"))))
-    m = m.withColumn("tokens_after", F.when(F.col("overflow"), F.lit(None).cast("long")).otherwise(
-        F.sum(F.when(F.col("kept"), F.col("_cost")).otherwise(0)).over(whole) + F.lit(TOKENS_PER_REPLY)))
-    return m.select(*messages.columns, "kept", "overflow", "tokens_after")
-
-
 def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
                  tokenizer: Tokenizer = whitespace_tokenizer, bounded: bool = False,
@@ -98,50 +68,79 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
     exists (the reference would pop past the end) nothing is kept and
     ``overflow`` is true. Adds ``kept``, ``overflow``, ``tokens_after``.
 
-    Per conversation facts (first turn, its role and cost, totals, the
-    chosen start) are aggregations, combined map-side; the running count
-    and cost along the turns come from ``running_within``, which spreads a
-    conversation over tasks. The facts are joined back by conversation (AQE
-    splits a skewed join partition). ``bounded=True`` declares conversations
-    bounded (one prompt's messages): a single pass of windows does it all.
-    ``name`` is the column of the speakers' names, if there is one.
+    A segmented scan: messages are range-partitioned by (conversation, turn)
+    and written once, so that a conversation of any length is many slices.
+    Each slice counts and sums by itself. Only a conversation that lies in
+    several slices, at most one per slice end, needs what its other
+    slices hold (messages and cost before, in all, the leading role, the
+    smallest start found); these are tables of a row a slice. Nothing joins on
+    the conversation. ``bounded=True`` declares conversations bounded (one prompt's messages):
+    each is one slice and nothing is written. ``name`` is the column of the
+    speakers' names, if there is one.
     """
+    costed = messages.withColumn("_cost", message_cost(role, content, tokenizer, name).cast("long"))
     if bounded:
-        return _fit_windows(messages, limit, conv, turn, role, content, reserve, tokenizer, name)
-    budget = limit - reserve
-    m = messages.withColumn("_cost", message_cost(role, content, tokenizer, name).cast("long"))
-    facts = (m.groupBy(conv)
-             .agg(F.min(turn).alias("_t0"),
-                  F.min_by(F.col(role), F.col(turn)).alias("_r0"),
-                  F.min_by(F.col("_cost"), F.col(turn)).alias("_c0"),
-                  F.count(F.lit(1)).alias("_cnt"),
-                  F.sum("_cost").alias("_total"))
-             .withColumn("_has_sys", F.coalesce(F.col("_r0") == F.lit("system"), F.lit(False)))
-             .withColumn("_sys_cost", F.when(F.col("_has_sys"), F.col("_c0")).otherwise(F.lit(0)))
-             .withColumn("_n", F.col("_cnt") - F.col("_has_sys").cast("long")))
-    running = running_within(m, conv, [F.col(turn)], {"_pc": F.lit(1).cast("long"), "_pcost": F.col("_cost")})
-    r = (running.join(facts.drop("_r0", "_c0", "_cnt"), conv)
-         .withColumn("_sys", F.col("_has_sys") & (F.col(turn) == F.col("_t0")))
-         # index among the non-system messages, and their cost from here to the end
-         .withColumn("_j", F.col("_pc") - 1 - F.col("_has_sys").cast("long"))
-         .withColumn("_suffix", F.col("_total") - F.col("_pcost") + F.col("_cost")))
-    fits = F.col("_sys_cost") + F.col("_suffix") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)
-    choice = (r.filter(~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & fits)
-              .groupBy(conv).agg(F.min("_j").alias("_s1"), F.min_by("_suffix", "_j").alias("_suf1")))
-    # s = n (drop every non-system message) is allowed when n is even
-    drop_all = F.when((F.pmod(F.col("_n"), F.lit(2)) == 0)
-                      & (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY) <= F.lit(budget)), F.col("_n"))
-    decision = (facts.join(choice, conv, "left")
-                .select(conv,
-                        F.coalesce(F.col("_s1"), drop_all).alias("_start"),
-                        (F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY)
-                         + F.when(F.col("_s1").isNotNull(), F.col("_suf1")).otherwise(F.lit(0))).alias("_after")))
-    out = (r.join(decision, conv)
-           .withColumn("overflow", F.col("_start").isNull())
-           .withColumn("kept", ~F.col("overflow") & (F.col("_sys") | (F.col("_j") >= F.col("_start"))))
-           .withColumn("tokens_after", F.when(F.col("overflow"), F.lit(None).cast("long"))
-                       .otherwise(F.col("_after").cast("long"))))
-    return out.select(*messages.columns, "kept", "overflow", "tokens_after")
+        return _fit_slices(costed.withColumn("_slice", F.lit(0)), messages.columns, conv, turn, role, limit - reserve)
+    sliced = materialize(costed.repartitionByRange(conv, turn).withColumn("_slice", F.spark_partition_id()))
+    summary = (sliced.groupBy(conv, "_slice")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("_cost").alias("cost"), F.min_by(role, turn).alias("role"),
+                    F.min_by("_cost", turn).alias("first_cost")))
+    every = Window.partitionBy(conv)
+    before = every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = every.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    around = materialize(summary.withColumns({
+        "_slices": F.count(F.lit(1)).over(every), "_before_n": F.coalesce(F.sum("n").over(before), F.lit(0)),
+        "_before_cost": F.coalesce(F.sum("cost").over(before), F.lit(0)), "_all_n": F.sum("n").over(every), "_all_cost": F.sum("cost").over(every),
+        "_lead": F.first("role").over(first), "_lead_cost": F.first("first_cost").over(first)})
+        .filter("_slices > 1").drop("n", "cost", "role", "first_cost", "_slices"))
+    return _fit_slices(sliced, messages.columns, conv, turn, role, limit - reserve, around)
+
+
+def _fit_slices(m: DataFrame, columns: list[str], conv: str, turn: str, role: str, budget: int, around: DataFrame | None = None) -> DataFrame:
+    """The scan of ``fit_messages`` over rows with ``_cost`` and ``_slice``;
+    ``around`` holds what lies around the slices of conversations that have several."""
+    inside = Window.partitionBy(conv, "_slice")
+    sofar = inside.orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = inside.orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = m.withColumns({
+        "_n": F.count(F.lit(1)).over(sofar), "_sum": F.sum("_cost").over(sofar), "_all_n": F.count(F.lit(1)).over(whole),
+        "_all_cost": F.sum("_cost").over(whole), "_lead": F.first(role).over(whole), "_lead_cost": F.first("_cost").over(whole)})
+    if around is not None:
+        m = _beside(m, around.withColumn("_here", F.lit(True)), conv, ["_slice"]).withColumn("_several", F.coalesce("_here", F.lit(False)))
+        for c in ("_all_n", "_all_cost", "_lead", "_lead_cost"):
+            m = m.withColumn(c, F.when(F.col("_several"), F.col(f"_far{c}")).otherwise(F.col(c)))
+        m = m.withColumns({"_n": F.col("_n") + F.coalesce("_far_before_n", F.lit(0)), "_sum": F.col("_sum") + F.coalesce("_far_before_cost", F.lit(0))})
+    has_system = F.coalesce(F.col("_lead") == F.lit("system"), F.lit(False))
+    m = m.withColumn("_has", has_system.cast("long")).withColumns({
+        "_sys": has_system & (F.col("_n") == 1), "_sys_cost": F.when(has_system, F.col("_lead_cost")).otherwise(F.lit(0)),
+        "_j": F.col("_n") - 1 - F.col("_has"), "_suffix": F.col("_all_cost") - F.col("_sum") + F.col("_cost")})
+    floor = F.col("_sys_cost") + F.lit(TOKENS_PER_REPLY)
+    fits = ~F.col("_sys") & (F.pmod(F.col("_j"), F.lit(2)) == 0) & (floor + F.col("_suffix") <= F.lit(budget))
+    m = m.withColumn("_start", F.when(fits, F.struct(F.col("_j").alias("j"), F.col("_suffix").alias("rest"))))
+    best = F.min("_start").over(inside)
+    if around is not None:  # the smallest start of all slices, for the conversations that have several
+        far = m.filter("_several").groupBy(conv).agg(F.min("_start").alias("best"))
+        m = _beside(m.withColumn("_best", best), far, conv, [])
+        best = F.when(F.col("_several"), F.col("_farbest")).otherwise(F.col("_best"))
+    # every non-system message may go when their number is even
+    n = F.col("_all_n") - F.col("_has")
+    none = F.when((F.pmod(n, F.lit(2)) == 0) & (floor <= F.lit(budget)), F.struct(n.alias("j"), F.lit(0).cast("long").alias("rest")))
+    m = m.withColumn("_start", F.coalesce(best, none))
+    out = (m.withColumn("overflow", F.col("_start").isNull())
+           .withColumn("kept", F.coalesce(F.col("_sys") | (F.col("_j") >= F.col("_start.j")), F.lit(False)) & F.col("_start").isNotNull())
+           .withColumn("tokens_after", (floor + F.col("_start.rest")).cast("long")))
+    return out.select(*columns, "kept", "overflow", "tokens_after")
+
+
+def _beside(m: DataFrame, far: DataFrame, conv: str, on: list[str]) -> DataFrame:
+    """``m`` with the columns of ``far``, which has a row per slice at most, as ``_far<name>``."""
+    keys = [conv, *on]
+    renamed = far.select(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys)),
+                         *(F.col(c).alias(c if c == "_here" else f"_far{c}") for c in far.columns if c not in keys))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & m[c].eqNullSafe(renamed[f"_key_{i}"])
+    return m.join(F.broadcast(renamed), same, "left").drop(*(f"_key_{i}" for i in range(len(keys))))
 
 
 def keep_last_tokens(c, n: int, tokenizer: Tokenizer = whitespace_tokenizer) -> Column:

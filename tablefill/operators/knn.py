@@ -27,8 +27,42 @@ from pyspark.sql import types as T
 
 from ..session import spark_context
 
-def _block_topk(k: int, exclude_self: bool, decimals: int | None = None,
-                 q_payload: tuple = (), e_payload: tuple = ()):
+def exact_scores(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Dot products of paired rows, summed in component order: the same bits
+    in any block, partitioning or engine that sums in this order."""
+    out = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        out += q[:, j] * e[:, j]
+    return out
+
+
+def best_pairs(q: np.ndarray, e: np.ndarray, id_rank: np.ndarray, k: int, excluded: np.ndarray | None = None,
+               floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and exact scores of the ``k`` best columns of each row,
+    ties by ``id_rank``; pairs in ``excluded`` and scores below ``floor`` are left out.
+
+    A matrix product picks the candidates with room for its rounding, which
+    depends on the blocking; they are ranked by their exact scores."""
+    kk = min(k, len(e))
+    scores = q @ e.T
+    slack = 8e-16 * (q.shape[1] + 1) * np.sqrt((q * q).sum(axis=1) * max(float((e * e).sum(axis=1).max()), 0.0))
+    if excluded is not None:
+        scores[excluded] = -np.inf
+    kth = np.partition(scores, len(e) - kk, axis=1)[:, len(e) - kk]
+    if floor is not None:
+        kth = np.maximum(kth, floor)
+    row, col = np.nonzero((scores >= (kth - slack)[:, None]) & np.isfinite(scores))
+    exact = exact_scores(q[row], e[col])
+    if floor is not None:
+        keep = exact >= floor[row]
+        row, col, exact = row[keep], col[keep], exact[keep]
+    order = np.lexsort((id_rank[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
+    return row[keep], col[keep], exact[keep]
+
+
+def _block_topk(k: int, exclude_self: bool, q_payload: tuple = (), e_payload: tuple = ()):
     def fn(qdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
         extra = [f"q_{c}" for c in q_payload] + [f"e_{c}" for c in e_payload]
         if len(qdf) == 0 or len(edf) == 0:
@@ -40,34 +74,14 @@ def _block_topk(k: int, exclude_self: bool, decimals: int | None = None,
         q_ids = qdf["qid"].to_numpy(dtype=object)
         q_mat = np.stack(qdf["qvec"].to_numpy()).astype(np.float64)
         out_q, out_e, out_s = [], [], []
-        kk = min(k, len(e_ids))
         chunk = max(1, 4_000_000 // max(1, len(e_ids)))  # ~32 MB of scores at a time
         for start in range(0, len(q_ids), chunk):
             qi = q_ids[start:start + chunk]
-            scores = q_mat[start:start + chunk] @ e_mat.T
-            if decimals is not None:
-                scores = np.round(scores, decimals)
-            if exclude_self:
-                scores[np.equal.outer(qi.astype(str), e_ids.astype(str))] = -np.inf
-            # the k best of every row at once (unordered: the final window orders them)
-            part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-            top = np.take_along_axis(scores, part, axis=1)
-            kth = top.min(axis=1)
-            # rows where more than k entries reach the k-th score need the
-            # exact tie rule (smaller id first); the others are final
-            tied = (scores >= kth[:, None]).sum(axis=1) > kk
-            rows = np.nonzero(~tied)[0]
-            keep = np.isfinite(top[rows]).ravel()
-            out_q.append(np.repeat(qi[rows], kk)[keep])
-            out_e.append(e_ids[part[rows]].ravel()[keep])
-            out_s.append(top[rows].ravel()[keep])
-            for row in np.nonzero(tied)[0]:
-                cand = np.nonzero(scores[row] >= kth[row])[0]
-                cand = cand[np.isfinite(scores[row, cand])]
-                best = cand[np.lexsort((id_rank[cand], -scores[row, cand]))][:kk]
-                out_q.append(np.repeat(qi[row:row + 1], len(best)))
-                out_e.append(e_ids[best])
-                out_s.append(scores[row, best])
+            own = np.equal.outer(qi.astype(str), e_ids.astype(str)) if exclude_self else None
+            row, col, exact = best_pairs(q_mat[start:start + chunk], e_mat, id_rank, k, own)
+            out_q.append(qi[row])
+            out_e.append(e_ids[col])
+            out_s.append(exact)
         out = pd.DataFrame({"query_id": np.concatenate(out_q), "table_id": np.concatenate(out_e),
                             "score": np.concatenate(out_s).astype(np.float64)})
         # payload columns ride along, looked up by id inside the block
@@ -83,17 +97,16 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
              query_id: str = "query_id", query_vec: str = "embedding",
              example_id: str = "table_id", example_vec: str = "embedding",
              exclude_self: bool = False, q_block_rows: int | None = None,
-             e_block_rows: int | None = None, decimals: int | None = 12,
+             e_block_rows: int | None = None,
              n_queries: int | None = None, n_examples: int | None = None,
              q_block_bytes: int = 64 << 20, e_block_bytes: int = 256 << 20,
              dim: int | None = None, query_payload: tuple = (), example_payload: tuple = ()) -> DataFrame:
     """Top-k examples per query by dot product (= cosine for unit vectors).
 
     Returns ``query_id, table_id, score, pos`` with pos 1 = nearest; ties by
-    smaller ``table_id``. Ids are compared as strings. Scores are rounded
-    to ``decimals`` before ranking: a matrix product sums in a
-    blocking-dependent order, so equal vectors can score a few ulps apart;
-    after rounding they tie exactly and the id decides, on any engine.
+    smaller ``table_id``. Ids are compared as strings. A score is the sum of
+    products in component order, so equal vectors tie exactly and the id
+    decides, whatever the blocks are; nothing is rounded.
 
     ``n_queries`` / ``n_examples`` (row counts) and ``dim`` size the block
     grid; when not given they are read here — pass them when the vectors are
@@ -136,7 +149,7 @@ def knn_topk(queries: DataFrame, examples: DataFrame, k: int, *,
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>"))))
     cand = (qb.groupBy("qb", "eb")
             .cogroup(eb.groupBy("qb", "eb"))
-            .applyInPandas(_block_topk(k, exclude_self, decimals, tuple(query_payload), tuple(example_payload)),
+            .applyInPandas(_block_topk(k, exclude_self, tuple(query_payload), tuple(example_payload)),
                            schema))
     # merge the per-block top k (k x Be candidates per query) into the exact top k
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("table_id"))
@@ -182,6 +195,6 @@ def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: s
     ev = embedder(example_tables.select("table_id", e_text.alias("text")), "text", "table_id")
     # one vector per id: count the (column-pruned) inputs, not the embeddings
     nq, ne = queries.select("query_id").count(), example_tables.select("table_id").count()
-    nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id", decimals=9,
+    nn = knn_topk(qv, ev, k, query_id="query_id", example_id="table_id",
                   n_queries=nq, n_examples=ne, dim=dim if own is None else None)
     return order_examples(nn, order, seed)

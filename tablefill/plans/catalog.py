@@ -8,6 +8,7 @@ engines could differ in the last bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,12 +22,14 @@ from ..operators.evaluate import best_config, covered_queries, evaluate, leaderb
 from ..operators.extract import extract_csv_token, extract_first_line
 from ..operators.infer import constant_model, embed_hash, mean_pool, Replay, replay_model
 from ..operators.knn import knn_examples, knn_topk, order_examples
+from ..operators.knnindex import knn_pruned
 from ..operators.runs import ensemble, ensemble_eligible, side_by_side, to_run
 from ..operators.sampling import sample_examples, sample_fixed, subsample
 from ..operators.tables import hold_out, qrels_from_split, split_seeds, subject
 from ..plans.prompts import render_chat, render_instruct
 from ..plans.suggest import configs_from_dicts, pick_examples, suggest, sweep
 from ..sources import derived
+from ..sources.vectors import ensure_vectors, text_digest, with_vectors
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +65,36 @@ def knn_topk_reversed_q(spark, sf):
     return _knn_out(order_examples(_knn(spark, sf), "lowest first"))
 
 
+@register("knn_pruned")
+def knn_pruned_q(spark, sf):
+    """The same search through an index of balls: only blocks that can hold a better vector are visited."""
+    v = derived.knn_vectors(spark, sf)
+    return _knn_out(knn_pruned(v, v, 5, query_id="vec_id", example_id="vec_id", exclude_self=True))
+
+
+@register("stored_vectors")
+def stored_vectors_q(spark, sf):
+    """SRC9: the vectors of the English texts are stored, then those of all
+    texts: the second run embeds only what is new. Per document and component
+    its stored value, whether the first run stored it, and the texts each run embedded."""
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+
+    def embedder(df, text, key):
+        return embed_hash(df, text, key, dim=64, float32=False)
+
+    english = d.filter(F.col("lang") == "en")
+    first = ensure_vectors(english, path, "hash64", embedder)
+    second = ensure_vectors(d, path, "hash64", embedder)
+    early = english.select(text_digest(F.coalesce("text", F.lit(""))).alias("digest")).distinct().withColumn("early", F.lit(True))
+    out = (with_vectors(d, path, "hash64").withColumn("digest", text_digest(F.coalesce("text", F.lit(""))))
+           .join(early, "digest", "left"))
+    return out.select("doc_id", F.coalesce("early", F.lit(False)).alias("early"), F.posexplode("embedding").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"), "early",
+        F.lit(first).cast("long").alias("n_first"), F.lit(second).cast("long").alias("n_second"))
+
+
 @register("knn_eval_all")
 def knn_eval_all_q(spark, sf):
     """Minimum slice: KNN top-5 as a run, judged by same label, scored."""

@@ -71,7 +71,7 @@ SUMMARY = """summary AS (
 
 KNN = """pairs AS (
   SELECT q.vec_id::VARCHAR AS query_id, e.vec_id::VARCHAR AS table_id,
-         round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score
+         list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id),
 nn AS (
   SELECT * FROM (
@@ -86,6 +86,8 @@ SELECT query_id, table_id, pos::BIGINT AS pos, round(score, 6) AS score FROM nn"
 ORACLE["knn_topk_reversed"] = f"""WITH {KNN}
 SELECT query_id, table_id, (6 - pos)::BIGINT AS pos, round(score, 6) AS score FROM nn"""
 
+ORACLE["knn_pruned"] = ORACLE["knn_topk"]
+
 ORACLE["knn_eval_all"] = f"""WITH {KNN},
 runs AS (SELECT 'knn' AS run_id, query_id, table_id AS doc_id, pow(2.0, -(pos - 1))::DOUBLE AS score FROM nn),
 qrels AS (
@@ -660,9 +662,9 @@ pr AS (SELECT printf('part_%s_%d', replace(p_brand, '#', ''), p_partkey // 1000)
 es AS (SELECT table_id, string_agg(p_name, ', ' ORDER BY p_partkey) AS text FROM pr GROUP BY table_id),
 {hashed_vectors('qs', 'query_id', 'text', 'qv')},
 {hashed_vectors('es', 'table_id', 'text', 'ev')},
-dots AS (SELECT q.id AS query_id, e.id AS table_id, sum(q.w * e.w) AS s
+dots AS (SELECT q.id AS query_id, e.id AS table_id, sum(q.w * e.w ORDER BY q.bucket) AS s
          FROM qv_c q JOIN ev_c e ON q.bucket = e.bucket GROUP BY q.id, e.id),
-pairs AS (SELECT qs.query_id, es.table_id, round(coalesce(d.s, 0.0), 9) AS score
+pairs AS (SELECT qs.query_id, es.table_id, coalesce(d.s, 0.0) AS score
           FROM qs CROSS JOIN es LEFT JOIN dots d ON d.query_id = qs.query_id AND d.table_id = es.table_id),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) AS r FROM pairs)
        WHERE r <= 3)
@@ -700,3 +702,11 @@ FROM conversations GROUP BY conv_id"""
 ORACLE["run_write_read"] = f"""WITH {RUNS}
 SELECT run_id, query_id, doc_id, rank::BIGINT AS rank, score, tag, 'data/benchmark' AS folder, 3::BIGINT AS seeds, true AS completed
 FROM runs"""
+
+ORACLE["stored_vectors"] = ORACLE["embed_hash"].replace("SELECT g.doc_id, g.dim", f"""
+, e AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents WHERE lang = 'en'),
+a AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents)
+SELECT g.doc_id, g.dim""").replace("AS value\nFROM g", """AS value,
+       coalesce(d.text, '') IN (SELECT text FROM e) AS early, (SELECT count(*) FROM e) AS n_first,
+       (SELECT count(*) FROM a) - (SELECT count(*) FROM e) AS n_second
+FROM g JOIN documents d ON d.doc_id = g.doc_id""")

@@ -1,5 +1,6 @@
 """Chat budget properties on the driver's conversations."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablefill.operators.budget import count_message_tokens, fit_messages, keep_last_tokens
@@ -76,3 +77,70 @@ def test_keep_last_text_is_an_exact_suffix(spark):
                 assert t.endswith(g) and g.split() == (toks[-n:] if n else [])
             else:
                 assert g == t
+
+
+def plain_fit(rows, limit):
+    """Drop the two oldest non-system messages until the chat fits: (kept turns, tokens after) or None."""
+    cost = {t: 3 + len(r.split()) + len(x.split()) for t, r, x in rows}
+    rows = sorted(rows)
+    lead = rows[:1] if rows[0][1] == "system" else []
+    rest = rows[len(lead):]
+    while True:
+        total = sum(cost[t] for t, _, _ in lead + rest) + 3
+        if total <= limit:
+            return {t for t, _, _ in lead + rest}, total
+        if len(rest) < 2:
+            return None
+        rest = rest[2:]
+
+
+@pytest.fixture()
+def many_slices(spark):
+    """Small tables would be merged into one slice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scan_equals_the_plain_rule(spark, many_slices):
+    """Many small conversations and one that holds a third of all messages, in many slices."""
+    import random
+    rng = random.Random(3)
+    chats = {}
+    for c in range(300):
+        n = rng.randrange(1, 9)
+        chats[c] = [(t, "system" if t == 0 and rng.random() < 0.5 else "user", "w " * rng.randrange(30)) for t in range(n)]
+    chats[1000] = [(t, "system" if t == 0 else "user", "w " * rng.randrange(3)) for t in range(800)]
+    chats[1001] = [(t, "user", "w " * 40) for t in range(301)]
+    rows = [(c, *m) for c, ms in chats.items() for m in ms]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    for limit in (60, 2500):
+        got = {}
+        for r in fit_messages(df, limit).collect():
+            got.setdefault(r.conv_id, []).append(r)
+        small = {r.conv_id: r for r in fit_messages(df, limit, bounded=True).filter("turn = 0").collect()}
+        for c, ms in chats.items():
+            want = plain_fit(ms, limit)
+            assert len(got[c]) == len(ms)
+            assert {r.turn for r in got[c] if r.kept} == (want[0] if want else set())
+            assert {(r.overflow, r.tokens_after) for r in got[c]} == {(want is None, want[1] if want else None)}
+            assert (small[c].overflow, small[c].tokens_after) == (want is None, want[1] if want else None)
+
+
+def test_scan_splits_a_conversation(spark, many_slices):
+    """No join on the conversation in the plan, and no slice holds all of a hot one."""
+    rows = [(1, t, "user", "w w") for t in range(4000)] + [(c, 0, "user", "w") for c in range(2, 4002)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    fitted = fit_messages(df, 200)
+    plan = fitted._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    from tablefill.operators import budget
+    sliced = []
+    real = budget.materialize
+    budget.materialize = lambda x: sliced.append(real(x)) or sliced[-1]
+    try:
+        assert fit_messages(df, 200).filter("kept").groupBy("conv_id").count().count() == 4001
+    finally:
+        budget.materialize = real
+    held = [r["count"] for r in sliced[0].filter("conv_id = 1").groupBy("_slice").count().collect()]
+    assert len(held) > 3 and max(held) < 2500
