@@ -72,3 +72,45 @@ def test_long_broken_answers_are_repaired_in_one_scan(text):
     ('[{"a": 1}, {"b": ', ["{'a': 1}"]), ('["x\\"y", "z', ['x"y']), ("[", ["["]), ("[]x", ["[]x"])])
 def test_repaired_lists(text, items):
     assert extract_list_py(text) == items
+
+
+def plain_rule(text):
+    """Every proper prefix, longest first; only for short texts."""
+    import warnings
+    from ast import literal_eval
+    errors = (SyntaxError, ValueError, TypeError, MemoryError, RecursionError)
+    text = text.strip()
+    if not text.startswith("["):
+        return [text] if text else []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for end in range(len(text), 0, -1):
+            try:
+                found = literal_eval(text if end == len(text) else text[:end] + "]")
+                if end == len(text) or len(found):
+                    return [str(x) for x in found]
+            except errors:
+                pass
+    return [text]
+
+
+PIECES = ["[", "]", "(", ")", "{", "}", ",", ",", ",", ",", ":", "'a'", '"b"', "'", '"', '"""', "'''", "b'", "r'", "rb'", "u'", "f'", "\\", "\\x",
+          "\\x)", "\\n", "\n", "\r", "\r\n", " ", "\t", "\f", "#", "#:", "1", "0", "12", "0x1f", "0xg", "1.5", ".", "...", "e", "j", "1e5", "2j",
+          "+", "-", "_", "None", "True", "False", "null", "set()", "set (", "zz", "é", "=", "a", "\\\n", "0b1", "0o7", "1_0", "007"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.filterwarnings("ignore")
+def test_random_broken_lists_follow_the_plain_rule(seed):
+    import random
+    rng = random.Random(seed)
+    for _ in range(8000):
+        text = rng.choice(["[", "[", '["a", ', '["a"], [']) + "".join(rng.choice(PIECES) for _ in range(rng.randrange(14)))
+        assert extract_list_py(text) == plain_rule(text), text
+
+
+@pytest.mark.parametrize("text", ["[" + " " * 100 + "True zz", "[1," + " " * 90 + "None zz", "[0x" + "f" * 100 + "zz", "[1" + "0" * 5000 + " z",
+                                  '["""\\x)"""-', "['b'#:None,\n'b'-{", "[], #\n)", "[1], [12abc"])
+@pytest.mark.filterwarnings("ignore")
+def test_values_of_any_length_and_comments(text):
+    assert extract_list_py(text) == plain_rule(text)
