@@ -33,11 +33,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablefill.llm.common import slices, stored, string_parts
+from tablefill.llm.common import dropped, slices, stored, string_parts
 
 DEPTH = 4
 MIN_COUNT = 30
@@ -175,7 +174,7 @@ def shard_rows(docs: DataFrame, lang: Column, text: Column, shard_bytes: int = S
             return pa.RecordBatch.from_arrays(
                 [pa.array([made - 1], pa.int64()), pa.array([lang]), pa.array([sum(len(x[1]) for x in parts)], pa.int64()),
                  pa.array([packed_words(index["words"])], pa.binary()),
-                 *(pa.array([index[c].tobytes()], pa.binary()) for c in ("forward", "reverse"))],
+                 *(pa.array([packed_symbols(index[c])], pa.binary()) for c in ("forward", "reverse"))],
                 names=["shard", "lang", "n_words", "words", "forward", "reverse"])
 
         for batch in batches:
@@ -209,8 +208,16 @@ def unpacked_words(data: bytes) -> pa.Array:
     return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
 
 
+def packed_symbols(ids: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte plane, compressed; their count before them."""
+    planes = np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
 def symbols(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.int32)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
 def word_rows(shards: DataFrame) -> DataFrame:
@@ -237,11 +244,12 @@ def small_batches(**columns) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(words: DataFrame) -> DataFrame:
-    """``(shard, local, word_id, total)`` of the frequent words, in every shard that holds them."""
+    """``(shard, local, word_id, total, lang, word)`` of the frequent words, in
+    every shard that holds them; language and word stand in one of these rows."""
     same = Window.partitionBy("lang", "word")
-    return (words.withColumn("total", F.sum("n").over(same))
-            .withColumn("word_id", F.min(F.shiftleft("shard", _LOCAL) + F.col("local")).over(same))
-            .where(F.col("total") >= MIN_COUNT).select("shard", "local", "word_id", "total"))
+    here = F.shiftleft("shard", _LOCAL) + F.col("local")
+    rows = words.withColumn("total", F.sum("n").over(same)).withColumn("word_id", F.min(here).over(same)).where(F.col("total") >= MIN_COUNT)
+    return rows.select("shard", "local", "word_id", "total", *(F.when(F.col("word_id") == here, F.col(c)).alias(c) for c in ("lang", "word")))
 
 
 def with_shards(shards: DataFrame, kept: DataFrame, run, schema: str) -> DataFrame:
@@ -258,89 +266,72 @@ def with_shards(shards: DataFrame, kept: DataFrame, run, schema: str) -> DataFra
     return shards.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(lambda a, b: go(a, b).cast(out), schema)
 
 
+def local_pairs(index: Index, local: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All pairs of the words ``local`` in a fixed order: first and second
+    word, begin in both indexes, count."""
+    known = np.zeros(len(index.counts()), bool)
+    known[local] = True
+    local = np.flatnonzero(known)
+    second, first, fwd, rev, n = index.extend("forward", *index.singles(local))
+    good = known[first]
+    return first[good], local[second[good]], fwd[good], rev[good], n[good]
+
+
 def pair_rows(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """``(first, second, shard, local, n)`` of every pair of frequent words of
-    every shard; ``local`` packs the shard's numbers of both."""
+    """``(first, second, name, n)`` of every pair of frequent words of every
+    shard: the words' ids, and a name made of the shard and the pair's place in it."""
     def run(row: dict, kept: pa.Table) -> dict:
         local, name = (kept.column(c).to_numpy() for c in ("local", "word_id"))
         index = Index(forward=symbols(row["forward"]))
-        names = np.full(len(index.counts()), -1, np.int64)
+        names = np.zeros(len(index.counts()), np.int64)
         names[local] = name
-        second, first, _, _, n = index.extend("forward", *index.singles(local.astype(np.int64)))
-        good = names[first] >= 0
-        first, second, n = first[good], local[second[good]].astype(np.int64), n[good]
-        return {"first": names[first], "second": names[second], "shard": constant(row["shard"], len(n)),
-                "local": first << 32 | second, "n": n}
+        first, second, _, _, n = local_pairs(index, local)
+        return {"first": names[first], "second": names[second], "name": (row["shard"] << _LOCAL) + np.arange(len(n)), "n": n}
 
-    return with_shards(shards.select("shard", "forward"), words, run, "first long, second long, shard long, local long, n long")
+    return with_shards(shards.select("shard", "forward"), words.select("shard", "local", "word_id"), run,
+                       "first long, second long, name long, n long")
 
 
 def frequent_pairs(pairs: DataFrame) -> DataFrame:
-    """``(shard, local, total, leads)``; one of the shards that hold a pair leads."""
+    """``(shard, place, pair_id, total, first, second)`` of the frequent pairs, in
+    every shard that holds them; the words stand in one of these rows."""
     same = Window.partitionBy("first", "second")
-    return (pairs.withColumn("total", F.sum("n").over(same)).where(F.col("total") >= MIN_COUNT)
-            .withColumn("leads", F.col("shard") == F.min("shard").over(same)).select("shard", "local", "total", "leads"))
-
+    rows = pairs.withColumn("total", F.sum("n").over(same)).withColumn("pair_id", F.min("name").over(same)).where(F.col("total") >= MIN_COUNT)
+    lead = F.col("pair_id") == F.col("name")
+    return rows.select(F.shiftright("name", _LOCAL).alias("shard"), F.col("name").bitwiseAND((1 << _LOCAL) - 1).alias("place"), "pair_id", "total",
+                       *(F.when(lead, F.col(c)).alias(c) for c in ("first", "second")))
 
-_GRAMS = ("lang string, phrase string, size int, w1 long, w2 long, w3 long, w4 long, n long, "
-          "head long, tail long, first_pair long, last_pair long")
 
-
-def phrase_rows(shards: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Counts in each shard of the phrases of three and four words whose pairs
-    are frequent, and the totals of the pairs the shard leads; with the totals
-    of their first and last words and pairs."""
+def longer_rows(shards: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(size, x, y, n)``: counts in each shard of the phrases of three and
+    four words whose pairs are frequent, named by their first and last pair."""
     def run(row: dict, kept: pa.Table) -> dict:
-        local, name, total, leads = (kept.column(c).to_numpy(zero_copy_only=False) for c in ("local", "word_id", "total", "leads"))
-        single = ~np.isnan(name.astype(np.float64))
+        at, name = (kept.column(c).to_numpy() for c in ("at", "name"))
+        single = kept.column("single").to_numpy(zero_copy_only=False)
         index = Index(forward=symbols(row["forward"]), reverse=symbols(row["reverse"]))
-        names, count = np.full(len(index.counts()), -1, np.int64), np.zeros(len(index.counts()), np.int64)
-        names[local[single]] = kept.column("word_id").fill_null(-1).to_numpy()[single]
-        count[local[single]] = total[single]
-        order = np.argsort(local[~single])
-        known, sums, lead = local[~single][order], total[~single][order], leads[~single][order].astype(bool)
+        places = local_pairs(index, at[single])
+        a, b, fwd, rev, n = (x[at[~single]] for x in places)
+        order = np.argsort(a << 32 | b)
+        a, b, fwd, rev, n, pair = (x[order] for x in (a, b, fwd, rev, n, name[~single]))
+        known = a << 32 | b
 
         def place(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             key = first << 32 | second
-            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            return at, (known[at] == key) if len(known) else np.zeros(len(key), bool)
-
-        last = np.unique(known & 0xFFFFFFFF)
-        parent, a, fwd, rev, n = index.extend("forward", *index.singles(last))
-        b = last[parent]
-        at, good = place(a, b)
-        a, b, fwd, rev, n, two = (x[good] for x in (a, b, fwd, rev, n, at))
-        grams = [((a, b), two, two, sums[two], lead[two])]
-        parent, c, rev3, fwd3, n = index.extend("reverse", rev, fwd, n)
-        at, good = place(b[parent], c)
-        parent, c, fwd3, rev3, n, last3 = (x[good] for x in (parent, c, fwd3, rev3, n, at))
-        a3, b3, first3 = a[parent], b[parent], two[parent]
-        grams.append(((a3, b3, c), first3, last3, n, np.ones(len(n), bool)))
-        parent, d, _, _, n = index.extend("forward", fwd3, rev3, n)
-        at, good = place(d, a3[parent])
-        parent, d, n, first4 = (x[good] for x in (parent, d, n, at))
-        grams.append(((d, a3[parent], b3[parent], c[parent]), first4, last3[parent], n, np.ones(len(n), bool)))
-
-        vocabulary = unpacked_words(row["words"])
-        out = {c: [] for c in ("phrase", "size", "w1", "w2", "w3", "w4", "n", "head", "tail", "first_pair", "last_pair")}
-        for parts, first, final, n, mine in grams:
-            parts, first, final, n = [x[mine] for x in parts], first[mine], final[mine], n[mine]
-            texts = [vocabulary.take(pa.array(x - 1)).cast(pa.string()) for x in parts]
-            out["phrase"].append(pc.binary_join_element_wise(*texts, " "))
-            out["size"].append(np.full(len(n), len(parts), np.int32))
-            for k in range(4):
-                out[f"w{k + 1}"].append(names[parts[k]] if k < len(parts) else np.full(len(n), -1, np.int64))
-            out["n"].append(n)
-            out["head"].append(count[parts[0]])
-            out["tail"].append(count[parts[-1]])
-            out["first_pair"].append(sums[first])
-            out["last_pair"].append(sums[final])
-        joined = {c: pa.chunked_array(x) if c == "phrase" else pa.array(np.concatenate(x)) for c, x in out.items()}
-        return {"lang": constant(row["lang"], len(joined["n"])), **joined}
-
-    kept = (words.withColumn("local", F.col("local").cast("long")).withColumn("leads", F.lit(False))
-            .unionByName(pairs.withColumn("word_id", F.lit(None).cast("long"))))
-    return with_shards(shards.select("shard", "lang", "words", "forward", "reverse"), kept, run, _GRAMS)
+            where = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            return where, (known[where] == key) if len(known) else np.zeros(len(key), bool)
+
+        parent, c, rev, fwd, n = index.extend("reverse", rev, fwd, n)  # to the right
+        last, good = place(b[parent], c)
+        first, last, fwd, rev, n = (x[good] for x in (parent, last, fwd, rev, n))
+        parent, d, _, _, m = index.extend("forward", fwd, rev, n)  # to the left
+        before, good = place(d, a[first[parent]])
+        parent, before, m = (x[good] for x in (parent, before, m))
+        return {"size": np.repeat(np.array([3, 4], np.int32), [len(n), len(m)]), "x": np.append(pair[first], pair[before]),
+                "y": np.append(pair[last], pair[last[parent]]), "n": np.append(n, m)}
+
+    kept = (words.select("shard", F.col("local").cast("long").alias("at"), F.col("word_id").alias("name"), F.lit(True).alias("single"))
+            .unionByName(pairs.select("shard", F.col("place").alias("at"), F.col("pair_id").alias("name"), F.lit(False).alias("single"))))
+    return with_shards(shards.select("shard", "forward", "reverse"), kept, run, "size int, x long, y long, n long")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -356,10 +347,30 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
     shards = stored(shard_rows(docs, F.col(lang_col), F.col(text_col), shard_bytes))
     words = stored(frequent_words(word_rows(shards)))
     pairs = stored(frequent_pairs(pair_rows(shards, words)))
+    longer = stored(longer_rows(shards, words, pairs).groupBy("size", "x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= MIN_COUNT))
+    sizes = stored(shards.groupBy("lang").agg(F.sum("n_words").alias("n")))
+    named = words.where("word IS NOT NULL")
+    two = pairs.where("first IS NOT NULL").select("pair_id", "first", "second", "total")
+    for at, k in (("first", 1), ("second", 2)):
+        two = two.join(named.select(F.col("word_id").alias(at), F.col("word").alias(f"t{k}"), F.col("total").alias(f"f{k}"),
+                                    *(["lang"] if k == 1 else [])), at)
+    two = stored(two)
+    dropped(shards, words, pairs)
+    none = F.lit(-1).cast("long")
     key = ["w1", "w2", "w3", "w4"]
-    rest = ["lang", "phrase", "size", "head", "tail", "first_pair", "last_pair"]
-    grams = stored(phrase_rows(shards, words, pairs).groupBy(*key).agg(F.sum("n").alias("a"), *(F.first(c).alias(c) for c in rest))
-                   .where(F.col("a") >= MIN_COUNT))
+    ends = [two.select(F.col("pair_id").alias(p), F.col("first").alias(f"{p}1"), F.col("second").alias(f"{p}2"), F.col("t1").alias(f"{p}t1"),
+                       F.col("t2").alias(f"{p}t2"), F.col("f1").alias(f"{p}f1"), F.col("f2").alias(f"{p}f2"), F.col("total").alias(f"{p}n"),
+                       *(["lang"] if p == "x" else [])) for p in ("x", "y")]
+    longer = longer.join(ends[0], "x").join(ends[1], "y")
+    grams = stored(
+        two.select(F.col("first").alias("w1"), F.col("second").alias("w2"), none.alias("w3"), none.alias("w4"), F.lit(2).alias("size"), "lang",
+                   F.concat_ws(" ", "t1", "t2").alias("phrase"), F.col("total").alias("a"), F.col("f1").alias("head"), F.col("f2").alias("tail"),
+                   F.col("total").alias("first_pair"), F.col("total").alias("last_pair"))
+        .unionByName(longer.select(
+            F.col("x1").alias("w1"), F.col("x2").alias("w2"), F.when(F.col("size") == 3, F.col("y2")).otherwise(F.col("y1")).alias("w3"),
+            F.when(F.col("size") == 3, none).otherwise(F.col("y2")).alias("w4"), "size", "lang",
+            F.concat_ws(" ", "xt1", "xt2", F.when(F.col("size") == 4, F.col("yt1")), "yt2").alias("phrase"), "a",
+            F.col("xf1").alias("head"), F.col("yf2").alias("tail"), F.col("xn").alias("first_pair"), F.col("yn").alias("last_pair"))))
     three = grams.where("size = 3").select(F.col("w1").alias("x"), F.col("w2").alias("y"), F.col("w3").alias("z"), F.col("a").alias("sum"))
     four = grams.where("size = 4")
     for out, at in (("first_three", "w1 w2 w3"), ("last_three", "w2 w3 w4")):
@@ -375,7 +386,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sha
             .when(F.col("size") == 3, F.array(cut(1, "head", "last_pair"), cut(2, "first_pair", "tail")))
             .otherwise(F.array(cut(1, "head", "last_three"), cut(2, "first_pair", "last_pair"), cut(3, "first_three", "tail"))))
     grams = grams.withColumn("cut", F.array_min(cuts)).select(*key, "size", "lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    return grams, shards.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    return grams, sizes
 
 
 def absorbed(grams: DataFrame) -> DataFrame:
