@@ -5,8 +5,10 @@ The standard library's streaming parser turns a page into blocks, the lines
 of the method: a block ends at every tag of a block element. A block knows its
 text, how many tags stand in it, and the open elements around it. Blocks
 inside elements that are never main text (navigation, header, footer, aside,
-form, script, style, and elements whose class, id or role says menu, advert,
-notice, comment and the like) are out, whatever their density.
+script, style) are out, whatever their density, as are forms and elements whose
+class, id or role says menu, advert, notice, comment and the like, unless the
+page has no content without them: where no ``article`` or ``main`` is left, such an
+element that holds one stays, and where there is none at all, one that holds most of the page's text.
 
 The ratio of text to tags of the remaining blocks is smoothed with a Gaussian
 kernel over neighbouring blocks; blocks at least as dense as the threshold
@@ -16,7 +18,9 @@ page's densest block) form clusters. A cluster stands for its region: the innerm
 The region with the most text in clusters is the content, and all its blocks
 are the text, short ones too: nothing inside the article is dropped or cut.
 Elements of equal kind beside it (an article in parts) join it. On a page where
-no ``article`` or ``main`` decides, all blocks that are not out are the text.
+no ``article`` or ``main`` decides, the innermost container (``div``, ``section``, table
+cell and the like) that holds ``MOST`` of the clusters' text of those around it is the content,
+and all its blocks are the text.
 
 Null and empty pages have an empty text; unclosed, stray and nested tags are
 taken as they come; repeated rows are kept.
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +41,17 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablefill.llm.common import append_columns
 
 SIGMA = 2.0
+MOST = 0.8
 
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td
 tfoot th thead tr ul caption option noscript template title head""".split())
-NEVER = frozenset("""nav header footer aside form script style noscript template head title button select textarea
+NEVER = frozenset("""nav header footer aside script style noscript template head title button select textarea
 iframe object svg menu dialog canvas datalist""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 REGION = frozenset(("article", "main"))
+CONTAINER = frozenset("div section table tbody tr td form center figure fieldset details dl ul ol blockquote hgroup".split())
 #: A word of class, id or role that marks a part outside the main text.
 ASIDE = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo
 |promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|header|masthead|cookie
@@ -55,21 +62,33 @@ _SPACE = re.compile(r"\s+")
 _OPEN_TAG = re.compile(r"<(?:([a-zA-Z][a-zA-Z0-9]*)|[/!?])")
 
 
+_NEGATED = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|is|hide|hides|show|shows)[-_][\w-]*", re.I)
+
+
+class Element(NamedTuple):
+    """An element: its name, the number of the element around it (-1: none),
+    whether it is never main text, and whether it says that it is none."""
+    tag: str
+    up: int
+    never: bool
+    marked: bool
+
+
 class Blocks(HTMLParser):
-    """Blocks of a page: ``(text, tags, path, out)``."""
+    """Elements of a page and its blocks: ``(text, tags, number of the element around it)``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number of the element, out
-        self.blocks: list[tuple[str, int, tuple, bool]] = []
+        self.stack: list[tuple[str, int]] = []  # name and number
+        self.elements: list[Element] = []
+        self.blocks: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.number = 0
+        self.tags = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            path = tuple((name, n) for name, n, _ in self.stack if name in REGION)
-            self.blocks.append((text, self.tags, path, any(out for _, _, out in self.stack[-1:])))
+            self.blocks.append((text, self.tags, self.stack[-1][1] if self.stack else -1))
         self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -87,12 +106,11 @@ class Blocks(HTMLParser):
         elif tag in ("article", "main"):  # never part of these: they were left open
             self._close("nav")
             self._close("header")
-        self.number += 1
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        marked = any(v and ASIDE.search(v) for k, v in attrs if k in ("class", "id", "role"))
+        marked = tag == "form" or any(v and ASIDE.search(_NEGATED.sub(" ", v)) for k, v in attrs if k in ("class", "id", "role"))
         body = tag in ("body", "html", "article", "main")
-        out = tag in NEVER or (marked and not body) or hidden
-        self.stack.append((tag, self.number, out or bool(self.stack and self.stack[-1][2])))
+        self.elements.append(Element(tag, self.stack[-1][1] if self.stack else -1, tag in NEVER or hidden, marked and not body))
+        self.stack.append((tag, len(self.elements) - 1))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -140,37 +158,106 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[keep] / np.convolve(np.ones(len(ratio)), kernel)[keep]
 
 
-def content_blocks(blocks: list[tuple[str, int, tuple, bool]]) -> list[str]:
+def visible(blocks: list[tuple[str, int, int]], elements: list[Element]) -> list[bool]:
+    """For each element (last: the page) whether its text can be main text."""
+    count = len(elements)
+
+    def shown(back: set[int]) -> list[bool]:
+        seen = [True] * (count + 1)
+        for i, e in enumerate(elements):
+            seen[i] = seen[e.up] and not e.never and (not e.marked or i in back)
+        return seen
+
+    def sizes(seen: list[bool]) -> list[int]:
+        size = [0] * (count + 1)
+        for text, _, i in blocks:
+            size[i] += len(text) * seen[i]
+        for i in range(count - 1, -1, -1):
+            size[elements[i].up] += size[i]
+        return size
+
+    seen = shown(set())
+    size = sizes(seen)
+    if any(e.tag in REGION and size[i] for i, e in enumerate(elements)):
+        return seen
+    every = shown(set(range(count)))
+    full = sizes(every)
+    holds = [False] * (count + 1)
+    for i in range(count - 1, -1, -1):
+        holds[i] = holds[i] or (elements[i].tag in REGION and full[i] > 0)
+        holds[elements[i].up] |= holds[i]
+    back = {i for i, e in enumerate(elements) if e.marked and holds[i]}
+    if not back:  # no region at all: a marked element that holds most of the text is the page's body
+        back = {i for i, e in enumerate(elements) if e.marked and 2 * full[i] > full[-1] and full[i] > size[-1]}
+    return shown(back)
+
+
+def content_blocks(blocks: list[tuple[str, int, int]], elements: list[Element]) -> list[str]:
     """Texts of the blocks in the selected content region, in page order."""
-    kept = [(text, tags, path) for text, tags, path, out in blocks if not out]
+    seen = visible(blocks, elements)
+    kept = [(text, tags, i) for text, tags, i in blocks if seen[i]]
     if not kept:
         return []
     smooth = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in kept]))
     dense = smooth >= max(smooth.mean() - smooth.std(), 0.1 * smooth.max())
-    weight: dict[tuple, int] = {}
-    for (text, _, path), is_dense in zip(kept, dense, strict=True):
-        if is_dense:
-            for depth in range(len(path) + 1):
-                weight[path[:depth]] = weight.get(path[:depth], 0) + len(text)
+    # the innermost region of each element, and the text of clusters directly in it
+    inner = [-1] * (len(elements) + 1)
+    for i, e in enumerate(elements):
+        inner[i] = i if e.tag in REGION else inner[e.up]
+    weight = [0] * (len(elements) + 1)
+    for (text, _, i), is_dense in zip(kept, dense, strict=True):
+        weight[i] += len(text) * int(is_dense)
+    for i in range(len(elements) - 1, -1, -1):
+        weight[elements[i].up] += weight[i]
+    below: dict[int, list[int]] = {}
+    for i, e in enumerate(elements):
+        if e.tag in REGION and weight[i]:
+            below.setdefault(inner[e.up], []).append(i)
     # from the page down, follow an article or main part while it holds text
-    region: tuple = ()
-    while True:
-        inner = {p: n for p, n in weight.items() if len(p) == len(region) + 1 and p[:len(region)] == region}
-        if not inner or max(inner.values()) * 2 < weight.get(region, 0) - sum(inner.values()):
+    region = -1
+    while region in below:
+        best = max(below[region], key=lambda i: (weight[i], -i))
+        if weight[best] * 2 < weight[region] - sum(weight[i] for i in below[region]):
             break
-        best = max(inner, key=lambda p: (inner[p], -p[-1][1]))
-        beside = [p for p in inner if p[-1][0] == best[-1][0]]
+        beside = {i for i in below[region] if elements[i].tag == elements[best].tag}
         if len(beside) > 1:  # parts of equal kind: all of them
-            return [text for text, _, path in kept if any(path[:len(p)] == p for p in beside)]
+            return [text for text, _, i in kept if within(elements, i, beside)]
         region = best
-    return [text for text, _, path in kept if path[:len(region)] == region]
+    if region < 0:
+        return [text for text, _, i in kept if within(elements, i, {container(elements, weight)})]
+    return [text for text, _, i in kept if within(elements, i, {region})]
+
+
+def container(elements: list[Element], weight: list[int]) -> int:
+    """From the page down, the innermost container with MOST of the clusters' text of the one above it."""
+    inside: dict[int, list[int]] = {}
+    for i, e in enumerate(elements):
+        inside.setdefault(e.up, []).append(i)
+    at = found = -1
+    while at in inside:
+        best = max(inside[at], key=lambda i: (weight[i], -i))
+        if not weight[best] or weight[best] < MOST * weight[at]:
+            break
+        at = best
+        if elements[at].tag in CONTAINER or elements[at].tag in ("body", "html"):
+            found = at
+    return found
+
+
+def within(elements: list[Element], i: int, any_of: set[int]) -> bool:
+    """Whether an element is, or lies in, one of some elements (-1: the page)."""
+    if -1 in any_of:
+        return True
+    while i >= 0 and i not in any_of:
+        i = elements[i].up
+    return i >= 0
 
 
 def main_text(html: str) -> str:
     parser = Blocks()
     parser.feed(html)
     parser.finish()
-    return "\n\n".join(content_blocks(parser.blocks))
+    return "\n\n".join(content_blocks(parser.blocks, parser.elements))
 
 
 def with_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:

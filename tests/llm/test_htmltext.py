@@ -28,6 +28,38 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+MENU = "<div><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li><a href=/c>Contact</a></li></ul></div>"
+FOOT = "<div>All rights reserved</div>"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="layout has-sidebar"><article>{P}</article><div class="sidebar">x</div></div>', T),
+    (f'<div id="content-side"><main>{P}{P}</main></div>', f"{T}\n\n{T}"),
+    (f'<div class="post no-comments">{P}{P}</div>', f"{T}\n\n{T}"),
+    (f"<form><div><article>{P}</article></div></form>", T), (f"<form>{P}{P}</form>", f"{T}\n\n{T}"),
+    (f"<div class=related><article>{P}</article></div><article><h2>Real</h2>{P}{P}</article>", f"Real\n\n{T}\n\n{T}"),
+    (f"{MENU}<div><h1>Title</h1>{P}{P}<p>Short.</p>{P}</div>{FOOT}", f"Title\n\n{T}\n\n{T}\n\nShort.\n\n{T}"),
+    (f"<body>{MENU}<div class=wrap><div>{P}{P}</div><div>{P}{P}</div></div>{FOOT}</body>", "\n\n".join([T] * 4)),
+    (f"<table><tr><td>Home<br>About</td><td>{P}{P}{P}</td></tr></table>", "\n\n".join([T] * 3)),
+])
+def test_marks_never_empty_a_page_and_density_selects(html, text):
+    assert htmltext.main_text(html) == text
+
+
+def plain_smoothing(x, sigma):
+    out = []
+    for i in range(len(x)):
+        w = [np.exp(-0.5 * ((i - j) / sigma) ** 2) if abs(i - j) <= int(3 * sigma) else 0 for j in range(len(x))]
+        out.append(sum(a * b for a, b in zip(w, x)) / sum(w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_smoothing_equals_the_plain_sum(seed):
+    x = np.random.default_rng(seed).exponential(10, 1 + 7 * seed)
+    assert np.allclose(htmltext.smoothed(x), plain_smoothing(x, htmltext.SIGMA))
+
+
 def test_article_within_a_section():
     page = f"<div><ul><li><a href=/>Home</a></li></ul></div><section><div><article>{P}<section>{P}</section></article></div></section>"
     assert htmltext.main_text(page) == f"{T}\n\n{T}"
