@@ -34,6 +34,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_bucket(doc_id) == 1, F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # --- Arrow row mapping -----------------------------------------------------
 
 def string_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +74,13 @@ def append_columns(df: DataFrame, text_col: str, fields: StructType,
     """``df`` with the columns ``fields`` computed from ``text_col``.
 
     ``make()`` runs once per task and returns a function from a string array
-    to one list or array per new field. All other columns pass through.
+    to one list or array per new field. All other columns pass through; a column
+    that has the name of a new one is replaced, as ``withColumn`` does.
     """
     at = df.columns.index(text_col)
-    schema = StructType(df.schema.fields + fields.fields)
+    new_names = {c.lower() for c in fields.names}
+    stay = [i for i, c in enumerate(df.columns) if c.lower() not in new_names]
+    schema = StructType([df.schema.fields[i] for i in stay] + fields.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -80,7 +91,7 @@ def append_columns(df: DataFrame, text_col: str, fields: StructType,
                 new = fn(part.column(at).fill_null(""))
                 new = [x if isinstance(x, pa.Array) else pa.array(x, out.field(kept + k).type)
                        for k, x in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=out.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *new], names=out.names)
 
     return df.mapInArrow(run, schema)
 

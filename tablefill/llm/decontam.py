@@ -24,8 +24,10 @@ the passage has ``MIN_QUESTION`` of the question's three-word runs and
 ``MIN_ANSWER`` of the answer's.
 
 The index is made of at most ``SHARD_BYTES`` of item text; larger item sets
-are split by hash into several, each asked in turn, so what is broadcast
-never grows beyond that. Null and empty items and texts match nothing; equal
+are split by hash into several. Document counts, frequencies and lengths are those
+of all items, counted in Spark, so an item's scores and threshold do not depend
+on the split. Each index is asked in a pass of its own over a written table, so
+a task holds one index and what is broadcast never grows beyond that. Null and empty items and texts match nothing; equal
 items are all reported; repeated rows of a text are reported each.
 """
 
@@ -33,14 +35,17 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
-from tablefill.llm.common import alnum_spans, append_columns, fold, shingles, span_hashes, string_parts
+from tablefill.llm.common import (
+    alnum_spans, append_columns, dropped, fold, free_name, shingles, slices, span_hashes, stored, string_parts)
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -88,13 +93,27 @@ def part_runs(text: str) -> tuple[int, np.ndarray]:
     return width, runs(words, width)
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many have words, their words, the longest's words,
+    and in how many each of the (sorted) terms stands."""
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    def __init__(self, ids: list[int], texts: list[str], min_score: float = MIN_SCORE):
+    """Index of some items; ``known`` are the statistics of the whole table
+    (default: of these items alone)."""
+
+    def __init__(self, ids: list, texts: list[str], min_score: float = MIN_SCORE, known: Statistics | None = None):
         found = [(i, t, w) for i, t in zip(ids, texts, strict=True)
                  if len(w := word_hashes(pa.array([t], pa.large_string()))[0])]
         self.ids = [i for i, _, _ in found]
         n = len(found)
-        self.words = max((len(w) for _, _, w in found), default=0)
+        self.words = known.longest if known else max((len(w) for _, _, w in found), default=0)
         if not n:
             return
         sizes = np.array([len(w) for _, _, w in found])
@@ -102,8 +121,11 @@ class Index:
         item = np.repeat(np.arange(n), [len(k) for k, _ in parts])
         key, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.terms, term, df = np.unique(key, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+        every, all_df, mean = n, df, sizes.mean()
+        if known:
+            every, all_df, mean = known.items, known.df[np.searchsorted(known.terms, self.terms)], known.words / known.items
+        idf = np.log1p((every - all_df + 0.5) / (all_df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean))
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
         self.at = np.append(0, np.cumsum(df))
@@ -246,33 +268,75 @@ class Index:
         return out
 
 
-MATCH = ArrayType(StructType([StructField("item_id", LongType()), StructField("score", DoubleType()),
-                              StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType())]))
-
-
-def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES):
-    """The indexes of an item table, made one at a time, each of about ``shard_bytes`` of text."""
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+def match_type(item_id: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField("item_id", item_id), StructField("score", DoubleType()),
+                                 StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType())]))
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """``(shard, size, term)``: the distinct words of each item of ``(shard,
+    item_id, text)``, with the item's number of words in its first row, else null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                words, rows = word_hashes(part.column(2))
+                order = np.lexsort((words, rows))
+                words, rows = words[order], rows[order]
+                new = np.append(True, (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])) if len(words) else np.zeros(0, bool)
+                size = np.bincount(rows, minlength=part.num_rows)
+                terms, owner = words[new], rows[new]
+                first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner)), pa.array(size[owner], mask=~first), pa.array(terms.view(np.int64))],
+                    names=["shard", "size", "term"])
+
+    return items.mapInArrow(run, "shard int, size long, term long")
+
+
+def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """The indexes of an item table, made one at a time, each of about
+    ``shard_bytes`` of text. Counts and lengths are those of all items, so an
+    item has the same scores and threshold whatever shard it is in."""
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    for k in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").toArrow()
+    rows = rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int").alias("shard"), "item_id", "text")
+    terms = stored(item_terms(rows))
+    found, words, longest = terms.agg(F.count("size"), F.sum("size"), F.max("size")).first()
+    df = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    for k in range(shards if found else 0):
+        part = rows.where(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").toArrow()
         if part.num_rows:
-            yield Index(part.column(0).to_pylist(), part.column(1).to_pylist())
-
-
-def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "matches") -> DataFrame:
-    """``docs`` plus the test items in each text."""
-    out, fields = docs, []
-    for k, index in enumerate(build(items)):
-        fields.append(f"{out_col}_{k}")
-        out = append_columns(out, text_col, StructType([StructField(fields[-1], MATCH)]),
+            mine = df.join(terms.where(F.col("shard") == k).select("term").distinct(), "term").toArrow()
+            key = mine.column("term").to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            known = Statistics(found, words, longest, key[order], mine.column("df").to_numpy()[order])
+            yield Index(part.column(0).to_pylist(), part.column(1).to_pylist(), known=known)
+    dropped(terms, df)
+
+
+def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "matches",
+                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` plus the test items in each text. With several indexes the
+    table is written after each one, so a task holds one index and needs one
+    Python worker; a column named ``out_col`` is replaced."""
+    kind = match_type(items.schema["item_id"].dataType)
+    out, found, before = docs, [], None
+    for index in build(items, shard_bytes=shard_bytes):
+        if found:
+            after = stored(out)
+            if before is not None:
+                dropped(before)
+            out = before = after
+        found.append(free_name(out, "matches_of_shard"))
+        out = append_columns(out, text_col, StructType([StructField(found[-1], kind)]),
                              lambda index=index: lambda texts: [index.matches(texts)])
-    found = F.concat(*fields) if fields else F.array().cast(MATCH)
-    return out.withColumn(out_col, found).drop(*fields)
+    matches = F.concat(*found) if found else F.array().cast(kind)
+    return out.withColumn(out_col, matches).drop(*found)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document and test item in it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_matches(rows, items).select("doc_id", F.inline("matches"))
+    return with_matches(rows, items, shard_bytes=shard_bytes).select("doc_id", F.inline("matches"))

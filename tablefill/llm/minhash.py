@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefill.llm.common import mix, shingles, slices, span_hashes, stored, string_parts, word_spans
+from tablefill.llm.common import free_name, mix, shingles, slices, span_hashes, stored, string_parts, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -263,7 +263,8 @@ def components(edges: DataFrame) -> DataFrame | None:
 
 def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketched rows ``(doc_id, node)`` and, of nodes with copies or links,
-    ``(node, class_id)``, from rows ``(doc_id, text)``."""
+    ``(node, class_id, keeper)`` from rows ``(doc_id, text)``: the class's
+    smallest id and the node that has it."""
     sketched = stored(sketch(docs))
     nodes = stored(sketched.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("signature").alias("signature")))
@@ -280,7 +281,7 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # texts of nodes that share a bucket, from one of each node's rows
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "first_id")
     texts = stored(docs.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-                   .join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+                   .join(wanted.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
                    .select("node", "text").dropDuplicates(["node"]))
 
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -326,12 +327,13 @@ def node_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 roots = stored(every.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
                                .select("node", F.coalesce("top", "root").alias("root")))
     named = nodes.select("node", "first_id", "copies")
+    own = [F.col("first_id").alias("class_id"), F.col("node").alias("keeper")]
     if roots is None:
-        return sketched, named.where("copies > 1").select("node", F.col("first_id").alias("class_id"))
+        return sketched, named.where("copies > 1").select("node", *own)
     linked = roots.join(named, "node")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    linked = linked.join(least, "root").select("node", "class_id")
-    single = named.where("copies > 1").join(roots, "node", "left_anti").select("node", F.col("first_id").alias("class_id"))
+    least = linked.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("least"))
+    linked = linked.join(least, "root").select("node", F.col("least.first_id").alias("class_id"), F.col("least.node").alias("keeper"))
+    single = named.where("copies > 1").join(roots, "node", "left_anti").select("node", *own)
     return sketched, linked.unionByName(single)
 
 
@@ -344,9 +346,18 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest id. Rows
-    without an id stay; of rows equal in id and text, one stays."""
-    firsts = duplicate_classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias("_kept_id"))
+    """``docs`` with one row of each class: that of its smallest id (of two
+    texts with this id, one). Rows without an id stay; of rows equal in id and
+    text, one stays. Ids may repeat: a row is told by its id and its text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched, classes = node_classes(rows)
+    firsts = (sketched.where("node IS NOT NULL").select("doc_id", "node").join(classes, "node", "left")
+              .where("keeper IS NULL OR (keeper = node AND class_id = doc_id)"))
+    node = free_name(docs, "node")
+    firsts = firsts.select(F.col("doc_id").alias(id_col), F.col("node").alias(node)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    named = named.join(firsts, named[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col, text_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = (named.where(worded).withColumn(node, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+            .join(firsts, [id_col, node], "left_semi").drop(node).select(docs.columns))
+    return (kept.unionByName(named.where(~worded)).dropDuplicates([id_col, text_col])
+            .unionByName(docs.where(F.col(id_col).isNull())))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from tablefill.llm.common import append_columns
+from tablefill.llm.common import append_columns, free_name
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 CONTEXT_CHARS = 60
@@ -143,8 +143,9 @@ def with_redacted(docs: DataFrame, text_col: str = "text", out_col: str = "redac
     """``docs`` plus the text with its personal data replaced; null stays null."""
     def make():
         return lambda texts: [[redact_text(t) for t in texts.to_pylist()]]
-    out = append_columns(docs, text_col, StructType([StructField(out_col, StringType())]), make)
-    return out.withColumn(out_col, F.when(F.col(text_col).isNotNull(), F.col(out_col)))
+    new = free_name(docs, "redacted_text")
+    out = append_columns(docs, text_col, StructType([StructField(new, StringType())]), make)
+    return out.withColumn(out_col, F.when(F.col(text_col).isNotNull(), F.col(new))).drop(new)
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,11 +8,15 @@ SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", Stri
                      StructField("source", StringType()), StructField("n_chars", LongType()),
                      # names that operators use for their own columns
                      StructField("score", StringType()), StructField("node", StringType()), StructField("spans", StringType()),
-                     StructField("kept", StringType()), StructField("words", StringType())])
+                     StructField("kept", StringType()), StructField("words", StringType()),
+                     StructField("_items_0", StringType()), StructField("_items", StringType()), StructField("items", StringType()),
+                     StructField("_redacted", StringType()), StructField("redacted_text", StringType()), StructField("_kept_id", StringType()),
+                     StructField("_toxicity", StringType()), StructField("toxicity", StringType()), StructField("matches_of_shard", StringType()),
+                     StructField("class_id", StringType()), StructField("keeper", StringType())])
 
 
 def rows(*pairs):
-    return [(i, t, None if k % 3 == 0 else "en", None, None, "x", None, "y", None, "z") for k, (i, t) in enumerate(pairs)]
+    return [(i, t, None if k % 3 == 0 else "en", None, None, "x", None, "y", None, "z", *"abcdefghijk") for k, (i, t) in enumerate(pairs)]
 
 
 LONG = " ".join(f"word{k * 7919 % 100003}" for k in range(30_000))

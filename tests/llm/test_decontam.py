@@ -58,15 +58,49 @@ def planted(rng, texts):
     return docs, want
 
 
-@pytest.mark.parametrize("shard", [decontam.SHARD_BYTES, 500])
-def test_planted_items(spark, table, monkeypatch, shard):
+def test_planted_items_in_any_number_of_shards(spark, table):
+    """One, about 10 and about 50 indexes: the same rows, scores included."""
     rng = random.Random(7)
-    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(12, 55))) + "." for _ in range(30)]
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(12, 55))) + "." for _ in range(50)]
     docs, want = planted(rng, texts)
-    monkeypatch.setattr(decontam.build, "__defaults__", ("item_id", "text", shard))
-    got = decontam.contaminated(table(docs), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    assert all(r.question_overlap >= decontam.MIN_QUESTION and r.answer_overlap >= decontam.MIN_ANSWER for r in got)
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    size = sum(map(len, texts))
+    results = []
+    for shards in (1, 10, 50):
+        got = decontam.contaminated(table(docs), bench, shard_bytes=size // shards + 1).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all(r.question_overlap >= decontam.MIN_QUESTION and r.answer_overlap >= decontam.MIN_ANSWER for r in got)
+        results.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in got))
+    assert results[0] == results[1] == results[2]
+
+
+def test_item_ids_of_any_type(spark, table):
+    texts = ["what is the capital of the moon base. it is tycho city as you know.", "another question with many words here. an answer of some words."]
+    bench = spark.createDataFrame([("a-1", texts[0]), ("b/2", texts[1])], "item_id string, text string")
+    got = decontam.contaminated(table([(1, f"x y {texts[0]} z"), (2, texts[1])]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, "a-1"), (2, "b/2")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_passage_above_a_threshold_is_lost(seed):
+    """The test on essential words lets every passage through that an exhaustive score puts above a threshold."""
+    rng = random.Random(seed)
+    texts = items(rng, 80)
+    index = decontam.Index(list(range(80)), texts)
+    passages = [" ".join(rng.choice(texts).split()[:rng.randint(2, 50)] + [f"w{rng.randrange(400)}" for _ in range(15)]) for _ in range(60)]
+    words, rows = decontam.word_hashes(pa.array(passages))
+    at = np.searchsorted(index.terms, words)
+    at[at == len(index.terms)] = 0
+    known = index.terms[at] == words
+    pairs = np.unique(np.stack([rows[known], at[known]]), axis=1)
+    want = set()
+    for p in range(60):
+        scores = np.zeros(80)
+        for t in pairs[1][pairs[0] == p]:
+            scores[index.item[index.at[t]:index.at[t + 1]]] += index.weight[index.at[t]:index.at[t + 1]]
+        if (scores >= index.threshold - 1e-9).any():
+            want.add(p)
+    assert want and want <= set(index.survivors(pairs[0], pairs[1]).tolist())
 
 
 def test_awkward_rows(spark, awkward, nothing):

@@ -132,3 +132,17 @@ def test_keep_first(table):
     classes = brute_classes(pairs)
     assert Counter(r.doc_id for r in keep if r.doc_id is not None) == Counter({i for i, c in classes if i == c and i is not None})
     assert sum(r.doc_id is None for r in keep) == 1
+
+
+def test_rows_are_told_by_id_and_text(spark):
+    a = " ".join(f"w{k}" for k in range(100))
+    near = a.replace("w50", "other")
+    b = " ".join(f"v{k}" for k in range(100))
+
+    def kept(rows):
+        return sorted(map(tuple, minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+    assert kept([(2, b), (4, a), (4, b), (5, a)]) == [(2, b), (4, a)]
+    assert len(kept([(4, a), (4, near)])) == 1
+    assert kept([(4, a), (4, b), (4, a)]) == sorted([(4, a), (4, b)])
+    assert kept([(4, a), (3, near), (4, b), (7, b), (8, ""), (8, ""), (9, None)]) == sorted([(3, near), (4, b), (8, ""), (9, None)], key=lambda r: r[0])
