@@ -8,7 +8,8 @@ memory and depth do not depend on a text's length. Training is numpy:
 backpropagation through time over windows of labelled documents, Adam.
 
 The network is fitted on at most ``SAMPLE_ROWS`` documents of each language
-value (in the order of a hash of the id; ``SAMPLE_WINDOWS`` windows in all)
+value (in the order of a hash of the id), ``SAMPLE_CHARS`` characters of each
+in one run from a hashed place, ``SAMPLE_WINDOWS`` windows in all,
 that are outside the held-out fold; its few thousand weights are what is
 broadcast. Language, source and id are never inputs of a prediction.
 
@@ -30,6 +31,7 @@ from tablefill.llm.common import append_columns, crc_bucket, held_out, string_pa
 WINDOW = 64
 HIDDEN = 8
 SAMPLE_ROWS = 400
+SAMPLE_CHARS = 40 * WINDOW  # characters of each sampled document, in one run from a hashed place
 SAMPLE_WINDOWS = 16_000
 BATCH = 2048  # windows at a time in prediction: what fits a core's cache
 
@@ -178,17 +180,26 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, seed: int =
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        learn=None, sample_rows: int = SAMPLE_ROWS) -> Network | None:
+        learn=None, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Network | None:
     """Network of the rows whose id ``learn`` accepts (a function of a column;
     default: those outside the held-out fold); None without any labelled text."""
     learn = learn or (lambda c: crc_bucket(c) != 1)
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
             .where(F.col("_lang").isNotNull() & (F.length("_text") > 0) & learn(F.col("_id"))))
-    # ids first (the limit is applied below the shuffle), then a run of windows of each, from a hashed place
-    rank = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = (rows.select("_id", "_lang").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= sample_rows)
+    # ids first: those of small hashes, about four times as many as wanted of each language
+    # (fewer than wanted has no chance worth naming), so what is ranked does not grow with the rows
+    # or tasks; then a run of windows of each, from a hashed place
+    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    if not counts:
+        return None
+    share = F.lit(1.0)
+    for name, n in counts.items():
+        share = F.when(F.col("_lang") == name, F.lit(min(1.0, 4 * sample_rows / n))).otherwise(share)
+    small = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share * (1 << 40)
+    rank = Window.partitionBy("_lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)), "_id")
+    ids = (rows.where(small).select("_id", "_lang").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= sample_rows)
            .select("_id", "_lang").distinct().toArrow())
-    size = 40 * WINDOW
+    size = sample_chars
     start = F.pmod(F.xxhash64("_id", F.lit(1)), F.greatest(F.lit(1), F.length("_text") - size)) + 1
     got = rows.limit(0).select("_text", "_lang").toArrow()
     if ids.num_rows:

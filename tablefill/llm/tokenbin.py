@@ -24,7 +24,9 @@ digits, runs of other signs), a slice of texts at a time in numpy; every match
 is encoded on its own, so the ids of a text are those of its pieces in a row.
 Any other text is cut at white space, which the vocabulary drops and never
 joins characters across, and its words go to the library whole. Null and empty texts have the end id
-alone; documents with equal ids are ordered by text, null ids come first.
+alone; documents with equal ids are ordered by a hash of their texts, null ids
+come first. Ids are whole numbers (another type raises ``ValueError``). Reading goes
+through ``select``, a block of documents at a time, by a directory of 32 bits a byte.
 """
 
 from __future__ import annotations
@@ -39,14 +41,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tablefill.llm.common import slices, span_hashes, string_parts
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-SHARD_IDS = 4 << 20
+SHARD_IDS = 16 << 20
 CACHE_PIECES = 3_000_000  # of about 25 bytes
 SAMPLE = 64
+BLOCK = 8192  # values that are packed or selected at a time
 _HEAD = struct.Struct("<4sBBIIQqQQ")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
@@ -61,6 +65,11 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")  # after an apostrophe, o
 
 # --- Elias-Fano -------------------------------------------------------------
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_POPCOUNT = _BITS.sum(axis=1).astype(np.uint8)
+_NTH_ONE = np.argsort(1 - _BITS, axis=1, kind="stable")  # place of the k-th one of a byte
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
@@ -68,6 +77,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self._ones: np.ndarray | None = None
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -79,8 +89,9 @@ class EliasFano:
         bits = max(0, (int(v[-1]) // n).bit_length() - 1)
         low = np.zeros(0, np.uint8)
         if bits:
-            planes = (v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-            low = np.packbits(planes.astype(np.uint8).ravel(), bitorder="little")
+            places = np.arange(bits, dtype=np.uint64)  # a block's low parts fill whole bytes
+            low = np.concatenate([np.packbits(((v[k:k + BLOCK, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+                                  for k in range(0, n, BLOCK)])
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1, np.uint8)
         unary[ones] = 1
@@ -118,14 +129,30 @@ class EliasFano:
         at = base + (word & -word).bit_length() - 1
         return at - i << self.low_bits | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n].astype(np.uint64)
-        out = ones - np.arange(self.n, dtype=np.uint64) << np.uint64(self.low_bits)
+    def directory(self) -> np.ndarray:
+        """Ones up to each byte of the high part, 32 bits a byte: what
+        ``select_many`` looks places up in."""
+        if self._ones is None:
+            self._ones = np.cumsum(_POPCOUNT[self.high], dtype=np.uint32)
+        return self._ones
+
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at places ``i``: each by its byte in the directory, the
+        one within the byte, and its low bits."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError("no such place")
+        ones = self.directory()
+        byte = np.searchsorted(ones, i.astype(np.uint32), side="right")
+        left = i - (ones[byte].astype(np.int64) - _POPCOUNT[self.high[byte]])
+        at = byte * 8 + _NTH_ONE[self.high[byte], left]
+        out = (at - i).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            planes = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits]
-            weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-            out |= planes.reshape(self.n, self.low_bits).astype(np.uint64) @ weights
+            bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
+            planes = self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            out |= planes.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return out
 
 
@@ -158,6 +185,13 @@ class Shard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.n_null else self.least + self.docs.select(i - self.n_null)
 
+    def documents(self, first: int, end: int) -> tuple[list[int | None], np.ndarray]:
+        """Ids and bounds (one more) of documents ``[first, end)``, by selects."""
+        bounds = self.bounds.select_many(np.arange(first, end + 1)).astype(np.int64)
+        nulls = max(0, min(end, self.n_null) - first)
+        known = self.docs.select_many(np.arange(max(first, self.n_null), max(end, self.n_null)) - self.n_null)
+        return [None] * nulls + [self.least + int(x) for x in known], bounds
+
     def ids(self, i: int) -> np.ndarray:
         return self.array[self.bounds.select(i):self.bounds.select(i + 1)]
 
@@ -304,8 +338,12 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     if vocabulary is None:
         import public_tokenizers
         vocabulary = public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError("boundaries are kept by document ids, which must be whole numbers")
+    # rows of one id are told apart by their texts' hashes, so no id fills a range
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("text")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -363,14 +401,14 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
-                ends = shard.bounds.values().astype(np.int64)
-                crcs = [zlib.crc32(shard.array[a:b].astype("<u4").tobytes())
-                        for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                docs = [None] * shard.n_null + [shard.least + int(x) for x in shard.docs.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * shard.n_docs), pa.array(docs, pa.int64()), pa.array(ends[:-1]),
-                     pa.array(np.diff(ends)), pa.array(crcs, pa.int64())],
-                    names=["name", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+                for first in range(0, shard.n_docs, BLOCK):
+                    docs, bounds = shard.documents(first, min(first + BLOCK, shard.n_docs))
+                    crcs = [zlib.crc32(shard.array[a:b].astype("<u4").tobytes())
+                            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(docs)), pa.array(docs, pa.int64()), pa.array(bounds[:-1]),
+                         pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())],
+                        names=["name", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(run, "name string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 

@@ -7,11 +7,12 @@ alternates, as in learning from bags: first every word takes the label of the
 documents it is in; then only the words that score highest in each toxic
 document count as positive, all words of clean documents as negative. A
 document's score is a logistic function, fitted on the documents, of its
-highest word score: one insult in 20,000 words is not averaged away, and an
+``TOP`` highest word scores and its length: one insult in 20,000 words is not averaged away, and an
 unseen misspelling shares most n-grams with the word it distorts.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows of each class
-(``SAMPLE_CHARS`` characters in all, whole rows in the order of a hash) of the
+(``SAMPLE_CHARS`` characters in all, half for each class: whole rows in the order
+of a hash, those that do not fit are passed over; the shortest one if none fits) of the
 learning folds. It is a table of 2**18 floats, so its broadcast has a fixed
 size; scoring covers every character of every text.
 
@@ -246,13 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = rows.select("_id", F.length("_text").alias("_size")).join(marks, "_id")
     chosen = []
     for y in (0, 1):  # ids and lengths of a bounded number of rows, then only their texts
-        room = sample_chars // 2
+        room, before, shortest = sample_chars // 2, len(chosen), None
         for i, size in (known.where(F.col("_y") == y).groupBy("_id").agg(F.max("_size"))
                         .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).toLocalIterator()):
-            room -= size
-            if room < 0 and chosen and chosen[-1][1] == y:
-                break
-            chosen.append((i, y))
+            if shortest is None or size < shortest[0]:
+                shortest = (size, i)
+            if size <= room:  # a text that does not fit makes room for later ones
+                room -= size
+                chosen.append((i, y))
+        if len(chosen) == before and shortest is not None:
+            chosen.append((shortest[1], y))
     texts, ys = [], []
     if chosen:
         wanted = docs.sparkSession.createDataFrame(chosen, known.select("_id", F.lit(0).alias("_y")).schema)

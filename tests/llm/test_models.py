@@ -118,3 +118,89 @@ def test_awkward_rows(spark, corpus, awkward, nothing):
         assert {r.score for r in toxicity.toxicity_scores(awkward, marks).collect()} == {0.0}
     none = langid.languages(awkward.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang"))
     assert {(r.lang_pred, r.score) for r in none.collect()} == {("und", 0.0)}
+
+
+def plain_network(net, text):
+    """Mean probabilities over the bytes of a text, one byte and one unit at a time."""
+    from math import exp, tanh
+    w, h = {k: v.astype(float) for k, v in net.w.items()}, len(net.w["cf"])
+    data, total = text.encode(), np.zeros(len(net.langs))
+    sig = lambda x: 1 / (1 + exp(-x))
+    for at in range(0, len(data), langid.WINDOW):
+        window = data[at:at + langid.WINDOW]
+        padded = window + b" " * (langid.WINDOW - len(window))
+        states = {}
+        for d in "fb":
+            state = [0.0] * h
+            for t in (range(len(padded)) if d == "f" else range(len(padded) - 1, -1, -1)):
+                row = w[f"x{d}"][padded[t]]
+                rec = [sum(state[j] * w[f"u{d}"][j, k] for j in range(h)) for k in range(3 * h)]
+                z = [sig(row[k] + rec[k]) for k in range(h)]
+                r = [sig(row[h + k] + rec[h + k]) for k in range(h)]
+                new = [tanh(row[2 * h + k] + r[k] * (rec[2 * h + k] + w[f"c{d}"][k])) for k in range(h)]
+                state = [z[k] * state[k] + (1 - z[k]) * new[k] for k in range(h)]
+                states[d, t] = state
+        for t in range(len(window)):
+            both = states["f", t] + states["b", t]
+            out = np.array([w["b"][m] + sum(both[k] * w["v"][k, m] for k in range(2 * h)) for m in range(len(net.langs))])
+            e = np.exp(out - out.max())
+            total += e / e.sum()
+    return total / max(1, len(data))
+
+
+def test_network_equals_plain_loops():
+    net = langid.Network.new(["x", "y", "z"], 3, np.random.default_rng(4))
+    texts = ["", "a", "héllo wörld " * 9, "x" * langid.WINDOW, "y" * (langid.WINDOW + 1)]
+    got = net.probabilities(pa.array(texts))
+    for t, p in zip(texts, got, strict=True):
+        assert np.allclose(p, plain_network(net, t) if t else 0, atol=1e-5)
+
+
+def plain_word_score(table, word):
+    """Mean over the word's n-grams, hashed character by character."""
+    import re
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
+    codes = [2, *low.encode(), 1]
+    assert re.fullmatch("[a-z0-9]+", low)
+    scores = []
+    for n in toxicity.WIDTHS:
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i:i + n]:
+                h = (h * 0x01000193 % 2**32) ^ c
+            x = (h * 0x9E3779B1 + n * 0x85EBCA6B) % 2**32
+            x ^= x >> 15
+            scores.append(table[(x * 0x2C1B3C6D % 2**32) >> (32 - toxicity.BUCKET_BITS)])
+    return sum(map(float, scores)) / max(1, len(scores))
+
+
+def test_document_scores_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(0, 2, 1 << toxicity.BUCKET_BITS).astype(np.float32), rng.normal(0, 1, toxicity.TOP + 2), 3.0)
+    texts = ["one", "Some WORDS and more words, x1 yy2!", "a b c d e f g h " * 30]
+    for text, got in zip(texts, model.score(pa.array(texts)), strict=True):
+        import re
+        words = [x for x in re.findall("[A-Za-z0-9]+", text) if re.search("[A-Za-z]", x)]
+        best = sorted((plain_word_score(model.table, x) for x in words), reverse=True)[:toxicity.TOP]
+        x = [np.tanh(v / 2) for v in best] + [-1.0] * (toxicity.TOP - len(best)) + [min(np.log1p(len(words)), 3.0), 1.0]
+        assert got == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.weights))), abs=1e-4)
+
+
+def test_one_long_text_does_not_end_the_sample(spark, corpus):
+    """A text beyond the room for its class is passed over, not the rest with it."""
+    docs = spark.createDataFrame(corpus[0], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(corpus[1], "doc_id long, toxic int")
+    long = spark.createDataFrame([(10**6 + i, "bako " * 40_000, "aa") for i in range(40)], docs.schema)
+    marks = spark.createDataFrame([(10**6 + i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.unionByName(long), labels.unionByName(marks), sample_chars=100_000)
+    bad, good = model.score(pa.array(["wretch villain oafish", "bakomi tulami lala"]))
+    assert bad > 0.7 > 0.3 > good
+
+
+def test_language_sample_is_bounded_before_it_is_ranked(spark):
+    """What one task ranks is about four times the sample, in any number of partitions."""
+    rows = [(i, f"text {i}", "en" if i % 3 else "fr") for i in range(20_000)]
+    for parts in (4, 211):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        net = langid.fit(docs, sample_rows=50, learn=lambda c: c.isNotNull())
+        assert net.langs == ["en", "fr"]
