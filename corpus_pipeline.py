@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablefill.llm import bpe, decontam, minhash, pii, toxicity
+from tablefill.llm.common import free_name
 from tablefill.session import ensure_checkpoint_dir, ship_package
 
 
@@ -25,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     ship_package(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.with_score(docs, model, "text", "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.with_score(docs, model, "text", score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship_package(spark)
-    found = decontam.with_matches(docs, _table(spark, sf_dir, "benchmark"), "text", "_items")
-    return found.where(F.size("_items") == 0).drop("_items")
+    items = free_name(docs, "items")
+    return decontam.with_matches(docs, _table(spark, sf_dir, "benchmark"), "text", items).where(F.size(items) == 0).drop(items)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in each text is replaced by its kind; no row goes."""
     ship_package(spark)
-    redacted = pii.with_redacted(docs, "text", "_redacted")
-    return redacted.withColumn("text", F.col("_redacted")).drop("_redacted")
+    return pii.with_redacted(docs, "text", "text")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
