@@ -118,6 +118,23 @@ def complete(prompts: DataFrame, factory: Factory, prompt_col: str = "prompt",
     return prompts.mapInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class DigestModel:
+    """A model without a model: the MD5 of the prompt it was given; prompts of
+    more than ``context`` whitespace tokens are refused. Shows what reached a
+    model, and what it was cut to."""
+
+    context: int
+
+    def __call__(self) -> Model:
+        def model(prompts: list[str]) -> list[str]:
+            for p in prompts:
+                if len([t for t in _WS_RE.split(p) if t]) > self.context:
+                    raise PromptTooLong(p)
+            return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+        return model
+
+
 def constant_model(prompts: DataFrame, answer: str = DUMMY_ANSWER) -> DataFrame:
     """ML2: the dummy model, as a literal column (no Python at all)."""
     return (prompts.withColumn("completion", F.lit(answer))

@@ -24,7 +24,7 @@ from ..operators.tables import split_seeds
 from ..session import dropping_pinned, materialize
 from ..sinks.trec import write_completions, write_run
 from ..sources.corpus import read_tables
-from ..sources.trec import baseline_files, read_run_meta, read_runs
+from ..sources.trec import read_baselines, read_run_meta, read_runs
 from .suggest import Transform, pick_examples, suggest
 
 
@@ -113,16 +113,10 @@ def score_runs(spark: SparkSession, out_root: str, qrels: DataFrame, baselines:
     meta = read_run_meta(spark, out_root).filter(F.col("completed"))
     runs = read_runs(spark, out_root).join(meta.select("run_id"), "run_id", "left_semi")
     if baselines is not None:
-        for n in baseline_seeds:
-            names = [r.path.rsplit("/", 1)[-1] for r in baseline_files(spark, baselines, n).collect()]
-            for name in names:
-                rows = read_runs(spark, baselines, pattern=name, kind="baseline")
-                runs = runs.unionByName(rows.select(*runs.columns))
-                stem = name.rsplit(".", 1)[0]
-                meta = meta.unionByName(spark.createDataFrame(
-                    [(stem, "data/benchmark", n, True, False, False)],
-                    "run_id string, folder string, seeds int, completed boolean, debug boolean, validation boolean"),
-                    allowMissingColumns=True)
+        rows = read_baselines(spark, baselines, baseline_seeds)  # one scan for all files
+        runs = runs.unionByName(rows.select(*runs.columns))
+        meta = meta.unionByName(rows.select("run_id", F.lit("data/benchmark").alias("folder"), "seeds").distinct().withColumns(
+            {"completed": F.lit(True), "debug": F.lit(False), "validation": F.lit(False)}), allowMissingColumns=True)
     # queries are keyed by their (split, seeds), in runs and judgments alike: no
     # judgment is copied per run; both key tables have a row per run at most
     split = F.when(F.col("validation"), F.lit("validation")).otherwise(F.lit("benchmark")).alias("split")

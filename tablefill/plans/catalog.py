@@ -572,3 +572,92 @@ def run_write_read_q(spark, sf):
     return read_runs(spark, root).join(F.broadcast(meta), "run_id").select(
         "run_id", "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "tag",
         "folder", F.col("seeds").cast("long").alias("seeds"), "completed")
+
+
+# ------------------------------------------ through written folders (SRC, SNK, ML1, ML3)
+
+def _fresh_folder(spark, name: str) -> str:
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("model_slot")
+def model_slot_q(spark, sf):
+    """ML1, ML3, SNK2, SNK4: a model that refuses prompts of more than 50
+    tokens answers every text, refused ones once more with their last 50; the
+    completions are written and read back."""
+    from ..operators.infer import complete, DigestModel
+    from ..sinks.trec import write_completions
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+    path = _fresh_folder(spark, "completions")
+    done = complete(d, DigestModel(50), on_too_long="keep_last", keep_last_n=50)
+    write_completions(done.select("doc_id", "completion", "truncated", "seconds"), path)
+    return spark.read.parquet(path).select("doc_id", "completion", "truncated", (F.col("seconds") >= 0).alias("timed"))
+
+
+@register("run_folders")
+def run_folders_q(spark, sf):
+    """SRC5, SRC6: runs in the original layout (a run file, a config and empty
+    flag files), listed by tasks; with each run's rows."""
+    from ..sinks.trec import trec_lines
+    from ..sources.trec import list_runs, read_run_folders, read_runs
+    root = _fresh_folder(spark, "folders")
+    runs = derived.customer_runs(spark, sf)
+    empty = runs.select(F.lit("").alias("value")).limit(0)
+    for i, name in enumerate(MEMBERS):
+        trec_lines(runs.filter(F.col("run_id") == name)).write.text(f"{root}/{name}/trec.log")
+        config = f"class: SubjectSuggestionBenchmark\nfolder: data/{'validation' if name == 'md5' else 'benchmark'}\nseeds: {i + 1}\n"
+        spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(f"{root}/{name}/benchmark.yaml")
+        for flag in ("keep.flag",) * (name != "custkey") + ("debug.flag",) * (name == "custkey"):
+            empty.write.text(f"{root}/{name}/{flag}")
+    rows = read_runs(spark, root).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = list_runs(spark, root).select("run_id", (F.col("created") > 0).alias("dated"))
+    return read_run_folders(spark, root).join(rows, "run_id").join(listed, "run_id").select(
+        "run_id", "folder", F.col("seeds").cast("long").alias("seeds"), "completed", "debug", "validation", "dated", "n_rows")
+
+
+@register("baselines_scan")
+def baselines_scan_q(spark, sf):
+    """SRC8: baseline outputs of all seed counts, written as files and read in
+    one scan, their seeds parsed from the names."""
+    from ..sinks.trec import trec_lines
+    from ..sources.trec import read_baselines
+    root = _fresh_folder(spark, "baselines")
+    for n in (1, 3, 5):
+        trec_lines(derived.customer_baseline(spark, sf, seeds=n)).write.text(f"{root}/BL3_coName_{n}.txt")
+    return read_baselines(spark, root).select(
+        "run_id", F.col("seeds").cast("long").alias("seeds"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "kind")
+
+
+@register("qrels_read")
+def qrels_read_q(spark, sf):
+    """SRC3, SRC7: judgments written as a table by (split, seeds) and as a file,
+    read back and matched to the runs of their split."""
+    from ..sources.trec import qrels_for, read_qrels
+    root = _fresh_folder(spark, "qrels")
+    q = derived.customer_qrels(spark, sf).join(derived.customer_splits(spark, sf), "query_id")
+    q.select("query_id", "iter", "doc_id", "relevance", "split", F.lit(3).alias("seeds")).write.partitionBy("split", "seeds").parquet(f"{root}/table")
+    q.select(F.concat_ws("\t", "query_id", "iter", "doc_id", F.col("relevance").cast("string"))).write.text(f"{root}/seeds_3.qrel")
+    meta = spark.createDataFrame([("held", "data/validation", 3, True)], "run_id string, folder string, seeds int, validation boolean")
+    chosen = qrels_for(meta, spark.read.parquet(f"{root}/table")).select("run_id", "query_id", "doc_id", "relevance")
+    every = read_qrels(spark, f"{root}/seeds_3.qrel").select(F.lit("all").alias("run_id"), "query_id", "doc_id", "relevance")
+    return chosen.unionByName(every).withColumn("relevance", F.col("relevance").cast("long"))
+
+
+@register("ensemble_written")
+def ensemble_written_q(spark, sf):
+    """SNK5: runs written, fused and written as a run; a repeated job, and one
+    that was lost before its meta row, leave one run. With the fused rows, its members and its meta rows."""
+    from ..sinks.trec import trec_lines, write_run
+    from ..sources.trec import read_run_meta, read_runs
+    from .benchmark import ensemble_runs
+    root = _fresh_folder(spark, "fused")
+    runs = derived.customer_runs(spark, sf)
+    for name in MEMBERS:
+        write_run(runs, root, name, folder="data/benchmark", seeds=3)
+    trec_lines(runs.filter("rank = 1")).write.text(f"{root}/fused/trec.log")  # what a lost job left
+    ensemble_runs(spark, root, MEMBERS, run_id="fused")
+    meta = read_run_meta(spark, root).filter("run_id = 'fused'").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_meta"), F.max("members").alias("members"))
+    return read_runs(spark, root).filter("run_id = 'fused'").join(F.broadcast(meta), "run_id").select(
+        "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "members", "n_meta")

@@ -710,3 +710,27 @@ SELECT g.doc_id, g.dim""").replace("AS value\nFROM g", """AS value,
        coalesce(d.text, '') IN (SELECT text FROM e) AS early, (SELECT count(*) FROM e) AS n_first,
        (SELECT count(*) FROM a) - (SELECT count(*) FROM e) AS n_second
 FROM g JOIN documents d ON d.doc_id = g.doc_id""")
+
+_LAST_50 = "([^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*){50}$"
+ORACLE["model_slot"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, {ntok('text')} > 50 AS long FROM d)
+SELECT doc_id, md5(CASE WHEN long THEN regexp_extract(text, '{_LAST_50}') ELSE text END) AS completion, long AS truncated, true AS timed FROM n"""
+
+ORACLE["run_folders"] = f"""WITH {RUNS},
+c AS (SELECT run_id, count(*) AS n_rows FROM runs GROUP BY run_id)
+SELECT run_id, CASE WHEN run_id = 'md5' THEN 'data/validation' ELSE 'data/benchmark' END AS folder,
+       CASE run_id WHEN 'acctbal' THEN 1 WHEN 'md5' THEN 2 ELSE 3 END::BIGINT AS seeds,
+       run_id <> 'custkey' AS completed, run_id = 'custkey' AS debug, run_id = 'md5' AS validation, true AS dated, n_rows FROM c"""
+
+ORACLE["baselines_scan"] = f"""WITH {CUST},
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c_custkey) AS rn FROM cust),
+s AS (SELECT unnest([1, 3, 5])::BIGINT AS seeds),
+r AS (SELECT seeds, query_id, c_name, row_number() OVER (PARTITION BY seeds, query_id ORDER BY c_name DESC) AS rank FROM cand, s WHERE rn > seeds)
+SELECT printf('BL3_coName_%d', seeds) AS run_id, seeds, query_id, {esc('c_name')} AS doc_id, rank, pow(2.0, -(rank - 1))::DOUBLE AS score, 'baseline' AS kind FROM r"""
+
+ORACLE["qrels_read"] = f"""WITH {CUST}, {QRELS},
+v AS (SELECT DISTINCT query_id FROM cust JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 4)
+SELECT 'all' AS run_id, query_id, doc_id, relevance::BIGINT AS relevance FROM qrels
+UNION ALL SELECT 'held', query_id, doc_id, relevance::BIGINT FROM qrels WHERE query_id IN (SELECT query_id FROM v)"""
+
+ORACLE["ensemble_written"] = f"""SELECT *, '["acctbal", "md5", "custkey"]' AS members, 1::BIGINT AS n_meta FROM ({ORACLE["ensemble_vote"]})"""

@@ -8,10 +8,12 @@ comes from the file's folder.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spark_context
+from .listing import list_folders
 
 # The run-folder layout and file names of the original tool.
 RUN_FILE = "trec.log"
@@ -53,6 +55,11 @@ def read_runs(spark: SparkSession, root: str, pattern: str = f"*/{RUN_FILE}", ki
                      F.lit(kind).alias("kind"))
 
 
+def _seeds_of(name: F.Column, seeds: Sequence[int]) -> F.Column:
+    """The seed counts a baseline's file name stands for: those it ends with."""
+    return F.filter(F.array(*(F.lit(int(n)) for n in seeds)), lambda n: name.endswith(F.concat(n.cast("string"), F.lit(".txt"))))
+
+
 def baseline_files(spark: SparkSession, folder: str, seeds: int) -> DataFrame:
     """SRC8: baseline outputs ``BL3_co*<seeds>.txt``, largest file first."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", BASELINE_GLOB.format(seeds=seeds)).load(folder)
@@ -61,6 +68,19 @@ def baseline_files(spark: SparkSession, folder: str, seeds: int) -> DataFrame:
             .withColumn("size_rank", F.row_number().over(Window.orderBy(F.col("length").desc(), "path"))))
 
 
+def read_baselines(spark: SparkSession, folder: str, seeds: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """SRC8: all baseline outputs of a folder in one scan: the columns of
+    ``read_runs`` and ``seeds``, parsed from the file's name. A file whose name
+    ends with several of ``seeds`` (3 and 13) counts for each, with the number
+    in its run id. A file may be a folder of parts."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.txt)(?:/[^/]*)?$", 1)
+    rows = (_tsv(spark, RUN_FILE_SCHEMA).csv(f"{folder.rstrip('/')}/{BASELINE_GLOB.format(seeds='')}")
+            .withColumn("name", name).withColumn("all", _seeds_of(F.col("name"), seeds)).withColumn("seeds", F.explode("all")))
+    stem = F.regexp_extract("name", r"^(.*)\.txt$", 1)
+    run_id = F.when(F.size("all") == 1, stem).otherwise(F.concat(stem, F.lit("_s"), F.col("seeds").cast("string")))
+    return rows.select(run_id.alias("run_id"), "query_id", "doc_id", "rank", "score", "tag", F.lit("baseline").alias("kind"), "seeds")
+
+
 def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
     """SRC5: ``run_id, folder, seeds, task, completed, debug, validation``.
 
@@ -68,38 +88,15 @@ def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
     run's rows have committed, so ``completed`` is true only for runs whose
     write finished; a run folder without a meta row is not completed.
     """
-    meta = spark.read.parquet(f"{root.rstrip('/')}/_run_meta")
+    meta = spark.read.parquet(f"{root.rstrip('/')}/_run_meta").drop("run")
     return meta.withColumn("validation", F.col("folder").contains("validation"))
 
 
-def _glob(spark: SparkSession, pattern: str) -> list:
-    """``(parent folder name, modification time)`` of the paths matching a
-    glob — file-system metadata, no file scan: scans skip empty files, and a
-    flag or an empty run file is empty. Under Spark Connect (no JVM access)
-    a metadata-only ``binaryFile`` listing is used, which misses empty files."""
-    sc = spark_context(spark)
-    if sc is None:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(pattern.rsplit("/", 2)[0]).select("path", "modificationTime"))
-        name = pattern.rsplit("/", 1)[1]
-        rows = files.filter(F.col("path").endswith("/" + name) | F.col("path").contains("/" + name + "/")).collect()
-        out = {}
-        for r in rows:
-            parent = r.path.split("/" + name)[0].rsplit("/", 1)[1]
-            out[parent] = int(r.modificationTime.timestamp() * 1000)
-        return sorted(out.items())
-    jvm = sc._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    return [(st.getPath().getParent().getName(), int(st.getModificationTime()))
-            for st in (fs.globStatus(path) or [])]
-
-
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """SRC6: run folders that contain a run file (a file, or a folder of
-    parts), in name (= creation time) order, with the run file's time."""
-    rows = sorted(_glob(spark, f"{root.rstrip('/')}/*/{RUN_FILE}"))
-    return spark.createDataFrame(rows, "run_id string, created long").orderBy("run_id")
+    parts; an empty one counts), in name (= creation time) order, with the run file's time."""
+    files = list_folders(spark, root).filter(F.col("name") == RUN_FILE)
+    return files.select(F.col("folder").alias("run_id"), F.col("modified").alias("created")).orderBy("run_id")
 
 
 def qrels_for(run_meta: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -118,23 +115,19 @@ def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
     with ``benchmark.yaml``, ``trec.log`` and optional ``keep.flag`` /
     ``debug.flag``. Returns the ``run_meta`` schema.
 
-    Flags come from a file-system listing (metadata only); ``seeds`` and
+    Flags come from one listing that tasks make (``list_folders``); ``seeds`` and
     ``folder`` are read from the benchmark config with two regular
     expressions (the config is a flat mapping of scalars). Only folders
     with a run file are listed.
     """
     root = root.rstrip("/")
-
-    def folders_with(name: str) -> list[str]:
-        return [parent for parent, _ in _glob(spark, f"{root}/*/{name}")]
-
-    runs = set(folders_with(RUN_FILE))
-    keep, debug = set(folders_with(KEEP_FLAG)), set(folders_with(DEBUG_FLAG))
-    flags = spark.createDataFrame([(r, r in keep, r in debug) for r in sorted(runs)],
-                                  "run_id string, completed boolean, debug boolean")
+    has = lambda name: F.max((F.col("name") == name).cast("int")) == 1
+    flags = (list_folders(spark, root).groupBy(F.col("folder").alias("run_id"))
+             .agg(has(RUN_FILE).alias("run"), has(KEEP_FLAG).alias("completed"), has(DEBUG_FLAG).alias("debug"))
+             .filter("run").drop("run"))
     # wholetext must be the keyword: text()'s own default would override an option
     conf = (spark.read.text(f"{root}/*/{BENCHMARK_CONFIG}", wholetext=True)
-            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/benchmark\.yaml$", 1).alias("run_id"),
+            .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/benchmark\.yaml(?:/[^/]*)?$", 1).alias("run_id"),
                     F.nullif(F.regexp_extract("value", r"(?m)^seeds:\s*(\d+)\s*$", 1), F.lit(""))
                     .cast("int").alias("seeds"),
                     F.regexp_extract("value", r"(?m)^folder:\s*(.*?)\s*$", 1).alias("folder"),

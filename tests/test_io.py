@@ -115,17 +115,51 @@ def test_write_completions(spark, scratch):
         write_completions(df, path)
 
 
-def test_listing_fallback_without_jvm_access(spark, scratch, monkeypatch):
-    """The path used under Spark Connect: a metadata-only scan listing."""
-    import tablefill.sources.trec as trec
-    for run in ("2024-02-01_00-00-00", "2024-02-02_00-00-00"):
+def test_listings_are_made_by_tasks(spark, scratch):
+    """Empty files are seen, names beginning with _ or . are not, and nothing asks the JVM's file system."""
+    from tablefill.sources.listing import list_folders
+    for run in ("2024-02-01_00-00-00", "2024-02-02_00-00-00", "_run_meta", "empty"):
         os.makedirs(os.path.join(scratch, run))
-        with open(os.path.join(scratch, run, "trec.log"), "w") as f:
-            f.write("q\tQ0\td\t1\t1.0\tt\n")
-    classic = [r.run_id for r in trec.list_runs(spark, scratch).collect()]
-    monkeypatch.setattr(trec, "spark_context", lambda s: None)
-    assert [r.run_id for r in trec.list_runs(spark, scratch).collect()] == classic == [
-        "2024-02-01_00-00-00", "2024-02-02_00-00-00"]
+    for run in ("2024-02-01_00-00-00", "2024-02-02_00-00-00", "_run_meta"):
+        for name in ("trec.log", "keep.flag", "_SUCCESS"):
+            open(os.path.join(scratch, run, name), "w").close()
+    rows = sorted((r.folder, r.name, r.is_folder, r.bytes) for r in list_folders(spark, scratch).collect())
+    assert rows == [(f"2024-02-0{i}_00-00-00", n, False, 0) for i in (1, 2) for n in ("keep.flag", "trec.log")]
+    assert [r.run_id for r in list_runs(spark, scratch).collect()] == ["2024-02-01_00-00-00", "2024-02-02_00-00-00"]
+    assert list_folders(spark, os.path.join(scratch, "missing")).count() == 0
+
+
+def test_a_job_lost_between_rows_and_metadata(spark, scratch, monkeypatch):
+    import tablefill.sinks.trec as sink
+    s = spark.createDataFrame([("q1", ["a", "b"])], "query_id string, suggestions array<string>")
+    run = to_run(s, run_id="r1", tag="trec")
+
+    def lost(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(sink, "publish_meta", lost)
+        with pytest.raises(RuntimeError):
+            write_run(run, scratch, "r1", folder="data/benchmark", seeds=3)
+    assert not sink.is_finished(spark, scratch, "r1")
+    write_run(run, scratch, "r1", folder="data/benchmark", seeds=3)  # repeated
+    write_run(to_run(s, run_id="r2", tag="trec"), scratch, "r2", folder="data/benchmark", seeds=3)
+    with pytest.raises(FileExistsError):
+        write_run(run, scratch, "r1", folder="data/benchmark", seeds=3)
+    sink.publish_meta(spark, scratch, ("r1", "data/benchmark", 3, "{}", None, True, False))  # a second attempt of the last step
+    assert sorted(r.run_id for r in read_run_meta(spark, scratch).collect()) == ["r1", "r2"]
+    assert sorted((r.run_id, r.doc_id) for r in read_runs(spark, scratch).collect()) == [(r, d) for r in ("r1", "r2") for d in "ab"]
+
+
+def test_baselines_of_all_seeds_in_one_scan(spark, scratch):
+    from tablefill.sources.trec import read_baselines
+    for name in ("BL3_coA_1.txt", "BL3_coA_3.txt", "BL3_coB13.txt", "BL3_coC_9.txt", "other_3.txt"):
+        with open(os.path.join(scratch, name), "w") as f:
+            f.write("q\tQ0\td\t1\t1.0\tx\n")
+    df = read_baselines(spark, scratch, (1, 3, 13))
+    got = sorted((r.run_id, r.seeds) for r in df.collect())
+    assert got == [("BL3_coA_1", 1), ("BL3_coA_3", 3), ("BL3_coB13_s13", 13), ("BL3_coB13_s3", 3)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_only_a_local_master_gets_a_scratch_folder():
