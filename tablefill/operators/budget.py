@@ -56,7 +56,7 @@ def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
                  .cast("long").alias("tokens")))
 
 
-def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: str = "turn",
+def fit_messages(messages: DataFrame, limit: int | Column, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
                  tokenizer: Tokenizer = whitespace_tokenizer, bounded: bool = False,
                  name: str | None = None) -> DataFrame:
@@ -76,7 +76,8 @@ def fit_messages(messages: DataFrame, limit: int, conv: str = "conv_id", turn: s
     smallest start found); these are tables of a row a slice. Nothing joins on
     the conversation. ``bounded=True`` declares conversations bounded (one prompt's messages):
     each is one slice and nothing is written. ``name`` is the column of the
-    speakers' names, if there is one.
+    speakers' names, if there is one. ``limit`` may be a column that is the same
+    for all messages of a conversation.
     """
     costed = messages.withColumn("_cost", message_cost(role, content, tokenizer, name).cast("long"))
     if bounded:
@@ -151,18 +152,19 @@ def keep_last_tokens(c, n: int, tokenizer: Tokenizer = whitespace_tokenizer) ->
     return keep_last(tokenizer(F.col(c) if isinstance(c, str) else c), n)
 
 
-def fit_chat(prompts: DataFrame, limit: int, reserve: int = 0,
+def fit_chat(prompts: DataFrame, limit: int | Column, reserve: int = 0,
              tokenizer: Tokenizer = whitespace_tokenizer) -> DataFrame:
-    """RK4 inside a pipeline: fit every query's ``messages`` to ``limit``.
+    """RK4 inside a pipeline: fit every query's ``messages`` to ``limit``, a
+    number or a column of the prompts.
 
     The messages are exploded (one conversation per query, bounded by the
     number of examples), fitted by ``fit_messages`` and gathered back in
     turn order. Adds ``overflow``; an overflowing query keeps no messages.
     """
-    m = (prompts.select("query_id", F.posexplode("messages").alias("turn", "msg"))
-         .select("query_id", "turn", F.col("msg.role").alias("role"), F.col("msg.content").alias("text")))
+    m = (prompts.select("query_id", F.lit(limit).alias("_limit"), F.posexplode("messages").alias("turn", "msg"))
+         .select("query_id", "_limit", "turn", F.col("msg.role").alias("role"), F.col("msg.content").alias("text")))
     # one prompt's messages: at most 2 per example + 2, never a hot group
-    fitted = fit_messages(m, limit, conv="query_id", reserve=reserve, tokenizer=tokenizer, bounded=True)
+    fitted = fit_messages(m, F.col("_limit"), conv="query_id", reserve=reserve, tokenizer=tokenizer, bounded=True)
     kept = (fitted.groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("turn", "role", "text")))).alias("_m"),
                  F.max("overflow").alias("overflow")))

@@ -10,6 +10,7 @@ recompute them.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,9 @@ def dense_index(df: DataFrame, id_col: str) -> DataFrame:
             .drop("_bucket", "_local", "_off"))
 
 
-def floyd_sample(n: Column, k: int, seed: int, query: Column) -> Column:
-    """Floyd's algorithm as one expression: k distinct indexes in [0, n).
+def floyd_sample(n: Column, k: int | Column, seed: int | Column, query: Column) -> Column:
+    """Floyd's algorithm as one expression: k distinct indexes in [0, n);
+    ``k`` and ``seed`` may be columns.
 
     for j in n-k .. n-1: t = draw(seed, query, j) mod (j+1);
     add t unless already chosen, else add j.
@@ -68,20 +70,23 @@ def floyd_sample(n: Column, k: int, seed: int, query: Column) -> Column:
         t = F.pmod(md5_draw(F.lit(seed), query, j), j + 1)
         return F.when(F.array_contains(acc, t), F.concat(acc, F.array(j))).otherwise(F.concat(acc, F.array(t)))
     seq = F.sequence((n - F.lit(k)).cast("long"), (n - F.lit(1)).cast("long"))
+    seq = F.when(F.lit(k) > 0, seq).otherwise(F.array().cast("array<long>"))  # a sequence to n - 1 from n would count down
     return F.aggregate(seq, F.array().cast("array<long>"), step)
 
 
-def sample_examples(queries: DataFrame, candidates: DataFrame, k: int, seed: int = 42,
-                    candidate_id: str = "table_id") -> DataFrame:
+def sample_examples(queries: DataFrame, candidates: DataFrame, k: int | Column, seed: int | Column = 42,
+                    candidate_id: str = "table_id", most: int | None = None) -> DataFrame:
     """SM1/JN4: k random candidates per query (without replacement).
 
     Exactly k draws per query, then an equi-join on the candidate's dense
-    index — never queries x candidates.
+    index — never queries x candidates. ``k`` and ``seed`` may be columns of
+    the queries; ``most`` is then the largest k, known from the configurations.
     """
     base = candidates.select(F.col(candidate_id).alias("table_id")).distinct()
     n = base.count()  # population size: one count job
-    if k > n:
-        raise ValueError(f"Sample larger than population or is negative (k={k}, n={n})")
+    most = k if most is None else most
+    if most > n:
+        raise ValueError(f"Sample larger than population or is negative (k={most}, n={n})")
     cand = dense_index(base, "table_id")
     keep = _passthrough(queries)
     drawn = queries.select(*keep, F.posexplode(floyd_sample(F.lit(n), k, seed, F.col("query_id")))
@@ -115,6 +120,27 @@ def sample_fixed(queries: DataFrame, candidates: DataFrame, k: int | None = None
             .select("query_id", "pos", "table_id", *keep[1:]))
 
 
+def sample_fixed_each(queries: DataFrame, candidates: DataFrame, settings: Sequence[tuple[int, int]],
+                      candidate_id: str = "table_id") -> DataFrame:
+    """``sample_fixed`` for queries with ``k`` and ``seed`` columns: the samples
+    of all settings ``(k, seed)`` come from one top-k job (a limit per seed
+    below its shuffle) and reach the queries in one broadcast of k rows a setting."""
+    spark = candidates.sparkSession
+    wanted = spark.createDataFrame(sorted(set(settings)), "k int, seed int")
+    ids = candidates.select(F.col(candidate_id).alias("table_id")).distinct().crossJoin(F.broadcast(wanted))
+    rank = Window.partitionBy("k", "seed").orderBy(md5_key(F.col("seed"), F.col("table_id")), "table_id")
+    rows = [(r.k, r.seed, r.pos, r.table_id) for r in
+            ids.withColumn("pos", F.row_number().over(rank)).filter(F.col("pos") <= F.col("k")).collect()]
+    for k, seed in set(settings):
+        found = sum(r[:2] == (k, seed) for r in rows)
+        if found < k:
+            raise ValueError(f"Sample larger than population or is negative (k={k}, n={found})")
+    sample = spark.createDataFrame(rows, "k int, seed int, pos int, table_id string")
+    keep = _passthrough(queries)
+    return (queries.select(*keep, "k", "seed").join(F.broadcast(sample), ["k", "seed"])
+            .select("query_id", "pos", "table_id", *keep[1:]))
+
+
 def subsample(pool: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """SM3: k members of each query's pool (e.g. a KNN result), chosen by
     md5(seed|query|table); the pool per query is small (another sampler's

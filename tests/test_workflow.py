@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from sequence_model import SequenceModel
 from tablefill.operators.infer import replay_model
 from tablefill.operators.tables import qrels_from_split, split_seeds
-from tablefill.plans.suggest import suggest
+from conftest import SF001
+from tablefill.plans.suggest import configs_from_dicts, suggest, sweep
+from tablefill.sources import derived
 from tablefill.plans.benchmark import ensemble_runs, run_benchmark, score_runs
 from tablefill.sources.corpus import read_tables
 from tablefill.sources.trec import baseline_files, qrels_for, read_run_meta, read_runs
@@ -195,3 +197,62 @@ def test_user_template_and_hooks(spark):
     assert [(r.query_id, r.suggestions, r.seen) for r in s.collect()] == [("q1", ["A"], True)]
     with pytest.raises(ValueError):
         suggest(q, None, None, lambda: None, template="poem")
+
+
+def test_sweep_settings_are_columns(spark):
+    """Order, pool sampler, context size per configuration: each equals its own pipeline run alone."""
+    from tablefill.operators.knn import knn_examples
+    from tablefill.operators.sampling import subsample
+    from tablefill.plans import suggest as plans
+    base = {"seeds": 3, "extractor": "list"}
+    dicts = [dict(base, config_id=c, tutor=t, **more) for c, t, more in (
+        ("near", {"class": "knn", "amount": 2, "seed": 5}, {}),
+        ("far", {"class": "knn", "amount": 3, "order": "highest first"}, {}),
+        ("mixed", {"class": "knn", "amount": 3, "order": "random", "seed": 9}, {}),
+        ("pool", {"class": "subsample", "amount": 2, "pool": 4, "seed": 3}, {}),
+        ("short", {"class": "fixed", "amount": 2, "seed": 7}, {"template": "chat", "model": {"context": 60, "meta": "note"}}),
+        ("long", {"class": "fixed", "amount": 2, "seed": 7}, {"template": "chat", "model": {"context": 4000}}))]
+    configs = configs_from_dicts(spark, dicts)
+    tables, parts = derived.customer_tables(spark, SF001), derived.part_tables(spark, SF001)
+    seen = {}
+    real = plans.answer
+    try:
+        def answer(prompts, model, examples, **more):
+            for r in prompts.collect():
+                seen[r.query_id] = r.prompt
+            return real(prompts, model, examples, **more)
+        plans.answer = answer
+        plans.sweep(tables, configs, parts, SequenceModel(n=3, max_chars=500))
+    finally:
+        plans.answer = real
+    q = split_seeds(tables, 3)
+    for name, k, order, seed in (("near", 2, "lowest first", 5), ("far", 3, "highest first", 42), ("mixed", 3, "random", 9)):
+        mine = q.withColumn("query_id", F.concat(F.lit(f"{name}/"), "query_id"))
+        want = plans.renderer("instruct")(mine, knn_examples(mine, parts, k, order=order, seed=seed), parts)
+        assert {r.query_id: r.prompt for r in want.collect()} == {i: p for i, p in seen.items() if i.startswith(f"{name}/")}
+    mine = q.withColumn("query_id", F.concat(F.lit("pool/"), "query_id"))
+    want = plans.renderer("instruct")(mine, subsample(knn_examples(mine, parts, 4, order="highest first"), 2, seed=3), parts)
+    assert {r.query_id: r.prompt for r in want.collect()} == {i: p for i, p in seen.items() if i.startswith("pool/")}
+    sizes = {c: {len(json.loads(p)) for i, p in seen.items() if i.startswith(f"{c}/")} for c in ("short", "long")}
+    assert sizes["long"] == {6} and max(sizes["short"]) < 6
+
+
+def test_sweep_plan_does_not_grow_with_the_configurations(spark):
+    tables, parts = derived.customer_tables(spark, SF001), derived.part_tables(spark, SF001)
+
+    def exchanges(n):
+        configs = configs_from_dicts(spark, [
+            {"config_id": f"c{i}", "seeds": 1 + i % 3, "tutor": {"class": ("zero", "fixed", "random")[i % 3], "amount": 0 if i % 3 == 0 else 2, "seed": i}}
+            for i in range(n)])
+        runs, _ = sweep(tables, configs, parts, SequenceModel(n=3, max_chars=500))
+        return runs._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+
+    assert exchanges(3) == exchanges(12) <= 12
+
+
+def test_notes_make_no_difference():
+    from tablefill.plans.suggest import canonical, without_meta
+    a = {"b": [{"class": "X", "meta": {"why": 1}, "k": [1, {"meta": 2, "z": None}]}], "a": 1.5, "meta": "note"}
+    b = {"a": 1.5, "b": [{"k": [1, {"z": None}], "class": "X"}]}
+    assert canonical(a) == canonical(b) and without_meta(a) == b
+    assert canonical({"a": 1}) != canonical({"a": 2})
