@@ -46,20 +46,21 @@ def message_cost(role="role", content="content", tokenizer: Tokenizer = whitespa
 
 
 def count_message_tokens(messages: DataFrame, conv: str = "conv_id",
-                         tokenizer: Tokenizer = whitespace_tokenizer, name: str | None = None) -> DataFrame:
+                         tokenizer: Tokenizer = whitespace_tokenizer, name: str | None = None, cost: str | None = None) -> DataFrame:
     """AG8: per conversation, sum of message costs + 3 (partial aggregation
     before the shuffle, so a huge conversation costs nothing extra). ``name``
-    is the column of the speakers' names, if there is one."""
+    is the column of the speakers' names, if there is one; ``cost`` one that holds
+    the messages' costs already (``tokens.with_message_cost``)."""
+    each = F.col(cost) if cost else message_cost("role", "text", tokenizer, name)
     return (messages.groupBy(conv)
             .agg(F.count(F.lit(1)).cast("long").alias("n_messages"),
-                 (F.sum(message_cost("role", "text", tokenizer, name)) + F.lit(TOKENS_PER_REPLY))
-                 .cast("long").alias("tokens")))
+                 (F.sum(each) + F.lit(TOKENS_PER_REPLY)).cast("long").alias("tokens")))
 
 
 def fit_messages(messages: DataFrame, limit: int | Column, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", content: str = "text", reserve: int = 0,
                  tokenizer: Tokenizer = whitespace_tokenizer, bounded: bool = False,
-                 name: str | None = None) -> DataFrame:
+                 name: str | None = None, cost: str | None = None) -> DataFrame:
     """RK4: drop the two oldest non-system messages until the chat fits.
 
     A leading system message is kept. The kept part is a suffix of the
@@ -77,9 +78,11 @@ def fit_messages(messages: DataFrame, limit: int | Column, conv: str = "conv_id"
     the conversation. ``bounded=True`` declares conversations bounded (one prompt's messages):
     each is one slice and nothing is written. ``name`` is the column of the
     speakers' names, if there is one. ``limit`` may be a column that is the same
-    for all messages of a conversation.
+    for all messages of a conversation; ``cost`` names a column that holds the
+    messages' costs already (``tokens.with_message_cost``).
     """
-    costed = messages.withColumn("_cost", message_cost(role, content, tokenizer, name).cast("long"))
+    each = F.col(cost) if cost else message_cost(role, content, tokenizer, name)
+    costed = messages.withColumn("_cost", each.cast("long"))
     if bounded:
         return _fit_slices(costed.withColumn("_slice", F.lit(0)), messages.columns, conv, turn, role, limit - reserve)
     sliced = materialize(costed.repartitionByRange(conv, turn).withColumn("_slice", F.spark_partition_id()))

@@ -661,3 +661,31 @@ def ensemble_written_q(spark, sf):
         F.count(F.lit(1)).alias("n_meta"), F.max("members").alias("members"))
     return read_runs(spark, root).filter("run_id = 'fused'").join(F.broadcast(meta), "run_id").select(
         "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score", "members", "n_meta")
+
+
+# ------------------------------------------ token budgets by a rank file (AG8, RK4, SC9)
+
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def _rank_file():
+    import public_tokenizers
+
+    from ..operators.tokens import RankFile
+    return RankFile(public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+@register("keep_last_ids")
+def keep_last_ids_q(spark, sf):
+    """SC9 by a rank file's ids: the last 768 of every text, decoded."""
+    from ..operators.tokens import with_last_tokens
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return with_last_tokens(d, "text", KEEP_LAST_N, _rank_file(), count="n_tokens").select("doc_id", "n_tokens", F.md5("kept").alias("kept_md5"))
+
+
+@register("fit_messages_ids")
+def fit_messages_ids_q(spark, sf):
+    """AG8 and RK4 by a rank file's ids: chats fitted to 600 tokens."""
+    from ..operators.tokens import with_message_cost
+    chats = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return fit_messages(with_message_cost(chats, _rank_file()), 600, cost="cost").select("conv_id", "turn", "cost", "kept", "overflow", "tokens_after")
