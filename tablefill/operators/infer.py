@@ -16,7 +16,9 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,18 +192,57 @@ def answer(prompts: DataFrame, model: Factory | Replay, examples: DataFrame | No
 
 # ------------------------------------------------------------ embeddings
 
+class _Buckets(dict):
+    """Bucket of each token met; a worker hashes a token once."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        self[token] = at = int(hashlib.md5(token.encode()).hexdigest()[:15], 16) % self.dim
+        return at
+
+
+def hash_vectors(df: DataFrame, text_col: str, id_col: str, dim: int, float32: bool) -> DataFrame:
+    """``(id, embedding)``, one row a row, in Arrow batches: tokens repeat, so
+    most need no hash at all, and nothing is shuffled."""
+    kind = T.FloatType() if float32 else T.DoubleType()
+    schema = T.StructType([df.schema[id_col], T.StructField("embedding", T.ArrayType(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(dim)
+        flat = pa.float32() if float32 else pa.float64()
+        for batch in batches:
+            out = np.zeros((batch.num_rows, dim))
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                at = [buckets[t] for t in _WS_RE.split(text) if t] if text else []
+                if at:
+                    counts = np.bincount(at, minlength=dim)
+                    out[i] = counts / np.sqrt(float((counts * counts).sum()))
+            values = pa.array(out.ravel().astype(np.float32) if float32 else out.ravel(), flat)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dim, values)],
+                names=[id_col, "embedding"])
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def embed_hash(df: DataFrame, text_col: str, id_col: str, dim: int = 64,
-               float32: bool = True) -> DataFrame:
+               float32: bool = True, unique_ids: bool = False) -> DataFrame:
     """ML4 offline default: hashed bag of whitespace tokens, L2-normalised.
 
     token -> bucket md5(token) mod dim. Counting is an aggregation on
     (id, bucket) — partial aggregation before the shuffle — and the vector
     is assembled from at most ``dim`` entries per id. Texts without tokens
-    (empty or NULL) get the zero vector. Rows that share an id are one text.
-    (A row-local form of nested array functions was tried: as fast here, but a
-    filter pushed below it, as ``explode`` infers one, repeats every step in
-    the lambdas of the next.)
+    (empty or NULL) get the zero vector. Rows that share an id are one text;
+    where ids are declared unique, every vector is made in its row, without a
+    shuffle.
     """
+    if unique_ids:
+        return hash_vectors(df, text_col, id_col, dim, float32)
     # explode, then mark empty tokens rather than dropping them: a text
     # without tokens still yields its (id, null) group and so its zero
     # vector, without a join back to the ids. Stays in whole-stage codegen.

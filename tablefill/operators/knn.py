@@ -188,7 +188,7 @@ def knn_examples(queries: DataFrame, example_tables: DataFrame, k: int, order: s
     from .infer import embed_hash
     from .tables import subject
     own = embedder
-    embedder = embedder or (lambda df, t, i: embed_hash(df, t, i, dim=dim, float32=False))
+    embedder = embedder or (lambda df, t, i: embed_hash(df, t, i, dim=dim, float32=False, unique_ids=True))
     q_text = F.array_join(F.filter("seed_values", lambda x: x.isNotNull()), ", ")
     e_text = F.array_join(F.filter(subject("rows"), lambda x: x.isNotNull()), ", ")
     qv = embedder(queries.select("query_id", q_text.alias("text")), "text", "query_id")

@@ -437,8 +437,9 @@ def mean_pool_q(spark, sf):
 @register("embed_hash")
 def embed_hash_q(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    e = embed_hash(d, "text", "doc_id", dim=64, float32=False)
-    return e.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
+    e = embed_hash(d, "text", "doc_id", dim=64, float32=False, unique_ids=True)
+    # the outer form: an inner one infers a filter on the vector, which would compute it twice
+    return e.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value")).select(
         "doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 

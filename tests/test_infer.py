@@ -154,3 +154,12 @@ def test_replay_depends_on_the_examples(spark):
         assert all(got[f"q{i}"].startswith(f"{i}/") for i in range(30))
         chosen.append(got)
     assert chosen[0] != chosen[1]
+
+
+def test_row_local_vectors_equal_the_aggregated_ones(spark):
+    df = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, "zz"), (4, None), (5, "  "), (6, "x " * 500 + "y\tz\x0bé")], "id long, text string")
+    for float32 in (True, False):
+        a, b = ({r.id: r.embedding for r in embed_hash(df, "text", "id", dim=16, float32=float32, unique_ids=u).collect()} for u in (True, False))
+        assert a == b
+    plan = embed_hash(df, "text", "id", unique_ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
