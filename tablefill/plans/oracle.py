@@ -5,6 +5,8 @@ pre-registered views.
 
 from __future__ import annotations
 
+from .prompts import INSTRUCTION as INSTR
+
 
 def esc(x: str) -> str:
     """TREC escape as SQL."""
@@ -346,10 +348,6 @@ def jq(x: str) -> str:
     return "'\"' || replace(replace(" + x + ", '\\', '\\\\'), '\"', '\\\"') || '\"'"
 
 
-INSTR = ("Your mission, as a sequence detective, is to fill in the gaps of the provided partial "
-         "data column by identifying the next elements in the sequence. Deliver your solution as "
-         "a JSON list, ensuring the values are in their logical sequence.")
-
 CUSTQ = f"""cq0 AS (
   SELECT printf('cust_%d_%d', c_nationkey, c_custkey // 1000) AS query_id, c_custkey, c_name,
          r_name AS a, n_name AS b, ' ' || n_name AS c,
