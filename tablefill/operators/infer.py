@@ -284,19 +284,85 @@ def embed(df: DataFrame, text_col: str, factory: Callable[[], Callable[[list[str
     return df.mapInPandas(run, schema)
 
 
+GROUPS_HELD = 4096  # partial sums a task keeps before it passes them on
+
+
+def _wider(total: np.ndarray, size: int) -> np.ndarray:
+    return total if len(total) >= size else np.append(total, np.zeros(size - len(total)))
+
+
+def pool_vectors(vectors: DataFrame, group: str, vec: str = "embedding", mask: str | None = None, eps: float = 1e-9) -> DataFrame:
+    """AG7: ``(group, embedding)``: sum(v * mask) / max(sum(mask), eps) of each
+    group's vectors, then L2-normalised.
+
+    Sums are vectors: each task adds up its own rows per group and passes one row a
+    group on, so a group of any size is a row a task in the shuffle, and no
+    vector is taken apart. Null vectors are left out; a shorter vector counts
+    as filled up with zeros."""
+    mass = F.col(mask).cast("double") if mask else F.lit(1.0)
+    rows = vectors.filter(F.col(vec).isNotNull()).select(F.col(group), mass.alias("mass"), F.col(vec).cast("array<double>").alias("sums"))
+    key = vectors.schema[group]
+    parts = T.StructType([key, T.StructField("mass", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def out(held: dict, schema: T.StructType) -> pa.RecordBatch:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        types = to_arrow_schema(schema).types
+        columns = [list(held), *([x[i] for x in held.values()] for i in range(len(types) - 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            lengths = batch.column(2).value_lengths().to_numpy()
+            weights = batch.column(1).to_numpy(zero_copy_only=False)
+            dim = int(lengths.max(initial=0))
+            whole = np.zeros((batch.num_rows, dim))
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            whole[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat * weights[row]
+            coded = batch.column(0).dictionary_encode("encode")
+            at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            sums, masses = np.zeros((len(names), dim)), np.bincount(at, weights, len(names))
+            np.add.at(sums, at, whole)
+            for k, name in enumerate(names):
+                total = held.get(name)
+                held[name] = [masses[k], sums[k]] if total is None else [total[0] + masses[k], _wider(total[1], dim) + _wider(sums[k], len(total[1]))]
+            if len(held) >= GROUPS_HELD:
+                yield out(held, parts)
+                held = {}
+        if held:
+            yield out(held, parts)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict = {}
+        last, weight, total = None, 0.0, None
+
+        def close() -> None:
+            mean = total / max(weight, eps)
+            done[last] = [mean / max(float(np.sqrt((mean * mean).sum())), 1e-12)]
+
+        for batch in batches:
+            for name, m, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                sums = sums.values.to_numpy(zero_copy_only=False)
+                if total is not None and name == last:
+                    weight, total = weight + m, _wider(total, len(sums)) + _wider(sums, len(total))
+                    continue
+                if total is not None:
+                    close()
+                    if len(done) >= GROUPS_HELD:
+                        yield out(done, pooled)
+                        done.clear()
+                last, weight, total = name, m, sums
+        if total is not None:
+            close()
+        if done:
+            yield out(done, pooled)
+
+    pooled = T.StructType([key, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(partial, parts).repartition(group).sortWithinPartitions(group).mapInArrow(merged, pooled)
+
+
 def mean_pool(vectors: DataFrame, group: str, vec: str = "embedding", mask: str | None = None,
               eps: float = 1e-9) -> DataFrame:
-    """AG7: masked mean of vectors per group, then L2-normalised.
-
-    sum(v * mask) / max(sum(mask), eps), per dimension: ``posexplode`` +
-    an aggregation on (group, dim) (partial before the shuffle, whatever
-    the group sizes), then the norm per group. Returns ``group, dim, value``.
-    """
-    m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    e = vectors.select(F.col(group), m.alias("_m"), F.posexplode(vec).alias("dim", "v"))
-    sums = (e.groupBy(group, "dim")
-            .agg(F.sum(F.col("v").cast("double") * F.col("_m")).alias("s"), F.sum("_m").alias("w")))
-    sums = sums.withColumn("mean", F.col("s") / F.greatest(F.col("w"), F.lit(eps)))
-    norms = sums.groupBy(group).agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("norm"))
-    return (sums.join(norms, group)
-            .select(group, "dim", (F.col("mean") / F.greatest(F.col("norm"), F.lit(1e-12))).alias("value")))
+    """``pool_vectors`` as rows ``group, dim, value``."""
+    return pool_vectors(vectors, group, vec, mask, eps).select(group, F.posexplode_outer("embedding").alias("dim", "value"))

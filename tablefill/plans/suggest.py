@@ -86,16 +86,19 @@ def pick_examples(queries: DataFrame, pool: DataFrame, tables: DataFrame, model:
     change a decision already taken. Returns ``query_id, pos, table_id, round``.
     """
     from ..session import materialize
-    held = hold_out(queries)
-    unsolved = held
+    unsolved, pool = materialize(hold_out(queries)), materialize(pool)
+    left = unsolved.count()
     accepted = []
     for t in range(tries):
+        if not left:  # nothing to draw for: no job, no model call
+            break
         draw = subsample(pool.join(unsolved.select("query_id"), "query_id", "left_semi"), amount, seed=t)
         s = suggest(unsolved, draw, tables, model, extractor=extractor, lead=lead)
         hit = s.filter(F.array_contains("suggestions", F.col("target"))).select("query_id")
         # pinned: the decision rests on model output, which may not repeat
         ok = materialize(draw.join(hit, "query_id", "left_semi").withColumn("round", F.lit(t)))
         accepted.append(ok)
+        left -= ok.select("query_id").distinct().count()
         # derived from pinned tables only, so its lineage stays flat
         unsolved = unsolved.join(ok.select("query_id"), "query_id", "left_anti")
     fallback = (pool.join(unsolved.select("query_id"), "query_id", "left_semi")

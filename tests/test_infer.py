@@ -163,3 +163,39 @@ def test_row_local_vectors_equal_the_aggregated_ones(spark):
         assert a == b
     plan = embed_hash(df, "text", "id", unique_ids=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_pooling_by_partial_sums(spark):
+    import numpy as np
+    from tablefill.operators.infer import pool_vectors
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 11 == 0 else f"g{i % 5}" if i % 3 else "hot", rng.normal(size=4 if i % 7 else 3).tolist() if i % 13 else None, float(i % 2))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, embedding array<double>, m double").repartition(6)
+    for mask in (None, "m"):
+        got = {r.g: r.embedding for r in pool_vectors(df, "g", mask=mask).collect()}
+        for g in {r[0] for r in rows}:
+            mine = [(np.append(v, [0.0] * (4 - len(v))), w if mask else 1.0) for k, v, w in rows if k == g and v is not None]
+            mean = sum(v * w for v, w in mine) / max(sum(w for _, w in mine), 1e-9)
+            assert np.allclose(got[g], mean / np.linalg.norm(mean))
+    assert pool_vectors(df.limit(0), "g").count() == 0
+    rows = [r["count"] for r in pool_vectors(df, "g").groupBy("g").count().collect()]
+    assert set(rows) == {1}
+
+
+def test_validated_pick_ends_with_the_last_query(spark, monkeypatch):
+    from conftest import SF001
+    from sequence_model import SequenceModel
+    from tablefill.operators.sampling import sample_examples
+    from tablefill.operators.tables import split_seeds
+    from tablefill.plans import suggest as plans
+    from tablefill.sources import derived
+    q, parts = split_seeds(derived.customer_tables(spark, SF001), 3), derived.part_tables(spark, SF001)
+    pool = sample_examples(q, parts, k=3, seed=1)
+    calls = []
+    real = plans.suggest
+    monkeypatch.setattr(plans, "suggest", lambda *a, **b: calls.append(1) or real(*a, **b))
+    everything = [r.c_name for r in spark.read.parquet(f"{SF001}/customer.parquet").select("c_name").collect()]
+    answer = json.dumps(everything)[2:]
+    picked = plans.pick_examples(q, pool, parts, lambda: (lambda prompts: [answer] * len(prompts)), amount=2, tries=6)
+    assert {r["round"] for r in picked.collect()} == {0} and len(calls) == 1
