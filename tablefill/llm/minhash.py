@@ -354,10 +354,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = (sketched.where("node IS NOT NULL").select("doc_id", "node").join(classes, "node", "left")
               .where("keeper IS NULL OR (keeper = node AND class_id = doc_id)"))
     node = free_name(docs, "node")
-    firsts = firsts.select(F.col("doc_id").alias(id_col), F.col("node").alias(node)).distinct()
+    firsts = firsts.select(F.col("doc_id").alias(id_col), F.col("node").alias(node))
     named = docs.where(F.col(id_col).isNotNull())
     worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = (named.where(worded).withColumn(node, F.unhex(F.md5(F.col(text_col).cast("binary"))))
-            .join(firsts, [id_col, node], "left_semi").drop(node).select(docs.columns))
-    return (kept.unionByName(named.where(~worded)).dropDuplicates([id_col, text_col])
+            .join(firsts, [id_col, node], "left_semi").dropDuplicates([id_col, node]).select(docs.columns))
+    return (kept.unionByName(named.where(~worded).dropDuplicates([id_col, text_col]))
             .unionByName(docs.where(F.col(id_col).isNull())))
