@@ -13,28 +13,31 @@ rounding error, so pruning never changes a result; centroids come from a
 bounded sample and decide only how much is pruned.
 
 What every task gets is the centres and radii of at most about MAX_BALLS runs
-of blocks, at any number of vectors. The queries of a block are split into
-parts, so a block that every query visits is many tasks.
+of blocks, at any number of vectors. Neighbouring balls lie in one shard of
+about SHARD_BYTES, which a query travels to once, with the list of those it visits. The queries of a shard are split into
+parts, so a shard that every query visits is many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .knn import best_pairs
+from ..session import materialize, spark_context
+from .knn import BestPairs, id_numbers
 
 CENTROIDS = 64
 SAMPLE = 4096
 BLOCK_BYTES = 2 << 20
 MAX_BALLS = 1 << 14
-PART_QUERIES = 4096
+SHARD_BYTES = 32 << 20
+PART_QUERIES = 4096  # of a shard's part, at least
+MOST_QUERIES = 1 << 16  # and at most
 
 
 @dataclass
@@ -151,67 +154,112 @@ def build(examples: DataFrame, example_id: str = "table_id", example_vec: str =
                     _matrix(balls.column("c").combine_chunks(), dim), balls.column("r").to_numpy(), dim)
 
 
-def _visits(state: DataFrame, index: KnnIndex, k: int, first_round: bool) -> DataFrame:
-    """``(qid, qv, kth, ball)``. First round: the balls of greatest bound that
+def _wanted(index: KnnIndex, q: np.ndarray, kth: np.ndarray, k: int, first_round: bool) -> np.ndarray:
+    """Which balls each query visits. First round: those of greatest bound that
     hold k vectors and one more together; then all others whose bound reaches ``kth``."""
-    balls, sizes, centres, radii, dim = index.balls, index.sizes, index.centres, index.radii, index.dim
+    sizes, centres, radii = index.sizes, index.centres, index.radii
     norms = np.sqrt((centres * centres).sum(axis=1))
-    step = max(1, (16 << 20) // (8 * len(balls)))
+    length = np.sqrt((q * q).sum(axis=1))[:, None]
+    bound = q @ centres.T + length * radii + 1e-9 * length * (norms + radii) + 1e-300
+    order = np.argsort(-bound, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    opening = np.zeros_like(bound, bool)
+    np.put_along_axis(opening, order, before <= k, axis=1)
+    return opening if first_round else ~opening & (bound >= kth[:, None])
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    return np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
+
+
+def _shards(index: KnnIndex) -> np.ndarray:
+    """The shard of each ball."""
+    return (np.cumsum(index.sizes) - index.sizes) * 8 * index.dim // SHARD_BYTES
+
+
+def _visits(state: DataFrame, index: KnnIndex, k: int, first_round: bool) -> DataFrame:
+    """``(qid, qv, kth, shard, balls)``: the shards of the balls that each query
+    visits, and which of the shard's balls these are, as bits."""
+    plain, shards = _plain(index), _shards(index)
+    names, firsts = np.unique(shards, return_index=True)
+    step = max(1, min((16 << 20) // (8 * len(shards)), (32 << 20) // (8 * index.dim * len(names))))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                q = _matrix(batch.column(1), dim)
-                length = np.sqrt((q * q).sum(axis=1))[:, None]
-                bound = q @ centres.T + length * radii + 1e-9 * length * (norms + radii) + 1e-300
-                order = np.argsort(-bound, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                opening = np.zeros_like(bound, bool)
-                np.put_along_axis(opening, order, before <= k, axis=1)
-                if first_round:
-                    wanted = opening
-                else:
-                    kth = np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
-                    wanted = ~opening & (bound >= kth[:, None])
-                row, ball = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(balls[ball])],
-                                                 names=["qid", "qv", "kth", "ball"])
-
-    return state.mapInArrow(go, "qid string, qv array<double>, kth double, ball long")
+                wanted = _wanted(plain, _matrix(batch.column(1), plain.dim), _doubles(batch.column(2)), k, first_round)
+                row, shard = np.nonzero(np.logical_or.reduceat(wanted, firsts, axis=1))
+                bits = [np.packbits(wanted[i, firsts[s]:firsts[s + 1] if s + 1 < len(firsts) else None]).tobytes()
+                        for i, s in zip(row.tolist(), shard.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(names[shard]), pa.array(bits, pa.binary())],
+                                                 names=["qid", "qv", "kth", "shard", "balls"])
+
+    return state.mapInArrow(go, "qid string, qv array<double>, kth double, shard long, balls binary")
+
+
+def _plain(index: KnnIndex) -> KnnIndex:
+    """The index without its table, which tasks cannot hold."""
+    return replace(index, blocks=None)
 
 
 def _searched(visits: DataFrame, index: KnnIndex, k: int, exclude_self: bool) -> DataFrame:
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(PART_QUERIES)).cast("int").alias("parts")
-    plan = materialize(visits.groupBy("ball").agg(parts).join(index.blocks.select("ball", "block"), "ball"))
-    left = visits.join(plan, "ball").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
-    right = (index.blocks.drop("ball").join(plan.select("block", "parts"), "block")
+    spark = visits.sparkSession
+    dim, numbers, shards = index.dim, index.balls, _shards(index)
+    sc = spark_context(spark)
+    slots = sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = F.count(F.lit(1))
+    parts = F.greatest(F.ceil(n / F.lit(MOST_QUERIES)), F.least(F.ceil(n / F.lit(PART_QUERIES)), F.lit(-(-3 * slots // int(shards[-1] + 1)))))
+    plan = materialize(visits.groupBy("shard").agg(parts.cast("int").alias("parts")))
+    shard_of = spark.createDataFrame(pa.table({"ball": numbers, "shard": shards}))
+    left = visits.join(plan, "shard").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
+    right = (index.blocks.join(F.broadcast(shard_of), "ball").join(plan, "shard")
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    dim = index.dim
 
-    def go(queries: pa.Table, block: pa.Table) -> pa.Table:
-        found = {"query_id": [], "table_id": [], "score": []}
-        if queries.num_rows and block.num_rows:
-            ids = np.array(block.column("ids")[0].as_py(), object)
-            e = np.frombuffer(block.column("vectors")[0].as_py(), np.float64).reshape(len(ids), dim)
+    def go(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        found = [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())]
+        if queries.num_rows and blocks.num_rows:
+            blocks = blocks.sort_by([("ball", "ascending"), ("block", "ascending")])
+            held = blocks.column("ids").combine_chunks()
+            ids = held.flatten()
+            text = np.array(ids.to_pylist(), str)
             rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
-            qid = np.array(queries.column("qid").to_pylist(), object)
+            rank[np.argsort(text, kind="stable")] = np.arange(len(ids))
+            e = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for c in blocks.column("vectors").chunks for x in c]).reshape(-1, dim)
             q = _matrix(queries.column("qv").combine_chunks(), dim)
-            kth = np.nan_to_num(queries.column("kth").to_numpy().astype(np.float64), nan=-np.inf)
-            step = max(1, 2_000_000 // len(ids))
-            for at in range(0, len(q), step):
-                mine = slice(at, at + step)
-                own = np.equal.outer(qid[mine].astype(str), ids.astype(str)) if exclude_self else None
-                row, col, score = best_pairs(q[mine], e, rank, k, own, kth[mine])
-                found["query_id"] += qid[mine][row].tolist()
-                found["table_id"] += ids[col].tolist()
-                found["score"] += score.tolist()
-        return pa.table({"query_id": pa.array(found["query_id"], pa.string()), "table_id": pa.array(found["table_id"], pa.string()),
-                         "score": pa.array(found["score"], pa.float64())})
-
-    return (left.select("block", "part", "qid", "qv", "kth").groupBy("block", "part")
-            .cogroup(right.drop("parts").groupBy("block", "part")).applyInArrow(go, "query_id string, table_id string, score double"))
+            qid = queries.column("qid").combine_chunks()
+            own = id_numbers(np.array(qid.to_pylist(), str), text) if exclude_self else None
+            best = BestPairs(q, e, rank, k, own, _doubles(queries.column("kth")))
+            bits = queries.column("balls").combine_chunks()
+            bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(q), -1)
+            ends = np.cumsum(held.value_lengths().to_numpy())
+            ball, first = np.unique(blocks.column("ball").to_numpy(), return_index=True)
+            last = np.append(first[1:], blocks.num_rows) - 1
+            for i, (x, y) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+                rows = np.flatnonzero(bits[:, i // 8] >> (7 - i % 8) & 1)
+                if len(rows):
+                    best.add(rows, int(ends[x - 1]) if x else 0, int(ends[y]))
+            row, col, score = best.pairs()
+            found = [qid.take(pa.array(row)), ids.take(pa.array(col)), pa.array(score)]
+        return pa.table(found, ["query_id", "table_id", "score"])
+
+    return (left.select("shard", "part", "qid", "qv", "kth", "balls").groupBy("shard", "part")
+            .cogroup(right.drop("parts").groupBy("shard", "part")).applyInArrow(go, "query_id string, table_id string, score double"))
+
+
+def _scored(visits: DataFrame, index: KnnIndex) -> int:
+    """The number of vectors in all balls that are visited."""
+    sizes, shards = index.sizes, _shards(index)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = 0
+            for shard, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of = sizes[shards == shard]
+                total += int(of[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(of)).astype(bool)].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["n"])
+
+    return visits.select("shard", "balls").mapInArrow(go, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def search(index: KnnIndex, queries: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "embedding",
@@ -223,11 +271,10 @@ def search(index: KnnIndex, queries: DataFrame, k: int, *, query_id: str = "quer
         F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(None).cast("double").alias("kth")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "table_id")
     best, scored = None, 0
-    held = dict(zip(index.balls.tolist(), index.sizes.tolist(), strict=True))
     for first_round in (True, False):
         visits = materialize(_visits(state, index, k, first_round))
         if visited is not None:
-            scored += sum(held[r["ball"]] * r["count"] for r in visits.groupBy("ball").count().collect())
+            scored += _scored(visits, index)
         found = _searched(visits, index, k, exclude_self)
         found = found if best is None else best.select("query_id", "table_id", "score").unionByName(found)
         best = found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)

@@ -1,8 +1,13 @@
 """Blocked KNN equals brute force, across several blocks on both sides."""
 
+import time
+import tracemalloc
+
 import numpy as np
+import pandas as pd
+import pytest
 
-from tablefill.operators.knn import knn_topk, order_examples
+from tablefill.operators.knn import BestPairs, _block_topk, exact_scores, knn_topk, order_examples
 from conftest import SF01
 
 
@@ -60,3 +65,62 @@ def test_payload_rides_along_across_blocks(spark):
     rows = nn.collect()
     assert len(rows) == 500 * 3
     assert all(r.q_label == labels[r.query_id] and r.e_label == labels[r.table_id] for r in rows)
+
+
+def blocks_of(q, e, ids="{}"):
+    return (pd.DataFrame({"qid": [ids.format(i) for i in range(len(q))], "qvec": list(q)}),
+            pd.DataFrame({"eid": [ids.format(i) for i in range(len(e))], "evec": list(e)}))
+
+
+def plain_top(q, e, k, own=False):
+    out = set()
+    for i in range(len(q)):
+        s = exact_scores(np.repeat(q[i:i + 1], len(e), axis=0), e)
+        order = sorted((j for j in range(len(e)) if not own or j != i), key=lambda j: (-s[j], str(j)))[:k]
+        out |= {(str(i), str(j), s[j]) for j in order}
+    return out
+
+
+def test_memory_does_not_grow_with_ties():
+    """Most examples share no component with a query: nearly all scores tie at 0."""
+    rng = np.random.default_rng(5)
+    q, e = np.zeros((400, 64)), np.zeros((12000, 64))
+    q[np.arange(400), rng.integers(0, 8, 400)] = 1.0
+    e[np.arange(12000), rng.integers(8, 64, 12000)] = 1.0
+    e[:3] = 0.0
+    e[:3, 0] = 1.0
+    qdf, edf = blocks_of(q, e)
+    tracemalloc.start()
+    got = _block_topk(5, False)(qdf, edf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20  # 4.9 GB with every tied pair's vectors at hand
+    assert set(zip(got.query_id, got.table_id, got.score, strict=True)) == plain_top(q, e, 5)
+
+
+def test_ids_are_not_compared_pair_by_pair():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16))
+    qdf, edf = blocks_of(x, x, "x" * 400 + "{}")
+    start = time.process_time()
+    got = _block_topk(3, True)(qdf, edf)
+    assert time.process_time() - start < 2.5  # 16 million comparisons of 400 characters take longer
+    assert len(got) == 12000 and (got.query_id != got.table_id).all()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e140])
+def test_tiles_give_the_plain_ranking(monkeypatch, scale):
+    """Small tiles; vectors of all lengths, zeros, repeats and infinite components."""
+    for name, value in (("ROWS", 7), ("COLUMNS", 31), ("FIRST", 9)):
+        monkeypatch.setattr(BestPairs, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 6)) * 10.0 ** rng.integers(-6, 6, (150, 1)) * scale
+    x[20:60] = x[100]
+    x[60:75] = 0.0
+    qdf, edf = blocks_of(x, x)
+    got = _block_topk(4, True)(qdf, edf)
+    assert set(zip(got.query_id, got.table_id, got.score, strict=True)) == plain_top(x, x, 4, own=True)
+    bad = x.copy()
+    bad[10, 2], bad[11, 0] = np.inf, np.nan
+    got = _block_topk(4, True)(qdf, blocks_of(x, bad)[1])
+    assert len(got) == 600 and np.isfinite(got.score).all() and not got.table_id.isin(["10", "11"]).any()

@@ -60,3 +60,18 @@ def test_awkward_vectors(spark):
         ("x", 1, "a"), ("x", 2, "f"), ("z", 1, "a"), ("z", 2, "e")]
     assert knnindex.knn_pruned(q, ex.limit(0), 2).count() == 0
     assert knnindex.knn_pruned(q.limit(0), ex, 2).count() == 0
+
+
+@pytest.mark.parametrize("shard_bytes", [64 * 8 * 100, 32 << 20])
+def test_a_query_travels_once_a_shard(spark, monkeypatch, shard_bytes):
+    """Vectors without clusters: every query visits nearly all of many balls,
+    but travels to the few shards that hold them, not to each ball."""
+    monkeypatch.setattr(knnindex, "SHARD_BYTES", shard_bytes, raising=False)
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    index = knnindex.build(emb, "vec_id", block_bytes=64 * 8 * 16)
+    queries = emb.selectExpr("cast(vec_id AS string) AS qid", "cast(embedding AS array<double>) AS qv", "cast(NULL AS double) AS kth")
+    shards = -(-500 * 64 * 8 // shard_bytes)
+    assert len(index.balls) >= 30
+    assert knnindex._visits(queries, index, 5, False).count() <= 500 * (shards + 1)
+    got = knnindex.search(index, emb, 5, query_id="vec_id", exclude_self=True)
+    assert rows_of(got) == rows_of(knn_topk(emb, emb, 5, query_id="vec_id", example_id="vec_id", exclude_self=True))
