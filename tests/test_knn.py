@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tablefill.operators.knn import BestPairs, _block_topk, exact_scores, knn_topk, order_examples
+from tablefill.operators.knn import BestPairs, _block_topk, block_grid, exact_scores, knn_topk, order_examples
 from conftest import SF01
 
 
@@ -124,3 +124,15 @@ def test_tiles_give_the_plain_ranking(monkeypatch, scale):
     bad[10, 2], bad[11, 0] = np.inf, np.nan
     got = _block_topk(4, True)(qdf, blocks_of(x, bad)[1])
     assert len(got) == 600 and np.isfinite(got.score).all() and not got.table_id.isin(["10", "11"]).any()
+
+
+def test_the_last_turn_of_the_grid_is_full():
+    """28 cells on 12 slots took three turns, the last with four cells: 36 smaller ones do."""
+    assert block_grid(720_000, 720_000, 116_508, 233_016, 12) == (9, 4)
+    assert block_grid(2_000, 2_000, 116_508, 233_016, 12) == (8, 1)  # at least 256 queries a block
+    for nq, ne, slots in ((10**6, 10**6, 12), (90_000, 90_000, 8), (5_000, 300_000, 7), (0, 0, 4)):
+        bq, be = -(-nq // 10_000) or 1, -(-ne // 20_000) or 1
+        more, same = block_grid(nq, ne, 10_000, 20_000, slots)
+        assert same == be and more >= bq
+        if bq * be >= slots:
+            assert -(-more * be // slots) == -(-bq * be // slots)  # no further turn
