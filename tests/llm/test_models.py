@@ -204,3 +204,20 @@ def test_language_sample_is_bounded_before_it_is_ranked(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
         net = langid.fit(docs, sample_rows=50, learn=lambda c: c.isNotNull())
         assert net.langs == ["en", "fr"]
+
+
+def test_scoring_memory_is_that_of_a_slice():
+    import tracemalloc
+
+    from tablefill.llm.common import slices
+    rng = random.Random(8)
+    texts = [prose(rng, "aa", 300) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    model = toxicity.Model(np.zeros(1 << toxicity.BUCKET_BITS, np.float32), np.ones(toxicity.TOP + 2), 8.0)
+    assert batch.nbytes > 3 << 20
+    tracemalloc.start()
+    try:
+        assert sum(len(model.score(part.column(1))) for part in slices(batch, 1)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
